@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.plans import selection
+from weft.plans import alignment, selection, vocabulary
 
-FAMILIES = [selection]
+FAMILIES = [selection, vocabulary, alignment]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
