@@ -13,8 +13,12 @@ NBEST_SEPARATOR = "|||"
 MISSING_CODE = "NULL"
 MISSING_MERGE = "<ERR>"
 
-# White space as a Python string sees it: the Unicode property plus four separators.
-_SPACE = r"[\s\x1c-\x1f]"
+# The characters that count as white space (Unicode, and the four separators
+# of ASCII).
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -23,7 +27,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(_col(c), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
 def split_space(c: Column | str) -> Column:
@@ -33,7 +37,7 @@ def split_space(c: Column | str) -> Column:
 
 def split_ws(c: Column | str) -> Column:
     """Tokens between runs of white space; never empty ones."""
-    return F.filter(F.split(_col(c), rf"(?U){_SPACE}+", -1), lambda token: token != "")
+    return F.filter(F.split(_col(c), f"[{WHITE_SPACE}]+", -1), lambda token: token != "")
 
 
 def split_chars(c: Column | str) -> Column:
@@ -71,10 +75,9 @@ def split_code(c: Column | str) -> Column:
 
 def normalise_brackets(c: Column | str) -> Column:
     """Write ``(x)`` as ``(x x)`` for one character and ``(tag word more)`` as ``(tag word)``."""
+    word = f"[^{WHITE_SPACE}()]+"
     doubled = F.regexp_replace(strip(c), r"(?d)\((.)\)", "($1 $1)")
-    return F.regexp_replace(
-        doubled, r"(?U)\(([^\s()]+) ([^\s()]+) [^\s()]+\)", "($1 $2)"
-    )
+    return F.regexp_replace(doubled, rf"\(({word}) ({word}) {word}\)", "($1 $2)")
 
 
 def wrap(tokens: Column | str) -> Column:

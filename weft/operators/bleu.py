@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import split_ws, tokens_13a
 from weft.operators.ordering import digest
-from weft.operators.vocabulary import dictionary_join
+from weft.operators.vocabulary import HEAD_ROWS, dictionary_join
+from weft.session import spread
 
 ORDERS = range(1, 5)
 SIDES = range(3)
@@ -29,31 +30,21 @@ def _grams(tokens: Column | str, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _all_grams(tokens: Column | str) -> Column:
-    """``array<struct(n, gram)>`` over n = 1..4."""
-    per_order = [
-        F.transform(_grams(tokens, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-        for n in ORDERS
-    ]
-    return F.concat(*per_order)
-
-
-def _gram_rows(df: DataFrame, keys: Sequence[str], sides: Sequence[str]) -> DataFrame:
-    """``keys, side, n, gram`` for the token arrays in columns ``sides``."""
-    tagged = F.concat(
-        *[
-            F.transform(
-                _all_grams(side),
-                lambda g, i=i: F.struct(F.lit(i).alias("side"), g["n"].alias("n"), g["gram"].alias("gram")),
-            )
-            for i, side in enumerate(sides)
-        ]
-    )
-    return df.select(*keys, F.inline(tagged))
+def _tagged_grams(tokens: str, side: Column) -> Column:
+    """``array<struct(side, n, gram)>`` for n = 1..4, and one entry with n = 0 for the sentence itself."""
+
+    def of_order(n: int) -> Column:
+        return F.transform(
+            _grams(tokens, n),
+            lambda gram: F.struct(side.alias("side"), F.lit(n).alias("n"), gram.alias("gram")),
+        )
 
+    itself = F.array(F.struct(side.alias("side"), F.lit(0).alias("n"), F.lit("").alias("gram")))
+    return F.concat(itself, *[of_order(n) for n in ORDERS])
 
-def _side_count(i: int) -> Column:
-    return F.count(F.when(F.col("side") == i, 1))
+
+def _side_counts(sides: int) -> list[Column]:
+    return [F.expr(f"count(if(side = {i}, 1, null)) as c{i}") for i in range(sides)]
 
 
 def bleu_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref: str = "ref") -> DataFrame:
@@ -62,41 +53,35 @@ def bleu_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref: str =
     ``keys, hyp_len, ref_len, match1, total1, ... match4, total4``.
     """
     keys = list(keys)
-    spread = df.select(*keys, hyp, ref).repartition(*keys)
+    pairs = spread(df.select(*keys, hyp, ref), *keys)
     counts = (
-        _gram_rows(spread, keys, [hyp, ref])
+        pairs.select(*keys, F.inline(F.concat(_tagged_grams(hyp, F.lit(0)), _tagged_grams(ref, F.lit(1)))))
         .groupBy(*keys, "n", "gram")
-        .agg(_side_count(0).alias("h"), _side_count(1).alias("r"))
-    )
-    matches = counts.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("h", "r")).otherwise(0)).alias(f"match{n}") for n in ORDERS]
+        .agg(*_side_counts(2))
     )
-    lengths = spread.select(
-        *keys, F.size(hyp).cast("bigint").alias("hyp_len"), F.size(ref).cast("bigint").alias("ref_len")
+    # Unigram counts add up to the lengths.
+    sums = counts.groupBy(*keys).agg(
+        F.expr("sum(if(n = 1, c0, 0)) as hyp_len"),
+        F.expr("sum(if(n = 1, c1, 0)) as ref_len"),
+        *[F.expr(f"sum(if(n = {n}, least(c0, c1), 0)) as match{n}") for n in ORDERS],
     )
-    return lengths.join(matches, keys, "left").select(
+    return sums.selectExpr(
         *keys,
         "hyp_len",
         "ref_len",
-        *[
-            column
-            for n in ORDERS
-            for column in (
-                F.coalesce(f"match{n}", F.lit(0)).alias(f"match{n}"),
-                F.greatest(F.col("hyp_len") + 1 - n, F.lit(0)).cast("bigint").alias(f"total{n}"),
-            )
-        ],
+        *[part for n in ORDERS for part in (f"match{n}", f"greatest(hyp_len + 1 - {n}, 0L) as total{n}")],
     )
 
 
-def smoothed_bleu(stats: DataFrame) -> Column:
-    """Sentence BLEU with add-one counts, 0 to 100; an empty hypothesis scores 0."""
-    precision = sum(
-        (F.log((F.lit(1.0) + F.col(f"match{n}")) / (F.lit(1.0) + F.col(f"total{n}"))) for n in ORDERS),
-        F.lit(0.0),
-    ) / 4
-    brevity = F.least(F.lit(0.0), F.lit(1.0) - F.col("ref_len") / F.col("hyp_len"))
-    return F.when(F.col("hyp_len") == 0, F.lit(0.0)).otherwise(F.lit(100.0) * F.exp(brevity + precision))
+def smoothed_bleu() -> Column:
+    """Sentence BLEU over the columns of ``bleu_stats``: add-one counts, 0 to 100.
+
+    An empty hypothesis scores 0.
+    """
+    logs = " + ".join(f"ln((1.0D + match{n}) / (1.0D + total{n}))" for n in ORDERS)
+    return F.expr(
+        f"if(hyp_len = 0, 0.0D, 100.0D * exp(least(0.0D, 1.0D - ref_len / hyp_len) + ({logs}) / 4))"
+    )
 
 
 def mean_sentence_bleu(df: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref: str = "ref") -> DataFrame:
@@ -104,10 +89,10 @@ def mean_sentence_bleu(df: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref
 
     Takes wrapped arrays; both sentence markers are cut off before scoring.
     """
-    inner = df.withColumn(ref, F.slice(ref, 2, F.greatest(F.size(ref) - 2, F.lit(0))))
-    inner = inner.withColumn(hyp, F.slice(hyp, 2, F.size(ref)))
+    unwrapped = {c: F.slice(c, 2, F.greatest(F.size(c) - 2, F.lit(0))) for c in (hyp, ref)}
+    inner = df.withColumns(unwrapped).withColumn(hyp, F.slice(hyp, 1, F.size(ref)))
     stats = bleu_stats(inner, keys, hyp, ref)
-    return stats.select(smoothed_bleu(stats).alias("bleu")).agg(
+    return stats.select(smoothed_bleu().alias("bleu")).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg("bleu").alias("mean_bleu")
     )
 
@@ -115,19 +100,10 @@ def mean_sentence_bleu(df: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref
 def triples(df: DataFrame, line_no: str = "line_no", text: str = "text") -> DataFrame:
     """``block, pos, text``: three consecutive lines form a block."""
     return df.select(
-        F.floor(F.col(line_no) / 3).alias("block"), F.pmod(F.col(line_no), F.lit(3)).alias("pos"), text
+        F.call_function("div", F.col(line_no), F.lit(3)).alias("block"), F.pmod(F.col(line_no), F.lit(3).cast("bigint")).alias("pos"), text
     )
 
 
-def wide_triples(df: DataFrame, keys: Sequence[str] = ("block",), text: str = "text") -> DataFrame:
-    """One row per whole block: ``keys, t0, t1, t2``; incomplete blocks are left out."""
-    keys = list(keys)
-    wide = df.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("pos") == i, F.col(text))).alias(f"t{i}") for i in SIDES]
-    )
-    return wide.filter(" and ".join(f"t{i} is not null" for i in SIDES))
-
-
 def sample_blocks(blocks: DataFrame, n: int, seed: int = 2626, block: str = "block") -> DataFrame:
     """``n`` distinct blocks without replacement, repeatable by ``seed``; too few is an error."""
     known = blocks.select(block).distinct()
@@ -144,80 +120,79 @@ def sample_lines(blocks: DataFrame, block: str = "block") -> DataFrame:
     return blocks.select(F.explode(F.array(*[F.col(block) * 3 + i for i in SIDES])).alias("line_no")).distinct()
 
 
-def _library_bleu(n_hyp: Column, n_ref: Column, matches: list[Column]) -> Column:
-    """Corpus BLEU of one sentence with exponential smoothing and no effective order."""
-    halvings = F.lit(0)
-    log_sum = F.lit(0.0)
-    for n, match in zip(ORDERS, matches):
-        total = n_hyp - (n - 1)
-        halvings = halvings + F.when(match == 0, 1).otherwise(0)
-        precision = F.when(match == 0, F.lit(100.0) / (F.pow(F.lit(2.0), halvings) * total)).otherwise(
-            F.lit(100.0) * match / total
-        )
-        log_sum = log_sum + F.log(precision)
-    brevity = F.when(n_hyp < n_ref, F.exp(F.lit(1.0) - n_ref / n_hyp)).otherwise(F.lit(1.0))
-    return F.when(n_hyp < len(ORDERS), F.lit(0.0)).otherwise(brevity * F.exp(log_sum / 4))
+def _library_bleu(i: int) -> Column:
+    """Corpus BLEU of member ``i`` with exponential smoothing and no effective order.
 
-
-def _closest(n_hyp: Column, a: Column, b: Column) -> Column:
-    """The reference length next to the hypothesis length; the shorter one on a tie."""
-    near_a, near_b = F.abs(n_hyp - a), F.abs(n_hyp - b)
-    return F.when(near_a < near_b, a).when(near_b < near_a, b).otherwise(F.least(a, b))
+    Over ``len0..len2`` and the clipped matches ``m{i}{n}``. An order without a match halves
+    the precision once more; fewer than four tokens score 0.
+    """
+    a, b = [f"len{j}" for j in SIDES if j != i]
+    hyp = f"len{i}"
+    # The reference length next to the hypothesis length; the shorter one on a tie.
+    near_a, near_b = f"abs({hyp} - {a})", f"abs({hyp} - {b})"
+    ref = f"case when {near_a} < {near_b} then {a} when {near_b} < {near_a} then {b} else least({a}, {b}) end"
+    logs = []
+    for n in ORDERS:
+        total = f"({hyp} - {n - 1})"
+        unmatched = " + ".join(f"int(m{i}{k} = 0)" for k in range(1, n + 1))
+        logs.append(
+            f"ln(if(m{i}{n} = 0, 100.0D / (pow(2.0D, {unmatched}) * {total}), 100.0D * m{i}{n} / {total}))"
+        )
+    return F.expr(
+        f"if({hyp} < {len(ORDERS)}, 0.0D,"
+        f" exp(least(0.0D, 1.0D - ({ref}) / {hyp}) + ({' + '.join(logs)}) / 4)) as bleu{i}"
+    )
 
 
-def self_bleu(wide: DataFrame, keys: Sequence[str] = ("block",), tokenised: bool = False) -> DataFrame:
+def self_bleu(lines: DataFrame, keys: Sequence[str] = ("block",), text: str = "text") -> DataFrame:
     """``keys, bleu0, bleu1, bleu2``: each member of a triple against the other two.
 
-    All three scores come from one grouping: a gram of a block carries its count in each
-    member, so the clip by the larger reference count is a row expression and no member is
-    paired with another by a join.
+    Takes ``keys, pos, text`` with pos 0, 1, 2; incomplete triples are left out. All three
+    scores come from one grouping: a gram of a triple carries its count in each member, so
+    the clip by the larger reference count is a row expression and no member is paired
+    with another by a join.
     """
     keys = list(keys)
-    make = split_ws if tokenised else tokens_13a
     # The tokens are made after the shuffle, so the sentences travel as they are.
-    spread = wide.select(*keys, *[f"t{i}" for i in SIDES]).repartition(*keys)
-    arrays = spread.select(*keys, *[make(f"t{i}").alias(f"t{i}") for i in SIDES])
-    grams = _gram_rows(arrays, keys, [f"t{i}" for i in SIDES])
-    counts = grams.groupBy(*keys, "n", "gram").agg(*[_side_count(i).alias(f"c{i}") for i in SIDES])
+    placed = spread(lines.select(*keys, "pos", text), *keys)
+    tokens = placed.select(*keys, "pos", tokens_13a(text).alias("__tokens"))
+    grams = tokens.select(*keys, F.inline(_tagged_grams("__tokens", F.col("pos"))))
+    counts = grams.groupBy(*keys, "n", "gram").agg(*_side_counts(len(SIDES)))
 
     def clipped(i: int, n: int) -> Column:
-        others = [F.col(f"c{j}") for j in SIDES if j != i]
-        return F.sum(F.when(F.col("n") == n, F.least(F.col(f"c{i}"), F.greatest(*others))).otherwise(0))
+        others = ", ".join(f"c{j}" for j in SIDES if j != i)
+        return F.expr(f"sum(if(n = {n}, least(c{i}, greatest({others})), 0)) as m{i}{n}")
 
     # Unigram counts add up to the sentence length.
     stats = counts.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("n") == 1, F.col(f"c{i}")).otherwise(0)).alias(f"len{i}") for i in SIDES],
-        *[clipped(i, n).alias(f"m{i}{n}") for i in SIDES for n in ORDERS],
-    )
-    scores = []
-    for i in SIDES:
-        a, b = [F.col(f"len{j}") for j in SIDES if j != i]
-        length = F.col(f"len{i}")
-        scores.append(
-            _library_bleu(length, _closest(length, a, b), [F.col(f"m{i}{n}") for n in ORDERS]).alias(f"bleu{i}")
-        )
-    scored = stats.select(*keys, *scores)
-    # Blocks of three empty sentences have no gram at all and score 0.
-    silent = arrays.filter(" and ".join(f"size(t{i}) = 0" for i in SIDES)).select(
-        *keys, *[F.lit(0.0).alias(f"bleu{i}") for i in SIDES]
+        F.expr("sum(if(n = 0, c0 + c1 + c2, 0)) as members"),
+        *[F.expr(f"sum(if(n = 1, c{i}, 0)) as len{i}") for i in SIDES],
+        *[clipped(i, n) for i in SIDES for n in ORDERS],
     )
-    return scored.unionByName(silent)
+    return stats.filter(f"members = {len(SIDES)}").select(*keys, *[_library_bleu(i) for i in SIDES])
 
 
 def tag_sequences(
-    df: DataFrame, keys: Sequence[str], lexicon: DataFrame, text: str = "text", unknown: str = "X", tagger=None
+    df: DataFrame,
+    keys: Sequence[str],
+    lexicon: DataFrame | None,
+    text: str = "text",
+    unknown: str = "X",
+    tagger=None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """``keys, text``: sentences as their token classes.
 
-    ``lexicon`` is ``token, class`` with unique tokens and a bounded number of rows, or
-    pass ``tagger``, a pandas UDF from sentence to tag sequence.
+    ``lexicon`` is ``token, class, rank`` with unique tokens, ranked by frequency, or pass
+    ``tagger``, a pandas UDF from sentence to tag sequence.
     """
     keys = list(keys)
     if tagger is not None:
         return df.select(*keys, tagger(F.col(text)).alias(text))
-    spread = df.select(*keys, text).repartition(*keys)
-    tokens = spread.select(*keys, F.posexplode_outer(split_ws(text)).alias("__pos", "token"))
-    tagged = dictionary_join(tokens, lexicon, "token", "class").withColumn(
+    placed = spread(df.select(*keys, text), *keys)
+    tokens = placed.select(*keys, F.posexplode_outer(split_ws(text)).alias("__pos", "token"))
+    frequent = F.col("rank") < HEAD_ROWS
+    tagged = dictionary_join(tokens, lexicon, "token", "class", frequent, max_rows).withColumn(
         "class", F.when(F.col("__pos").isNotNull(), F.coalesce("class", F.lit(unknown)))
     )
     ordered = F.array_sort(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", "class"))))
@@ -228,12 +203,10 @@ def tag_sequences(
 
 def diversity_report(scores: DataFrame, *groups: str) -> DataFrame:
     """``n_triples, mean_bleu, mean_std``: means over triples of the mean and the population deviation."""
-    members = [F.col(f"bleu{i}") for i in SIDES]
-    mean = sum(members[1:], members[0]) / 3
-    variance = sum(((m - F.col("__mean")) * (m - F.col("__mean")) for m in members), F.lit(0.0)) / 3
-    per_triple = scores.withColumn("__mean", mean).withColumn("__std", F.sqrt(variance))
-    return per_triple.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n_triples"),
-        F.round(F.avg("__mean"), 2).alias("mean_bleu"),
-        F.round(F.avg("__std"), 2).alias("mean_std"),
+    mean = "((bleu0 + bleu1 + bleu2) / 3)"
+    spread_out = " + ".join(f"(bleu{i} - {mean}) * (bleu{i} - {mean})" for i in SIDES)
+    return scores.groupBy(*groups).agg(
+        F.expr("count(1) as n_triples"),
+        F.expr(f"round(avg({mean}), 2) as mean_bleu"),
+        F.expr(f"round(avg(sqrt(({spread_out}) / 3)), 2) as mean_std"),
     )

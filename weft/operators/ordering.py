@@ -3,8 +3,8 @@
 Three ways to number rows 0, 1, 2, ... in an order, none of which sends all rows through
 one task:
 
-* ``dense_index``: the order is a unique integer id. Ids fall into blocks of 2**16, so a
-  block never holds more than 65,536 rows whatever the distribution.
+* ``dense_index``: the order is a unique integer id. Ids fall into blocks of 2**20, so a
+  block never holds more than 2**20 rows whatever the distribution.
 * ``hashed_index``: the order is an MD5 digest of the key and a seed (a repeatable
   shuffle). Digest prefixes are uniform, so blocks are too.
 * ``ranked``: any total order. A range sort splits hot ranges; the layout is frozen in the
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weft.session import freeze
 
-ROW_BITS = 16
+ROW_BITS = 20
 FAN_BITS = 20
 ID_BITS = 60
 DIGEST_BLOCK_DIGITS = 5
@@ -140,6 +140,6 @@ def split_file_parts(df: DataFrame, part_count: int, rows: int | Column, line_no
     The remainder lines at the end belong to no part and get NULL.
     """
     total = F.lit(rows) if isinstance(rows, int) else rows
-    size = F.floor(total / F.lit(part_count))
-    part = F.floor(F.col(line_no) / F.nullif(size, F.lit(0)))
-    return df.withColumn("part", F.when(part < part_count, part.cast("bigint")))
+    size = F.call_function("div", total, F.lit(part_count))
+    part = F.call_function("div", F.col(line_no), F.nullif(size, F.lit(0).cast("bigint")))
+    return df.withColumn("part", F.when(part < part_count, part))

@@ -1,4 +1,295 @@
-"""placeholder"""
+"""Bracket trees as node and edge tables.
+
+A tree is one line of text. Lines are spread by line number once; every step after that
+is a window inside a line, so the brackets are never shuffled. A tag with its word is one
+token, so the table has about as many rows as the tree has nodes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-def is_valid(cfg):
-    return F.lit(True)
+
+from weft.functions.text import WHITE_SPACE, normalise_brackets
+from weft.operators.ordering import dense_index, running_start
+from weft.operators.vocabulary import HEAD_ROWS, UNKNOWN, build_vocab, dictionary_join, lookup
+from weft.session import freeze, spread
+
+# The wrapper node and the widest node that is expanded.
+ROOT = "ROOT"
+MAX_CHILDREN = 10
+
+_WORD = f"[^{WHITE_SPACE}()]+"
+_BLANK = f"[{WHITE_SPACE}]"
+# A tag with one word, an opening bracket with its label, a closing bracket, a word.
+_TOKEN = rf"\({_BLANK}*{_WORD}{_BLANK}+{_WORD}{_BLANK}*\)|\({_BLANK}*(?:{_WORD})?|\)|{_WORD}"
+_LABEL = rf"^\({_BLANK}*({_WORD})?"
+
+
+def _tokens(cfg: Column | str) -> Column:
+    return F.regexp_extract_all(normalise_brackets(cfg), F.lit(_TOKEN), F.lit(0))
+
+
+def is_valid(cfg: Column | str) -> Column:
+    """True for one balanced tree with at least one word and nothing outside of it."""
+    checked = F.aggregate(
+        _tokens(cfg),
+        F.expr("named_struct('depth', 0, 'tops', 0, 'words', 0, 'ok', true)"),
+        lambda s, t: F.struct(
+            (
+                s["depth"]
+                + F.when(t == ")", -1).when(F.startswith(t, F.lit("(")) & ~F.endswith(t, F.lit(")")), 1).otherwise(0)
+            ).alias("depth"),
+            (s["tops"] + F.when((s["depth"] == 0) & F.startswith(t, F.lit("(")), 1).otherwise(0)).alias("tops"),
+            (
+                s["words"]
+                + F.when((t != ")") & (F.endswith(t, F.lit(")")) | ~F.startswith(t, F.lit("("))), 1).otherwise(0)
+            ).alias("words"),
+            (s["ok"] & ((s["depth"] > 0) | (F.startswith(t, F.lit("(")) & (s["tops"] == 0)))).alias("ok"),
+        ),
+        lambda s: s["ok"] & (s["depth"] == 0) & (s["tops"] == 1) & (s["words"] > 0),
+    )
+    return F.coalesce(checked, F.lit(False))
+
+
+def rejects(trees: DataFrame, cfg: str = "cfg") -> DataFrame:
+    """The rows whose tree cannot be used."""
+    return trees.filter(~is_valid(cfg))
+
+
+def brackets(trees: DataFrame, line_no: str = "line_no", cfg: str = "cfg") -> DataFrame:
+    """The nodes of all valid trees, in their places.
+
+    ``line_no, at, until``: first and last token of the node; ``level`` from 1, ``label``,
+    ``parent_at``, ``parent_label``, ``child_no`` from 1 (words count too); then, about the
+    children of the parent together: ``n_children``, ``deeper`` (one of them starts with a
+    node) and ``node_first`` (the first of them is a node).
+    """
+    placed = spread(trees.filter(is_valid(cfg)).select(line_no, cfg), line_no)
+    tokens = placed.select(line_no, F.posexplode(_tokens(cfg)).alias("at", "token"))
+    in_line = Window.partitionBy(line_no).orderBy("at")
+    kinds = tokens.withColumn(
+        "kind",
+        F.expr(
+            "case when token = ')' then 'close' when not startswith(token, '(') then 'word'"
+            " when endswith(token, ')') then 'leaf' else 'open' end"
+        ),
+    )
+    levels = (
+        kinds.withColumn("starts_node", (F.col("kind") == "open") & F.startswith(F.lead("token").over(in_line), F.lit("(")))
+        .withColumn("depth", F.sum(F.expr("case kind when 'open' then 1 when 'close' then -1 else 0 end")).over(in_line))
+        .withColumn("level", F.expr("if(kind = 'open', depth, depth + 1)"))
+        .withColumn("label", F.when(F.col("kind").isin("open", "leaf"), F.regexp_extract("token", _LABEL, 1)))
+    )
+    # An opening bracket shows up twice: as a node of its level and as the parent of the next.
+    doubled = levels.select(
+        line_no,
+        "at",
+        "kind",
+        "label",
+        "starts_node",
+        F.explode(F.expr("if(kind = 'open', array(level, level + 1), array(level))")).alias("lane"),
+        "level",
+    ).withColumn("is_parent", F.col("lane") > F.col("level"))
+    in_lane = Window.partitionBy(line_no, "lane").orderBy("at")
+    linked = (
+        doubled.withColumn("parent_at", F.last(F.expr("if(is_parent, at, null)"), True).over(in_lane))
+        .withColumn("parent_label", F.last(F.expr("if(is_parent, label, null)"), True).over(in_lane))
+        # Nothing stands between a bracket and its closing one in their own lane.
+        .withColumn("until", F.when(F.col("kind") == "open", F.lead("at").over(in_lane)).otherwise(F.col("at")))
+        .filter("not is_parent and kind <> 'close'")
+    )
+    siblings = Window.partitionBy(line_no, "parent_at")
+    return (
+        linked.withColumn("child_no", F.row_number().over(siblings.orderBy("at")))
+        .withColumn("n_children", F.count(F.lit(1)).over(siblings))
+        .withColumn("deeper", F.max("starts_node").over(siblings))
+        .withColumn("node_first", F.max(F.expr("child_no = 1 and kind <> 'word'")).over(siblings))
+        .filter("kind <> 'word'")
+        .select(
+            line_no, "at", "until", "level", "label", "parent_at", "parent_label",
+            "child_no", "n_children", "deeper", "node_first",
+        )
+    )
+
+
+def bracket_table(trees: DataFrame, line_no: str = "line_no", cfg: str = "cfg") -> DataFrame:
+    """``line_no, node_no, level, label, parent_no, child_no``: all nodes in pre-order."""
+    found = brackets(trees, line_no, cfg)
+    numbered = found.withColumn("node_no", F.row_number().over(Window.partitionBy(line_no).orderBy("at")) - 1)
+    return _parent_id(numbered, line_no, "node_no", "parent_no").select(
+        line_no, "node_no", "level", "label", "parent_no", "child_no"
+    )
+
+
+def _parent_id(numbered: DataFrame, line_no: str, node_id: str, out: str) -> DataFrame:
+    """Add the id of the parent, which shares a window with its children."""
+    both = numbered.withColumn(
+        "__key", F.explode(F.expr("if(parent_at is null, array(at), array(at, parent_at))"))
+    )
+    family = Window.partitionBy(line_no, "__key")
+    own = F.col("__key") == F.col("at")
+    return (
+        both.withColumn(out, F.max(F.when(own, F.col(node_id))).over(family))
+        .filter(~own | F.col("parent_at").isNull())
+        .withColumn(out, F.when(F.col("parent_at").isNotNull(), F.col(out)))
+        .drop("__key")
+    )
+
+
+def nodes(
+    trees: DataFrame,
+    depth_limit: int = 0,
+    max_children: int = MAX_CHILDREN,
+    line_no: str = "line_no",
+    cfg: str = "cfg",
+) -> DataFrame:
+    """Node table: ``line_no, node_id, parent_id, depth, pos, mask, enc_label, dec_label, y``.
+
+    A ROOT node with one child node is skipped. The children of a node are dropped, with
+    all below them, if there are more than ``max_children``, if the node is at
+    ``depth_limit`` (0 for none), or if no child starts with a node. Ids are pre-order.
+    """
+    found = brackets(trees, line_no, cfg)
+    line = Window.partitionBy(line_no)
+    wrapped = F.max(F.expr(f"level = 2 and n_children = 1 and parent_label = '{ROOT}'")).over(line)
+    rooted = (
+        found.withColumn("top", F.when(wrapped, 2).otherwise(1))
+        .filter("level >= top")
+        .withColumn("depth", F.expr("int(level - top)"))
+        .withColumn("parent_at", F.expr("if(depth = 0, null, parent_at)"))
+    )
+    deep = f"and depth - 1 < {depth_limit}" if depth_limit > 0 else ""
+    allowed = f"depth = 0 or (n_children <= {max_children} and deeper and node_first {deep})"
+    so_far = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A node is gone if a dropped node before it, or itself, reaches as far as here.
+    kept = rooted.withColumn("dropped_to", F.max(F.expr(f"if({allowed}, null, until)")).over(so_far)).filter(
+        "dropped_to is null or dropped_to < at"
+    )
+    numbered = kept.withColumn("node_id", F.row_number().over(line.orderBy("at")) - 1)
+    return _parent_id(numbered, line_no, "node_id", "parent_id").select(
+        line_no,
+        "node_id",
+        "parent_id",
+        "depth",
+        F.expr("if(depth = 0, 0, child_no - 1) as pos"),
+        F.expr("if(depth = 0, 1, 0) as mask"),
+        F.expr("concat(label, '_1') as enc_label"),
+        F.expr(f"if(depth = 0, '{ROOT}_1', concat(parent_label, '_', child_no)) as dec_label"),
+        F.expr("concat(label, '_1') as y"),
+    )
+
+
+def edges(node_table: DataFrame, line_no: str = "line_no") -> DataFrame:
+    """``line_no, graph, src, dst``: child to parent for ``enc``, parent to child for ``dec``."""
+    inner = node_table.filter("parent_id is not null")
+    return inner.select(
+        line_no,
+        F.inline(
+            F.expr(
+                "array(named_struct('graph', 'enc', 'src', node_id, 'dst', parent_id),"
+                " named_struct('graph', 'dec', 'src', parent_id, 'dst', node_id))"
+            )
+        ),
+    )
+
+
+def label_vocab(node_table: DataFrame) -> DataFrame:
+    """Vocabulary of the node labels, both kinds."""
+    return build_vocab(node_table.select(F.explode(F.array("enc_label", "dec_label")).alias("token")))
+
+
+def encode_labels(
+    node_table: DataFrame, vocab: DataFrame, max_rows: int | None = None, unknown: str = UNKNOWN
+) -> DataFrame:
+    """Add ``enc_x, dec_x, y_id``: the ids of the labels."""
+    table = lookup(vocab)
+    unk = vocab.filter(F.col("token") == unknown).agg(F.max("id")).scalar()
+    if max_rows is None:
+        max_rows = table.limit(HEAD_ROWS + 1).count()
+    coded = node_table
+    for label, out in (("enc_label", "enc_x"), ("dec_label", "dec_x")):
+        named = table.select(F.col("token").alias(label), F.col("id").alias(out))
+        coded = dictionary_join(coded, named, label, out, F.col(out) < HEAD_ROWS, max_rows).withColumn(
+            out, F.coalesce(out, unk)
+        )
+    return coded.withColumn("y_id", F.col("enc_x"))
+
+
+def roll_up(
+    node_table: DataFrame,
+    own: dict[str, Column],
+    gather: dict[str, Callable[[str], Column]],
+    merge: dict[str, Column],
+    max_depth: int | None = None,
+    line_no: str = "line_no",
+) -> DataFrame:
+    """Bottom-up: every node combines the states of its children.
+
+    ``own`` gives a node's state before its children are seen, ``gather`` aggregates a
+    state column over the children into ``child_<name>``, ``merge`` makes the state from
+    both (``child_<name>`` is NULL for a leaf). One grouping and join per level; the
+    number of levels is the depth of the deepest tree.
+    """
+    base = freeze(node_table)
+    if max_depth is None:
+        max_depth = base.agg(F.max("depth")).first()[0] or 0
+    levels = []
+    below = None
+    for depth in range(max_depth, -1, -1):
+        here = base.filter(F.col("depth") == depth).withColumns(own)
+        if below is None:
+            here = here.withColumns({f"child_{name}": F.lit(None).cast("bigint") for name in gather})
+        else:
+            sent = below.groupBy(line_no, F.col("parent_id").alias("node_id")).agg(
+                *[agg(name).alias(f"child_{name}") for name, agg in gather.items()]
+            )
+            here = here.join(sent, [line_no, "node_id"], "left")
+        below = here.withColumns(merge).drop(*[f"child_{name}" for name in gather])
+        levels.append(below)
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every
+
+
+def pass_down(
+    node_table: DataFrame,
+    root: dict[str, Column],
+    step: dict[str, Column],
+    max_depth: int | None = None,
+    line_no: str = "line_no",
+) -> DataFrame:
+    """Top-down: every node makes its state from its parent's, seen as ``parent_<name>``."""
+    base = freeze(node_table)
+    if max_depth is None:
+        max_depth = base.agg(F.max("depth")).first()[0] or 0
+    above = base.filter("depth = 0").withColumns(root)
+    every = above
+    for depth in range(1, max_depth + 1):
+        states = above.select(
+            line_no, F.col("node_id").alias("parent_id"), *[F.col(name).alias(f"parent_{name}") for name in root]
+        )
+        here = base.filter(F.col("depth") == depth).join(states, [line_no, "parent_id"])
+        above = here.withColumns(step).drop(*[f"parent_{name}" for name in root])
+        every = every.unionByName(above)
+    return every
+
+
+def forest(node_table: DataFrame, batch_size: int, line_no: str = "line_no") -> DataFrame:
+    """Add ``batch_id, forest_id``: trees in batches, node ids shifted to be unique in a batch."""
+    sizes = node_table.groupBy(line_no).agg(F.count(F.lit(1)).alias("__n"))
+    placed = dense_index(sizes, line_no, "__row").withColumn(
+        "batch_id", F.call_function("div", F.col("__row"), F.lit(batch_size))
+    )
+    before = Window.partitionBy("batch_id").orderBy(line_no).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = placed.select(
+        line_no, "batch_id", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("bigint")).alias("__shift")
+    )
+    return (
+        node_table.join(shifts, line_no)
+        .withColumn("forest_id", F.col("__shift") + F.col("node_id"))
+        .drop("__shift")
+    )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators.ordering import ranked
+from weft.session import freeze, spread
 
 # Reserved tokens, in id order.
 SPECIALS = ["<null>", "<s>", "</s>", "UNK"]
@@ -64,11 +65,18 @@ def build_vocab(
         raise ValueError(f"limit {limit} leaves no room for {len(specials)} reserved tokens")
     if not order:
         raise ValueError("a limit needs the columns of the corpus order")
-    counted = tokens.groupBy("token").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min(F.struct(*order)).alias("__first")
+    keep = limit - len(specials)
+    counts = freeze(token_counts(tokens))
+    cut = counts.orderBy(F.col("cnt").desc()).limit(keep).agg(F.min("cnt")).scalar()
+    # Where a token first occurs matters only among those with the count at the cut.
+    tied = tokens.join(counts.filter(F.col("cnt") == cut), "token", "left_semi")
+    firsts = tied.groupBy("token").agg(F.min(F.struct(*order)).alias("__first"))
+    kept = (
+        counts.filter(F.col("cnt") >= cut)
+        .join(firsts, "token", "left")
+        .orderBy(F.col("cnt").desc(), F.col("__first"))
+        .limit(keep)
     )
-    # Each task keeps its best rows only; their number is the vocabulary size asked for.
-    kept = counted.orderBy(F.col("cnt").desc(), F.col("__first")).limit(limit - len(specials))
     return _with_ids(kept, specials)
 
 
@@ -108,14 +116,19 @@ def dictionary_join(
     dictionary: DataFrame,
     key: str,
     value: str,
-    head: Column | None = None,
+    head: Column,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Left join of ``rows`` to a dictionary with unique ``key``; NULL on a miss.
 
-    ``head`` selects at most ``HEAD_ROWS`` rows that are looked up most. Without it the
-    dictionary itself must be that small.
+    ``head`` selects at most ``HEAD_ROWS`` entries that are looked up most. ``max_rows`` is
+    a known bound of the dictionary size; without one the entries are counted, up to the
+    bound. A dictionary within the bound is broadcast whole. Beyond it only the head is,
+    and what the head misses is shuffled to the rest.
     """
-    if head is None:
+    if max_rows is None:
+        max_rows = dictionary.limit(HEAD_ROWS + 1).count()
+    if max_rows <= HEAD_ROWS:
         return rows.join(F.broadcast(dictionary), key, "left")
     first = rows.join(F.broadcast(dictionary.filter(head)), key, "left")
     found = first.filter(F.col(value).isNotNull())
@@ -144,12 +157,12 @@ def encode(
     ``HEAD_ROWS`` rows. ``max_rows`` is a known bound of the vocabulary size, if there is one.
     """
     keys = list(keys)
-    spread = df.select(*keys, tokens).repartition(*keys)
-    unnested = spread.select(*keys, F.posexplode_outer(tokens).alias("__pos", "token"))
+    placed = spread(df.select(*keys, tokens), *keys)
+    unnested = placed.select(*keys, F.posexplode_outer(tokens).alias("__pos", "token"))
     table = lookup(vocab)
     unk = vocab.filter(F.col("token") == unknown).agg(F.max("id")).scalar()
-    head = None if max_rows is not None and max_rows <= HEAD_ROWS else F.col("id") < HEAD_ROWS
-    coded = dictionary_join(unnested, table, "token", "id", head).withColumn(
+    frequent_ids = F.col("id") < HEAD_ROWS
+    coded = dictionary_join(unnested, table, "token", "id", frequent_ids, max_rows).withColumn(
         "id", F.when(F.col("__pos").isNotNull(), F.coalesce("id", unk))
     )
     return coded.groupBy(*keys).agg(_ordered("id", "__pos").alias(ids)).withColumn(
@@ -168,11 +181,11 @@ def decode(
 ) -> DataFrame:
     """``keys, tokens``: id arrays as arrays of tokens; ids outside the table give ``unknown``."""
     keys = list(keys)
-    spread = df.select(*keys, ids).repartition(*keys)
-    unnested = spread.select(*keys, F.posexplode_outer(ids).alias("__pos", "id"))
+    placed = spread(df.select(*keys, ids), *keys)
+    unnested = placed.select(*keys, F.posexplode_outer(ids).alias("__pos", "id"))
     table = vocab.select("id", "token")
-    head = None if max_rows is not None and max_rows <= HEAD_ROWS else F.col("id") < HEAD_ROWS
-    named = dictionary_join(unnested, table, "id", "token", head).withColumn(
+    frequent_ids = F.col("id") < HEAD_ROWS
+    named = dictionary_join(unnested, table, "id", "token", frequent_ids, max_rows).withColumn(
         "token", F.when(F.col("__pos").isNotNull(), F.coalesce("token", F.lit(unknown)))
     )
     return named.groupBy(*keys).agg(_ordered("token", "__pos").alias(tokens)).withColumn(

@@ -44,3 +44,12 @@ def freeze(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+
+    For rows that grow many times after the shuffle (text into n-grams): a fixed number
+    keeps the partitions apart that adaptive coalescing would merge by their size before.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
