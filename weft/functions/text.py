@@ -19,6 +19,8 @@ WHITE_SPACE = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# The same set inside a regular expression that starts with (?U); much faster than a list.
+SPACE_CLASS = r"\s\x1c-\x1f"
 
 
 def _col(c: Column | str) -> Column:
@@ -37,7 +39,7 @@ def split_space(c: Column | str) -> Column:
 
 def split_ws(c: Column | str) -> Column:
     """Tokens between runs of white space; never empty ones."""
-    return F.filter(F.split(_col(c), f"[{WHITE_SPACE}]+", -1), lambda token: token != "")
+    return F.filter(F.split(_col(c), f"(?U)[{SPACE_CLASS}]+", -1), lambda token: token != "")
 
 
 def split_chars(c: Column | str) -> Column:
@@ -75,9 +77,9 @@ def split_code(c: Column | str) -> Column:
 
 def normalise_brackets(c: Column | str) -> Column:
     """Write ``(x)`` as ``(x x)`` for one character and ``(tag word more)`` as ``(tag word)``."""
-    word = f"[^{WHITE_SPACE}()]+"
+    word = f"[^{SPACE_CLASS}()]+"
     doubled = F.regexp_replace(strip(c), r"(?d)\((.)\)", "($1 $1)")
-    return F.regexp_replace(doubled, rf"\(({word}) ({word}) {word}\)", "($1 $2)")
+    return F.regexp_replace(doubled, rf"(?U)\(({word}) ({word}) {word}\)", "($1 $2)")
 
 
 def wrap(tokens: Column | str) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import WHITE_SPACE, normalise_brackets
+from weft.functions.text import SPACE_CLASS, normalise_brackets
 from weft.operators.ordering import dense_index, running_start
 from weft.operators.vocabulary import HEAD_ROWS, UNKNOWN, build_vocab, dictionary_join, lookup
 from weft.session import freeze, spread
@@ -21,11 +21,11 @@ from weft.session import freeze, spread
 ROOT = "ROOT"
 MAX_CHILDREN = 10
 
-_WORD = f"[^{WHITE_SPACE}()]+"
-_BLANK = f"[{WHITE_SPACE}]"
+_WORD = f"[^{SPACE_CLASS}()]+"
+_BLANK = f"[{SPACE_CLASS}]"
 # A tag with one word, an opening bracket with its label, a closing bracket, a word.
-_TOKEN = rf"\({_BLANK}*{_WORD}{_BLANK}+{_WORD}{_BLANK}*\)|\({_BLANK}*(?:{_WORD})?|\)|{_WORD}"
-_LABEL = rf"^\({_BLANK}*({_WORD})?"
+_TOKEN = rf"(?U)\({_BLANK}*{_WORD}{_BLANK}+{_WORD}{_BLANK}*\)|\({_BLANK}*(?:{_WORD})?|\)|{_WORD}"
+_LABEL = rf"(?U)^\({_BLANK}*({_WORD})?"
 
 
 def _tokens(cfg: Column | str) -> Column:
@@ -65,54 +65,83 @@ def brackets(trees: DataFrame, line_no: str = "line_no", cfg: str = "cfg") -> Da
     ``line_no, at, until``: first and last token of the node; ``level`` from 1, ``label``,
     ``parent_at``, ``parent_label``, ``child_no`` from 1 (words count too); then, about the
     children of the parent together: ``n_children``, ``deeper`` (one of them starts with a
-    node) and ``node_first`` (the first of them is a node).
+    node) and ``node_first`` (the first of them is a node); and ``wrapped`` (the tree is a
+    ROOT node around one other node).
     """
-    placed = spread(trees.filter(is_valid(cfg)).select(line_no, cfg), line_no)
-    tokens = placed.select(line_no, F.posexplode(_tokens(cfg)).alias("at", "token"))
-    in_line = Window.partitionBy(line_no).orderBy("at")
-    kinds = tokens.withColumn(
-        "kind",
+    placed = spread(trees.select(line_no, cfg), line_no)
+    tokens = placed.select(line_no, F.posexplode(_tokens(cfg)).alias("at", "token")).select(
+        line_no,
+        "at",
         F.expr(
             "case when token = ')' then 'close' when not startswith(token, '(') then 'word'"
-            " when endswith(token, ')') then 'leaf' else 'open' end"
+            " when endswith(token, ')') then 'leaf' else 'open' end as kind"
         ),
+        F.when(F.startswith("token", F.lit("(")), F.regexp_extract("token", _LABEL, 1)).alias("label"),
     )
-    levels = (
-        kinds.withColumn("starts_node", (F.col("kind") == "open") & F.startswith(F.lead("token").over(in_line), F.lit("(")))
-        .withColumn("depth", F.sum(F.expr("case kind when 'open' then 1 when 'close' then -1 else 0 end")).over(in_line))
-        .withColumn("level", F.expr("if(kind = 'open', depth, depth + 1)"))
-        .withColumn("label", F.when(F.col("kind").isin("open", "leaf"), F.regexp_extract("token", _LABEL, 1)))
+    in_line = Window.partitionBy(line_no).orderBy("at")
+    whole_line = in_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    levels = tokens.select(
+        "*",
+        F.expr(f"kind = 'open' and lead(kind) over (partition by {line_no} order by at) in ('open', 'leaf')").alias(
+            "starts_node"
+        ),
+        F.sum(F.expr("case kind when 'open' then 1 when 'close' then -1 else 0 end"))
+        .over(in_line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        .alias("depth"),
+    ).withColumn("level", F.expr("if(kind = 'open', depth, depth + 1)"))
+    # Balanced, one tree and nothing outside of it, at least one word; all per line.
+    checked = (
+        levels.select(
+            "*",
+            F.min("depth").over(whole_line).alias("lowest"),
+            F.last("depth").over(whole_line).alias("final"),
+            F.count(F.expr("if(level = 1 and kind <> 'close', 1, null)")).over(whole_line).alias("tops"),
+            F.count(F.expr("if(level = 1 and kind = 'word', 1, null)")).over(whole_line).alias("strays"),
+            F.count(F.expr("if(kind in ('word', 'leaf'), 1, null)")).over(whole_line).alias("words"),
+            F.count(F.expr("if(level = 2 and kind <> 'close', 1, null)")).over(whole_line).alias("seconds"),
+            F.count(F.expr("if(level = 2 and kind in ('open', 'leaf'), 1, null)")).over(whole_line).alias("inner"),
+            F.first("label").over(whole_line).alias("top_label"),
+        )
+        .filter("lowest >= 0 and final = 0 and tops = 1 and strays = 0 and words > 0")
+        .withColumn("wrapped", F.expr(f"seconds = 1 and inner = 1 and top_label = '{ROOT}'"))
     )
     # An opening bracket shows up twice: as a node of its level and as the parent of the next.
-    doubled = levels.select(
+    doubled = checked.select(
         line_no,
         "at",
         "kind",
         "label",
         "starts_node",
-        F.explode(F.expr("if(kind = 'open', array(level, level + 1), array(level))")).alias("lane"),
         "level",
-    ).withColumn("is_parent", F.col("lane") > F.col("level"))
+        "wrapped",
+        F.explode(F.expr("if(kind = 'open', array(level, level + 1), array(level))")).alias("lane"),
+    )
     in_lane = Window.partitionBy(line_no, "lane").orderBy("at")
-    linked = (
-        doubled.withColumn("parent_at", F.last(F.expr("if(is_parent, at, null)"), True).over(in_lane))
-        .withColumn("parent_label", F.last(F.expr("if(is_parent, label, null)"), True).over(in_lane))
+    to_here = in_lane.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    linked = doubled.select(
+        "*",
+        F.last(F.expr("if(lane > level, at, null)"), True).over(to_here).alias("parent_at"),
+        F.last(F.expr("if(lane > level, label, null)"), True).over(to_here).alias("parent_label"),
         # Nothing stands between a bracket and its closing one in their own lane.
-        .withColumn("until", F.when(F.col("kind") == "open", F.lead("at").over(in_lane)).otherwise(F.col("at")))
-        .filter("not is_parent and kind <> 'close'")
-    )
-    siblings = Window.partitionBy(line_no, "parent_at")
-    return (
-        linked.withColumn("child_no", F.row_number().over(siblings.orderBy("at")))
-        .withColumn("n_children", F.count(F.lit(1)).over(siblings))
-        .withColumn("deeper", F.max("starts_node").over(siblings))
-        .withColumn("node_first", F.max(F.expr("child_no = 1 and kind <> 'word'")).over(siblings))
-        .filter("kind <> 'word'")
-        .select(
-            line_no, "at", "until", "level", "label", "parent_at", "parent_label",
-            "child_no", "n_children", "deeper", "node_first",
-        )
-    )
+        F.lead("at").over(in_lane).alias("next_at"),
+    ).filter("lane = level and kind <> 'close'")
+    siblings = Window.partitionBy(line_no, "parent_at").orderBy("at")
+    family = siblings.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return linked.select(
+        line_no,
+        "at",
+        F.expr("if(kind = 'open', next_at, at) as until"),
+        "kind",
+        "level",
+        "label",
+        "parent_at",
+        "parent_label",
+        "wrapped",
+        F.row_number().over(siblings).alias("child_no"),
+        F.count(F.lit(1)).over(family).alias("n_children"),
+        F.max("starts_node").over(family).alias("deeper"),
+        (F.first("kind").over(family) != "word").alias("node_first"),
+    ).filter("kind <> 'word'")
 
 
 def bracket_table(trees: DataFrame, line_no: str = "line_no", cfg: str = "cfg") -> DataFrame:
@@ -154,9 +183,8 @@ def nodes(
     """
     found = brackets(trees, line_no, cfg)
     line = Window.partitionBy(line_no)
-    wrapped = F.max(F.expr(f"level = 2 and n_children = 1 and parent_label = '{ROOT}'")).over(line)
     rooted = (
-        found.withColumn("top", F.when(wrapped, 2).otherwise(1))
+        found.withColumn("top", F.expr("if(wrapped, 2, 1)"))
         .filter("level >= top")
         .withColumn("depth", F.expr("int(level - top)"))
         .withColumn("parent_at", F.expr("if(depth = 0, null, parent_at)"))
