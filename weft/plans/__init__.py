@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.plans import alignment, bleu, selection, trees, vocabulary
+from weft.plans import alignment, bleu, datasets, metrics, selection, trees, vocabulary
 
-FAMILIES = [selection, vocabulary, alignment, bleu, trees]
+FAMILIES = [selection, vocabulary, alignment, bleu, trees, datasets, metrics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
