@@ -181,6 +181,7 @@ def normalise(c: Column | str, lang: Column | str) -> Column:
     text = F.regexp_replace(text, r"\(", " (")
     text = F.regexp_replace(text, r"\)", ") ")
     text = F.regexp_replace(text, r" +", " ")
+    text = F.regexp_replace(text, r"\) ([.!:?;,])", ")$1")
     text = F.regexp_replace(text, r"\( ", "(")
     text = F.regexp_replace(text, r" \)", ")")
     text = F.regexp_replace(text, r" ([:;,?!])", "$1")

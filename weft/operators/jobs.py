@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.text import normalise, split_ws, tokenise
-from weft.operators import alignment, casing, subwords
+from weft.functions.text import normalise, split_ws, strip, tokenise, wrap
+from weft.functions.vectors import binarise, pack_bits
+from weft.operators import alignment, batching, bleu, casing, selection, subwords, trees
 from weft.operators.vocabulary import DECODER_SPECIALS, build_vocab, token_counts
 from weft.session import freeze
+from weft.sources import corpus, sinks
 
 
 @dataclass
@@ -67,3 +69,103 @@ def prepare_pairs(
         for side in ("src", "tgt")
     )
     return PreparedCorpus(src.join(tgt, keys), learnt, pieces, vocab)
+
+
+def select_diverse(spark: SparkSession, path: str, out: str | None = None, k: int = 3) -> DataFrame:
+    """n-best file to code-diverse triples ``block_no, pos, code, sent, n_kept``; written if asked.
+
+    Blocks are runs of equal ids, so an id that comes back later starts a new block.
+    """
+    candidates = selection.blocks_by_run(corpus.read_nbest(spark, path), "block", "rank")
+    kept = selection.diverse_top(candidates, k, block="block_no")
+    if out is not None:
+        sinks.write_triples(kept, out, "block_no")
+    return kept
+
+
+def export_codes(
+    sources: DataFrame, tree_lines: DataFrame, vectors: DataFrame, bits: int = 8, max_tokens: int = 60
+) -> DataFrame:
+    """``line_no, src, cfg, code``: lines with a valid tree and a short source, coded by their vector.
+
+    Files of unequal length are an error. ``vectors`` is ``line_no, vec``.
+    """
+    aligned = alignment.strict_zip(sources, tree_lines).select(
+        "line_no", strip("src").alias("src"), strip("cfg").alias("cfg")
+    )
+    kept = alignment.token_cap(aligned.withColumn("__tokens", split_ws("src")), "__tokens", max_tokens).filter(
+        trees.is_valid("cfg")
+    )
+    return kept.join(vectors, "line_no").select(
+        "line_no", "src", "cfg", pack_bits(binarise("vec", bits)).cast("string").alias("code")
+    )
+
+
+@dataclass
+class Diversity:
+    """Report per kind, and the tables behind it."""
+
+    report: DataFrame
+    lines: DataFrame
+    words: DataFrame
+    tags: DataFrame
+
+
+def diversity(
+    lines: DataFrame, sample_size: int, lexicon: DataFrame | None = None, tagger=None, out: str | None = None
+) -> Diversity:
+    """Self-BLEU of a sample of triples, over words and over token classes.
+
+    ``lines`` is ``line_no, text``, three lines per triple. Only sampled lines are scored;
+    the sample meets the corpus in a broadcast semi-join, at most ``sample_size`` blocks.
+    """
+    blocks = bleu.triples(lines, text="text")
+    chosen = bleu.sample_blocks(blocks.filter("pos = 2"), sample_size)
+    sampled = blocks.join(F.broadcast(chosen), "block", "left_semi").withColumn("text", strip("text"))
+    tagged = bleu.tag_sequences(sampled, ["block", "pos"], lexicon, tagger=tagger)
+    words, tags = bleu.self_bleu(sampled), bleu.self_bleu(tagged)
+    report = bleu.diversity_report(
+        words.withColumn("kind", F.lit("words")).unionByName(tags.withColumn("kind", F.lit("tags"))), "kind"
+    )
+    result = Diversity(report, bleu.sample_lines(chosen), words, tags)
+    if out is not None:
+        sinks.write_metrics(out, result.lines, words, tags)
+    return result
+
+
+def training_data(
+    pairs: DataFrame,
+    max_length: int = 60,
+    n_valid: int = 1000,
+    batch_size: int = 64,
+    batch_type: str = "sentence",
+    truncate: int | None = None,
+    seed: int | str = 3,
+) -> DataFrame:
+    """``line_no, src, tgt, idx, split, batch_id`` of aligned pairs ``line_no, src, tgt``.
+
+    Wrapped tokens, length filter, truncation, shuffle, split, batches. In ``token`` mode
+    the batch size is a token budget and the training part is not rounded.
+    """
+    wrapped = pairs.select("line_no", *[wrap(split_ws(side)).alias(side) for side in ("src", "tgt")])
+    kept = alignment.truncate(alignment.length_filter(wrapped, "src", "tgt", max_length), truncate)
+    whole = batch_size if batch_type == "sentence" else None
+    placed = batching.train_valid_split(kept, ["line_no"], n_valid, whole, seed)
+    in_split = F.when(F.col("split") == "valid", F.col("idx")).otherwise(F.col("idx") - n_valid)
+    numbered = placed.withColumn("in_split", in_split)
+    if batch_type == "sentence":
+        batched = batching.fixed_batches(numbered, batch_size, "in_split").drop("pos_in_batch")
+        return batching.order_in_batch(
+            batched.withColumn("__len", F.size("src")).withColumn("__batch", F.concat("split", "batch_id")),
+            "__len",
+            "__batch",
+        ).drop("__len", "__batch")
+    parts = []
+    for split in ("valid", "train"):
+        rows = numbered.filter(F.col("split") == split)
+        lengths = rows.select("in_split", F.size("src").alias("n_src"), F.size("tgt").alias("n_tgt"))
+        found = batching.token_batches(lengths, batch_size, line_no="in_split").select(
+            "in_split", F.struct("shard_id", "batch_no").alias("batch_id")
+        )
+        parts.append(rows.join(found, "in_split"))
+    return parts[0].unionByName(parts[1])
