@@ -140,9 +140,9 @@ def tokens_13a(c: Column | str, lowercase: bool = True) -> Column:
     return split_ws(text)
 
 
-# Typographic characters and their plain forms (public punctuation rules).
-PLAIN_PUNCTUATION = [
-    ("\r", ""),
+# Typographic characters and their plain forms (public punctuation rules),
+# first those of one character each, then the others.
+PLAIN_CHARACTERS = [
     ("\u00a0", " "),
     ("„", '"'),
     ("“", '"'),
@@ -152,11 +152,16 @@ PLAIN_PUNCTUATION = [
     ("‘", "'"),
     ("’", "'"),
     ("‚", "'"),
+    ("–", "-"),
+]
+PLAIN_PUNCTUATION = [
+    ("\r", ""),
     ("``", '"'),
     ("''", '"'),
-    ("–", "-"),
     ("—", " - "),
     ("…", "..."),
+    ("(", " ("),
+    (")", ") "),
 ]
 # Languages that write the decimal sign as a comma, and that elide before a noun.
 DECIMAL_COMMA = ["de", "es", "fr"]
@@ -166,8 +171,8 @@ ELIDING = ["fr"]
 def normalise(c: Column | str, lang: Column | str) -> Column:
     """Plain punctuation: quotes, dashes, dots and spaces, with rules chosen by language.
 
-    A documented subset of the public rules: the replacements of ``PLAIN_PUNCTUATION``,
-    the space between two digits (decimal sign of the language), the order of a closing
+    A documented subset of the public rules: the replacements of the lists
+    above, the space between two digits (decimal sign of the language), the order of a closing
     quote and a comma or full stop (English), blanks next to brackets and before marks.
     """
     text, lang = _col(c), _col(lang)
@@ -176,14 +181,12 @@ def normalise(c: Column | str, lang: Column | str) -> Column:
         F.lit("([0-9])\u00a0([0-9])"),
         F.when(lang.isin(DECIMAL_COMMA), F.lit("$1,$2")).otherwise(F.lit("$1.$2")),
     )
+    text = F.translate(text, "".join(a for a, _ in PLAIN_CHARACTERS), "".join(b for _, b in PLAIN_CHARACTERS))
     for mark, plain in PLAIN_PUNCTUATION:
         text = F.replace(text, F.lit(mark), F.lit(plain))
-    text = F.regexp_replace(text, r"\(", " (")
-    text = F.regexp_replace(text, r"\)", ") ")
     text = F.regexp_replace(text, r" +", " ")
     text = F.regexp_replace(text, r"\) ([.!:?;,])", ")$1")
-    text = F.regexp_replace(text, r"\( ", "(")
-    text = F.regexp_replace(text, r" \)", ")")
+    text = F.replace(F.replace(text, F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
     text = F.regexp_replace(text, r" ([:;,?!])", "$1")
     text = F.when(lang == "en", F.regexp_replace(text, r'"([,.]+)', '$1"')).otherwise(text)
     return F.trim(text)

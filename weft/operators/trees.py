@@ -20,6 +20,8 @@ from weft.session import freeze, spread
 # The wrapper node and the widest node that is expanded.
 ROOT = "ROOT"
 MAX_CHILDREN = 10
+# Levels of a roll-up between two writes to the checkpoint folder.
+LEVELS_PER_FREEZE = 8
 
 _WORD = f"[^{SPACE_CLASS}()]+"
 _BLANK = f"[{SPACE_CLASS}]"
@@ -276,6 +278,8 @@ def roll_up(
             )
             here = here.join(sent, [line_no, "node_id"], "left")
         below = here.withColumns(merge).drop(*[f"child_{name}" for name in gather])
+        if (max_depth - depth) % LEVELS_PER_FREEZE == LEVELS_PER_FREEZE - 1:
+            below = freeze(below)
         levels.append(below)
     every = levels[0]
     for level in levels[1:]:
@@ -302,6 +306,8 @@ def pass_down(
         )
         here = base.filter(F.col("depth") == depth).join(states, [line_no, "parent_id"])
         above = here.withColumns(step).drop(*[f"parent_{name}" for name in root])
+        if depth % LEVELS_PER_FREEZE == 0:
+            above = freeze(above)
         every = every.unionByName(above)
     return every
 

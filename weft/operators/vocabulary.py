@@ -69,8 +69,10 @@ def build_vocab(
     counts = freeze(token_counts(tokens))
     cut = counts.orderBy(F.col("cnt").desc()).limit(keep).agg(F.min("cnt")).scalar()
     # Where a token first occurs matters only among those with the count at the cut.
-    tied = tokens.join(counts.filter(F.col("cnt") == cut), "token", "left_semi")
-    firsts = tied.groupBy("token").agg(F.min(F.struct(*order)).alias("__first"))
+    tied = counts.filter(F.col("cnt") == cut).select("token")
+    if tied.limit(HEAD_ROWS + 1).count() <= HEAD_ROWS:
+        tokens = tokens.join(F.broadcast(tied), "token", "left_semi")
+    firsts = tokens.groupBy("token").agg(F.min(F.struct(*order)).alias("__first"))
     kept = (
         counts.filter(F.col("cnt") >= cut)
         .join(firsts, "token", "left")

@@ -84,9 +84,9 @@ def _by_lang(sql: str, pattern: str, by: dict[str, str], default: str) -> str:
 def _steps() -> list[tuple[str, str]]:
     """Common table expressions, one per rule, each over the column ``x`` of the one before."""
     rules = [_by_lang("x", "([0-9])\u00a0([0-9])", {lang: "\\1,\\2" for lang in text.DECIMAL_COMMA}, "\\1.\\2")]
-    rules += [f"replace(x, {_quoted(a)}, {_quoted(b)})" for a, b in text.PLAIN_PUNCTUATION]
+    rules += [f"replace(x, {_quoted(a)}, {_quoted(b)})" for a, b in text.PLAIN_CHARACTERS + text.PLAIN_PUNCTUATION]
     rules += [_sub("x", a, b) for a, b in (
-        ("\\(", " ("), ("\\)", ") "), (" +", " "), ("\\) ([.!:?;,])", ")\\1"), ("\\( ", "("), (" \\)", ")"), (" ([:;,?!])", "\\1"),
+        (" +", " "), ("\\) ([.!:?;,])", ")\\1"), ("\\( ", "("), (" \\)", ")"), (" ([:;,?!])", "\\1"),
     )]
     rules.append(f"CASE WHEN lang = 'en' THEN {_sub('x', chr(34) + '([,.]+)', chr(92) + '1' + chr(34))} ELSE x END")
     rules.append("' ' || trim(x) || ' '")

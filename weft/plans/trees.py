@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions.text import normalise_brackets
 from weft.operators import trees as op
 from weft.plans import views
+from weft.session import freeze
 from weft.sources import tables
 
 FOREST_BATCH = 128
@@ -60,7 +61,7 @@ def tree_label_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _nodes(spark, sf_dir)
+    table = freeze(_nodes(spark, sf_dir))
     return op.encode_labels(table, op.label_vocab(table)).select("line_no", "node_id", "enc_x", "dec_x", "y_id")
 
 

@@ -16,12 +16,12 @@ VOCAB_LIMIT = 3000
 
 def lines_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global line numbers: the start of each document plus the line number inside it."""
-    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("parts"))
-    sizes = docs.select("doc_id", F.size("parts").cast("bigint").alias("n"))
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n"))
     starts = running_start(sizes, "doc_id", "n", "start", 60).select("doc_id", "start")
     return (
         docs.join(starts, "doc_id")
-        .select("doc_id", "start", F.posexplode("parts").alias("pos", "line"))
+        .select("doc_id", "start", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .select((F.col("start") + F.col("pos")).alias("line_no"), "doc_id", "line")
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +38,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and cut its lineage.
+    """Write ``df`` as a table below the checkpoint folder and read it from there.
 
-    Needed where a value depends on the physical layout (a partition number): once
-    written, a lost executor cannot bring back a different layout.
+    Needed where a value depends on the physical layout (a partition number), and used
+    where a small result feeds several others: once written, a lost executor cannot bring
+    back a different layout, and readers get column pruning and true sizes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input by ``keys`` if it comes in fewer splits than there are cores.
+
+    For work that grows with the text: a small file is one split and would keep one core
+    busy. A large input has many splits and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

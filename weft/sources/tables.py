@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import CODE_END, NBEST_SEPARATOR
 from weft.functions.vectors import binarise, pack_bits
+from weft.session import widen
 
 CODE_BITS = 8
 CONSTANT_TREE = "(ROOT (S (NP (DT the) (NN cat)) (VP (VBD sat)) (.)))"
@@ -22,8 +23,8 @@ def first_line(text: str = "text") -> Column:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, line_no, line``: documents cut at line ends."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return widen(docs, "doc_id").select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
     ).withColumn("line_no", F.col("line_no").cast("bigint"))
 
