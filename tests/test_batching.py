@@ -176,3 +176,21 @@ def test_training_data(spark):
         n, longest = sizes.get(key, (0, 0))
         sizes[key] = (n + 1, max(longest, len(r["src"]), len(r["tgt"])))
     assert all(n * longest <= 500 for n, longest in sizes.values())
+
+
+def test_training_data_with_own_callables(spark):
+    rows = [(i, "b" * (1 + i % 5), "t") for i in range(20)]
+    pairs = spark.createDataFrame(rows, "line_no bigint, src string, tgt string")
+    found = jobs.training_data(
+        pairs,
+        n_valid=0,
+        batch_size=5,
+        preprocess=text.split_chars,
+        keep=lambda src, tgt: F.size(src) >= 2,
+        sort_key=lambda src, tgt: -F.size(src),
+    ).collect()
+    assert len(found) == 15
+    for batch in range(3):
+        rows = sorted((r for r in found if r["batch_id"] == batch), key=lambda r: r["place"])
+        sizes = [len(r["src"]) for r in rows]
+        assert sizes == sorted(sizes, reverse=True) and min(sizes) >= 2

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import normalise, split_ws, strip, tokenise, wrap
@@ -133,6 +133,16 @@ def diversity(
     return result
 
 
+def wrapped_tokens(line: Column) -> Column:
+    """Default preprocessing of a field: tokens between the sentence markers."""
+    return wrap(split_ws(line))
+
+
+def source_length(src: Column, tgt: Column) -> Column:
+    """Default sort key inside a batch."""
+    return F.size(src)
+
+
 def training_data(
     pairs: DataFrame,
     max_length: int = 60,
@@ -141,30 +151,47 @@ def training_data(
     batch_type: str = "sentence",
     truncate: int | None = None,
     seed: int | str = 3,
+    preprocess: Callable[[Column], Column] = wrapped_tokens,
+    keep: Callable[[Column, Column], Column] | None = None,
+    sort_key: Callable[[Column, Column], Column] = source_length,
 ) -> DataFrame:
-    """``line_no, src, tgt, idx, split, batch_id`` of aligned pairs ``line_no, src, tgt``.
+    """``line_no, src, tgt, idx, split, batch_id, place`` of aligned pairs ``line_no, src, tgt``.
 
-    Wrapped tokens, length filter, truncation, shuffle, split, batches. In ``token`` mode
-    the batch size is a token budget and the training part is not rounded.
+    Preprocessing, filter, truncation, shuffle, split, batches, order in the batch. In
+    ``token`` mode the batch size is a token budget, the training part is not rounded and
+    a batch is ``shard_id, batch_no``. ``preprocess`` makes the token array of a side,
+    ``keep`` replaces the length filter, ``sort_key`` orders a batch.
     """
-    wrapped = pairs.select("line_no", *[wrap(split_ws(side)).alias(side) for side in ("src", "tgt")])
-    kept = alignment.truncate(alignment.length_filter(wrapped, "src", "tgt", max_length), truncate)
+    made = pairs.select("line_no", *[preprocess(F.col(side)).alias(side) for side in ("src", "tgt")])
+    if keep is None:
+        made = alignment.length_filter(made, "src", "tgt", max_length)
+    else:
+        made = made.filter(keep(F.col("src"), F.col("tgt")))
+    kept = alignment.truncate(made, truncate)
     whole = batch_size if batch_type == "sentence" else None
     placed = batching.train_valid_split(kept, ["line_no"], n_valid, whole, seed)
     in_split = F.when(F.col("split") == "valid", F.col("idx")).otherwise(F.col("idx") - n_valid)
     numbered = placed.withColumn("in_split", in_split)
     if batch_type == "sentence":
         batched = batching.fixed_batches(numbered, batch_size, "in_split").drop("pos_in_batch")
-        return batching.order_in_batch(
-            batched.withColumn("__len", F.size("src")).withColumn("__batch", F.concat("split", "batch_id")),
-            "__len",
-            "__batch",
-        ).drop("__len", "__batch")
+    else:
+        batched = _token_batched(numbered, batch_size)
+    ordered = batching.order_in_batch(
+        batched.withColumn("__key", sort_key(F.col("src"), F.col("tgt"))).withColumn(
+            "__batch", F.struct("split", "batch_id")
+        ),
+        "__key",
+        "__batch",
+    )
+    return ordered.drop("__key", "__batch", "in_split")
+
+
+def _token_batched(numbered: DataFrame, budget: int) -> DataFrame:
     parts = []
     for split in ("valid", "train"):
         rows = numbered.filter(F.col("split") == split)
         lengths = rows.select("in_split", F.size("src").alias("n_src"), F.size("tgt").alias("n_tgt"))
-        found = batching.token_batches(lengths, batch_size, line_no="in_split").select(
+        found = batching.token_batches(lengths, budget, line_no="in_split").select(
             "in_split", F.struct("shard_id", "batch_no").alias("batch_id")
         )
         parts.append(rows.join(found, "in_split"))

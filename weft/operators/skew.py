@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than
-# HOT_SHARE hot keys and the table of them is always small enough to broadcast.
-HOT_SHARE = 1000
-SALTS = 256
+# HOT_SHARE hot keys. A hot key is cut into groups of about 1/HOT_SHARE of the rows each;
+# over all hot keys that makes fewer than 2 * HOT_SHARE groups.
+HOT_SHARE = 10_000
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """``__hash``: hashes of the hot keys of ``df``; fewer than ``HOT_SHARE`` rows.
+    """``__hash, __groups``: hashes of the hot keys of ``df`` and the groups to cut each into.
 
     Counts eight-byte hashes and not the keys. A collision can only make a cold key pass
     for a hot one, which costs copies and no result.
@@ -25,7 +25,7 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
         hashes.groupBy("__hash")
         .agg(F.count(F.lit(1)).alias("__n"))
         .filter(F.col("__n") * HOT_SHARE > total)
-        .select("__hash", F.lit(True).alias("__hot"))
+        .select("__hash", F.ceil(F.col("__n") * HOT_SHARE / total).alias("__groups"))
     )
 
 
@@ -34,28 +34,28 @@ def join_unique(
 ) -> DataFrame:
     """``left`` joined to ``right`` (unique ``key``) by ``how``: left, inner, left_semi or left_anti.
 
-    Rows of a hot key are spread over ``SALTS`` groups by their ``row_id``, and only the
-    right rows of hot keys are copied that often; everything else is joined once.
+    Rows of a hot key are spread over its groups by their ``row_id``, and the right row of
+    a hot key is copied into each of them; everything else is joined once. Rows without a
+    key match nothing and are spread as well.
     """
+    # Fewer than HOT_SHARE rows of 16 bytes.
     hot = F.broadcast(hot_keys(left, key))
+    row_hash = F.xxhash64(*row_id)
     spread = (
         left.withColumn("__hash", F.xxhash64(key))
         .join(hot, "__hash", "left")
         .withColumn(
-            "__salt",
-            F.when(F.col("__hot"), F.pmod(F.xxhash64(*row_id), F.lit(SALTS))).otherwise(
-                F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*row_id), F.lit(SALTS))).otherwise(0)
-            ),
+            "__group",
+            F.when(F.col(key).isNull(), F.pmod(row_hash, F.lit(HOT_SHARE)))
+            .when(F.col("__groups").isNotNull(), F.pmod(row_hash, "__groups"))
+            .otherwise(0),
         )
-        .drop("__hash", "__hot")
+        .drop("__hash", "__groups")
     )
     copied = (
         right.withColumn("__hash", F.xxhash64(key))
         .join(hot, "__hash", "left")
-        .withColumn(
-            "__salt",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("__hot"), SALTS - 1).otherwise(0).cast("bigint"))),
-        )
-        .drop("__hash", "__hot")
+        .withColumn("__group", F.explode(F.expr("sequence(0L, coalesce(__groups, 1L) - 1)")))
+        .drop("__hash", "__groups")
     )
-    return spread.join(copied, [key, "__salt"], how).drop("__salt")
+    return spread.join(copied, [key, "__group"], how).drop("__group")
