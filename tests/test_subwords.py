@@ -89,7 +89,7 @@ def test_casing(spark):
     assert {r["lower"]: (r["token"], r["cnt"]) for r in model.collect()} == {
         "us": ("US", 2), "saw": ("saw", 1), "the": ("The", 1), "and": ("and", 1), "b": ("B", 1),
     }
-    cased = {r["line_no"]: r["tokens"] for r in casing.truecase(df, model, ["line_no"]).collect()}
+    cased = {r["line_no"]: r["tokens"] for r in casing.truecase(df, model).collect()}
     assert cased[1] == ["The"] and cased[2] == ["US"] and cased[3] == ["New", "B", "b"] and cased[4] == []
 
 

@@ -76,10 +76,11 @@ def truncate(df: DataFrame, limit: int | None, line_no: str = "line_no") -> Data
     return dense_index(df, line_no, "__row").filter(F.col("__row") < limit).drop("__row")
 
 
-def replicate(df: DataFrame, times: int = 3, line_no: str = "line_no") -> DataFrame:
+def replicate(df: DataFrame, times: int = 3, line_no: str | None = "line_no") -> DataFrame:
     """Each line ``times`` times, as ``pos`` 0, 1, ... under ``out_no = line_no * times + pos``."""
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint")))
-    return df.withColumn("pos", copies).withColumn("out_no", F.col(line_no) * times + F.col("pos"))
+    copied = df.withColumn("pos", copies)
+    return copied if line_no is None else copied.withColumn("out_no", F.col(line_no) * times + F.col("pos"))
 
 
 def interleave(passes: Sequence[DataFrame], line_no: str = "line_no") -> DataFrame:

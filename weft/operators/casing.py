@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.skew import join_unique
+from weft.operators.vocabulary import dictionary_join, most_frequent
+from weft.session import freeze
 
 
 def truecase_model(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -25,12 +24,16 @@ def truecase_model(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
-def truecase(df: DataFrame, model: DataFrame, row_id: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    """``df`` with the first token in the casing of the model; unknown words stay."""
-    casing = model.select(F.col("lower").alias("__first"), F.col("token").alias("__cased"))
+def truecase(df: DataFrame, model: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``df`` with the first token in the casing of the model; unknown words stay.
+
+    The model is written down and broadcast, or its most frequent words if it is too large:
+    lines are shuffled only for a first word that is not among those.
+    """
+    casing = freeze(model.select(F.col("lower").alias("__first"), F.col("token").alias("__cased"), "cnt"))
     keyed = df.withColumn("__first", F.lower(F.get(tokens, F.lit(0))))
-    joined = join_unique(keyed, casing, "__first", row_id)
+    joined = dictionary_join(keyed, casing, "__first", "__cased", most_frequent(casing))
     rest = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
     return joined.withColumn(
         tokens, F.when(F.col("__cased").isNotNull(), F.concat(F.array("__cased"), rest)).otherwise(F.col(tokens))
-    ).drop("__first", "__cased")
+    ).drop("__first", "__cased", "cnt")

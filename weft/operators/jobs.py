@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,6 @@ def prepare_pairs(
         casing.truecase(
             clean.select(*keys, F.col(side).alias("tokens")),
             casing.truecase_model(clean, side),
-            keys,
         ).withColumn("side", F.lit(side))
         for side in ("src", "tgt")
     ]
@@ -133,6 +133,23 @@ def diversity(
     return result
 
 
+def align_arms(arms: dict[str, DataFrame], targets: DataFrame) -> DataFrame:
+    """``arm, block, pos, text, tgt``: triples of several arms beside the targets, three times each.
+
+    An arm is ``block, pos, text``; ``targets`` is ``block, tgt`` with unique blocks.
+    """
+    stacked = reduce(
+        DataFrame.unionByName,
+        [rows.select(F.lit(arm).alias("arm"), "block", "pos", "text") for arm, rows in arms.items()],
+    )
+    return stacked.join(alignment.replicate(targets, len(bleu.SIDES), None), ["block", "pos"])
+
+
+def compare_arms(aligned: DataFrame) -> DataFrame:
+    """``arm, n_triples, mean_bleu, mean_std`` of aligned triples."""
+    return bleu.diversity_report(bleu.self_bleu(aligned, ["arm", "block"]), "arm")
+
+
 def wrapped_tokens(line: Column) -> Column:
     """Default preprocessing of a field: tokens between the sentence markers."""
     return wrap(split_ws(line))

@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import split_chars
-from weft.operators.skew import join_unique
-from weft.operators.vocabulary import frequent, token_counts
-from weft.session import freeze
+from weft.operators.vocabulary import dictionary_join, frequent, most_frequent, token_counts
+from weft.session import freeze, spread
 
 # End of word inside a merge, and the mark of a piece that is not the last.
 WORD_END = "</w>"
@@ -187,17 +186,19 @@ def apply_bpe(
     pieces: DataFrame | None = None,
     threshold: int = 10,
 ) -> DataFrame:
-    """``keys, tokens``: token arrays as arrays of pieces.
+    """``keys, tokens``: token arrays as arrays of pieces; each word type is segmented once.
 
     With ``pieces`` (``piece, cnt``), merged pieces seen fewer than ``threshold`` times are
     split again.
     """
     keys = list(keys)
-    unnested = df.select(*keys, F.posexplode_outer(tokens).alias("__pos", "token"))
-    types = token_counts(unnested.filter(F.col("token").isNotNull())).select("token")
+    types = token_counts(df.select(F.explode(tokens).alias("token")))
     allowed = None if pieces is None else frequent(pieces, threshold).select("piece")
-    dictionary = segment_types(types, merges, allowed)
-    joined = join_unique(unnested, dictionary, "token", [*keys, "__pos"])
+    dictionary = freeze(segment_types(types, merges, allowed))
+    unnested = spread(df.select(*keys, tokens), *keys).select(
+        *keys, F.posexplode_outer(tokens).alias("__pos", "token")
+    )
+    joined = dictionary_join(unnested, dictionary, "token", "pieces", most_frequent(dictionary))
     ordered = F.array_sort(
         F.collect_list(F.when(F.col("pieces").isNotNull(), F.struct("__pos", "pieces")))
     )

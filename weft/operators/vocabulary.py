@@ -1,6 +1,7 @@
 """Frequency vocabularies and dictionary encoding.
 
-A vocabulary is a table ``id BIGINT, token STRING, cnt BIGINT``, most frequent first, so
+A vocabulary is a table ``id BIGINT, token STRING, cnt BIGINT`` (0 for tokens that were given
+and not counted), most frequent first, so
 its first rows cover most of the running text. Encoding relies on that: the head of the
 table, bounded in rows, is broadcast, and only tokens that it misses are shuffled to the
 tail. Frequent tokens therefore never meet in one shuffle partition.
@@ -36,7 +37,7 @@ def frequent(counts: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 def _reserved(spark: SparkSession, specials: Sequence[str]) -> DataFrame:
-    rows = [(i, token, None) for i, token in enumerate(specials)]
+    rows = [(i, token, 0) for i, token in enumerate(specials)]
     return spark.createDataFrame(rows, "id bigint, token string, cnt bigint")
 
 
@@ -89,7 +90,7 @@ def set_vocab(tokens: DataFrame, order: str, specials: Sequence[str] = SPECIALS)
         numbered.select(
             (F.col("__rank") + len(specials)).alias("id"),
             "token",
-            F.lit(None).cast("bigint").alias("cnt"),
+            F.lit(0).cast("bigint").alias("cnt"),
         )
     )
 
@@ -103,7 +104,7 @@ def add_tokens(vocab: DataFrame, tokens: DataFrame, order: str) -> DataFrame:
     numbered = ranked(fresh, [F.col(order), F.col("token")], "__rank")
     return vocab.unionByName(
         numbered.select(
-            (F.col("__rank") + size).alias("id"), "token", F.lit(None).cast("bigint").alias("cnt")
+            (F.col("__rank") + size).alias("id"), "token", F.lit(0).cast("bigint").alias("cnt")
         )
     )
 
@@ -113,6 +114,12 @@ def lookup(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("token").agg(F.max("id").alias("id"))
 
 
+def most_frequent(dictionary: DataFrame, cnt: str = "cnt") -> Column:
+    """Predicate of the entries above the count at place ``HEAD_ROWS``: fewer than that many."""
+    cut = dictionary.select(cnt).orderBy(F.col(cnt).desc()).limit(HEAD_ROWS).agg(F.min(cnt)).scalar()
+    return F.col(cnt) > cut
+
+
 def dictionary_join(
     rows: DataFrame,
     dictionary: DataFrame,

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import text
-from weft.operators import alignment, selection
+from weft.operators import alignment, jobs, selection
 from weft.operators import bleu as op
 from weft.operators.ordering import dense_index, digest
 from weft.operators.vocabulary import lookup
@@ -92,20 +90,17 @@ def sampling_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diversity of three ways to take three candidates per block."""
+    """Diversity of three ways to take three candidates per block, beside the size of the block."""
     nbest = nbest_parse(spark, sf_dir)
+    sizes = selection.block_code_stats(nbest).select("block", F.col("n_rows").cast("string").alias("tgt"))
     sampled = nbest.withColumn("draw", digest(["rank"], SEED))
     arms = {
         "baseline": selection.nbest_top(nbest),
         "sampling": selection.nbest_top(sampled, rank="draw"),
         "treecode": selection.diverse_top(nbest),
     }
-    stacked = reduce(
-        DataFrame.unionByName,
-        [rows.select(F.lit(arm).alias("arm"), "block", "pos", F.col("sent").alias("text")) for arm, rows in arms.items()],
-    )
-    scores = op.self_bleu(stacked, ["arm", "block"])
-    return op.diversity_report(scores, "arm")
+    named = {arm: rows.withColumnRenamed("sent", "text") for arm, rows in arms.items()}
+    return jobs.compare_arms(jobs.align_arms(named, sizes))
 
 
 QUERIES = {

@@ -24,7 +24,7 @@ def metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means per user and event type; one type stands for BLEU, one for the loss."""
     means = op.epoch_means(tables.metric_log(spark, sf_dir))
     return op.with_mix(means, BLEU_EVENT, LOSS_EVENT).select(
-        "run", "epoch", "name", F.round("value", 6).alias("value")
+        "run", F.col("epoch").cast("string").alias("epoch"), "name", F.round("value", 6).alias("value")
     )
 
 
@@ -84,7 +84,7 @@ QUERIES = {
 
 ORACLE = {
     "metric_rollup": f"""
-WITH m AS (SELECT user_id AS run, CAST(ts AS DATE) AS epoch, event_type AS name, avg(value) AS value FROM events GROUP BY ALL)
+WITH m AS (SELECT user_id AS run, CAST(CAST(ts AS DATE) AS VARCHAR) AS epoch, event_type AS name, avg(value) AS value FROM events GROUP BY ALL)
 SELECT run, epoch, name, round(CASE WHEN name = '{BLEU_EVENT}' THEN -value ELSE value END, 6) AS value FROM m
 UNION ALL
 SELECT b.run, b.epoch, 'mix', round(l.value / 0.02 - b.value, 6) FROM m b JOIN m l ON b.run = l.run AND b.epoch = l.epoch

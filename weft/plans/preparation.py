@@ -33,7 +33,7 @@ def truecase_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truecase_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cased = casing.truecase(_tokens(spark, sf_dir), truecase_model(spark, sf_dir), LINE)
+    cased = casing.truecase(_tokens(spark, sf_dir), truecase_model(spark, sf_dir))
     return cased.select(*LINE, F.array_join("tokens", " ").alias("text"))
 
 

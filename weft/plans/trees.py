@@ -126,8 +126,8 @@ SHALLOW = NODES.replace("{deeper}", "FALSE")
 _VOCAB = f"""{FULL},
 labels2 AS (SELECT enc_label AS token FROM v_nodes UNION ALL SELECT dec_label FROM v_nodes),
 v_vocab AS (
-  SELECT 0 AS id, '<null>' AS token, CAST(NULL AS BIGINT) AS cnt UNION ALL SELECT 1, '<s>', NULL
-  UNION ALL SELECT 2, '</s>', NULL UNION ALL SELECT 3, 'UNK', NULL UNION ALL
+  SELECT 0 AS id, '<null>' AS token, 0 AS cnt UNION ALL SELECT 1, '<s>', 0
+  UNION ALL SELECT 2, '</s>', 0 UNION ALL SELECT 3, 'UNK', 0 UNION ALL
   SELECT row_number() OVER (ORDER BY count(*) DESC, token) + 3, token, count(*) FROM labels2 GROUP BY token
 )"""
 

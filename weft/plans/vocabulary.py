@@ -145,7 +145,7 @@ v_counts AS (SELECT token, count(*) AS cnt, min((doc_id, line_no, pos)) AS first
 
 
 def _specials(tokens: list[str], with_count: bool = True) -> str:
-    count = ", CAST(NULL AS BIGINT) AS cnt" if with_count else ""
+    count = ", 0 AS cnt" if with_count else ""
     return " UNION ALL ".join(f"SELECT {i} AS id, '{t}' AS token{count}" for i, t in enumerate(tokens))
 
 

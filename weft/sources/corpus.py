@@ -102,7 +102,7 @@ def load_vocab(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
     if not text:
         return spark.read.parquet(path)
     return read_lines(spark, path).select(
-        F.col("line_no").alias("id"), F.col("text").alias("token"), F.lit(None).cast("bigint").alias("cnt")
+        F.col("line_no").alias("id"), F.col("text").alias("token"), F.lit(0).cast("bigint").alias("cnt")
     )
 
 
