@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import bleu as op
-from weft.operators import jobs
+from weft.operators import jobs, vocabulary
 
 TRIPLE = ["the cat sat on the mat", "the cat sat on a mat", "a cat is on the mat"]
 
@@ -85,7 +85,9 @@ def test_sample_is_repeatable_and_checked(spark):
         op.sample_blocks(blocks, 41).collect()
 
 
-def test_tags_by_lexicon_and_by_function(spark):
+@pytest.mark.parametrize("head_rows", [1, 250_000])
+def test_tags_by_lexicon_and_by_function(spark, monkeypatch, head_rows):
+    monkeypatch.setattr(vocabulary, "HEAD_ROWS", head_rows)
     lines = spark.createDataFrame([(0, "the cat sat"), (1, "")], "k bigint, text string")
     lexicon = spark.createDataFrame([("the", "D", 0), ("cat", "N", 1)], "token string, class string, rank bigint")
     found = {r["k"]: r["text"] for r in op.tag_sequences(lines, ["k"], lexicon).collect()}

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import trees as op
+from weft.operators import vocabulary
 
 CAT = "(ROOT (S (NP (DT the) (NN cat)) (VP (VBD sat)) (.)))"
 DEEP = "(ROOT (A (B (C (D (E e)) (F f)) (G g)) (H h)))"
@@ -75,7 +76,9 @@ def test_bracket_table(spark):
     ]
 
 
-def test_edges_and_labels(spark):
+@pytest.mark.parametrize("head_rows", [6, 250_000])
+def test_edges_and_labels(spark, monkeypatch, head_rows):
+    monkeypatch.setattr(vocabulary, "HEAD_ROWS", head_rows)
     nodes = op.nodes(table(spark, CAT))
     edges = {(r["graph"], r["src"], r["dst"]) for r in op.edges(nodes).collect()}
     assert edges == {("enc", i, 0) for i in (1, 2, 3)} | {("dec", 0, i) for i in (1, 2, 3)}

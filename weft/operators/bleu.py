@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import split_ws, tokens_13a
 from weft.operators.ordering import digest
-from weft.operators.vocabulary import HEAD_ROWS, dictionary_join
+from weft.operators import vocabulary
 from weft.session import spread
 
 ORDERS = range(1, 5)
@@ -191,8 +191,8 @@ def tag_sequences(
         return df.select(*keys, tagger(F.col(text)).alias(text))
     placed = spread(df.select(*keys, text), *keys)
     tokens = placed.select(*keys, F.posexplode_outer(split_ws(text)).alias("__pos", "token"))
-    frequent = F.col("rank") < HEAD_ROWS
-    tagged = dictionary_join(tokens, lexicon, "token", "class", frequent, max_rows).withColumn(
+    frequent = F.col("rank") < vocabulary.HEAD_ROWS
+    tagged = vocabulary.dictionary_join(tokens, lexicon, "token", "class", frequent, max_rows).withColumn(
         "class", F.when(F.col("__pos").isNotNull(), F.coalesce("class", F.lit(unknown)))
     )
     ordered = F.array_sort(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", "class"))))

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import SPACE_CLASS, normalise_brackets
-from weft.operators.ordering import dense_index, running_start
-from weft.operators.vocabulary import HEAD_ROWS, UNKNOWN, build_vocab, dictionary_join, lookup
+from weft.operators.ordering import dense_index
+from weft.operators import vocabulary
+from weft.operators.vocabulary import UNKNOWN, build_vocab, lookup
 from weft.session import freeze, spread
 
 # The wrapper node and the widest node that is expanded.
@@ -238,11 +239,12 @@ def encode_labels(
     table = lookup(vocab)
     unk = vocab.filter(F.col("token") == unknown).agg(F.max("id")).scalar()
     if max_rows is None:
-        max_rows = table.limit(HEAD_ROWS + 1).count()
+        max_rows = table.limit(vocabulary.HEAD_ROWS + 1).count()
     coded = node_table
     for label, out in (("enc_label", "enc_x"), ("dec_label", "dec_x")):
         named = table.select(F.col("token").alias(label), F.col("id").alias(out))
-        coded = dictionary_join(coded, named, label, out, F.col(out) < HEAD_ROWS, max_rows).withColumn(
+        frequent = F.col(out) < vocabulary.HEAD_ROWS
+        coded = vocabulary.dictionary_join(coded, named, label, out, frequent, max_rows).withColumn(
             out, F.coalesce(out, unk)
         )
     return coded.withColumn("y_id", F.col("enc_x"))

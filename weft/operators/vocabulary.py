@@ -128,7 +128,7 @@ def dictionary_join(
     head: Column,
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Left join of ``rows`` to a dictionary with unique ``key``; NULL on a miss.
+    """``rows`` with ``value`` from a dictionary with unique ``key``; NULL on a miss.
 
     ``head`` selects at most ``HEAD_ROWS`` entries that are looked up most. ``max_rows`` is
     a known bound of the dictionary size; without one the entries are counted, up to the
@@ -138,11 +138,11 @@ def dictionary_join(
     if max_rows is None:
         max_rows = dictionary.limit(HEAD_ROWS + 1).count()
     if max_rows <= HEAD_ROWS:
-        return rows.join(F.broadcast(dictionary), key, "left")
-    first = rows.join(F.broadcast(dictionary.filter(head)), key, "left")
+        return rows.join(F.broadcast(dictionary.select(key, value)), key, "left")
+    first = rows.join(F.broadcast(dictionary.filter(head).select(key, value)), key, "left")
     found = first.filter(F.col(value).isNotNull())
     missed = first.filter(F.col(value).isNull()).drop(value)
-    return found.unionByName(missed.join(dictionary.filter(~head), key, "left"))
+    return found.unionByName(missed.join(dictionary.filter(~head).select(key, value), key, "left"))
 
 
 def _ordered(values: Column | str, pos: str) -> Column:
