@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import shard_name
 from weft.operators.ordering import dense_index, digest, hashed_index
+from weft.operators.skew import join_unique
 from weft.session import spread
 
 SHARD_LINES = 30_000
@@ -181,7 +182,8 @@ def bootstrap_pad(
         survivors.select(F.col(line_no).alias("stands_for")), "stands_for", "left_anti"
     )
     draw = F.conv(F.substring(digest(["stands_for"], seed), 1, 15), 16, 10).cast("bigint")
-    drawn = lost.withColumn("__row", F.pmod(draw, n)).join(numbered, "__row")
+    # A few survivors may have to stand for many lost rows.
+    drawn = join_unique(lost.withColumn("__row", F.pmod(draw, n)), numbered, "__row", ["stands_for"], "inner")
     kept = numbered.withColumn("stands_for", F.col(line_no))
     columns = [*survivors.columns, "stands_for"]
     return kept.select(columns).unionByName(drawn.select(columns))

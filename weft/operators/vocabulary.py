@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators.ordering import ranked
+from weft.operators.skew import join_unique
 from weft.session import freeze, spread
 
 # Reserved tokens, in id order.
@@ -142,7 +143,10 @@ def dictionary_join(
     first = rows.join(F.broadcast(dictionary.filter(head).select(key, value)), key, "left")
     found = first.filter(F.col(value).isNotNull())
     missed = first.filter(F.col(value).isNull()).drop(value)
-    return found.unionByName(missed.join(dictionary.filter(~head).select(key, value), key, "left"))
+    tail = dictionary.filter(~head).select(key, value)
+    # A key that the dictionary lacks may still be frequent in the rows.
+    others = [c for c in rows.columns if c != key]
+    return found.unionByName(join_unique(missed, tail, key, others))
 
 
 def _ordered(values: Column | str, pos: str) -> Column:
