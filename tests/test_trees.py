@@ -111,3 +111,15 @@ def test_forest(spark):
     found = op.forest(op.nodes(table(spark, CAT, DEEP, CAT)), 2).orderBy("line_no", "node_id").collect()
     assert [r["batch_id"] for r in found] == [0] * 11 + [1] * 4
     assert [r["forest_id"] for r in found] == [*range(11), *range(4)]
+
+
+def test_deep_trees_over_several_freezes(spark):
+    depth = 2 * op.LEVELS_PER_FREEZE + 4
+    cfg = "".join(f"(L{i} " for i in range(depth)) + "(X x) (Y y)" + ")" * depth
+    nodes = op.nodes(table(spark, cfg))
+    sized = op.roll_up(
+        nodes, own={"n": F.lit(1).cast("bigint")}, gather={"n": F.sum}, merge={"n": F.expr("n + coalesce(child_n, 0)")}
+    )
+    assert rows(sized, "n") == [(depth - i,) for i in range(depth)]
+    down = op.pass_down(nodes, root={"h": F.lit(0)}, step={"h": F.expr("parent_h + 1")})
+    assert rows(down, "h") == [(i,) for i in range(depth)]
