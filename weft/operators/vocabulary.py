@@ -23,8 +23,8 @@ SPECIALS = ["<null>", "<s>", "</s>", "UNK"]
 DECODER_SPECIALS = ["</s>", "<unk>"]
 UNKNOWN = "UNK"
 
-# Rows of a vocabulary that may be broadcast; at 64 bytes a row about 16 MB.
-HEAD_ROWS = 250_000
+# Rows of a vocabulary that may be broadcast; at 64 bytes a row about 32 MB.
+HEAD_ROWS = 500_000
 
 
 def token_counts(tokens: DataFrame, *keys: str, token: str = "token") -> DataFrame:
