@@ -23,7 +23,7 @@ SHARD_PIECES = 8192
 GROUPS = 12
 # Lengths above capacity / LARGE are grouped; a configuration has fewer than LARGE of them.
 LARGE = 5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -63,19 +63,21 @@ class WordEncoder:
                 head = word
             heads.setdefault(head, []).append((word, word[len(head) :]))
         decoded = {head: head.decode() for head in heads}
-        plain = [h for h, s in decoded.items() if s.isalpha()]
-        found: dict[bytes, bytes] = {}
+        found = {h: self.words[h] for h in heads if h in self.words}
+        plain = [h for h, s in decoded.items() if h not in found and s.isalpha()]
         if plain:
             ids = np.array(self._ids([" ".join([decoded[h] for h in plain])])[0], "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(plain):
                 packed, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
-                found = {h: packed[a:b] for h, a, b in zip(plain, starts, starts[1:])}
+                found.update((h, packed[a:b]) for h, a, b in zip(plain, starts, starts[1:]))
         odd = [h for h in heads if h not in found]
         for h, ids in zip(odd, self._ids([decoded[h] for h in odd])):
             found[h] = np.array(ids, "<u4").tobytes()
         tails = {tail for forms in heads.values() for _, tail in forms if tail}
         marks = {t: np.array(i, "<u4").tobytes() for t, i in zip(tails, self._ids([t.decode() for t in tails]))}
+        # A head is kept as well: it may come with other marks.
+        self.words.update(found)
         for head, forms in heads.items():
             for word, tail in forms:
                 self.words[word] = found[head] + marks[tail] if tail else found[head]
