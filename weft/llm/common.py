@@ -86,21 +86,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def tidy(pairs: DataFrame) -> DataFrame:
         return pairs.filter("a != b").distinct()
 
+    def stars(pairs: DataFrame) -> bool:
+        """Whether every node points to one root and no root points further."""
+        ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            pairs.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return odd.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
     current = freeze(tidy(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
-    before = None
     for _ in range(rounds):
-        state = current.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if (state.n, state.h) == before:
+        if stars(current):
             roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-        before = (state.n, state.h)
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        large = tidy(lowest(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        small = lowest(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        large = lowest(both).filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = lowest(large)
         current = freeze(
             tidy(
                 small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
@@ -108,4 +111,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 )
             )
         )
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+    raise RuntimeError(f"no stars after {rounds} rounds")
