@@ -20,9 +20,9 @@ CAPACITY = 4096
 END_ID = 1
 # Pieces packed together: about two thousand sequences, of which the last ones may be open.
 SHARD_PIECES = 8192
-GROUPS = 12
-# Lengths above capacity / LARGE are grouped; a configuration has fewer than LARGE of them.
-LARGE = 5
+# Groups, and the part of the capacity above which lengths are grouped, for a coarse and a fine
+# grouping: many parts to a sequence with few sizes, or few parts with many sizes.
+GROUPINGS = ((12, 5), (100, 3))
 CACHE_WORDS = 1_000_000
 
 _PIECES = pa.schema(
@@ -164,10 +164,16 @@ def fewest(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[n
     return [(basis[:, i].astype(np.int64), int(np.floor(x + 1e-9))) for i, x in enumerate(level) if x >= 1 - 1e-9]
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
+def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence and the place in it of every length, by the better of two groupings."""
+    tried = [pack_by(lengths, capacity, groups, part) for groups, part in GROUPINGS]
+    return min(tried, key=lambda t: t[0].max(initial=-1))
+
+
+def pack_by(lengths: np.ndarray, capacity: int, groups: int, part: int) -> tuple[np.ndarray, np.ndarray]:
     """The sequence and the place in it of every length, by linear grouping and best fit.
 
-    Lengths above a fifth of the capacity are sorted and cut into groups of equal
+    Lengths above ``capacity / part`` are sorted and cut into ``groups`` of equal
     cardinality; a group counts as its longest length. The configurations of these few
     sizes that need the fewest sequences are filled with the groups' real documents. All
     that is left, the small lengths included, goes by falling length to the sequence with
@@ -177,7 +183,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
     sequence, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     order = np.lexsort((np.arange(n), -lengths))
     room: list[int] = []
-    large = order[lengths[order] * LARGE > capacity]
+    large = order[lengths[order] * part > capacity]
     if len(large) >= groups:
         parts = np.array_split(large, groups)
         sizes = np.array([lengths[p[0]] for p in parts])
