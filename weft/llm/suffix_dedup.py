@@ -27,20 +27,23 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import as_bytes, map_batches
 from weft.llm.induced import sorted_suffixes
-from weft.session import freeze
 
 WIDTH = 50
 GRAM = 16
 # Bytes of one text that are named at a time; names of neighbouring pieces meet in the sort.
 PIECE = 1 << 20
 # Names, and bytes of segments, that a map task combines at a time.
-CHUNK = 1_000_000
-CHUNK_BYTES = 32 << 20
-# Names of a reduce task, of which a part become segments of a shard.
+CHUNK = 2_000_000
+CHUNK_BYTES = 64 << 20
+# Names of a reduce task. 32 bits of a name are told apart there: among a million, few agree
+# by chance, and that costs a look at their bytes and no result.
 BUCKET = 1_000_000
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 32 << 20
+# Bytes of segments a byte of text has at the most: neighbours overlap.
+OVERLAP = 3
 
-_PAIR = np.dtype([("doc", np.int64), ("tag", np.int64)])
+_OWNER = np.dtype([("doc", np.int64), ("tag", np.uint32), ("count", np.uint32)])
+_PLACE = np.dtype([("doc", np.int64), ("tag", np.uint32), ("start", np.uint32)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -55,7 +58,10 @@ def named_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = data[begin : begin + PIECE + WIDTH - 1].astype(np.uint64)
         for shift in (1, 2, 4):
             x = (x[:-shift] << np.uint64(8 * shift)) | x[shift:]
-        grams = _mixed(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + _mixed(x[8:]))
+        grams = x[:-8] * np.uint64(0x9E3779B97F4A7C15)
+        grams += x[8:] * np.uint64(0xD6E8FEB86659FD93)
+        grams ^= grams >> np.uint64(32)
+        grams *= np.uint64(0xD6E8FEB86659FD93)
         # The least of the grams in a string: windows of powers of two that cover it.
         span, width = WIDTH - GRAM + 1, 1
         while 2 * width <= span:
@@ -64,7 +70,7 @@ def named_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if span > width:
             grams = np.minimum(grams[: -(span - width)], grams[span - width :])
         first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-        names.append(grams[first])
+        names.append(_mixed(grams[first]))  # the least of some are not evenly spread
         starts.append(first + begin)
     if not names:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -88,31 +94,42 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 _NAMES = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("names", pa.binary()), ("owners", pa.binary())])
 
 
+def _codes(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of each name in one number."""
+    return ((names % np.uint64(buckets)) << np.uint64(32)) | (names >> np.uint64(32))
+
+
 def _names(buckets: int):
-    def flush(found: list[tuple[np.ndarray, tuple[int, int]]]) -> pa.RecordBatch:
-        names = np.concatenate([n for n, _ in found])
-        owners = np.repeat(np.array([o for _, o in found], _PAIR), [len(n) for n, _ in found])
-        order = np.lexsort((owners["doc"], names))
-        names, owners = names[order], owners[order]
-        first = np.concatenate(([True], names[1:] != names[:-1]))
-        many = np.diff(np.concatenate((np.flatnonzero(first), [len(names)]))) > 1
-        known = np.repeat(many, np.diff(np.concatenate((np.flatnonzero(first), [len(names)]))))
+    def flush(found: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        codes = np.concatenate([c for c, _, _ in found])
+        owner = np.repeat(np.arange(len(found)), [len(c) for c, _, _ in found])
+        pairs = np.zeros(len(found), _OWNER)
+        pairs["doc"], pairs["tag"] = [d for _, d, _ in found], [t for _, _, t in found]
+        order = np.argsort(codes, kind="stable")
+        codes, owner = codes[order], owner[order]
+        first = np.concatenate(([True], codes[1:] != codes[:-1]))
+        sizes = np.diff(np.concatenate((np.flatnonzero(first), [len(codes)])))
         rows = []
-        # kind 0: a name with one document, to be met with other tasks; 1: answered here.
-        for kind, some in ((0, first), (1, known)):
-            n, o = names[some], owners[some]
-            where = n % np.uint64(buckets) if kind == 0 else (o["doc"] % buckets).astype(np.uint64)
-            rows += [(b, kind, n[at].tobytes(), o[at].tobytes()) for b, at in _groups(where)]
+        # kind 0: a name with one document, to be met with other tasks; 1: met here.
+        for kind, some in ((0, first), (1, np.repeat(sizes > 1, sizes))):
+            part, whose_part = codes[some], owner[some]
+            for bucket, at in _groups(part >> np.uint64(32)):
+                c, o = part[at], whose_part[at]
+                by_owner = np.argsort(o, kind="stable")
+                whose, counts = np.unique(o, return_counts=True)
+                listed = pairs[whose]
+                listed["count"] = counts
+                rows.append((bucket, kind, c[by_owner].astype(np.uint32).tobytes(), listed.tobytes()))
         return _table(_NAMES, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for batch in batches:
             for doc, tag, text in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), as_bytes(batch["text"])):
-                names = np.unique(named_runs(np.frombuffer(text, np.uint8))[0])
-                if len(names):
-                    found.append((names, (doc, tag)))
-                    size += len(names)
+                codes = np.unique(_codes(named_runs(np.frombuffer(text, np.uint8))[0], buckets))
+                if len(codes):
+                    found.append((codes, doc, tag))
+                    size += len(codes)
                 if size >= CHUNK:
                     yield flush(found)
                     found, size = [], 0
@@ -124,35 +141,36 @@ def _names(buckets: int):
 
 def _met(rows: pa.Table) -> pa.Table:
     """``doc, tag, names``: the names of a bucket that more than one entry has."""
+    bucket = rows["bucket"][0].as_py()
     kinds, names, owners = (rows[c].to_pylist() for c in ("kind", "names", "owners"))
 
-    def joined(blobs: list[bytes], kind: int, dtype) -> np.ndarray:
-        return np.frombuffer(b"".join(b for k, b in zip(kinds, blobs) if k == kind), dtype)
+    def joined(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        short = np.frombuffer(b"".join(b for k, b in zip(kinds, names) if k == kind), np.uint32)
+        listed = np.frombuffer(b"".join(b for k, b in zip(kinds, owners) if k == kind), _OWNER)
+        return short, np.repeat(listed[["doc", "tag"]], listed["count"])
 
-    n, o = joined(names, 0, np.uint64), joined(owners, 0, _PAIR)
+    n, o = joined(0)
     order = np.argsort(n, kind="stable")
     n, o = n[order], o[order]
     again = np.zeros(len(n), bool)
     same = n[1:] == n[:-1]
     again[1:] |= same
     again[:-1] |= same
-    n = np.concatenate((n[again], joined(names, 1, np.uint64)))
-    o = np.concatenate((o[again], joined(owners, 1, _PAIR)))
+    known, theirs = joined(1)
+    n, o = np.concatenate((n[again], known)), np.concatenate((o[again], theirs))
     order = np.lexsort((o["tag"], o["doc"]))
-    n, o = n[order], o[order]
+    n, o = n[order].astype(np.uint64) | np.uint64(bucket << 32), o[order]
     cuts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1]))) if len(o) else np.zeros(0, np.int64)
-    ends = [*cuts[1:], len(o)]
     return pa.table(
         {
-            "doc": pa.array(o["doc"][cuts]), "tag": pa.array(o["tag"][cuts]),
-            "names": pa.array([np.unique(n[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+            "doc": pa.array(o["doc"][cuts], pa.int64()), "tag": pa.array(o["tag"][cuts].astype(np.int64)),
+            "names": pa.array([np.unique(n[a:b]).tobytes() for a, b in zip(cuts, [*cuts[1:], len(o)])], pa.binary()),
         }
     )
 
 
-def names_met(docs: DataFrame, total: int) -> DataFrame:
+def names_met(docs: DataFrame, buckets: int) -> DataFrame:
     """``doc, tag, met``: of each document, lists of its names that others may have as well."""
-    buckets = max(1, -(-total // BUCKET))
     dealt = map_batches(docs, _names(buckets), "bucket long, kind int, names binary, owners binary")
     return (
         dealt.groupBy("bucket")
@@ -169,7 +187,7 @@ _SEGMENTS = pa.schema(
 )
 
 
-def _segments(shards: int):
+def _segments(shards: int, buckets: int):
     def flush(found: dict[bytes, tuple[int, list, int]], gone: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
         """One row a shard with its segments one behind the other, and spans that are removed."""
         bodies: dict[int, list[tuple[bytes, list]]] = {}
@@ -177,7 +195,7 @@ def _segments(shards: int):
             bodies.setdefault(shard, []).append((body, places))
         rows = []
         for shard, parts in bodies.items():
-            spans = np.array([(doc, tag, start, len(body)) for body, places in parts for doc, tag, start in places], np.int64)
+            spans = np.array([place for _, places in parts for place in places], _PLACE)
             sizes = np.array([(len(body), len(places)) for body, places in parts], np.int64)
             head = np.int64(len(parts)).tobytes() + sizes.tobytes()
             rows.append((shard, 0, None, None, spans.tobytes(), head + b"".join(body for body, _ in parts)))
@@ -195,7 +213,7 @@ def _segments(shards: int):
             ):
                 names, starts = named_runs(np.frombuffer(text, np.uint8))
                 ends = np.concatenate((starts[1:], [len(text) - WIDTH + 1])) + WIDTH - 1
-                wanted = np.flatnonzero(np.isin(names, np.frombuffer(b"".join(met), np.uint64)))
+                wanted = np.flatnonzero(np.isin(_codes(names, buckets), np.frombuffer(b"".join(met), np.uint64)))
                 for name, start, end in zip(names[wanted].tolist(), starts[wanted].tolist(), ends[wanted].tolist()):
                     body = text[start:end]
                     kept = found.get(body)
@@ -288,25 +306,32 @@ def _remove(shards: int):
         out = [(d, t, s) for k, d, t, s in zip(kinds, docs, tags, spans) if k == 1]
         held: dict[bytes, tuple[int, list[np.ndarray]]] = {}
         gone: list[np.ndarray] = []
+
+        def spans_of(places: np.ndarray, runs: np.ndarray) -> np.ndarray:
+            """(doc, tag, start, end) of runs inside a body, at each of its places."""
+            out = np.empty((len(places), len(runs), 4), np.int64)
+            out[:, :, 0], out[:, :, 1] = places["doc"][:, None], places["tag"][:, None]
+            out[:, :, 2:] = places["start"].astype(np.int64)[:, None, None] + runs[None]
+            return out.reshape(-1, 4)
+
         for kind, span, blob in zip(kinds, spans, blobs):
             if kind != 0:
                 continue
             count = int(np.frombuffer(blob[:8], np.int64)[0])
             sizes = np.frombuffer(blob[8 : 8 + 16 * count], np.int64).reshape(-1, 2)
-            places = np.frombuffer(span, np.int64).reshape(-1, 4).copy()
-            places[:, 3] += places[:, 2]
+            places = np.frombuffer(span, _PLACE)
             at, row = 8 + 16 * count, 0
             for length, n in sizes.tolist():
                 body, mine = blob[at : at + length], places[row : row + n]
                 at, row = at + length, row + n
-                doc = int(mine[0, 0])
+                doc = int(mine["doc"][0])
                 kept = held.get(body)
                 if kept is None or doc < kept[0]:
                     if kept is not None:
-                        gone += kept[1]
+                        gone += [spans_of(other, np.array([[0, length]])) for other in kept[1]]
                     held[body] = (doc, [mine])
                 elif doc > kept[0]:
-                    gone.append(mine)
+                    gone.append(spans_of(mine, np.array([[0, length]])))
                 else:
                     kept[1].append(mine)
         if held:
@@ -315,11 +340,7 @@ def _remove(shards: int):
             for body, found in zip(bodies, strings_met(bodies, owners)):
                 if len(found):
                     runs = _merged(np.stack((found, found + WIDTH), axis=1))
-                    for place in np.concatenate(held[body][1]):
-                        part = np.empty((len(runs), 4), np.int64)
-                        part[:, :2] = place[:2]
-                        part[:, 2:] = runs + place[2]
-                        gone.append(part)
+                    gone.append(spans_of(np.concatenate(held[body][1]), runs))
         if gone:
             out += [(d, t, s) for _, _, d, t, s, _ in _as_rows(np.concatenate(gone), shards)]
         return pa.Table.from_batches([_table(_GONE, out)])
@@ -327,8 +348,8 @@ def _remove(shards: int):
     return remove
 
 
-_CUT = pa.schema(
-    [("doc", pa.int64()), ("tag", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+_RESULT = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
      ("kept_sha256", pa.string()), ("kept", pa.binary())]
 )
 
@@ -337,19 +358,17 @@ def _cut(keep: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, tag, text, spans in zip(
-                batch["doc"].to_pylist(), batch["tag"].to_pylist(), as_bytes(batch["text"]), batch["spans"].to_pylist()
-            ):
-                runs = _merged(np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2))
+            for doc, text, spans in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"]), batch["spans"].to_pylist()):
+                runs = _merged(np.frombuffer(b"".join(spans or []), np.int64).reshape(-1, 2))
                 at, kept = 0, []
                 for start, end in runs.tolist():
                     kept.append(text[at:start])
                     at = end
                 left = b"".join([*kept, text[at:]])
                 rows.append(
-                    (doc, tag, len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left if keep else None)
+                    (doc, len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left if keep else None)
                 )
-            yield _table(_CUT, rows)
+            yield _table(_RESULT, rows)
 
     return cut
 
@@ -367,17 +386,24 @@ def remove_repeats(docs: DataFrame, keep: bool = True, id: str = "doc_id", text:
     rows. Other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    every = docs.select(F.col(id).cast("bigint").alias("doc"), body.alias("text"))
-    # The tag tells apart rows that share an id and not the text.
-    rows = every.withColumn("tag", F.crc32("text").cast("bigint"))
-    long = rows.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= WIDTH))
+    # The tag tells apart rows that share an id and not the text; rows without id have one below 0.
+    # Both joins below are on these two, which are never null, and need no other column than the
+    # text, so their plans begin alike and the texts are shuffled once.
+    crc = F.crc32("text").cast("bigint")
+    rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), body.alias("text")).select(
+        "text",
+        F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc"),
+        F.when(F.col("doc_id").isNull(), -1 - crc).otherwise(crc).alias("tag"),
+    )
+    long = rows.filter((F.col("tag") >= 0) & (F.octet_length("text") >= WIDTH))
     size = long.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
     # A name comes about every 18 bytes.
-    met = names_met(long, size // 18)
-    repeated = freeze(long.join(met, ["doc", "tag"]))
-    shards = max(1, -(-repeated.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b // SHARD_BYTES))
+    buckets, shards = max(1, -(-size // (18 * BUCKET))), max(1, -(-OVERLAP * size // SHARD_BYTES))
+    keys = ["doc", "tag"]
+    met = names_met(long.select("doc", "tag", "text"), buckets)
     dealt = map_batches(
-        repeated, _segments(shards), "shard long, kind int, doc long, tag long, spans binary, body binary"
+        rows.join(met, keys, "left").filter("met IS NOT NULL").select("doc", "tag", "text", "met"),
+        _segments(shards, buckets), "shard long, kind int, doc long, tag long, spans binary, body binary",
     )
     gone = (
         dealt.groupBy("shard")
@@ -385,20 +411,8 @@ def remove_repeats(docs: DataFrame, keep: bool = True, id: str = "doc_id", text:
         .groupBy("doc", "tag")
         .agg(F.collect_list("spans").alias("spans"))
     )
-    cut = map_batches(
-        repeated.join(gone, ["doc", "tag"]).select("doc", "tag", "text", "spans"), _cut(keep),
-        "doc long, tag long, n_removed long, n_spans long, kept_sha256 string, kept binary",
-    ).dropDuplicates(["doc", "tag"])
-    # Of texts without removal, only digests are shuffled, unless their bytes are asked for.
-    whole = rows.select(
-        "doc", "tag", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"),
-        (F.col("text").cast("binary") if keep else F.lit(None).cast("binary")).alias("whole"),
-    )
-    return whole.join(cut, ["doc", "tag"], "left").select(
-        F.col("doc").alias("doc_id"),
-        "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
-        F.coalesce("kept", "whole").alias("kept"),
+    return map_batches(
+        rows.join(gone, keys, "left").select(F.when(F.col("tag") >= 0, F.col("doc")).alias("doc_id"), "text", "spans"),
+        _cut(keep),
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
     )
