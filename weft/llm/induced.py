@@ -28,7 +28,7 @@ _ENTRY = np.dtype([("at", np.int64), ("lcp", np.int32)])
 
 
 class DiskQueue:
-    """Entries in order of arrival: a file, and the last ones in memory."""
+    """Entries in order of arrival: a file, and the last ones in memory. What was taken can be read again."""
 
     def __init__(self, path: str):
         self.path, self.read, self.written = path, 0, 0
@@ -41,11 +41,14 @@ class DiskQueue:
         self.waiting.append(rows)
         self.held += len(rows)
         if self.held >= WAITING:
-            with open(self.path, "ab") as out:
-                for part in self.waiting:
-                    out.write(part.tobytes())
-            self.written += self.held
-            self.waiting, self.held = [], 0
+            self._write()
+
+    def _write(self) -> None:
+        with open(self.path, "ab") as out:
+            for part in self.waiting:
+                out.write(part.tobytes())
+        self.written += self.held
+        self.waiting, self.held = [], 0
 
     def take(self) -> np.ndarray | None:
         """The next entries, at most a batch; None if there are none now."""
@@ -57,7 +60,8 @@ class DiskQueue:
             return rows
         if self.waiting:
             rows = np.concatenate(self.waiting)
-            self.waiting, self.held = [], 0
+            self._write()
+            self.read = self.written
             return rows
         return None
 
@@ -84,7 +88,6 @@ class _Pass:
     def __init__(self, text: np.ndarray, pushes: np.ndarray, symbols: int, limit: int, folder: str, name: str):
         self.text, self.pushes, self.limit = text, pushes, limit
         self.queues = [DiskQueue(os.path.join(folder, f"{name}{c}")) for c in range(symbols)]
-        self.done = [DiskQueue(os.path.join(folder, f"{name}{c}.done")) for c in range(symbols)]
         # -1: nothing was pushed yet, so there is no entry to have a common prefix with.
         self.least = np.full(symbols, -1, np.int64)
 
@@ -141,26 +144,25 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.nd
 
 def _sorted_starts(text: np.ndarray, starts: np.ndarray, limit: int, folder: str) -> Iterator[np.ndarray]:
     """The starts sorted by ``limit`` symbols: runs sorted in memory, written, and merged."""
-    padded = np.concatenate((text, np.zeros(limit + 4, text.dtype)))
-    words = -(-limit // 4)
+    per_word = 7  # symbols of nine bits
+    words = -(-limit // per_word)
+    padded = np.concatenate((text, np.zeros(limit + per_word, text.dtype)))
     runs = []
     for begin in range(0, len(starts), BATCH):
         part = starts[begin : begin + BATCH]
-        keys = np.empty((len(part), words), np.uint64)
+        keys = np.zeros((len(part), words), np.uint64)
         for w in range(words):
-            at = part + 4 * w
-            keys[:, w] = 0
-            for k in range(4):
-                symbol = padded[np.minimum(at + k, len(padded) - 1)].astype(np.uint64)
-                keys[:, w] = (keys[:, w] << np.uint64(16)) | symbol
+            for k in range(per_word * w, min(per_word * (w + 1), limit)):
+                symbol = padded[np.minimum(part + k, len(padded) - 1)].astype(np.uint64)
+                keys[:, w] = (keys[:, w] << np.uint64(9)) | symbol
         order = np.lexsort(keys.T[::-1])
+        if len(starts) <= BATCH:
+            yield part[order]
+            return
         path = os.path.join(folder, f"run{begin}")
         keys[order].astype(">u8").tofile(path + ".keys")
         part[order].tofile(path)
         runs.append((path, len(part)))
-    if len(runs) == 1:
-        yield np.fromfile(runs[0][0], np.int64)
-        return
 
     def rows(path: str, count: int) -> Iterator[tuple[bytes, int]]:
         step = max(1, BATCH // 16)
@@ -184,7 +186,7 @@ def _sorted_starts(text: np.ndarray, starts: np.ndarray, limit: int, folder: str
 def sorted_suffixes(text: np.ndarray, limit: int, folder: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes in order with their common prefix with the one before, in batches.
 
-    ``text``: symbols as unsigned 16-bit numbers from 1; a final 0 is added here. The order and the
+    ``text``: symbols from 1 to 511 as unsigned 16-bit numbers; a final 0 is added here. The order and the
     common prefixes are those of the first ``limit`` symbols.
     """
     text = np.concatenate((text.astype(np.uint16), np.zeros(1, np.uint16)))
@@ -206,7 +208,7 @@ def sorted_suffixes(text: np.ndarray, limit: int, folder: str) -> Iterator[tuple
     def seam(a: int | None, b: int) -> int:
         return 0 if a is None else int(_common(text, np.array([a]), np.array([b]), limit)[0])
 
-    def drain(queue: DiskQueue, into: _Pass, done: DiskQueue | None, previous: int | None) -> int | None:
+    def drain(queue: DiskQueue, into: _Pass, previous: int | None) -> int | None:
         """Take all entries of a queue, those that it gets meanwhile included."""
         begun = False
         while (rows := queue.take()) is not None:
@@ -214,59 +216,36 @@ def sorted_suffixes(text: np.ndarray, limit: int, folder: str) -> Iterator[tuple
             if not begun:
                 lcp[0] = seam(previous, int(at[0]))
                 begun = True
-            if done is not None:
-                done.push(at, lcp)
             previous = int(at[-1])
             into.feed(at, lcp)
         return previous
 
-    def close(queue: DiskQueue) -> None:
-        """Write what waits, and let all of it be read again."""
-        rows = queue.waiting
-        if rows:
-            with open(queue.path, "ab") as out:
-                for part in rows:
-                    out.write(part.tobytes())
-            queue.written += queue.held
-            queue.waiting, queue.held = [], 0
-        queue.read = queue.written
-
     ascending = _Pass(text, ~types, symbols, limit, folder, "l")
     for c in range(symbols):
-        previous = drain(ascending.queues[c], ascending, ascending.done[c], None)
-        drain(first[c], ascending, None, previous)
-        close(ascending.done[c])
+        previous = drain(ascending.queues[c], ascending, None)
+        drain(first[c], ascending, previous)
 
     descending = _Pass(text, types, symbols, limit, folder, "s")
-    end = len(text) - 1
-    for c in range(symbols - 1, -1, -1):
-        if c == 0:
-            # The end itself is no suffix before another one.
-            descending.done[0].push(np.array([end]), np.array([0]))
-            close(descending.done[0])
-            break
-        previous = drain(descending.queues[c], descending, descending.done[c], None)
-        close(descending.done[c])
+    for c in range(symbols - 1, 0, -1):
+        previous = drain(descending.queues[c], descending, None)
         ahead = None
-        for rows in ascending.done[c].descending():
+        for rows in ascending.queues[c].descending():
             at = rows["at"]
             # Going down, an entry's common prefix is that of the entry met before it.
             lcp = np.concatenate(([seam(previous, int(at[0])) if ahead is None else ahead], rows["lcp"][:-1]))
             ahead = rows["lcp"][-1]
             descending.feed(at, lcp)
 
-    for c in range(symbols):
+    # The end alone begins with 0.
+    yield np.array([len(text) - 1]), np.array([0])
+    for c in range(1, symbols):
         previous = None
-        for rows in ascending.done[c].ascending():
+        for rows in ascending.queues[c].ascending():
             previous = int(rows["at"][-1])
             yield rows["at"], rows["lcp"].astype(np.int64)
         ahead = None
-        # The S suffixes were written from the largest; their order and common prefixes turn round.
-        for begin in range(descending.done[c].read, 0, -BATCH):
-            low = max(0, begin - BATCH)
-            with open(descending.done[c].path, "rb") as source:
-                source.seek(low * _ENTRY.itemsize)
-                rows = np.fromfile(source, _ENTRY, begin - low)[::-1]
+        # The S suffixes came from the largest; their order and common prefixes turn round.
+        for rows in descending.queues[c].descending():
             start = seam(previous, int(rows["at"][0])) if ahead is None else ahead
             yield rows["at"], np.concatenate(([start], rows["lcp"][:-1].astype(np.int64)))
             ahead = int(rows["lcp"][-1])

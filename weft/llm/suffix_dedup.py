@@ -190,15 +190,15 @@ _SEGMENTS = pa.schema(
 def _segments(shards: int, buckets: int):
     def flush(found: dict[bytes, tuple[int, list, int]], gone: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
         """One row a shard with its segments one behind the other, and spans that are removed."""
-        bodies: dict[int, list[tuple[bytes, list]]] = {}
-        for body, (_, places, shard) in found.items():
-            bodies.setdefault(shard, []).append((body, places))
+        bodies: dict[int, list[tuple[bytes, list, int]]] = {}
+        for body, (_, places, name) in found.items():
+            bodies.setdefault(name % shards, []).append((body, places, name >> 2))
         rows = []
         for shard, parts in bodies.items():
-            spans = np.array([place for _, places in parts for place in places], _PLACE)
-            sizes = np.array([(len(body), len(places)) for body, places in parts], np.int64)
+            spans = np.array([place for _, places, _ in parts for place in places], _PLACE)
+            sizes = np.array([(len(body), len(places), name) for body, places, name in parts], np.int64)
             head = np.int64(len(parts)).tobytes() + sizes.tobytes()
-            rows.append((shard, 0, None, None, spans.tobytes(), head + b"".join(body for body, _ in parts)))
+            rows.append((shard, 0, None, None, spans.tobytes(), head + b"".join(body for body, _, _ in parts)))
         yield _table(_SEGMENTS, rows)
         if gone:
             yield _table(_SEGMENTS, _as_rows(np.array(gone, np.int64), shards))
@@ -218,7 +218,7 @@ def _segments(shards: int, buckets: int):
                     body = text[start:end]
                     kept = found.get(body)
                     if kept is None:
-                        found[body] = (doc, [(doc, tag, start)], name % shards)
+                        found[body] = (doc, [(doc, tag, start)], name)
                         size += len(body) + 100
                     elif doc > kept[0]:
                         gone.append((doc, tag, start, end))
@@ -226,7 +226,7 @@ def _segments(shards: int, buckets: int):
                         kept[1].append((doc, tag, start))
                     else:
                         gone += [(d, t, s, s + len(body)) for d, t, s in kept[1]]
-                        found[body] = (doc, [(doc, tag, start)], name % shards)
+                        found[body] = (doc, [(doc, tag, start)], name)
                 if size + 32 * len(gone) >= CHUNK_BYTES:
                     yield from flush(found, gone)
                     found, gone, size = {}, [], 0
@@ -306,6 +306,7 @@ def _remove(shards: int):
         out = [(d, t, s) for k, d, t, s in zip(kinds, docs, tags, spans) if k == 1]
         held: dict[bytes, tuple[int, list[np.ndarray]]] = {}
         gone: list[np.ndarray] = []
+        variants: dict[int, list[bytes]] = {}
 
         def spans_of(places: np.ndarray, runs: np.ndarray) -> np.ndarray:
             """(doc, tag, start, end) of runs inside a body, at each of its places."""
@@ -318,14 +319,16 @@ def _remove(shards: int):
             if kind != 0:
                 continue
             count = int(np.frombuffer(blob[:8], np.int64)[0])
-            sizes = np.frombuffer(blob[8 : 8 + 16 * count], np.int64).reshape(-1, 2)
+            sizes = np.frombuffer(blob[8 : 8 + 24 * count], np.int64).reshape(-1, 3)
             places = np.frombuffer(span, _PLACE)
-            at, row = 8 + 16 * count, 0
-            for length, n in sizes.tolist():
+            at, row = 8 + 24 * count, 0
+            for length, n, name in sizes.tolist():
                 body, mine = blob[at : at + length], places[row : row + n]
                 at, row = at + length, row + n
                 doc = int(mine["doc"][0])
                 kept = held.get(body)
+                if kept is None:
+                    variants.setdefault(name, []).append(body)
                 if kept is None or doc < kept[0]:
                     if kept is not None:
                         gone += [spans_of(other, np.array([[0, length]])) for other in kept[1]]
@@ -334,8 +337,10 @@ def _remove(shards: int):
                     gone.append(spans_of(mine, np.array([[0, length]])))
                 else:
                     kept[1].append(mine)
-        if held:
-            bodies = list(held)
+        # Equal strings have one name: only a name's different segments, of two documents or
+        # more, can share some of their strings.
+        bodies = [b for some in variants.values() if len(some) > 1 and len({held[b][0] for b in some}) > 1 for b in some]
+        if bodies:
             owners = np.array([held[b][0] for b in bodies], np.int64)
             for body, found in zip(bodies, strings_met(bodies, owners)):
                 if len(found):
