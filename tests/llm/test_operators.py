@@ -355,6 +355,7 @@ def plain_suffixes(text, limit):
 @pytest.mark.parametrize("batch, waiting", [(1 << 18, 1 << 12), (5, 2)])
 def test_induced_order(tmp_path, monkeypatch, batch, waiting):
     monkeypatch.setattr(induced, "BATCH", batch)
+    monkeypatch.setattr(induced, "RUN", batch)
     monkeypatch.setattr(induced, "WAITING", waiting)
     random.seed(2)
     cases = [bytes(random.choice(b"ab~") for _ in range(random.randint(0, 60))) for _ in range(60)] + [b"a" * 90, b"ab" * 40]

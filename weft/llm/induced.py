@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 
 BATCH = 1 << 18
+# Starts that are sorted in memory, with 64 bytes each; more are sorted in runs and merged.
+RUN = 1 << 20
 # Entries that wait in memory for one queue until they are written.
 WAITING = 1 << 12
 
@@ -148,15 +150,15 @@ def _sorted_starts(text: np.ndarray, starts: np.ndarray, limit: int, folder: str
     words = -(-limit // per_word)
     padded = np.concatenate((text, np.zeros(limit + per_word, text.dtype)))
     runs = []
-    for begin in range(0, len(starts), BATCH):
-        part = starts[begin : begin + BATCH]
+    for begin in range(0, len(starts), RUN):
+        part = starts[begin : begin + RUN]
         keys = np.zeros((len(part), words), np.uint64)
         for w in range(words):
             for k in range(per_word * w, min(per_word * (w + 1), limit)):
                 symbol = padded[np.minimum(part + k, len(padded) - 1)].astype(np.uint64)
                 keys[:, w] = (keys[:, w] << np.uint64(9)) | symbol
         order = np.lexsort(keys.T[::-1])
-        if len(starts) <= BATCH:
+        if len(starts) <= RUN:
             yield part[order]
             return
         path = os.path.join(folder, f"run{begin}")

@@ -38,7 +38,7 @@ CHUNK_BYTES = 64 << 20
 # Names of a reduce task. 32 bits of a name are told apart there: among a million, few agree
 # by chance, and that costs a look at their bytes and no result.
 BUCKET = 1_000_000
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 # Bytes of segments a byte of text has at the most: neighbours overlap.
 OVERLAP = 3
 
