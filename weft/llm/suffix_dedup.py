@@ -29,15 +29,16 @@ from weft.llm.common import as_bytes, map_batches
 from weft.llm.induced import sorted_suffixes
 
 WIDTH = 50
-GRAM = 16
+GRAM = 24  # three words of eight bytes
+NAME_BYTES = 15  # a name comes about every so many bytes
 # Bytes of one text that are named at a time; names of neighbouring pieces meet in the sort.
 PIECE = 1 << 20
 # Names, and bytes of segments, that a map task combines at a time.
 CHUNK = 2_000_000
 CHUNK_BYTES = 64 << 20
-# Names of a reduce task. 32 bits of a name are told apart there: among a million, few agree
+# Names of a reduce task. 32 bits of a name are told apart there: among some millions, few agree
 # by chance, and that costs a look at their bytes and no result.
-BUCKET = 1_000_000
+BUCKET = 3_000_000
 SHARD_BYTES = 16 << 20
 # Bytes of segments a byte of text has at the most: neighbours overlap.
 OVERLAP = 3
@@ -58,8 +59,9 @@ def named_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = data[begin : begin + PIECE + WIDTH - 1].astype(np.uint64)
         for shift in (1, 2, 4):
             x = (x[:-shift] << np.uint64(8 * shift)) | x[shift:]
-        grams = x[:-8] * np.uint64(0x9E3779B97F4A7C15)
-        grams += x[8:] * np.uint64(0xD6E8FEB86659FD93)
+        grams = x[:-16] * np.uint64(0x9E3779B97F4A7C15)
+        grams += x[8:-8] * np.uint64(0xD6E8FEB86659FD93)
+        grams += x[16:] * np.uint64(0xC2B2AE3D27D4EB4F)
         grams ^= grams >> np.uint64(32)
         grams *= np.uint64(0xD6E8FEB86659FD93)
         # The least of the grams in a string: windows of powers of two that cover it.
@@ -402,8 +404,7 @@ def remove_repeats(docs: DataFrame, keep: bool = True, id: str = "doc_id", text:
     )
     long = rows.filter((F.col("tag") >= 0) & (F.octet_length("text") >= WIDTH))
     size = long.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
-    # A name comes about every 18 bytes.
-    buckets, shards = max(1, -(-size // (18 * BUCKET))), max(1, -(-OVERLAP * size // SHARD_BYTES))
+    buckets, shards = max(1, -(-size // (NAME_BYTES * BUCKET))), max(1, -(-OVERLAP * size // SHARD_BYTES))
     keys = ["doc", "tag"]
     met = names_met(long.select("doc", "tag", "text"), buckets)
     dealt = map_batches(
