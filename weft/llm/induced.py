@@ -132,6 +132,15 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.nd
     n = len(text)
     out = np.zeros(len(a), np.int64)
     going = np.arange(len(a))
+    whole = (a + limit < n) & (b + limit < n)
+    if len(a) > 1 and whole.any():
+        some = np.flatnonzero(whole)
+        windows = np.lib.stride_tricks.sliding_window_view(text, limit)
+        for begin in range(0, len(some), 1 << 14):
+            part = some[begin : begin + (1 << 14)]
+            differ = windows[a[part]] != windows[b[part]]
+            out[part] = np.where(differ.any(axis=1), differ.argmax(axis=1), limit)
+        going = np.flatnonzero(~whole)
     for k in range(limit):
         x, y = a[going] + k, b[going] + k
         inside = (x < n) & (y < n)
@@ -144,6 +153,20 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.nd
     return out
 
 
+def _key_order(keys: np.ndarray) -> np.ndarray:
+    """The order of rows of keys. Equal rows are found by a hash and sorted as one."""
+    hashes = np.zeros(len(keys), np.uint64)
+    for column in keys.T:
+        hashes = (hashes ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    _, place, which = np.unique(hashes, return_index=True, return_inverse=True)
+    if (keys[place][which] != keys).any():  # two keys of one hash
+        return np.lexsort(keys.T[::-1])
+    rank = np.empty(len(place), np.int64)
+    rank[np.lexsort(keys[place].T[::-1])] = np.arange(len(place))
+    return np.argsort(rank[which], kind="stable")
+
+
 def _sorted_starts(text: np.ndarray, starts: np.ndarray, limit: int, folder: str) -> Iterator[np.ndarray]:
     """The starts sorted by ``limit`` symbols: runs sorted in memory, written, and merged."""
     per_word = 7  # symbols of nine bits
@@ -157,7 +180,7 @@ def _sorted_starts(text: np.ndarray, starts: np.ndarray, limit: int, folder: str
             for k in range(per_word * w, min(per_word * (w + 1), limit)):
                 symbol = padded[np.minimum(part + k, len(padded) - 1)].astype(np.uint64)
                 keys[:, w] = (keys[:, w] << np.uint64(9)) | symbol
-        order = np.lexsort(keys.T[::-1])
+        order = _key_order(keys)
         if len(starts) <= RUN:
             yield part[order]
             return
