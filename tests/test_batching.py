@@ -23,6 +23,13 @@ def greedy(values, budget):
     return [i for i, batch in enumerate(batches) for _ in batch]
 
 
+def test_keys_out_of_range_are_errors(spark):
+    for key in (-5, 1 << 60, None):
+        df = spark.createDataFrame([(3,), (key,)], "id bigint")
+        with pytest.raises(Exception, match="outside 0 to"):
+            op.dense_index(df, "id").collect()
+
+
 @pytest.mark.parametrize("values, expected", [([3, 4, 2, 5], [0, 0, 1, 2]), ([9, 1], [1, 2])])
 def test_token_budget_golden(spark, values, expected):
     found = op.token_batches(lengths(spark, values), 8).orderBy("line_no").collect()

@@ -48,6 +48,9 @@ def test_fingerprints(spark):
         metrics.ordered_fingerprint(df, "idx", "text", rows=10).collect()
     one, two = (metrics.set_fingerprint(d, "text").first() for d in (df, df.repartition(3)))
     assert one == two and one["n"] == 20
+    pairs = [[("a", None), ("a", None)], [], [("a", "")] * 2, [(None, "a")] * 2, [("a", None)]]
+    frames = [spark.createDataFrame(rows, "x string, y string") for rows in pairs]
+    assert len({metrics.set_fingerprint(d, "x", "y").first() for d in frames}) == 5
 
 
 def test_pool_and_project(spark):

@@ -11,26 +11,18 @@ SCHEMA = "block string, rank bigint, code string, sent string"
 
 
 def walk(codes, k=3):
-    """Ranks kept by walking a block: fill up, then swap a held candidate for a new code."""
-    held = []
-    for rank, code in enumerate(codes):
-        if len(held) < k:
-            held.append(rank)
-            continue
-        have = [codes[r] for r in held]
-        if code is None:
-            continue
-        if None in have:
-            out = max(i for i, c in enumerate(have) if c is None)
-        elif code in have or len(set(have)) == k:
-            continue
-        elif len(set(have)) == 1:
-            out = k - 1
-        else:
-            out = next(i for i, c in enumerate(have) if c in have[:i])
-        del held[out]
-        held.append(rank)
-    return held
+    """Ranks of the best choice of ``k`` candidates among all choices, by the rule itself.
+
+    The first candidate of each code counts as new, every other one as a repeat, one
+    without code as worst. The best choice has the fewest without code, then the fewest
+    repeats, then the lowest ranks.
+    """
+    new = {code: rank for rank, code in reversed(list(enumerate(codes))) if code is not None}
+    cost = [(code is None, code is not None and new[code] != rank, rank) for rank, code in enumerate(codes)]
+    # Costs are told apart by rank, so the best choice is that of the lowest costs.
+    small = sorted(range(len(codes)), key=cost.__getitem__)[: max(k, 2 * k)]
+    choices = itertools.combinations(sorted(small), min(k, len(codes)))
+    return list(min(choices, key=lambda choice: sorted(cost[r] for r in choice)))
 
 
 def frame(spark, blocks):

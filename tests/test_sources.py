@@ -25,7 +25,10 @@ def test_line_numbers_over_files_and_splits(spark, tmp_path):
         write(tmp_path / name, [f"{name} {i} " + "x" * (i % 40) for i in range(n)])
     spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
     try:
-        rows = corpus.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+        lines = corpus.read_lines(spark, str(tmp_path))
+        # The splits of the definition are not those of the action.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 30_000)
+        rows = lines.orderBy("line_no").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     expected = [f"{name} {i} " + "x" * (i % 40) for name, n in (("a.txt", 3000), ("b.txt", 1200), ("c.txt", 5)) for i in range(n)]

@@ -41,6 +41,7 @@ def test_field(spark):
         ("<c5><eoc>hi</s>", "<c5>", "hi"),
         ("hi</s>", None, "hi</s>"),
         ("a<eoc>b<eoc>c", None, "a<eoc>b<eoc>c"),
+        ("NULL<eoc>x</s>", None, "x"),
         ("<eoc>", "", ""),
     ],
 )

@@ -63,12 +63,13 @@ def split_code(c: Column | str) -> Column:
     """``code<eoc>sentence`` as ``struct(code, sent)``.
 
     Only a separator that occurs exactly once counts. The sentence then loses a closing
-    ``</s>``; otherwise the code is NULL and the sentence is the whole field.
+    ``</s>``; otherwise the code is NULL and the sentence is the whole field. A code written
+    as the marker of a missing one is NULL as well.
     """
     parts = F.split(_col(c), CODE_END, -1)
     single = F.size(parts) == 2
     return F.struct(
-        F.when(single, F.get(parts, F.lit(0))).alias("code"),
+        F.when(single, F.nullif(F.get(parts, F.lit(0)), F.lit(MISSING_CODE))).alias("code"),
         F.when(single, F.regexp_replace(F.get(parts, F.lit(1)), rf"{SENTENCE_END}\z", ""))
         .otherwise(_col(c))
         .alias("sent"),

@@ -83,18 +83,38 @@ def fixed_batches(df: DataFrame, batch_size: int, idx: str = "idx", drop_last: b
     return batched.filter(F.col("batch_id") < _div(total, batch_size))
 
 
-def _scan_budget(lengths: np.ndarray, budget: int) -> np.ndarray:
-    """Batch numbers of rows in order, by padded size: longest row times number of rows."""
-    numbers = np.empty(len(lengths), dtype=np.int64)
-    batch, rows, longest = 0, 0, 0
-    for i, length in enumerate(lengths.tolist()):
-        widest = max(longest, length)
-        if widest * (rows + 1) > budget:
-            batch, rows, longest = batch + 1, 1, length
-        else:
-            rows, longest = rows + 1, widest
-        numbers[i] = batch
-    return numbers
+def _budget_numbers(lengths: np.ndarray, budget: int) -> np.ndarray:
+    """Batch numbers of rows in order, by padded size: longest row times number of rows.
+
+    For every row at once, how far a batch that begins there reaches: spans of powers of two
+    are tried from the longest, each with its longest row known. Batches are then jumps from
+    reach to reach. A row above the budget is a batch alone, and as the first one it leaves
+    batch 0 empty.
+    """
+    n = len(lengths)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    tables = [lengths.astype(np.int64)]
+    while (1 << len(tables)) <= n:
+        half = 1 << (len(tables) - 1)
+        tables.append(np.maximum(tables[-1][:-half], tables[-1][half:]))
+    begin = np.arange(n)
+    reach, longest = begin.copy(), np.zeros(n, np.int64)
+    for power in range(len(tables) - 1, -1, -1):
+        span = 1 << power
+        fits = np.flatnonzero(reach + span <= n)
+        wider = np.maximum(longest[fits], tables[power][reach[fits]])
+        good = wider * (reach[fits] + span - begin[fits]) <= budget
+        longest[fits[good]] = wider[good]
+        reach[fits[good]] += span
+    reach = np.maximum(reach, begin + 1)
+    starts, at = [], 0
+    while at < n:
+        starts.append(at)
+        at = int(reach[at])
+    numbers = np.zeros(n, np.int64)
+    numbers[starts[1:]] = 1
+    return np.cumsum(numbers) + int(lengths[0] > budget)
 
 
 def token_batches(
@@ -122,7 +142,7 @@ def token_batches(
             {
                 line_no: group[line_no],
                 "shard_id": group["shard_id"],
-                "batch_no": _scan_budget(group["__len"].to_numpy(), budget),
+                "batch_no": _budget_numbers(group["__len"].to_numpy(), budget),
             }
         )
 

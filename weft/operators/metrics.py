@@ -99,6 +99,11 @@ def ordered_fingerprint(df: DataFrame, idx: str, text: str, rows: int = 1000) ->
 
 
 def set_fingerprint(df: DataFrame, *columns: str) -> DataFrame:
-    """``n, fingerprint``: order-independent, for tables of any size."""
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("\n", *columns)), 1, 15), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(hashed).alias("fingerprint"))
+    """``n, fingerprint``: order-independent, for tables of any size.
+
+    The sum of a 60-bit digest of each row, so that equal rows add up. A value is marked
+    and so is NULL, which differs from an empty string and from a column left out.
+    """
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("\n", *marked)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(hashed).cast("decimal(38,0)").alias("fingerprint"))

@@ -77,10 +77,15 @@ def _number(narrow: DataFrame, block: Column, order: list[Column], name: str, bi
 def dense_index(df: DataFrame, key: str, name: str = "line_no", bits: int = ID_BITS) -> DataFrame:
     """Add ``name``: the rank from 0 of the unique integer ``key``.
 
-    Only the key is sorted; the payload meets its number in an equi-join on the key.
+    Only the key is sorted; the payload meets its number in an equi-join on the key. Keys are
+    0 or more and have at most ``bits`` bits; any other, and NULL, is an error.
     """
+    inside = (F.col(key) >= 0) & (F.shiftright(F.col(key).cast("bigint"), bits) == 0)
+    checked = F.when(inside, F.col(key)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{key} is outside 0 to 2^{bits} - 1: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    )
     numbered = _number(
-        df.select(key), F.shiftright(key, ROW_BITS), [F.col(key)], name, bits - ROW_BITS
+        df.select(checked.alias(key)), F.shiftright(key, ROW_BITS), [F.col(key)], name, bits - ROW_BITS
     )
     return df.join(numbered, key)
 

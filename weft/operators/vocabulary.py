@@ -207,8 +207,10 @@ def decode(
 
 
 def contains(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """The rows whose ``token`` is in the vocabulary."""
-    return tokens.join(vocab.select("token").distinct(), "token", "left_semi")
+    """The rows whose ``token`` is in the vocabulary; a token of very many rows is split."""
+    rest = [c for c in tokens.columns if c != "token"]
+    known = vocab.select("token").distinct()
+    return join_unique(tokens, known, "token", rest or ["token"], "left_semi").select(*tokens.columns)
 
 
 def size(vocab: DataFrame) -> DataFrame:

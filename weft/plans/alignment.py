@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import text, vectors
 from weft.operators import alignment as op
 from weft.operators import projection
-from weft.operators.ordering import dense_index
+from weft.operators.ordering import dense_index, ranked
 from weft.operators.trees import is_valid
 from weft.plans import views
 from weft.sources import tables
@@ -142,8 +142,9 @@ def unlabelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tripled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = tables.pairs(spark, sf_dir)
-    return op.replicate(pairs, 3, "turn").select("conv_id", "turn", "pos", F.col("out_no"), "tgt")
+    """Pairs in (conversation, turn) order, numbered, then each three times."""
+    pairs = ranked(tables.pairs(spark, sf_dir), [F.col("conv_id"), F.col("turn")], "line_no")
+    return op.replicate(pairs, 3, "line_no").select("conv_id", "turn", "pos", F.col("out_no"), "src", "tgt")
 
 
 QUERIES = {
@@ -233,5 +234,6 @@ WITH {_CODED}
 SELECT doc_id, line_no, line AS src FROM v_lines WHERE NOT EXISTS (SELECT 1 FROM coded c WHERE c.src = trim(line))""",
     "tripled_pairs": f"""
 WITH {views.PAIRS}
-SELECT conv_id, turn, pos, turn * 3 + pos AS out_no, tgt FROM v_pairs, range(0, 3) AS r(pos)""",
+, numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no FROM v_pairs)
+SELECT conv_id, turn, pos, line_no * 3 + pos AS out_no, src, tgt FROM numbered, range(0, 3) AS r(pos)""",
 }

@@ -115,5 +115,5 @@ t AS (SELECT doc_id, line_no, trim('<s> ' || array_to_string({views.tokens('line
 v AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id || ':' || line_no || ':{SEED}'), doc_id, line_no) - 1 AS idx FROM t)
 SELECT count(*) AS n, right(sha1(string_agg(text, chr(10) ORDER BY idx)), 8) AS fingerprint, 'valid' AS kind FROM v WHERE idx < 1000
 UNION ALL
-SELECT count(*), CAST(bit_xor(CAST('0x' || substr(md5(text), 1, 15) AS BIGINT)) AS VARCHAR), 'all' FROM t""",
+SELECT count(*), CAST(sum(CAST('0x' || substr(md5('=' || text), 1, 15) AS BIGINT)) AS VARCHAR), 'all' FROM t""",
 }

@@ -21,9 +21,10 @@ def read_lines(spark: SparkSession, path: str | list[str], partitions: int | Non
     """``line_no, file, text``: text lines numbered from 0 in (file path, position) order.
 
     Spark packs file splits into tasks by size, so the order of files is not that of the
-    tasks. Inside a split, though, rows keep their order; a first pass counts the rows of
-    each split, and the line number is the start of the split plus the place in it. The
-    text itself is neither sorted nor shuffled. A last line without line end counts.
+    tasks. Inside a split, though, rows keep their order. The lines are written once with
+    their split and place, so that later changes of the splits mean nothing; the rows of each
+    split are counted there, and the line number is the start of the split plus the place in
+    it. The text itself is neither sorted nor shuffled. A last line without line end counts.
 
     ``.gz`` files are read by one task each; ``partitions`` spreads the lines afterwards.
     """
@@ -33,6 +34,7 @@ def read_lines(spark: SparkSession, path: str | list[str], partitions: int | Non
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__id"),
     )
+    raw = freeze(raw)
     splits = freeze(
         raw.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     )
