@@ -152,6 +152,15 @@ def _led(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return keys[first], ids[first], links
 
 
+def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with the places that hold it."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else []
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        yield int(ordered[a]), order[a:b]
+
+
 def _entries(n: int, num: int, den: int, buckets: int):
     """Entries by bucket, combined in the task: a key leaves it once, however many sets have it."""
 
@@ -160,16 +169,14 @@ def _entries(n: int, num: int, den: int, buckets: int):
         ids = np.repeat(np.array([i for _, i in found], np.int64), [len(k) for k, _ in found])
         keys, ids, links = _led(keys, ids)
         rows = []
-        for kind, values, left, right in (
-            (0, keys % np.uint64(buckets), keys.view(np.int64), ids),
-            (1, links[:, 0] % buckets, links[:, 0], links[:, 1]),
-        ):
-            order = np.argsort(values, kind="stable")
-            ordered = values[order]
-            cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else []
-            for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                take = order[a:b]
-                rows.append((int(ordered[a]), kind, left[take].tobytes(), right[take].tobytes()))
+        # kind 0: keys, 48 bits of each, by document; 1: links.
+        for bucket, at in _groups(keys % np.uint64(buckets)):
+            at = at[np.argsort(ids[at], kind="stable")]
+            whose, counts = np.unique(ids[at], return_counts=True)
+            upper, middle = (keys[at] >> np.uint64(32)).astype(np.uint32), (keys[at] >> np.uint64(16)).astype(np.uint16)
+            rows.append((bucket, 0, upper.tobytes() + middle.tobytes(), whose.tobytes() + counts.astype(np.uint32).tobytes()))
+        for bucket, at in _groups(links[:, 0] % buckets):
+            rows.append((bucket, 1, links[at, 0].tobytes(), links[at, 1].tobytes()))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
              pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
@@ -197,11 +204,18 @@ def _reduce(rows: pa.Table) -> pa.Table:
     kinds = rows["kind"].to_pylist()
     a, b = rows["a"].to_pylist(), rows["b"].to_pylist()
 
-    def joined(kind: int, blobs: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(blob for k, blob in zip(kinds, blobs) if k == kind), np.int64)
-
-    _, _, links = _led(joined(0, a), joined(0, b))
-    links = np.unique(np.concatenate((links, np.stack((joined(1, a), joined(1, b)), axis=1))), axis=0)
+    keys, ids, links = [], [], []
+    for kind, left, right in zip(kinds, a, b):
+        if kind == 1:
+            links.append(np.stack((np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)), axis=1))
+            continue
+        size, owners = len(left) // 6, len(right) // 12
+        upper, middle = np.frombuffer(left[: 4 * size], np.uint32), np.frombuffer(left[4 * size :], np.uint16)
+        keys.append((upper.astype(np.uint64) << np.uint64(16)) | middle)
+        ids.append(np.repeat(np.frombuffer(right[: 8 * owners], np.int64), np.frombuffer(right[8 * owners :], np.uint32)))
+    if keys:
+        links.append(_led(np.concatenate(keys), np.concatenate(ids))[2])
+    links = np.unique(np.concatenate(links), axis=0)
     return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
 
@@ -356,51 +370,60 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> D
     chosen = members.join(sizes.filter("sets > 1").drop("sets"), "cluster")
     texts = docs.join(chosen, "doc_id").select("doc_id", "cluster", "blocks", "n", "text")
     sets = freeze(map_batches(texts, _grams(n), "doc_id long, cluster long, blocks int, n long, grams binary"))
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("blocks") > 1).alias("cut")).first()
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long"))
-    placed = sets.withColumn("block", block)
-    found = freeze(link(placed.withColumn("tree", F.xxhash64("cluster", "block")), total.n, num, den))
+    narrow = sets.select("doc_id", "cluster", "blocks", "n").withColumn("block", block)
+    total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("blocks") > 1).alias("cut")).first()
+    found = freeze(link(sets.withColumn("tree", F.xxhash64("cluster", block)), total.n, num, den))
     if not total.cut:
         return found
-    wide = placed.filter("blocks > 1")
+
+    # From here on only names are moved, and the n-grams of the sets that meet again.
+    wide = narrow.filter("blocks > 1").distinct()
+    wide_grams = sets.filter("blocks > 1").select("doc_id", "grams")
+
+    def linked(met: DataFrame) -> DataFrame:
+        """Links inside the trees of ``met(tree, doc_id, n)``."""
+        met = freeze(met.select("tree", "doc_id", "n"))
+        weight = met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        return link(met.join(wide_grams, "doc_id"), weight, num, den)
 
     def parted(links: DataFrame) -> DataFrame:
         roots = components(links)
-        return wide.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-            "part", F.coalesce("root", "doc_id")
-        ).drop("root")
+        return freeze(
+            wide.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            .withColumn("part", F.coalesce("root", "doc_id"))
+            .drop("root")
+        )
 
     # One set of each part: linked again, as long as that leaves fewer.
     count = None
     while True:
-        heads = parted(found).filter("doc_id = part")
-        now = heads.agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        if count is not None and now.c >= 0.9 * count:
+        parts_now = parted(found)
+        heads = parts_now.filter("doc_id = part")
+        now = heads.count()
+        if count is not None and now >= 0.9 * count:
             break
-        count = now.c
-        again = heads.join(
-            heads.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).alias("heads")), "cluster"
-        ).withColumn("tree", F.xxhash64("cluster", F.pmod(F.xxhash64("doc_id", F.lit(now.c)), "heads")))
-        found = freeze(found.union(link(again, now.n, num, den)))
-    parts_now = freeze(parted(found))
+        count = now
+        groups = heads.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).alias("heads"))
+        again = heads.join(groups, "cluster").withColumn(
+            "tree", F.xxhash64("cluster", F.pmod(F.xxhash64("doc_id", F.lit(now)), "heads"))
+        )
+        found = freeze(found.union(linked(again)))
     counts = parts_now.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("size"))
     largest = counts.groupBy("cluster").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))
     tagged = parts_now.join(largest, "cluster")
     outside = tagged.filter("part != largest")
     beyond = outside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("groups"))
     group = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups").cast("long"))
-    strays = outside.join(beyond, "cluster").withColumn("group", group).withColumn(
-        "block", F.explode(F.expr("sequence(0L, blocks - 1L)"))
+    strays = (
+        outside.join(beyond, "cluster")
+        .withColumn("group", group)
+        .withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1L)")))
     )
     hosts = tagged.join(beyond, "cluster").withColumn("group", F.explode(F.expr("sequence(0L, groups - 1L)")))
-    meeting = (
-        strays.select("cluster", "block", "group", "doc_id", "n", "grams")
-        .union(hosts.select("cluster", "block", "group", "doc_id", "n", "grams"))
-        .dropDuplicates(["cluster", "block", "group", "doc_id"])
-        .withColumn("tree", F.xxhash64("cluster", "block", "group"))
-    )
-    weight = meeting.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    return freeze(found.union(link(meeting, weight, num, den)))
+    names = ["cluster", "block", "group", "doc_id", "n"]
+    meeting = strays.select(*names).union(hosts.select(*names)).distinct()
+    return freeze(found.union(linked(meeting.withColumn("tree", F.xxhash64("cluster", "block", "group")))))
 
 
 def similar(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
