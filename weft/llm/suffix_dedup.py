@@ -141,44 +141,80 @@ def _names(buckets: int):
     return run
 
 
-def _met(rows: pa.Table) -> pa.Table:
-    """``doc, tag, names``: the names of a bucket that more than one entry has."""
-    bucket = rows["bucket"][0].as_py()
-    kinds, names, owners = (rows[c].to_pylist() for c in ("kind", "names", "owners"))
-
-    def joined(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        short = np.frombuffer(b"".join(b for k, b in zip(kinds, names) if k == kind), np.uint32)
-        listed = np.frombuffer(b"".join(b for k, b in zip(kinds, owners) if k == kind), _OWNER)
-        return short, np.repeat(listed[["doc", "tag"]], listed["count"])
-
-    n, o = joined(0)
-    order = np.argsort(n, kind="stable")
-    n, o = n[order], o[order]
-    again = np.zeros(len(n), bool)
-    same = n[1:] == n[:-1]
-    again[1:] |= same
-    again[:-1] |= same
-    known, theirs = joined(1)
-    n, o = np.concatenate((n[again], known)), np.concatenate((o[again], theirs))
+def _met(groups: int):
+    def met(rows: pa.Table) -> pa.Table:
+        """The names of a bucket that more than one entry has: a row for each group of documents."""
+        bucket = rows["bucket"][0].as_py()
+        kinds, names, owners = (rows[c].to_pylist() for c in ("kind", "names", "owners"))
+
+        def joined(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            short = np.frombuffer(b"".join(b for k, b in zip(kinds, names) if k == kind), np.uint32)
+            listed = np.frombuffer(b"".join(b for k, b in zip(kinds, owners) if k == kind), _OWNER)
+            return short, np.repeat(listed, listed["count"])
+
+        n, o = joined(0)
+        order = np.argsort(n, kind="stable")
+        n, o = n[order], o[order]
+        again = np.zeros(len(n), bool)
+        same = n[1:] == n[:-1]
+        again[1:] |= same
+        again[:-1] |= same
+        known, theirs = joined(1)
+        n, o = np.concatenate((n[again], known)), np.concatenate((o[again], theirs))
+        order = np.lexsort((o["tag"], o["doc"]))
+        n, o = n[order], o[order]
+        out = [
+            (group, bucket, _listed(o[at]).tobytes(), n[at].tobytes()) for group, at in _groups(o["doc"] % groups)
+        ]
+        return pa.Table.from_batches([_table(_MET, out)])
+
+    return met
+
+
+_MET = pa.schema([("group", pa.int64()), ("bucket", pa.int64()), ("owners", pa.binary()), ("names", pa.binary())])
+
+
+def _firsts(owners: np.ndarray) -> np.ndarray:
+    """Where the next document begins in sorted owners."""
+    change = (owners["doc"][1:] != owners["doc"][:-1]) | (owners["tag"][1:] != owners["tag"][:-1])
+    return np.flatnonzero(np.concatenate(([True], change))) if len(owners) else np.zeros(0, np.int64)
+
+
+def _listed(owners: np.ndarray) -> np.ndarray:
+    """Sorted owners, each once with its count."""
+    cuts = _firsts(owners)
+    out = owners[cuts].copy()
+    out["count"] = np.diff(np.concatenate((cuts, [len(owners)])))
+    return out
+
+
+def _by_document(rows: pa.Table) -> pa.Table:
+    """``doc, tag, met``: the codes of all names of each document of a group."""
+    codes, owners = [], []
+    for bucket, listed, names in zip(*(rows[c].to_pylist() for c in ("bucket", "owners", "names"))):
+        whose = np.frombuffer(listed, _OWNER)
+        owners.append(np.repeat(whose, whose["count"]))
+        codes.append(np.frombuffer(names, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+    c, o = np.concatenate(codes), np.concatenate(owners)
     order = np.lexsort((o["tag"], o["doc"]))
-    n, o = n[order].astype(np.uint64) | np.uint64(bucket << 32), o[order]
-    cuts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1]))) if len(o) else np.zeros(0, np.int64)
+    c, o = c[order], o[order]
+    cuts = _firsts(o)
     return pa.table(
         {
             "doc": pa.array(o["doc"][cuts], pa.int64()), "tag": pa.array(o["tag"][cuts].astype(np.int64)),
-            "names": pa.array([np.unique(n[a:b]).tobytes() for a, b in zip(cuts, [*cuts[1:], len(o)])], pa.binary()),
+            "met": pa.array([c[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(c)])], pa.binary()),
         }
     )
 
 
 def names_met(docs: DataFrame, buckets: int) -> DataFrame:
-    """``doc, tag, met``: of each document, lists of its names that others may have as well."""
+    """``doc, tag, met``: of each document, the codes of its names that others may have as well."""
     dealt = map_batches(docs, _names(buckets), "bucket long, kind int, names binary, owners binary")
     return (
         dealt.groupBy("bucket")
-        .applyInArrow(_met, "doc long, tag long, names binary")
-        .groupBy("doc", "tag")
-        .agg(F.collect_list("names").alias("met"))
+        .applyInArrow(_met(buckets), "group long, bucket long, owners binary, names binary")
+        .groupBy("group")
+        .applyInArrow(_by_document, "doc long, tag long, met binary")
     )
 
 
@@ -215,7 +251,7 @@ def _segments(shards: int, buckets: int):
             ):
                 names, starts = named_runs(np.frombuffer(text, np.uint8))
                 ends = np.concatenate((starts[1:], [len(text) - WIDTH + 1])) + WIDTH - 1
-                wanted = np.flatnonzero(np.isin(_codes(names, buckets), np.frombuffer(b"".join(met), np.uint64)))
+                wanted = np.flatnonzero(np.isin(_codes(names, buckets), np.frombuffer(met, np.uint64)))
                 for name, start, end in zip(names[wanted].tolist(), starts[wanted].tolist(), ends[wanted].tolist()):
                     body = text[start:end]
                     kept = found.get(body)
