@@ -196,9 +196,20 @@ def test_tree_links_equal_all_pairs():
         ]
         links = jaccard.forest(sets, num, den)
         assert len(links) < len(sets) and closure(links) == closure(plain)
-        # Similar sets share a key.
-        keys = [set(jaccard.signatures(s, num, den).tolist()) for s in sets]
-        assert all(keys[i] & keys[j] for i, j in plain)
+        # Similar sets share a key, whatever the order of n-grams is.
+        for levels in (np.zeros(1 << jaccard.COUNTER_BITS, np.uint8),
+                       np.random.default_rng(num).integers(0, 128, 1 << jaccard.COUNTER_BITS).astype(np.uint8)):
+            keys = [set(jaccard.signatures(s, levels, num, den).tolist()) for s in sets]
+            assert all(keys[i] & keys[j] for i, j in plain)
+
+
+def test_counts_added_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FAN_IN", 2)
+    size = 1 << jaccard.SLICE_BITS
+    rows = [(s, t, np.full(size, s + 1, np.uint32).tobytes()) for s in (0, 5) for t in range(5)]
+    levels = jaccard.rarity(spark.createDataFrame(rows, "slice int, task long, counts binary"))
+    assert len(levels) == 1 << jaccard.COUNTER_BITS
+    assert levels[0] == int(4 * np.log2(6)) and levels[5 * size] == int(4 * np.log2(31)) and levels[size] == 0
 
 
 def test_components_of_paths(spark):

@@ -3,9 +3,11 @@
 A set is a text's distinct n-grams as 64-bit hashes. The steps:
 
 1. ``describe``: size and digest of every set. Equal sets are linked by their digest.
-2. ``candidate_edges``: an exact filter deals sets into clusters. The hash range is cut into
-   so many parts that two similar sets must agree on a whole part, so sets that share no
-   part's content are not similar, whatever n-grams are common.
+2. ``candidate_edges``: an exact filter deals sets into clusters. Of n-grams in one order, the
+   least common one of two similar sets lies among the first few of both (a prefix filter),
+   so sets that share none of these are not similar. Rare n-grams come first: the order is by
+   counts of all documents' n-grams in a hashed table of a fixed size (``rarity``). Any
+   order is exact; a good one keeps passages that many documents share out of the prefixes.
 3. ``link``: the sets of a cluster meet in signature trees, whose nodes hold OR-combined
    bitmaps and size ranges. A dual traversal drops pairs of nodes by the maximum possible
    overlap; pairs of sets that remain are counted exactly.
@@ -16,11 +18,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,10 @@ TASK_NGRAMS = 4_000_000
 LEAF = 16
 FANOUT = 8
 LEAST_BITS, MOST_BITS = 256, 1 << 16
+# The table of counts: 2^22 counters in slices of 2^15. What is broadcast is a byte a counter, 4 MB.
+COUNTER_BITS, SLICE_BITS = 22, 15
+# Tables of counts that are added up at a time.
+FAN_IN = 256
 
 
 class _WordHashes(dict):
@@ -68,6 +74,20 @@ def ngrams(text: bytes, n: int) -> np.ndarray:
     return np.unique(total)
 
 
+def counter(grams: np.ndarray) -> np.ndarray:
+    """The counters of n-grams."""
+    return (grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def prefix(size: int, num: int, den: int) -> int:
+    """N-grams in the prefix of a set: two similar sets have their first common one there.
+
+    They have at least ``num / den`` of either's n-grams in common, so that many stand from
+    the first common one on.
+    """
+    return size - -(-num * size // den) + 1 if size else 0
+
+
 def classes(num: int, den: int, limit: int) -> tuple[int, ...]:
     """Bounds of size classes: similar sets are of one class or of two neighbours."""
     bounds = [1]
@@ -76,70 +96,108 @@ def classes(num: int, den: int, limit: int) -> tuple[int, ...]:
     return tuple(bounds)
 
 
-def parts(num: int, den: int, low: int, high: int) -> tuple[int, int]:
-    """Parts for sets whose smaller has ``low`` to ``high`` - 1 n-grams, and empty parts to spare.
-
-    Similar sets differ in ``most`` n-grams at the most, each of which spoils one part. With
-    ``most + 1 + spare`` parts, more than ``spare`` agree; so one of them has n-grams, if
-    either set has no more than ``spare`` empty parts. Sets with more list those as well.
-    """
-    most = (high - 1) * (den - num) // num
-    if most == 0:
-        return 1, 0
-    empty = (most + 1) * exp(-low / (most + 1))
-    spare = ceil(empty + 3 * sqrt(empty))
-    return most + 1 + spare, spare
-
-
-def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A key for each part's content, for the set's own size class and the one below."""
-    size = len(grams)
-    limit = 1 << max(10, size.bit_length())
+def signatures(grams: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A key for each n-gram of the prefix, in the order of ``levels`` and then of hashes, for the
+    set's own size class and for the one below."""
+    limit = 1 << max(10, len(grams).bit_length())
     bounds = worker_cache(f"classes {num} {den} {limit}", lambda: classes(num, den, limit))
-    own = int(np.searchsorted(bounds, size, side="right")) - 1
-    mixed = _mixed(grams)
-    keys = []
-    for c in (own, own - 1):
-        if c < 0:
-            continue
-        count, spare = parts(num, den, bounds[c], bounds[c + 1])
-        # Cut by the upper bits: the n-grams are sorted, so a part is a run.
-        at = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        where, sums = at[starts], np.add.reduceat(mixed, starts)
-        if count - len(starts) > spare:
-            none = np.setdiff1d(np.arange(count, dtype=np.uint64), where)
-            where, sums = np.concatenate((where, none)), np.concatenate((sums, np.zeros(len(none), np.uint64)))
-        keys.append(_mixed(sums + _mixed(where * np.uint64(1 << 20) + np.uint64(c + 1))))
-    return np.concatenate(keys)
-
+    own = int(np.searchsorted(bounds, len(grams), side="right"))
+    ranks = (levels[counter(grams)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
+    count = prefix(len(grams), num, den)
+    first = _mixed(np.partition(ranks, count - 1)[:count])
+    return np.concatenate([_mixed(first + np.uint64(c)) for c in (own, own - 1)])
 
-def key_count(size: int, num: int, den: int) -> int:
-    """About how many keys a set of ``size`` n-grams has."""
-    return 2 * (size * (den - num) // num + 1)
 
-
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.int64())])
+_SETS = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.int64()),
+     ("slice", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())]
+)
 
 
 def _describe(n: int, num: int, den: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
+        waiting, held = [], 0
         for batch in batches:
             sizes, digests, keys = [], [], []
             for text in as_bytes(batch["text"]):
                 grams = ngrams(text or b"", n)
                 sizes.append(len(grams))
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-                keys.append(key_count(len(grams), num, den))
-            arrays = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_SETS)
+                keys.append(2 * prefix(len(grams), num, den))
+                waiting.append(counter(grams))
+                held += len(grams)
+                if held >= CHUNK:
+                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+                    waiting, held = [], 0
+            none = pa.nulls(len(sizes))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()),
+                 none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())],
+                schema=_SETS,
+            )
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+        slices = [c for c in enumerate(np.split(counts, 1 << (COUNTER_BITS - SLICE_BITS))) if c[1].any()]
+        task = TaskContext.get().partitionId()
+        none = pa.nulls(len(slices))
+        yield pa.RecordBatch.from_arrays(
+            [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()),
+             pa.array([i for i, _ in slices], pa.int32()), pa.array([task] * len(slices), pa.int64()),
+             pa.array([c.tobytes() for _, c in slices], pa.binary())],
+            schema=_SETS,
+        )
 
     return describe
 
 
-def describe(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n, digest, keys`` of every row of ``docs(doc_id, text)``, written down."""
-    return freeze(map_batches(docs, _describe(n, num, den), "doc_id long, n long, digest binary, keys long"))
+def describe(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs(doc_id, text)``, written down: ``doc_id, n, digest, keys`` of every row, and the
+    tables of counts of all n-grams, ``slice, task, counts``."""
+    schema = "doc_id long, n long, digest binary, keys long, slice int, task long, counts binary"
+    both = freeze(map_batches(docs, _describe(n, num, den), schema))
+    return (
+        both.filter("slice IS NULL").select("doc_id", "n", "digest", "keys"),
+        both.filter("slice IS NOT NULL").select("slice", "task", "counts"),
+    )
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    total = np.zeros(1 << SLICE_BITS, np.uint32)
+    for counts in rows["counts"].to_pylist():
+        more = total + np.frombuffer(counts, np.uint32)
+        total = np.where(more < total, np.uint32(0xFFFFFFFF), more)  # a full counter stays full
+    return pa.table(
+        {"slice": rows["slice"][:1].cast(pa.int32()), "task": rows["task"][:1], "counts": pa.array([total.tobytes()], pa.binary())}
+    )
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts as a byte each: four levels for each doubling."""
+    for batch in batches:
+        found = [
+            np.floor(4 * np.log2(1.0 + np.frombuffer(c, np.uint32))).astype(np.uint8).tobytes()
+            for c in batch["counts"].to_pylist()
+        ]
+        yield pa.RecordBatch.from_arrays([batch["slice"], pa.array(found, pa.binary())], names=["slice", "levels"])
+
+
+def rarity(counts: DataFrame) -> np.ndarray:
+    """A level for each counter, of a size that is fixed; the tables are added up in a tree."""
+    most = counts.agg(F.coalesce(F.max("task"), F.lit(0)).alias("task")).first().task
+    while True:
+        counts = (
+            counts.withColumn("task", F.expr(f"task div {FAN_IN}"))
+            .groupBy("slice", "task")
+            .applyInArrow(_added, "slice int, task long, counts binary")
+        )
+        most //= FAN_IN
+        if most == 0:
+            break
+    levels = np.zeros((1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
+    for row in map_batches(counts, _levels, "slice int, levels binary").collect():
+        levels[row.slice] = np.frombuffer(row.levels, np.uint8)
+    return levels.reshape(-1)
 
 
 def _led(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +219,7 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ordered[a]), order[a:b]
 
 
-def _entries(n: int, num: int, den: int, buckets: int):
+def _entries(levels: Broadcast, n: int, num: int, den: int, buckets: int):
     """Entries by bucket, combined in the task: a key leaves it once, however many sets have it."""
 
     def flush(found: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
@@ -189,7 +247,7 @@ def _entries(n: int, num: int, den: int, buckets: int):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"])):
                 grams = ngrams(text or b"", n)
                 if len(grams):
-                    found.append((signatures(grams, num, den), doc_id))
+                    found.append((signatures(grams, levels.value, num, den), doc_id))
                     size += len(found[-1][0])
                 if size >= CHUNK:
                     yield flush(found)
@@ -219,10 +277,11 @@ def _reduce(rows: pa.Table) -> pa.Table:
     return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
 
-def candidate_edges(docs: DataFrame, entries: int, n: int, num: int, den: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, levels: np.ndarray, entries: int, n: int, num: int, den: int) -> DataFrame:
     """``a, b``: edges that connect all documents that share a key, ``entries`` keys in all."""
     buckets = max(1, -(-entries // CHUNK))
-    dealt = map_batches(docs, _entries(n, num, den, buckets), "bucket long, kind int, a binary, b binary")
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    dealt = map_batches(docs, _entries(shared, n, num, den, buckets), "bucket long, kind int, a binary, b binary")
     return dealt.groupBy("bucket").applyInArrow(_reduce, "a long, b long")
 
 
@@ -426,6 +485,31 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> D
     return freeze(found.union(linked(meeting.withColumn("tree", F.xxhash64("cluster", "block", "group")))))
 
 
+def _refined(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``members`` with clusters of more sets than a tree holds cut by the filter again.
+
+    Counts of their n-grams alone tell rare ones better than counts of all documents, and any
+    order is exact: similar sets stay together. It ends when a round leaves nearly as many.
+    """
+    before = None
+    while True:
+        large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > TREE_SETS)
+        wide = members.join(large, "cluster")
+        count = wide.count()
+        if count == 0 or (before is not None and count >= 0.9 * before):
+            return members
+        before = count
+        texts = freeze(docs.join(wide.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
+        sets, counts = describe(texts, n, num, den)
+        total = sets.agg(F.sum("keys").alias("keys")).first().keys
+        found = components(candidate_edges(texts, rarity(counts), total, n, num, den))
+        # A set without an edge is alone; clusters of one are of no use further on.
+        cut = wide.join(found.withColumnRenamed("node", "doc_id"), "doc_id").select(
+            "doc_id", "n", F.xxhash64("cluster", "root").alias("cluster")
+        )
+        members = freeze(members.join(large, "cluster", "left_anti").select("doc_id", "n", "cluster").union(cut))
+
+
 def similar(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -440,7 +524,7 @@ def similar(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id: str =
     and no component. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sets = describe(rows, n, num, den)
+    sets, counts = describe(rows, n, num, den)
     named = rows.filter("doc_id IS NOT NULL")
     total = sets.agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("keys")).first().keys
     filled = sets.filter("doc_id IS NOT NULL AND n > 0")
@@ -448,12 +532,12 @@ def similar(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id: str =
     smallest = filled.groupBy("digest").agg(F.min("doc_id").alias("first"))
     equal = freeze(filled.join(smallest, "digest").select("doc_id", "n", "first"))
     copies = equal.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    clusters = components(candidate_edges(named, total, n, num, den).union(copies))
-    members = (
+    clusters = components(candidate_edges(named, rarity(counts), total, n, num, den).union(copies))
+    members = freeze(
         equal.filter("doc_id = first").select("doc_id", "n").distinct()
         .join(clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
     )
-    links = _links(named, members, n, num, den)
+    links = _links(named, _refined(named, members, n, num, den), n, num, den)
     reached = components(links.union(copies))
     return sets.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")
