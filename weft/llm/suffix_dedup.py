@@ -218,7 +218,7 @@ def names_met(docs: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-# kind 0: segments of a shard. kind 1: spans removed, a row a document.
+# kind 0: segments of a shard. kind 1: spans removed, a row a group of documents.
 _SEGMENTS = pa.schema(
     [("shard", pa.int64()), ("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int64()),
      ("spans", pa.binary()), ("body", pa.binary())]
@@ -238,8 +238,9 @@ def _segments(shards: int, buckets: int):
             head = np.int64(len(parts)).tobytes() + sizes.tobytes()
             rows.append((shard, 0, None, None, spans.tobytes(), head + b"".join(body for body, _, _ in parts)))
         yield _table(_SEGMENTS, rows)
-        if gone:
-            yield _table(_SEGMENTS, _as_rows(np.array(gone, np.int64), shards))
+        removed = [(group, 1, None, None, some.tobytes(), None) for group, some in _by_group([gone] if gone else [], shards)]
+        if removed:
+            yield _table(_SEGMENTS, removed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, tuple[int, list, int]] = {}
@@ -274,15 +275,26 @@ def _segments(shards: int, buckets: int):
     return run
 
 
-def _as_rows(spans: np.ndarray, shards: int) -> list[tuple]:
-    """Spans (doc, tag, start, end) as a row a document."""
+def _joined(spans: np.ndarray) -> np.ndarray:
+    """Spans (doc, tag, start, end) sorted, with those of one text that touch as one."""
     spans = spans[np.lexsort((spans[:, 3], spans[:, 2], spans[:, 1], spans[:, 0]))]
-    change = (spans[1:, :2] != spans[:-1, :2]).any(axis=1)
-    cuts = np.flatnonzero(np.concatenate(([True], change)))
-    return [
-        (int(spans[a, 0]) % shards, 1, int(spans[a, 0]), int(spans[a, 1]), _merged(spans[a:b, 2:]).tobytes(), None)
-        for a, b in zip(cuts, [*cuts[1:], len(spans)])
-    ]
+    change = np.concatenate(([True], (spans[1:, :2] != spans[:-1, :2]).any(axis=1)))
+    # The reach of a span counts within its text: each text's ends are lifted above those before.
+    lift = (np.cumsum(change) - 1) << 40
+    reach = np.maximum.accumulate(spans[:, 3] + lift)
+    first = np.concatenate(([True], spans[1:, 2] + lift[1:] > reach[:-1]))
+    cuts = np.flatnonzero(first)
+    out = spans[cuts].copy()
+    out[:, 3] = np.concatenate((reach[cuts[1:] - 1], reach[-1:])) - lift[cuts]
+    return out
+
+
+def _by_group(spans: list, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Spans (doc, tag, start, end), joined, for each group of documents."""
+    if spans:
+        joined = _joined(np.concatenate([np.asarray(s, np.int64).reshape(-1, 4) for s in spans]))
+        for group, at in _groups(joined[:, 0] % groups):
+            yield group, joined[at]
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -335,15 +347,15 @@ def strings_met(bodies: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [found[a:b] - s for a, b, s in zip(edges, edges[1:], starts)]
 
 
-_GONE = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("spans", pa.binary())])
+_GONE = pa.schema([("group", pa.int64()), ("spans", pa.binary())])
 
 
 def _remove(shards: int):
     def remove(rows: pa.Table) -> pa.Table:
+        """The removed spans of a shard: a row (doc, tag, start, end)* for each group of documents."""
         kinds, docs, tags, spans, blobs = (rows[c].to_pylist() for c in ("kind", "doc", "tag", "spans", "body"))
-        out = [(d, t, s) for k, d, t, s in zip(kinds, docs, tags, spans) if k == 1]
         held: dict[bytes, tuple[int, list[np.ndarray]]] = {}
-        gone: list[np.ndarray] = []
+        gone = [np.frombuffer(s, np.int64).reshape(-1, 4) for k, s in zip(kinds, spans) if k == 1]
         variants: dict[int, list[bytes]] = {}
 
         def spans_of(places: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -384,13 +396,26 @@ def _remove(shards: int):
                 if len(found):
                     runs = _merged(np.stack((found, found + WIDTH), axis=1))
                     gone.append(spans_of(np.concatenate(held[body][1]), runs))
-        if gone:
-            out += [(d, t, s) for _, _, d, t, s, _ in _as_rows(np.concatenate(gone), shards)]
+        out = [(group, some.tobytes()) for group, some in _by_group(gone, shards)]
         return pa.Table.from_batches([_table(_GONE, out)])
 
     return remove
 
 
+def _spans_by_document(rows: pa.Table) -> pa.Table:
+    """``doc, tag, spans``: the maximal removed runs (start, end) of each document of a group."""
+    spans = np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 4) for s in rows["spans"].to_pylist()])
+    spans = _joined(spans)
+    change = (spans[1:, :2] != spans[:-1, :2]).any(axis=1)
+    cuts = np.flatnonzero(np.concatenate(([True], change)))
+    return pa.table(
+        {
+            "doc": pa.array(spans[cuts, 0], pa.int64()), "tag": pa.array(spans[cuts, 1], pa.int64()),
+            "spans": pa.array([spans[a:b, 2:].tobytes() for a, b in zip(cuts, [*cuts[1:], len(spans)])], pa.binary()),
+        }
+    )
+
+
 _RESULT = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
      ("kept_sha256", pa.string()), ("kept", pa.binary())]
@@ -402,7 +427,7 @@ def _cut(keep: bool):
         for batch in batches:
             rows = []
             for doc, text, spans in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"]), batch["spans"].to_pylist()):
-                runs = _merged(np.frombuffer(b"".join(spans or []), np.int64).reshape(-1, 2))
+                runs = np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
                 at, kept = 0, []
                 for start, end in runs.tolist():
                     kept.append(text[at:start])
@@ -449,9 +474,9 @@ def remove_repeats(docs: DataFrame, keep: bool = True, id: str = "doc_id", text:
     )
     gone = (
         dealt.groupBy("shard")
-        .applyInArrow(_remove(shards), "doc long, tag long, spans binary")
-        .groupBy("doc", "tag")
-        .agg(F.collect_list("spans").alias("spans"))
+        .applyInArrow(_remove(shards), "group long, spans binary")
+        .groupBy("group")
+        .applyInArrow(_spans_by_document, "doc long, tag long, spans binary")
     )
     return map_batches(
         rows.join(gone, keys, "left").select(F.when(F.col("tag") >= 0, F.col("doc")).alias("doc_id"), "text", "spans"),
