@@ -268,6 +268,21 @@ def test_mix_over_many_shards(docs):
     assert all(abs(t - want) <= 8 * 40 for t, want in by_source.values())
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_mix_of_other_layouts(spark, docs, copies):
+    rows = [tuple(r)[:5] for r in docs.collect() if copies > 1 or r.doc_id not in (None, 50)]
+    rows += [(900, "a text that repeats", lang, "s0", n) for n, lang in enumerate(["en", "fr"] * (copies // 2))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    layouts = [spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(rows[::-1], schema).repartition(7)]
+    runs = [mixing.mix(d, block_words=8, shard_words=500).drop("__row").collect() for d in layouts]
+    assert len({r.shard for r in runs[0]}) > 5
+    assert Counter(runs[0]) == Counter(runs[1])
+    if copies > 1:
+        assert len({r.shard for r in runs[0] if r.doc_id == 900}) > 1
+    mixed = [Counter(mixing.mixed_documents(d, block_words=8, shard_words=500).collect()) for d in layouts]
+    assert mixed[0] == mixed[1]
+
+
 def test_mixed_documents(docs):
     shares = mixing.mix(docs.withColumnRenamed("__row", "other")).filter("doc_id is not null and doc_id != 50")
     mixed = mixing.mixed_documents(docs.drop("__row"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import WORD, n_words
+from weft.operators.ordering import sliced
 from weft.session import freeze
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -104,6 +105,42 @@ def apportion(parties: DataFrame, group: list[str], order: list[str], votes: str
     )
 
 
+def _content(docs: DataFrame, columns: list[str]) -> list[Column]:
+    """What a hash of some columns takes: each with its null mark, as hashes skip nulls."""
+    parts = []
+    for c in columns:
+        value, kind = F.col(f"`{c}`"), docs.schema[c].dataType.simpleString()
+        # Maps and variants have no hash of their own.
+        parts += [value.isNull(), F.to_json(F.struct(value)) if "map<" in kind or "variant" in kind else value]
+    return parts
+
+
+def _numbered_equals(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Add ``__rank``: the number from 0, by ``order``, of a row among the rows of its ``key``.
+
+    Rows are sorted only if a key repeats. The sort cuts a key of very many rows into slices;
+    what earlier slices hold of it is added.
+    """
+    if rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").isEmpty():
+        return rows.withColumn("__rank", F.lit(0).cast("bigint"))
+    cut = sliced(rows, [F.col(key), *[F.col(c) for c in order]])
+    earlier = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # Only the first key of a slice can go on from an earlier one: one row a slice at most.
+    starts = (
+        cut.groupBy(key, "slice").agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__before", F.sum("__n").over(earlier))
+        .filter("__before > 0")
+        .select(key, "slice", "__before")
+    )
+    inside = F.row_number().over(Window.partitionBy(key, "slice").orderBy("__place")) - 1
+    return (
+        cut.withColumn("__rank", inside)
+        .join(F.broadcast(starts), [key, "slice"], "left")
+        .withColumn("__rank", F.col("__rank") + F.coalesce("__before", F.lit(0)))
+        .drop("slice", "__place", "__before")
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -116,6 +153,7 @@ def mix(
     text: str = "text",
     source: str = "source",
     row: str | None = None,
+    rest: str | None = None,
 ) -> DataFrame:
     """``doc_id, size, source, source_size, target, shard, rounds, extra, taken`` of every row.
 
@@ -129,15 +167,21 @@ def mix(
     source and shard are taken whole. ``taken`` is the words in all, repeats included; it
     never exceeds ``repeats`` times the size.
 
-    A null or empty text has size 0 and nothing is taken from it. Rows that repeat are
-    documents of their own. An empty table gives no rows. Other columns are not read.
+    Shard and order come from a hash of id, source, text and seed, so they are the same in
+    every layout of the rows. Rows equal in these are documents of their own and are told
+    apart by their number among equals, by ``rest`` (a column that hashes what else a row
+    holds) and then ``row``, which is the place in the read where it is not given.
+
+    A null or empty text has size 0 and nothing is taken from it. An empty table gives no
+    rows. Other columns are not read.
     """
     rows = freeze(
         docs.select(
             F.col(id).alias("doc_id"),
             F.col(source).alias("source"),
             n_words(F.col(text)).alias("size"),
-            F.xxhash64(F.col(id).isNull(), id, F.lit(seed)).alias("__order"),
+            F.xxhash64(*_content(docs, [id, source, text]), F.lit(seed)).alias("__content"),
+            (F.lit(0) if rest is None else F.col(rest)).cast("bigint").alias("__rest"),
             (F.monotonically_increasing_id() if row is None else F.col(row)).alias("__row"),
         )
     )
@@ -159,9 +203,14 @@ def mix(
         ["__all"], ["source"], "target", "__blocks", "quota",
     ).select("source", "source_size", "target", "quota")
 
-    # A row's place and its order are hashes of the written row, so repeated rows spread as well.
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("__order", "__row"), F.lit(shards)).cast("int"))
-    run = Window.partitionBy("source", "shard").orderBy("__order", "__row")
+    # Ids and sizes part what a hash may not; the row number only orders equal rows.
+    ties = ["doc_id", "source", "size", "__rest", "__row"]
+    rows = freeze(
+        _numbered_equals(rows, "__content", ties)
+        .withColumn("__order", F.xxhash64("__content", "__rank"))
+        .withColumn("shard", F.pmod(F.xxhash64("__order"), F.lit(shards)).cast("int"))
+    )
+    run = Window.partitionBy("source", "shard").orderBy("__order", *ties)
     cells = rows.groupBy("source", "shard").agg(F.sum("size").alias("words")).alias("c")
     cells = cells.join(quotas.alias("q"), F.col("c.source").eqNullSafe(F.col("q.source"))).select(
         "c.source", "shard", "words", "source_size", "target", "quota"
@@ -201,8 +250,10 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", cha
     is left out. The documents are written once with a row number that joins them to their
     share; the text is shuffled once.
     """
-    kept = freeze(docs.withColumn("__row", F.monotonically_increasing_id()))
-    shares = mix(kept, id=id, text=text, row="__row", **options).filter("taken > 0").select(
+    kept = freeze(
+        docs.withColumn("__rest", F.xxhash64(*_content(docs, docs.columns))).withColumn("__row", F.monotonically_increasing_id())
+    )
+    shares = mix(kept, id=id, text=text, row="__row", rest="__rest", **options).filter("taken > 0").select(
         "__row", F.col("rounds").alias("__rounds"), F.col("extra").alias("__extra"), F.col("size").alias("__size")
     )
     part = F.when(
