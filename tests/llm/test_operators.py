@@ -283,6 +283,16 @@ def test_mix_of_other_layouts(spark, docs, copies):
     assert mixed[0] == mixed[1]
 
 
+def test_small_sources_of_many_shards(spark):
+    rows = [(i, "word " * 200, "big") for i in range(300)] + [(1000 + i, "word " * 10, "small") for i in range(100)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=16, shard_words=500).collect()
+    assert len({r.shard for r in found}) > 50
+    for source in ("big", "small"):
+        part = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 16
+        assert sum(r.extra not in (0, r.size) for r in part) <= 1
+
+
 def test_mixed_documents(docs):
     shares = mixing.mix(docs.withColumnRenamed("__row", "other")).filter("doc_id is not null and doc_id != 50")
     mixed = mixing.mixed_documents(docs.drop("__row"))

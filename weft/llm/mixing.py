@@ -1,8 +1,8 @@
 """Mixing sources to target weights: Sainte-Laguë apportionment of equal-token blocks.
 
 DataFrame operations only. The steps are: targets per source (``fill_targets``), integer
-quotas of blocks per source and per shard (``apportion``), and a seeded choice of blocks in
-every shard (``mix``).
+quotas of blocks per source (``apportion``), and a seeded choice of that many words from the
+run of a source, which goes through all its shards (``mix``).
 """
 
 from __future__ import annotations
@@ -158,14 +158,14 @@ def mix(
     """``doc_id, size, source, source_size, target, shard, rounds, extra, taken`` of every row.
 
     Sources in code point order, null last and a source like any other, get the ``weights``
-    in turn. Documents are dealt to shards by a hash; the documents of a source and shard,
-    in an order given by the seed, make one run of words that is cut into blocks of
-    ``block_words`` (the last may be shorter). Sources get quotas of blocks by their
-    targets, shards get parts of them by their words, both by Sainte-Laguë. A quota takes
-    every block as often as it goes in whole ``rounds``, then the first blocks of the seeded
-    order, of which a document has its first ``extra`` words: so all documents but one of a
-    source and shard are taken whole. ``taken`` is the words in all, repeats included; it
-    never exceeds ``repeats`` times the size.
+    in turn. Documents are dealt to shards by a hash; the documents of a source, by shard and
+    inside it in an order given by the seed, make one run of words. Sources get quotas of
+    blocks of ``block_words`` by their targets, by Sainte-Laguë; the words of a quota, at most
+    ``repeats`` times the source, take the whole run in whole ``rounds``, then its first
+    words, of which a document has its first ``extra``: so all documents but one of a source
+    are taken whole, and however many shards there are, a source misses its target by no more
+    than its quota does. ``taken`` is the words in all, repeats included; it never exceeds
+    ``repeats`` times the size.
 
     Shard and order come from a hash of id, source, text and seed, so they are the same in
     every layout of the rows. Rows equal in these are documents of their own and are told
@@ -211,22 +211,26 @@ def mix(
         .withColumn("shard", F.pmod(F.xxhash64("__order"), F.lit(shards)).cast("int"))
     )
     run = Window.partitionBy("source", "shard").orderBy("__order", *ties)
-    cells = rows.groupBy("source", "shard").agg(F.sum("size").alias("words")).alias("c")
-    cells = cells.join(quotas.alias("q"), F.col("c.source").eqNullSafe(F.col("q.source"))).select(
-        "c.source", "shard", "words", "source_size", "target", "quota"
+    # The run of a source goes on from shard to shard: a cell starts where the ones before end.
+    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        rows.groupBy("source", "shard")
+        .agg(F.sum("size").alias("words"))
+        .withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        .alias("c")
     )
-    cells = apportion(cells, ["source"], ["shard"], "words", "quota", "cell_quota")
+    due = F.least(F.col("quota") * block_words, F.col("source_size") * repeats).cast("bigint")
     cells = (
-        cells.withColumn("blocks", F.ceil(F.col("words") / block_words))
-        .withColumn("cell_quota", F.least(F.col("cell_quota"), F.col("blocks") * repeats))
-        .withColumn("rounds", F.when(F.col("blocks") > 0, F.expr("cell_quota div blocks")).otherwise(0))
-        .withColumn("extra", F.col("cell_quota") - F.col("rounds") * F.col("blocks"))
+        cells.join(quotas.alias("q"), F.col("c.source").eqNullSafe(F.col("q.source")))
+        .select("c.source", "shard", "before", "source_size", "target", due.alias("due"))
+        .withColumn("rounds", F.when(F.col("source_size") > 0, F.expr("due div source_size")).otherwise(0))
+        .withColumn("extra", F.col("due") - F.col("rounds") * F.col("source_size"))
     )
 
-    b = F.lit(block_words).cast("bigint")
-    start = F.col("__end") - F.col("size")
-    # The words of the extra blocks come first in the run.
-    extra = F.greatest(F.least(F.col("__end"), F.col("extra") * b) - start, F.lit(0))
+    end = F.col("before") + F.col("__end")
+    start = end - F.col("size")
+    # The extra words come first in the run.
+    extra = F.greatest(F.least(end, F.col("extra")) - start, F.lit(0))
     return (
         rows.withColumn("__end", F.sum("size").over(run))
         .alias("r")
