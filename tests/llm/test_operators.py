@@ -99,6 +99,28 @@ def test_added_rules_and_masks(spark, no_docs):
     assert secret_scan.scan(no_docs).collect() == []
 
 
+def test_private_keys_are_masked_whole(spark):
+    lines = [hashlib.sha512(bytes([i])).hexdigest().upper().replace("0", "+").replace("1", "/").replace("2", "z")[:64] for i in range(40)]
+    begin, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join([*lines, "Qx9="])
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F1E\n\n"
+    key = f"{begin}\n{body}\n{end}"
+    cases = {
+        f"a {key} b": "a [SECRET] b",
+        f"a {key}\nb {key} c": "a [SECRET]\nb [SECRET] c",
+        f"{begin}\n{headers}{body}\n{end}\nb": "[SECRET]\nb",
+        'k = "' + key.replace("\n", "\\n") + '"': 'k = "[SECRET]"',
+        f"a\n{begin}\n{body}\nwords follow here": "a\n[SECRET]\nwords follow here",
+        f"{begin}\n{headers}{body}": "[SECRET]",
+        f"{begin}\n{body}\n-----BEGIN CERTIFICATE-----": "[SECRET]\n-----BEGIN CERTIFICATE-----",
+        f"a line {begin} opens a key file": "a line [SECRET] opens a key file",
+        f"{begin}\n" + (lines[0] + "\n") * 20000 + "so it ends": "[SECRET]\nso it ends",
+    }
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(cases)], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r.text for r in secret_scan.mask_documents(docs).collect()}
+    assert [out[i] for i in range(len(cases))] == list(cases.values())
+    assert trigrams.query(secret_scan.PRIVATE_KEY) == trigrams.query(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+
+
 def test_trigram_queries():
     assert trigrams.query("[0-9a-f]{24,}") is None
     assert trigrams.query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]

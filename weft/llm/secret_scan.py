@@ -27,6 +27,17 @@ class Rule:
     least: int = 0
 
 
+# A private key: the marker, then all up to the end marker if that is the next one; without it,
+# header lines and the run of base64 lines, of which the last may be short. Line ends may be
+# escaped, quoted or prefixed. Repeated groups are possessive: Java walks these without recursion.
+_KEY = r"[A-Z ]{0,30}PRIVATE KEY-----"
+_BREAK = r"""(?:[\s>|#*"',;+]|\\+[rnt])*+"""
+_BASE64_LINES = (
+    rf"(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
+    rf"(?:(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[ \t\r]*+\n|\s*+(?![\s\S])|[\\\"']))?+)?+"
+)
+PRIVATE_KEY = rf"-----BEGIN {_KEY}(?:(?>[\s\S]*?-----)END {_KEY}|{_BASE64_LINES})"
+
 # The forms of the secrets. The first three are the base rules. The bound of a
 # run's length stands in the expression where that finds the same matches.
 RULES = (
@@ -38,7 +49,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
 )
 BASE = ("assign", "access", "hex")
 
