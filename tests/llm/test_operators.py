@@ -394,6 +394,18 @@ def test_line_rules():
     assert not quality.judge((good + "\n" + noise).encode())[6]
 
 
+def test_long_clean_lines_may_mention_a_phrase():
+    words = [f"word{i}" for i in range(100)]
+    for phrase in ("privacy policy", "All rights reserved", "click here to"):
+        line = " ".join([*words[:60], phrase, *words[60:]]).encode()
+        assert not quality.line_fails(line), phrase
+        assert quality.judge(line)[6] and quality.judge(line)[9] == line
+        paragraphs = b"\n".join([" ".join(f"p{i}x{k}" for i in range(80)).encode() for k in range(5)] + [line])
+        assert quality.judge(paragraphs)[9] == paragraphs
+        assert quality.line_fails(" ".join([*words[:20], phrase]).encode()), phrase
+        assert quality.line_fails(" ".join([phrase] * 30 + words[:10]).encode()), phrase
+
+
 def test_quality_filter_keeps_columns(docs, texts):
     kept = quality.filter_documents(docs)
     assert kept.schema == docs.schema

@@ -79,7 +79,8 @@ def line_fails(line: bytes, max_words: int = 30) -> bool:
     Punctuation: more than a fifth of its bytes besides white space are ASCII marks, or
     more than half in a line of fewer than five words. Navigation: three or more parts between separators, of three words or
     fewer on the average, in a line of no more than ``max_words``. Boilerplate: a fixed
-    phrase. A line without words does not fail.
+    phrase in such a line, or phrases that make up half of the words or more in a longer one,
+    which may be a whole paragraph or document. A line without words does not fail.
     """
     solid = line.translate(None, SPACE)
     if not solid:
@@ -92,7 +93,11 @@ def line_fails(line: bytes, max_words: int = 30) -> bool:
         words = sum(len(p.split()) for p in parts)
         if words <= max_words and words <= NAVIGATION_WORDS * len(parts):
             return True
-    return BOILERPLATE.search(line) is not None
+    phrases = BOILERPLATE.findall(line)
+    if not phrases:
+        return False
+    n = len(line.split())
+    return n <= max_words or 2 * sum(len(p.split()) for p in phrases) >= n
 
 
 def judge(text: bytes | None, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, max_lost: float = MAX_LOST) -> tuple:
