@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import jaccard, language, mixing, packing, quality, secret_scan, sharding, suffix_dedup, topk, warc
+from weft.llm import (
+    discriminant, jaccard, language, mixing, packing, quality, secret_scan, sharding, suffix_dedup, topk, warc,
+)
 from weft.llm.common import table
 
 
@@ -59,6 +61,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return discriminant.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
@@ -86,6 +93,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
+    "op13_discriminant": op13_discriminant,
 }
 
 ORACLE = {"op10_topk": OP10_SQL}
