@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import (
-    discriminant, jaccard, language, mixing, packing, quality, secret_scan, sharding, suffix_dedup, topk, warc,
+    discriminant, jaccard, language, mixing, packing, quality, secret_scan, sharding, suffix_dedup, topk, trie, warc,
 )
 from weft.llm.common import table
 
@@ -61,6 +61,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    own = F.col("conv_id")
+    return trie.prefix_trie(*trie.rebuild(turns, own - own % 100, F.crc32(own.cast("string")) % 6, most=5))
+
+
 def op13_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     return discriminant.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
@@ -82,6 +88,49 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 ) WHERE rank <= 10
 """
 
+# CRC-32 is folded from the digits of the id, bit by bit.
+OP12_SQL = """
+WITH ids AS (
+  SELECT DISTINCT conv_id AS c, conv_id - conv_id % 100 AS base FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+  SELECT c, base, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))
+  )) % 6 AS h FROM ids
+), said AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))
+  ) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT heads.c, p, r, x FROM heads JOIN said ON said.c = base AND p < h
+  UNION ALL
+  SELECT heads.c, p - h + least(h, coalesce(n, 0)), r, x FROM heads JOIN said ON said.c = heads.c AND p >= h
+  LEFT JOIN (SELECT c, count(*) AS n FROM said GROUP BY c) AS sizes ON sizes.c = base
+), path AS (
+  SELECT c, 0 AS d, '' AS node, NULL AS parent, 0 AS chars FROM heads
+  UNION ALL
+  SELECT c, d, node, coalesce(lag(node) OVER (PARTITION BY c ORDER BY d), ''), chars FROM (
+    SELECT c, p + 1 AS d, length(x) AS chars,
+      string_agg(sha256(length(r)::VARCHAR || ':' || r || x), '') OVER (PARTITION BY c ORDER BY p) AS node FROM turns
+  )
+), nodes AS (
+  SELECT node, d, any_value(parent) AS parent, min(c) AS c, count(*) AS n, max(chars) AS chars FROM path GROUP BY node, d
+), ends AS (
+  SELECT node, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS digest FROM (
+    SELECT c, max_by(node, d) AS node FROM path GROUP BY c
+  ) GROUP BY node
+), kids AS (
+  SELECT parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY parent
+), trees AS (
+  SELECT up.node, sum((v.n - 1) * v.chars) AS saved, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM nodes v JOIN path up ON up.c = v.c AND up.d <= v.d LEFT JOIN kids ON kids.node = v.node GROUP BY up.node
+)
+SELECT u.c AS conv_id, u.d::BIGINT AS depth, above.c AS parent_conv_id, u.n AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM nodes u JOIN trees ON trees.node = u.node LEFT JOIN kids ON kids.node = u.node LEFT JOIN ends ON ends.node = u.node
+LEFT JOIN nodes above ON above.node = u.parent
+"""
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_secrets": op2_secrets,
@@ -93,7 +142,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
+    "op12_trie": op12_trie,
     "op13_discriminant": op13_discriminant,
 }
 
-ORACLE = {"op10_topk": OP10_SQL}
+ORACLE = {"op10_topk": OP10_SQL, "op12_trie": OP12_SQL}
