@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import (
-    discriminant, jaccard, language, mixing, packing, quality, secret_scan, sharding, suffix_dedup, topk, trie, warc,
+    discriminant, jaccard, language, mixing, packing, quality, secret_scan, sharding, spelling, suffix_dedup, topk, trie, warc,
 )
 from weft.llm.common import table
 
@@ -61,6 +61,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
     own = F.col("conv_id")
@@ -88,6 +92,49 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 ) WHERE rank <= 10
 """
 
+# CRC-32 byte by byte, from a table of its 256 steps.
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(v ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, j: xor(x >> 1, (x & 1) * 3988292384)) AS v FROM range(256) t(i)
+  )
+), runs AS (
+  SELECT doc_id, w, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+    FROM documents
+  ) WHERE length(w) >= 7 GROUP BY ALL
+), bytes AS (
+  SELECT w, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda s:
+    CASE WHEN ord(s) < 128 THEN [ord(s)::BIGINT] ELSE [(192 + ord(s) // 64)::BIGINT, (128 + ord(s) % 64)::BIGINT] END)) AS b FROM runs
+), hashed AS (
+  SELECT w, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, crcs[xor(c & 255, x) + 1]))) AS h
+  FROM bytes, steps
+), counts AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), shorter AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM counts)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT s.word, c.word, c.n FROM shorter s JOIN counts c ON c.word = s.rest
+  UNION
+  SELECT c.word, s.word, s.n FROM shorter s JOIN counts c ON c.word = s.rest
+), near AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS form, max(n) AS form_n FROM pairs GROUP BY word
+), known AS (
+  SELECT counts.word, counts.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+  FROM counts LEFT JOIN near USING (word)
+), chain AS (
+  SELECT word, word AS top FROM known UNION ALL SELECT chain.word, known.form FROM chain JOIN known ON known.word = chain.top WHERE form IS NOT NULL
+)
+SELECT known.word, form, top AS root, n, n_near, form_n FROM known JOIN (
+  SELECT chain.word, top FROM chain JOIN known ON known.word = chain.top WHERE known.form IS NULL
+) AS ends ON ends.word = known.word
+"""
+
 # CRC-32 is folded from the digits of the id, bit by bit.
 OP12_SQL = """
 WITH ids AS (
@@ -142,8 +189,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
+    "op11_spelling": op11_spelling,
     "op12_trie": op12_trie,
     "op13_discriminant": op13_discriminant,
 }
 
-ORACLE = {"op10_topk": OP10_SQL, "op12_trie": OP12_SQL}
+ORACLE = {"op10_topk": OP10_SQL, "op11_spelling": OP11_SQL, "op12_trie": OP12_SQL}
