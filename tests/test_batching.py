@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from weft.functions import text
 from weft.operators import alignment, jobs, ordering
+from weft.functions.permutation import permuted
 from weft.operators import batching as op
+from weft.operators import budget as budgets
 
 
 def lengths(spark, values):
@@ -36,13 +38,45 @@ def test_token_budget_golden(spark, values, expected):
     assert [r["batch_no"] for r in found] == expected == greedy(values, 8)
 
 
-def test_token_budget_over_shards(spark):
-    rng = random.Random(5)
-    values = [rng.randint(1, 12) for _ in range(500)]
-    found = op.token_batches(lengths(spark, values), 40, lines=100).orderBy("line_no").collect()
-    for k in range(5):
-        part = [r["batch_no"] for r in found if r["shard_id"] == k]
-        assert part == greedy(values[k * 100 : k * 100 + 100], 40)
+@pytest.mark.parametrize("n, budget, slice_rows, longest", [(1, 8, 1, 9), (500, 40, 50, 12), (300, 12, 3, 20), (2000, 40, 1, 12), (700, 30, 37, 60)])
+@pytest.mark.parametrize("fan", [2, 64])
+def test_token_budget_over_any_slices(spark, monkeypatch, n, budget, slice_rows, longest, fan):
+    """Slices shorter and longer than a batch, rows above the budget, trees of several levels."""
+    monkeypatch.setattr(budgets, "FAN_BYTES", fan * 16 * budget)
+    rng = random.Random(n)
+    values = [rng.randint(1, longest) for _ in range(n)]
+    found = op.token_batches(lengths(spark, values).repartition(5), budget, slice_rows=slice_rows).orderBy("line_no").collect()
+    assert [r["batch_no"] for r in found] == greedy(values, budget)
+
+
+def test_token_budget_of_odd_inputs(spark):
+    assert op.token_batches(lengths(spark, [1]).filter("line_no > 0"), 8).collect() == []
+    with pytest.raises(Exception, match="consecutive"):
+        op.token_batches(lengths(spark, [3, 3, 3]).filter("line_no <> 1"), 8).collect()
+    with pytest.raises(Exception, match="no tokens"):
+        op.token_batches(lengths(spark, [3]).withColumns({"n_src": F.lit(0), "n_tgt": F.lit(0)}), 8).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1600, 5000])
+def test_permutation_and_its_inverse(spark, n):
+    df = spark.range(n).select(F.col("id").alias("i"))
+    there = permuted(df, "i", n, "a:1", "p")
+    rows = permuted(there, "p", F.lit(n), "a:1", "back", inverse=True).collect()
+    assert sorted(r["p"] for r in rows) == list(range(n))
+    assert all(r["back"] == r["i"] for r in rows)
+    if n >= 10:
+        other = {r["i"]: r["p"] for r in permuted(df, "i", n, "a:2", "p").collect()}
+        assert other != {r["i"]: r["p"] for r in rows} != {i: i for i in range(n)}
+    with pytest.raises(Exception, match="not below"):
+        permuted(df, "i", n - 1, 1, "p").collect()
+
+
+def test_batches_are_shuffled_and_restored(spark):
+    df = spark.createDataFrame([(i, i // 3) for i in range(20)], "line_no bigint, batch_no bigint")
+    placed = op.shuffle_batches(df, seed=5)
+    pairs = {(r["batch_no"], r["place"]) for r in placed.collect()}
+    assert sorted(b for b, _ in pairs) == sorted(p for _, p in pairs) == list(range(7))
+    assert all(r["batch_no"] == r["back"] for r in op.restore_batches(placed, seed=5, out="back").collect())
 
 
 def test_parts_leave_the_remainder_out(spark):
@@ -179,10 +213,13 @@ def test_training_data(spark):
     assert len(tokens) == 300
     sizes = {}
     for r in tokens:
-        key = (r["split"], r["batch_id"]["shard_id"], r["batch_id"]["batch_no"])
+        key = (r["split"], r["batch_id"])
         n, longest = sizes.get(key, (0, 0))
         sizes[key] = (n + 1, max(longest, len(r["src"]), len(r["tgt"])))
     assert all(n * longest <= 500 for n, longest in sizes.values())
+    for split in ("valid", "train"):
+        places = {(r["batch_id"], r["batch_place"]) for r in tokens if r["split"] == split}
+        assert sorted(b for b, _ in places) == sorted(p for _, p in places) == list(range(len(places)))
 
 
 def test_training_data_with_own_callables(spark):

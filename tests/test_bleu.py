@@ -85,11 +85,11 @@ def test_sample_is_repeatable_and_checked(spark):
         op.sample_blocks(blocks, 41).collect()
 
 
-@pytest.mark.parametrize("head_rows", [1, 250_000])
-def test_tags_by_lexicon_and_by_function(spark, monkeypatch, head_rows):
-    monkeypatch.setattr(vocabulary, "HEAD_ROWS", head_rows)
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_tags_by_lexicon_and_by_function(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(vocabulary, "BROADCAST_BYTES", broadcast_bytes)
     lines = spark.createDataFrame([(0, "the cat sat"), (1, "")], "k bigint, text string")
-    lexicon = spark.createDataFrame([("the", "D", 0), ("cat", "N", 1)], "token string, class string, rank bigint")
+    lexicon = spark.createDataFrame([("the", "D"), ("cat", "N")], "token string, class string")
     found = {r["k"]: r["text"] for r in op.tag_sequences(lines, ["k"], lexicon).collect()}
     assert found == {0: "D N X", 1: ""}
 

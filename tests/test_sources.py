@@ -84,6 +84,8 @@ def test_export_and_target_files(spark, tmp_path):
     cfg = spark.createDataFrame([(0, "(S (A a))"), (1, "broken"), (2, "(S (A a))")], "line_no bigint, cfg string")
     vec = spark.createDataFrame([(i, [1.0, -1.0, 1.0]) for i in range(3)], "line_no bigint, vec array<double>")
     codes = jobs.export_codes(src, cfg, vec, bits=3)
+    weights = spark.createDataFrame([(0, [0.0, 0.0, 2.0], -1.0), (1, [1.0, 1.0, 0.0], 0.0), (2, [1.0, 0.0, 0.0], 0.0)], "bit int, weights array<double>, bias double")
+    assert [r["code"] for r in jobs.export_codes(src, cfg, vec, weights=weights).collect()] == ["5"]
     sinks.write_codes(codes, str(tmp_path / "codes"))
     assert text_of(tmp_path / "codes") == ["a\t(S (A a))\t5"]
     target = spark.range(500).select(F.col("id").alias("line_no"), F.concat(F.lit("l"), "id").alias("line"))

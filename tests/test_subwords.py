@@ -72,9 +72,9 @@ def test_segments_equal_merges_in_order(spark):
         assert row["pieces"] == [s[:-4] if s.endswith("</w>") else s + "@@" for s in symbols]
 
 
-@pytest.mark.parametrize("head_rows", [2, 250_000])
-def test_apply_with_threshold(spark, monkeypatch, head_rows):
-    monkeypatch.setattr(vocabulary, "HEAD_ROWS", head_rows)
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_apply_with_threshold(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(vocabulary, "BROADCAST_BYTES", broadcast_bytes)
     merges = spark.createDataFrame([(0, "a", "b"), (1, "ab", "c</w>"), (2, "x", "y</w>")], "rank bigint, left string, right string")
     rows = spark.createDataFrame([(0, ["abc", "xy", "q"]), (1, []), (2, ["abd"])], "line_no bigint, tokens array<string>")
     plain = {r["line_no"]: r["tokens"] for r in subwords.apply_bpe(rows, merges, ["line_no"]).collect()}
@@ -84,9 +84,9 @@ def test_apply_with_threshold(spark, monkeypatch, head_rows):
     assert split == {0: ["ab@@", "c", "xy", "q"], 1: [], 2: ["ab@@", "d"]}
 
 
-@pytest.mark.parametrize("head_rows", [2, 250_000])
-def test_casing(spark, monkeypatch, head_rows):
-    monkeypatch.setattr(vocabulary, "HEAD_ROWS", head_rows)
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_casing(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(vocabulary, "BROADCAST_BYTES", broadcast_bytes)
     rows = [(0, "The US saw the us and The US".split()), (1, ["the"]), (2, ["US"]), (3, ["New", "B", "b"]), (4, [])]
     df = spark.createDataFrame(rows, "line_no bigint, tokens array<string>")
     model = casing.truecase_model(df)

@@ -76,9 +76,9 @@ def test_bracket_table(spark):
     ]
 
 
-@pytest.mark.parametrize("head_rows", [6, 250_000])
-def test_edges_and_labels(spark, monkeypatch, head_rows):
-    monkeypatch.setattr(vocabulary, "HEAD_ROWS", head_rows)
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_edges_and_labels(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(vocabulary, "BROADCAST_BYTES", broadcast_bytes)
     nodes = op.nodes(table(spark, CAT))
     edges = {(r["graph"], r["src"], r["dst"]) for r in op.edges(nodes).collect()}
     assert edges == {("enc", i, 0) for i in (1, 2, 3)} | {("dec", 0, i) for i in (1, 2, 3)}

@@ -44,14 +44,21 @@ def test_limit_keeps_first_occurrences(spark, limit):
     assert listing(vocab)[4:] == by_rule(lines, limit)
 
 
+def test_limit_inside_a_large_tie(spark):
+    lines = [" ".join(f"w{(7 * i + k) % 400:03d}" for k in range(3)) for i in range(200)] + ["top top w001"]
+    for limit in (4, 5, 6, 8, 100, 205, 404, 405, 500):
+        vocab = op.build_vocab(tokens_of(spark, lines), limit=limit, order=["line_no", "pos"])
+        assert listing(vocab)[4:] == by_rule(lines, limit)
+
+
 def test_limit_below_reserved_tokens(spark):
     with pytest.raises(ValueError):
         op.build_vocab(tokens_of(spark, ["a"]), limit=3, order=["line_no"])
 
 
-@pytest.mark.parametrize("head_rows", [2, 5, 250_000])
-def test_encode_and_decode_with_any_head(spark, monkeypatch, head_rows):
-    monkeypatch.setattr(op, "HEAD_ROWS", head_rows)
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_encode_and_decode_broadcast_and_shuffled(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(op, "BROADCAST_BYTES", broadcast_bytes)
     lines = ["a b b c", "d a zzz", "", "b"]
     vocab = op.build_vocab(tokens_of(spark, lines[:1] + ["d d d"]))
     ids = {t: i for i, t in enumerate(listing(vocab))}

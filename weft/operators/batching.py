@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions.permutation import permuted
 from weft.functions.text import shard_name
+from weft.operators.budget import token_batches  # noqa: F401
 from weft.operators.ordering import dense_index, digest, hashed_index
 from weft.operators.skew import join_unique
 from weft.session import spread
@@ -83,70 +84,18 @@ def fixed_batches(df: DataFrame, batch_size: int, idx: str = "idx", drop_last: b
     return batched.filter(F.col("batch_id") < _div(total, batch_size))
 
 
-def _budget_numbers(lengths: np.ndarray, budget: int) -> np.ndarray:
-    """Batch numbers of rows in order, by padded size: longest row times number of rows.
+def shuffle_batches(df: DataFrame, batch: str = "batch_no", seed: int | str = 3, out: str = "place") -> DataFrame:
+    """Add ``out``: the place of each row's batch in a seeded shuffle of the batches 0, 1, 2, ...
 
-    For every row at once, how far a batch that begins there reaches: spans of powers of two
-    are tried from the longest, each with its longest row known. Batches are then jumps from
-    reach to reach. A row above the budget is a batch alone, and as the first one it leaves
-    batch 0 empty.
+    The place is computed from the number; nothing is sorted or moved. ``restore_batches``
+    takes the batch back from it.
     """
-    n = len(lengths)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    tables = [lengths.astype(np.int64)]
-    while (1 << len(tables)) <= n:
-        half = 1 << (len(tables) - 1)
-        tables.append(np.maximum(tables[-1][:-half], tables[-1][half:]))
-    begin = np.arange(n)
-    reach, longest = begin.copy(), np.zeros(n, np.int64)
-    for power in range(len(tables) - 1, -1, -1):
-        span = 1 << power
-        fits = np.flatnonzero(reach + span <= n)
-        wider = np.maximum(longest[fits], tables[power][reach[fits]])
-        good = wider * (reach[fits] + span - begin[fits]) <= budget
-        longest[fits[good]] = wider[good]
-        reach[fits[good]] += span
-    reach = np.maximum(reach, begin + 1)
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at = int(reach[at])
-    numbers = np.zeros(n, np.int64)
-    numbers[starts[1:]] = 1
-    return np.cumsum(numbers) + int(lengths[0] > budget)
-
-
-def token_batches(
-    df: DataFrame,
-    budget: int,
-    n_src: str = "n_src",
-    n_tgt: str = "n_tgt",
-    line_no: str = "line_no",
-    lines: int = SHARD_LINES,
-) -> DataFrame:
-    """``line_no, shard_id, batch_no``: batches whose padded size stays within ``budget`` tokens.
+    return permuted(df, batch, df.agg(F.max(batch) + 1).scalar(), seed, out)
 
-    A scan in line order that starts afresh in every shard of ``lines`` lines, so a task
-    holds one shard and no more. Batches obey the same budget as one scan of the whole
-    corpus would, but end at shard borders as well; with one shard the two are equal. A
-    first row above the budget leaves batch 0 empty.
-    """
-    rows = df.select(line_no, F.greatest(n_src, n_tgt).cast("bigint").alias("__len")).withColumn(
-        "shard_id", _div(line_no, lines)
-    )
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(line_no)
-        return pd.DataFrame(
-            {
-                line_no: group[line_no],
-                "shard_id": group["shard_id"],
-                "batch_no": _budget_numbers(group["__len"].to_numpy(), budget),
-            }
-        )
-
-    return rows.groupBy("shard_id").applyInPandas(scan, f"{line_no} bigint, shard_id bigint, batch_no bigint")
+def restore_batches(df: DataFrame, place: str = "place", seed: int | str = 3, out: str = "batch_no") -> DataFrame:
+    """Add ``out``: the batch that ``shuffle_batches`` put at ``place``; all places are there."""
+    return permuted(df, place, df.agg(F.max(place) + 1).scalar(), seed, out, inverse=True)
 
 
 def order_in_batch(df: DataFrame, length: str, batch: str = "batch_id", line_no: str = "line_no") -> DataFrame:

@@ -179,20 +179,19 @@ def tag_sequences(
     text: str = "text",
     unknown: str = "X",
     tagger=None,
-    max_rows: int | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """``keys, text``: sentences as their token classes.
 
-    ``lexicon`` is ``token, class, rank`` with unique tokens, ranked by frequency, or pass
-    ``tagger``, a pandas UDF from sentence to tag sequence.
+    ``lexicon`` is ``token, class`` with unique tokens, or pass ``tagger``, a pandas UDF from
+    sentence to tag sequence.
     """
     keys = list(keys)
     if tagger is not None:
         return df.select(*keys, tagger(F.col(text)).alias(text))
     placed = spread(df.select(*keys, text), *keys)
     tokens = placed.select(*keys, F.posexplode_outer(split_ws(text)).alias("__pos", "token"))
-    frequent = F.col("rank") < vocabulary.HEAD_ROWS
-    tagged = vocabulary.dictionary_join(tokens, lexicon, "token", "class", frequent, max_rows).withColumn(
+    tagged = vocabulary.dictionary_join(tokens, lexicon, "token", "class", [*keys, "__pos"], broadcast_bytes).withColumn(
         "class", F.when(F.col("__pos").isNotNull(), F.coalesce("class", F.lit(unknown)))
     )
     ordered = F.array_sort(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", "class"))))

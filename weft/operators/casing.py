@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.vocabulary import dictionary_join, most_frequent
+from weft.operators.vocabulary import dictionary_join
 from weft.session import freeze
 
 
@@ -27,12 +27,11 @@ def truecase_model(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 def truecase(df: DataFrame, model: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``df`` with the first token in the casing of the model; unknown words stay.
 
-    The model is written down and broadcast, or its most frequent words if it is too large:
-    lines are shuffled only for a first word that is not among those.
+    The model is written down; it is broadcast if it is small enough (``dictionary_join``).
     """
-    casing = freeze(model.select(F.col("lower").alias("__first"), F.col("token").alias("__cased"), "cnt"))
+    casing = freeze(model.select(F.col("lower").alias("__first"), F.col("token").alias("__cased")))
     keyed = df.withColumn("__first", F.lower(F.get(tokens, F.lit(0))))
-    joined = dictionary_join(keyed, casing, "__first", "__cased", most_frequent(casing))
+    joined = dictionary_join(keyed, casing, "__first", "__cased", df.columns)
     rest = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
     return joined.withColumn(
         tokens, F.when(F.col("__cased").isNotNull(), F.concat(F.array("__cased"), rest)).otherwise(F.col(tokens))

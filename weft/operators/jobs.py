@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from weft.functions.text import normalise, split_ws, strip, tokenise, wrap
 from weft.functions.vectors import binarise, pack_bits
 from weft.operators import alignment, batching, bleu, casing, selection, subwords, trees
+from weft.operators.budget import token_batches
+from weft.operators.projection import project
 from weft.operators.vocabulary import DECODER_SPECIALS, build_vocab, token_counts
 from weft.session import freeze
 from weft.sources import corpus, sinks
@@ -84,11 +86,18 @@ def select_diverse(spark: SparkSession, path: str, out: str | None = None, k: in
 
 
 def export_codes(
-    sources: DataFrame, tree_lines: DataFrame, vectors: DataFrame, bits: int = 8, max_tokens: int = 60
+    sources: DataFrame,
+    tree_lines: DataFrame,
+    vectors: DataFrame,
+    bits: int = 8,
+    max_tokens: int = 60,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """``line_no, src, cfg, code``: lines with a valid tree and a short source, coded by their vector.
 
-    Files of unequal length are an error. ``vectors`` is ``line_no, vec``.
+    Files of unequal length are an error. ``vectors`` is ``line_no, vec``. With ``weights``
+    (``bit, weights, bias``) the bits are the signs of affine scores of the whole vector,
+    otherwise those of its first ``bits`` components.
     """
     aligned = alignment.strict_zip(sources, tree_lines).select(
         "line_no", strip("src").alias("src"), strip("cfg").alias("cfg")
@@ -96,9 +105,12 @@ def export_codes(
     kept = alignment.token_cap(aligned.withColumn("__tokens", split_ws("src")), "__tokens", max_tokens).filter(
         trees.is_valid("cfg")
     )
-    return kept.join(vectors, "line_no").select(
-        "line_no", "src", "cfg", pack_bits(binarise("vec", bits)).cast("string").alias("code")
-    )
+    coded = kept.join(vectors, "line_no")
+    if weights is None:
+        signs = binarise("vec", bits)
+    else:
+        coded, signs = project(coded, weights), F.transform("scores", lambda s: F.when(s > 0, 1).otherwise(0))
+    return coded.select("line_no", "src", "cfg", pack_bits(signs).cast("string").alias("code"))
 
 
 @dataclass
@@ -172,12 +184,13 @@ def training_data(
     keep: Callable[[Column, Column], Column] | None = None,
     sort_key: Callable[[Column, Column], Column] = source_length,
 ) -> DataFrame:
-    """``line_no, src, tgt, idx, split, batch_id, place`` of aligned pairs ``line_no, src, tgt``.
+    """``line_no, src, tgt, idx, split, batch_id, batch_place, place`` of aligned pairs ``line_no, src, tgt``.
 
     Preprocessing, filter, truncation, shuffle, split, batches, order in the batch. In
-    ``token`` mode the batch size is a token budget, the training part is not rounded and
-    a batch is ``shard_id, batch_no``. ``preprocess`` makes the token array of a side,
-    ``keep`` replaces the length filter, ``sort_key`` orders a batch.
+    ``token`` mode the batch size is a token budget and the training part is not rounded.
+    ``batch_place`` is the place of the batch in a seeded shuffle of the batches of its
+    split. ``preprocess`` makes the token array of a side, ``keep`` replaces the length filter,
+    ``sort_key`` orders a batch.
     """
     made = pairs.select("line_no", *[preprocess(F.col(side)).alias(side) for side in ("src", "tgt")])
     if keep is None:
@@ -188,28 +201,22 @@ def training_data(
     whole = batch_size if batch_type == "sentence" else None
     placed = batching.train_valid_split(kept, ["line_no"], n_valid, whole, seed)
     in_split = F.when(F.col("split") == "valid", F.col("idx")).otherwise(F.col("idx") - n_valid)
-    numbered = placed.withColumn("in_split", in_split)
-    if batch_type == "sentence":
-        batched = batching.fixed_batches(numbered, batch_size, "in_split").drop("pos_in_batch")
-    else:
-        batched = _token_batched(numbered, batch_size)
+    numbered = freeze(placed.withColumn("in_split", in_split))
+    parts = []
+    for split in ("valid", "train"):
+        rows = numbered.filter(F.col("split") == split)
+        if batch_type == "sentence":
+            batched = batching.fixed_batches(rows, batch_size, "in_split").drop("pos_in_batch")
+        else:
+            lengths = rows.select("in_split", F.size("src").alias("n_src"), F.size("tgt").alias("n_tgt"))
+            found = token_batches(lengths, batch_size, line_no="in_split").withColumnRenamed("batch_no", "batch_id")
+            batched = rows.join(freeze(found), "in_split")
+        parts.append(batching.shuffle_batches(batched, "batch_id", f"{seed}:{split}", "batch_place"))
     ordered = batching.order_in_batch(
-        batched.withColumn("__key", sort_key(F.col("src"), F.col("tgt"))).withColumn(
-            "__batch", F.struct("split", "batch_id")
-        ),
+        parts[0].unionByName(parts[1])
+        .withColumn("__key", sort_key(F.col("src"), F.col("tgt")))
+        .withColumn("__batch", F.struct("split", "batch_id")),
         "__key",
         "__batch",
     )
     return ordered.drop("__key", "__batch", "in_split")
-
-
-def _token_batched(numbered: DataFrame, budget: int) -> DataFrame:
-    parts = []
-    for split in ("valid", "train"):
-        rows = numbered.filter(F.col("split") == split)
-        lengths = rows.select("in_split", F.size("src").alias("n_src"), F.size("tgt").alias("n_tgt"))
-        found = batching.token_batches(lengths, budget, line_no="in_split").select(
-            "in_split", F.struct("shard_id", "batch_no").alias("batch_id")
-        )
-        parts.append(rows.join(found, "in_split"))
-    return parts[0].unionByName(parts[1])

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import split_ws, strip
 from weft.operators import alignment, trees
+from weft.operators.batching import bootstrap_pad, train_valid_split
 from weft.operators.ordering import split_file_parts
 from weft.operators.vocabulary import encode
+from weft.session import freeze
 
 
 def loader_rows(
@@ -20,7 +22,6 @@ def loader_rows(
     limit_datapoints: int = 0,
     truncate: int | None = None,
     part: tuple[int, int, int | Column] | None = None,
-    vocab_rows: int | None = None,
 ) -> DataFrame:
     """``line_no, ids, nodes``: sources as ids beside the nodes of their trees.
 
@@ -45,5 +46,19 @@ def loader_rows(
             )
         ).alias("nodes")
     )
-    coded = encode(rows, vocab, ["line_no"], max_rows=vocab_rows)
+    coded = encode(rows, vocab, ["line_no"])
     return alignment.truncate(coded.join(grouped, "line_no"), truncate)
+
+
+def loader_dataset(
+    sources: DataFrame, tree_lines: DataFrame, vocab: DataFrame, n_valid: int = 1000, seed: int | str = 3, **options
+) -> DataFrame:
+    """``stands_for, line_no, ids, nodes, idx, split``: ``loader_rows`` padded, shuffled and split.
+
+    Rows that filters took are replaced by survivors drawn with replacement, so there are
+    as many as the sources have lines (of the first ``limit_datapoints``, if given); the first ``n_valid`` of a seeded shuffle are ``valid``.
+    """
+    kept = freeze(loader_rows(sources, tree_lines, vocab, **options))
+    every = alignment.first_lines(sources.select("line_no"), options.get("limit_datapoints", 0))
+    padded = bootstrap_pad(kept, every, seed=seed)
+    return train_valid_split(padded, ["stands_for"], n_valid, seed=seed)

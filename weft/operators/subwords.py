@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import split_chars
-from weft.operators.vocabulary import dictionary_join, frequent, most_frequent, token_counts
+from weft.operators.vocabulary import dictionary_join, frequent, token_counts
 from weft.session import freeze, spread
 
 # End of word inside a merge, and the mark of a piece that is not the last.
@@ -198,7 +198,7 @@ def apply_bpe(
     unnested = spread(df.select(*keys, tokens), *keys).select(
         *keys, F.posexplode_outer(tokens).alias("__pos", "token")
     )
-    joined = dictionary_join(unnested, dictionary, "token", "pieces", most_frequent(dictionary))
+    joined = dictionary_join(unnested, dictionary, "token", "pieces", [*keys, "__pos"])
     ordered = F.array_sort(
         F.collect_list(F.when(F.col("pieces").isNotNull(), F.struct("__pos", "pieces")))
     )

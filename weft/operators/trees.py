@@ -233,18 +233,15 @@ def label_vocab(node_table: DataFrame) -> DataFrame:
 
 
 def encode_labels(
-    node_table: DataFrame, vocab: DataFrame, max_rows: int | None = None, unknown: str = UNKNOWN
+    node_table: DataFrame, vocab: DataFrame, broadcast_bytes: int | None = None, unknown: str = UNKNOWN
 ) -> DataFrame:
     """Add ``enc_x, dec_x, y_id``: the ids of the labels."""
     table = lookup(vocab)
     unk = vocab.filter(F.col("token") == unknown).agg(F.max("id")).scalar()
-    if max_rows is None:
-        max_rows = table.limit(vocabulary.HEAD_ROWS + 1).count()
     coded = node_table
     for label, out in (("enc_label", "enc_x"), ("dec_label", "dec_x")):
         named = table.select(F.col("token").alias(label), F.col("id").alias(out))
-        frequent = F.col(out) < vocabulary.HEAD_ROWS
-        coded = vocabulary.dictionary_join(coded, named, label, out, frequent, max_rows).withColumn(
+        coded = vocabulary.dictionary_join(coded, named, label, out, ["line_no", "node_id"], broadcast_bytes).withColumn(
             out, F.coalesce(out, unk)
         )
     return coded.withColumn("y_id", F.col("enc_x"))

@@ -1,10 +1,9 @@
 """Frequency vocabularies and dictionary encoding.
 
 A vocabulary is a table ``id BIGINT, token STRING, cnt BIGINT`` (0 for tokens that were given
-and not counted), most frequent first, so
-its first rows cover most of the running text. Encoding relies on that: the head of the
-table, bounded in rows, is broadcast, and only tokens that it misses are shuffled to the
-tail. Frequent tokens therefore never meet in one shuffle partition.
+and not counted), most frequent first. Running tokens meet a dictionary in an equi-join
+whose frequent keys are cut into groups, so they never meet in one shuffle partition. A
+dictionary within a bound in bytes is broadcast, which saves the shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.ordering import ranked
+from weft.operators.ordering import ID_BITS, ranked, running_start
 from weft.operators.skew import join_unique
 from weft.session import freeze, spread
 
@@ -23,8 +22,9 @@ SPECIALS = ["<null>", "<s>", "</s>", "UNK"]
 DECODER_SPECIALS = ["</s>", "<unk>"]
 UNKNOWN = "UNK"
 
-# Rows of a vocabulary that may be broadcast; at 64 bytes a row about 32 MB.
-HEAD_ROWS = 500_000
+# Bytes of a dictionary that may be broadcast, and what an entry takes besides its text.
+BROADCAST_BYTES = 32 << 20
+ENTRY_BYTES = 48
 
 
 def token_counts(tokens: DataFrame, *keys: str, token: str = "token") -> DataFrame:
@@ -42,7 +42,8 @@ def _reserved(spark: SparkSession, specials: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "id bigint, token string, cnt bigint")
 
 
-def _with_ids(counts: DataFrame, specials: Sequence[str]) -> DataFrame:
+def vocab_of_counts(counts: DataFrame, specials: Sequence[str] = SPECIALS) -> DataFrame:
+    """Vocabulary of tokens already counted (``token, cnt``)."""
     ids = ranked(counts.select("token", "cnt"), [F.col("cnt").desc(), F.col("token")], "__rank")
     learnt = ids.select((F.col("__rank") + len(specials)).alias("id"), "token", "cnt")
     return _reserved(counts.sparkSession, specials).unionByName(learnt)
@@ -62,26 +63,39 @@ def build_vocab(
     ``lookup`` lets the later id win.
     """
     if limit is None:
-        return _with_ids(token_counts(tokens), specials)
+        return vocab_of_counts(token_counts(tokens), specials)
     if limit < len(specials):
         raise ValueError(f"limit {limit} leaves no room for {len(specials)} reserved tokens")
     if not order:
         raise ValueError("a limit needs the columns of the corpus order")
     keep = limit - len(specials)
-    counts = freeze(token_counts(tokens))
-    cut = counts.orderBy(F.col("cnt").desc()).limit(keep).agg(F.min("cnt")).scalar()
-    # Where a token first occurs matters only among those with the count at the cut.
-    tied = counts.filter(F.col("cnt") == cut).select("token")
-    if tied.limit(HEAD_ROWS + 1).count() <= HEAD_ROWS:
-        tokens = tokens.join(F.broadcast(tied), "token", "left_semi")
-    firsts = tokens.groupBy("token").agg(F.min(F.struct(*order)).alias("__first"))
-    kept = (
-        counts.filter(F.col("cnt") >= cut)
-        .join(firsts, "token", "left")
-        .orderBy(F.col("cnt").desc(), F.col("__first"))
-        .limit(keep)
+    # Counts and first places come from one pass; both combine before the shuffle.
+    counts = freeze(
+        tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct(*order)).alias("__first"))
     )
-    return _with_ids(kept, specials)
+    cut, room = _cut(counts, keep)
+    kept = counts.filter(F.col("cnt") > cut)
+    if room:
+        # Of the tokens with the count at the cut, those that come first.
+        tied = ranked(counts.filter(F.col("cnt") == cut), [F.col("__first")], "__row").filter(F.col("__row") < room)
+        kept = kept.unionByName(tied.select(*kept.columns))
+    return vocab_of_counts(kept, specials)
+
+
+def _cut(counts: DataFrame, keep: int) -> tuple[int, int]:
+    """The largest count of which not all tokens fit into ``keep`` rows, and the rows left for them.
+
+    From the histogram of the counts, whose rows grow with the root of the corpus at the
+    most, by prefix sums. (0, 0) when everything fits.
+    """
+    histogram = freeze(counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("n")))
+    total = histogram.agg(F.sum("n")).first()[0] or 0
+    if total <= keep:
+        return 0, 0
+    above = F.lit(total) - F.col("__below") - F.col("n")
+    below = running_start(histogram, "cnt", "n", "__below", ID_BITS).withColumn("__above", above)
+    row = below.filter((F.col("__above") <= keep) & (F.col("__above") + F.col("n") > keep)).first()
+    return row["cnt"], keep - row["__above"]
 
 
 def set_vocab(tokens: DataFrame, order: str, specials: Sequence[str] = SPECIALS) -> DataFrame:
@@ -115,38 +129,26 @@ def lookup(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("token").agg(F.max("id").alias("id"))
 
 
-def most_frequent(dictionary: DataFrame, cnt: str = "cnt") -> Column:
-    """Predicate of the entries above the count at place ``HEAD_ROWS``: fewer than that many."""
-    cut = dictionary.select(cnt).orderBy(F.col(cnt).desc()).limit(HEAD_ROWS).agg(F.min(cnt)).scalar()
-    return F.col(cnt) > cut
-
-
 def dictionary_join(
     rows: DataFrame,
     dictionary: DataFrame,
     key: str,
     value: str,
-    head: Column,
-    max_rows: int | None = None,
+    row_id: Sequence[str],
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """``rows`` with ``value`` from a dictionary with unique ``key``; NULL on a miss.
 
-    ``head`` selects at most ``HEAD_ROWS`` entries that are looked up most. ``max_rows`` is
-    a known bound of the dictionary size; without one the entries are counted, up to the
-    bound. A dictionary within the bound is broadcast whole. Beyond it only the head is,
-    and what the head misses is shuffled to the rest.
+    A dictionary of at most ``broadcast_bytes`` (BROADCAST_BYTES unless given), which are counted, is
+    broadcast; any other meets the rows in ``join_unique``, which reads them twice: once to
+    find the frequent keys, known to the dictionary or not, and once to join. ``row_id`` tells rows of one key apart.
     """
-    if max_rows is None:
-        max_rows = dictionary.limit(HEAD_ROWS + 1).count()
-    if max_rows <= HEAD_ROWS:
-        return rows.join(F.broadcast(dictionary.select(key, value)), key, "left")
-    first = rows.join(F.broadcast(dictionary.filter(head).select(key, value)), key, "left")
-    found = first.filter(F.col(value).isNotNull())
-    missed = first.filter(F.col(value).isNull()).drop(value)
-    tail = dictionary.filter(~head).select(key, value)
-    # A key that the dictionary lacks may still be frequent in the rows.
-    others = [c for c in rows.columns if c != key]
-    return found.unionByName(join_unique(missed, tail, key, others))
+    table = dictionary.select(key, value)
+    bound = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    size = F.octet_length(F.to_json(F.struct(key, value))) + ENTRY_BYTES
+    if bound > 0 and (table.agg(F.sum(size)).first()[0] or 0) <= bound:
+        return rows.join(F.broadcast(table), key, "left")
+    return join_unique(rows, table, key, row_id)
 
 
 def _ordered(values: Column | str, pos: str) -> Column:
@@ -160,22 +162,21 @@ def encode(
     keys: Sequence[str],
     tokens: str = "tokens",
     ids: str = "ids",
-    max_rows: int | None = None,
+    broadcast_bytes: int | None = None,
     unknown: str = UNKNOWN,
 ) -> DataFrame:
     """``keys, ids``: token arrays as arrays of ids; unknown tokens get the id of ``unknown``.
 
     ``keys`` identify a row. The rows are spread by key once, before the tokens are
-    unnested; lookup and regrouping then stay in place unless the vocabulary has more than
-    ``HEAD_ROWS`` rows. ``max_rows`` is a known bound of the vocabulary size, if there is one.
+    unnested; lookup and regrouping then stay in place if the vocabulary is broadcast
+    (``dictionary_join``).
     """
     keys = list(keys)
     placed = spread(df.select(*keys, tokens), *keys)
     unnested = placed.select(*keys, F.posexplode_outer(tokens).alias("__pos", "token"))
     table = lookup(vocab)
     unk = vocab.filter(F.col("token") == unknown).agg(F.max("id")).scalar()
-    frequent_ids = F.col("id") < HEAD_ROWS
-    coded = dictionary_join(unnested, table, "token", "id", frequent_ids, max_rows).withColumn(
+    coded = dictionary_join(unnested, table, "token", "id", [*keys, "__pos"], broadcast_bytes).withColumn(
         "id", F.when(F.col("__pos").isNotNull(), F.coalesce("id", unk))
     )
     return coded.groupBy(*keys).agg(_ordered("id", "__pos").alias(ids)).withColumn(
@@ -189,7 +190,7 @@ def decode(
     keys: Sequence[str],
     ids: str = "ids",
     tokens: str = "tokens",
-    max_rows: int | None = None,
+    broadcast_bytes: int | None = None,
     unknown: str = UNKNOWN,
 ) -> DataFrame:
     """``keys, tokens``: id arrays as arrays of tokens; ids outside the table give ``unknown``."""
@@ -197,8 +198,7 @@ def decode(
     placed = spread(df.select(*keys, ids), *keys)
     unnested = placed.select(*keys, F.posexplode_outer(ids).alias("__pos", "id"))
     table = vocab.select("id", "token")
-    frequent_ids = F.col("id") < HEAD_ROWS
-    named = dictionary_join(unnested, table, "id", "token", frequent_ids, max_rows).withColumn(
+    named = dictionary_join(unnested, table, "id", "token", [*keys, "__pos"], broadcast_bytes).withColumn(
         "token", F.when(F.col("__pos").isNotNull(), F.coalesce("token", F.lit(unknown)))
     )
     return named.groupBy(*keys).agg(_ordered("token", "__pos").alias(tokens)).withColumn(

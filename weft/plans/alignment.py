@@ -7,23 +7,21 @@ from pyspark.sql import functions as F
 
 from weft.functions import text, vectors
 from weft.operators import alignment as op
-from weft.operators import projection
+from weft.operators import jobs, projection
 from weft.operators.ordering import dense_index, ranked
-from weft.operators.trees import is_valid
 from weft.plans import views
 from weft.sources import tables
 
 SOURCE_CAP = 60
+CODE_BITS = 8
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.heads(spark, sf_dir).select("doc_id", F.col("line").alias("src"))
-    return dense_index(docs, "doc_id").select("line_no", "src")
+    return tables.numbered(spark, sf_dir).select("line_no", F.col("line").alias("src"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = tables.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("tgt"))
-    return dense_index(pages, "page_id").select("line_no", "tgt")
+    return tables.page_lines(spark, sf_dir).select("line_no", F.col("line").alias("tgt"))
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,21 +81,20 @@ def crop_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = vectors.binarise("embedding", tables.CODE_BITS)
+    """Codes of all components of a vector, one for each eight of them."""
+    part = F.posexplode(F.expr(f"transform(sequence(0, size(embedding) - 1, {CODE_BITS}), i -> slice(embedding, i + 1, {CODE_BITS}))"))
     return (
         tables.table(spark, sf_dir, "embeddings")
-        .select("vec_id", bits.alias("bits"))
-        .select("vec_id", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits"), vectors.pack_bits("bits").alias("code"))
+        .select("vec_id", part.alias("part", "vec"))
+        .select("vec_id", "part", vectors.binarise("vec", CODE_BITS).alias("bits"))
+        .select("vec_id", "part", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits"), vectors.pack_bits("bits").alias("code"))
     )
 
 
 def hash_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes from affine scores; one weight row per label, the mean vector of the label."""
     vecs = tables.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
-    weights = projection.mean_pool(vecs, ["label"]).select(
-        F.col("label").alias("bit"), F.col("pooled").alias("weights"), F.lit(0.25).alias("bias")
-    )
-    scored = projection.project(vecs, weights)
+    scored = projection.project(vecs, tables.label_weights(spark, sf_dir))
     return scored.select(
         "vec_id", vectors.pack_bits(F.transform("scores", lambda s: F.when(s > 0, 1).otherwise(0))).alias("code")
     )
@@ -109,36 +106,31 @@ def saturating_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("vec_id", "pos", F.round(vectors.saturating_sigmoid("x"), 6).alias("soft_bit"))
 
 
-def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.export(spark, sf_dir).withColumn("code", tables.export_code())
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelling job over all lines: valid trees and short sources only, codes by the whole vector."""
+    return jobs.export_codes(*tables.labelling(spark, sf_dir), max_tokens=SOURCE_CAP, weights=tables.label_weights(spark, sf_dir))
 
 
 def code_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelling job: valid trees and short sources only, code from the vector."""
-    rows = _export(spark, sf_dir).withColumn("tokens", text.split_ws("src"))
-    kept = op.token_cap(rows, "tokens", SOURCE_CAP).filter(is_valid("cfg"))
-    return kept.select("line_no", op.export_line("src", "cfg", "code").alias("line"))
+    return _exported(spark, sf_dir).select("line_no", op.export_line("src", "cfg", "code").alias("line"))
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.lines(spark, sf_dir).select(
-        "doc_id", "line_no", F.col("line").alias("src"), F.lit(tables.CONSTANT_TREE).alias("cfg"), F.col("line").alias("tgt")
-    )
+    sources, trees, _ = tables.labelling(spark, sf_dir)
+    return op.zip_lines(sources, trees).withColumn("tgt", F.col("src"))
 
 
 def _export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _export(spark, sf_dir).select("line_no", op.export_line("src", "cfg", "code").alias("value"))
+    return code_export(spark, sf_dir).withColumnRenamed("line", "value")
 
 
 def make_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every corpus line merged with the export of first lines; the others are missing."""
-    return op.merge_codes(_corpus(spark, sf_dir), _export_lines(spark, sf_dir), ["doc_id", "line_no"])
+    """Every corpus line merged with the export; lines that the labelling left out are missing."""
+    return op.merge_codes(_corpus(spark, sf_dir), _export_lines(spark, sf_dir), ["line_no"])
 
 
 def unlabelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.unlabelled(_corpus(spark, sf_dir), _export_lines(spark, sf_dir), ["doc_id", "line_no"]).select(
-        "doc_id", "line_no", "src"
-    )
+    return op.unlabelled(_corpus(spark, sf_dir), _export_lines(spark, sf_dir), ["line_no"]).select("line_no", "src")
 
 
 def tripled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,21 +155,19 @@ QUERIES = {
     "tripled_pairs": tripled_pairs,
 }
 
-_FILES = f"""{views.HEADS},
-a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, line AS src FROM v_heads),
-b AS (SELECT row_number() OVER (ORDER BY page_id) - 1 AS line_no, url AS tgt FROM pages),
+_FILES = f"""{views.NUMBERED},
+a AS (SELECT line_no, line AS src FROM v_numbered),
+b AS (SELECT row_number() OVER (ORDER BY page_id, pos) - 1 AS line_no, tgt FROM (
+  SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS tgt FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages))),
 c AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS line_no, text AS cfg FROM benchmark)"""
 
 _PAIR_TOKENS = f"""{views.PAIRS},
 t AS (SELECT conv_id, turn, {views.tokens('src')} AS s, {views.tokens('tgt')} AS g FROM v_pairs)"""
 
-# The last export line of each source; sources are stripped, empty ones are lost.
-_CODED = f"""{views.LINES}, {views.EXPORT},
-coded AS (
-  SELECT trim(src) AS src, arg_max(code, line_no) AS code FROM v_export WHERE trim(src) <> '' GROUP BY trim(src)
-)"""
-
-_BITS = "list_transform(range(1, 9), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END)"
+# The last export line of each source and tree; sources are stripped, empty ones are lost.
+_CODED = f"""{views.LABELLING},
+v_export AS (SELECT line_no, trim(src) AS src, cfg, code FROM v_labelling WHERE len({views.tokens('src')}) <= {SOURCE_CAP}),
+coded AS (SELECT src, cfg, arg_max(code, line_no) AS code FROM v_export WHERE src <> '' GROUP BY src, cfg)"""
 
 ORACLE = {
     "aligned_zip": f"WITH {_FILES} SELECT * FROM a JOIN b USING (line_no) JOIN c USING (line_no)",
@@ -203,35 +193,27 @@ WITH {views.LINES} SELECT doc_id, line_no, line FROM v_lines WHERE len({views.to
     "crop_tokens": f"""
 WITH {views.LINES}, t AS (SELECT doc_id, line_no, ({views.tokens('line')})[1:150] AS t FROM v_lines)
 SELECT doc_id, line_no, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS cropped FROM t""",
-    "hash_codes": f"""
-SELECT vec_id, array_to_string({_BITS}, '') AS bits,
-       CAST(list_sum(list_transform(range(0, 8), lambda i: ({_BITS})[i + 1] * (1 << i))) AS BIGINT) AS code
-FROM embeddings""",
-    "hash_projected": """
-WITH x AS (SELECT vec_id, label, unnest(range(0, 64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
-w AS (SELECT label, pos, sum(x) / (count(*) + 1e-7) AS w FROM x GROUP BY label, pos),
-bits AS (SELECT DISTINCT label, dense_rank() OVER (ORDER BY label) - 1 AS bit FROM w),
-scores AS (SELECT vec_id, w.label, sum(x.x * w.w) + 0.25 AS s FROM x JOIN w USING (pos) GROUP BY vec_id, w.label)
-SELECT vec_id, CAST(sum(CASE WHEN s > 0 THEN 1 << bit ELSE 0 END) AS BIGINT) AS code
-FROM scores JOIN bits USING (label) GROUP BY vec_id""",
+    "hash_codes": """
+WITH c AS (SELECT vec_id, unnest(range(0, 64)) AS pos, unnest(embedding) AS x FROM embeddings)
+SELECT vec_id, CAST(pos // 8 AS INTEGER) AS part, string_agg(CASE WHEN x > 0 THEN '1' ELSE '0' END, '' ORDER BY pos) AS bits,
+       CAST(sum(CASE WHEN x > 0 THEN 1 << (pos % 8) ELSE 0 END) AS BIGINT) AS code
+FROM c GROUP BY vec_id, pos // 8""",
+    "hash_projected": f"WITH {views.SCORES} SELECT vec_id, code FROM v_codes",
     "saturating_sigmoid": """
 SELECT vec_id, CAST(unnest(range(0, 64)) AS INTEGER) AS pos,
        round(least(greatest(1.2 / (1 + exp(-CAST(unnest(embedding) AS DOUBLE))) - 0.1, 0.0), 1.0), 6) AS soft_bit
 FROM embeddings""",
-    "code_export": f"""
-WITH {views.EXPORT}
-SELECT line_no, src || chr(9) || cfg || chr(9) || code AS line FROM v_export
-WHERE len({views.tokens('src')}) <= 60""",
+    "code_export": f"WITH {_CODED} SELECT line_no, src || chr(9) || cfg || chr(9) || code AS line FROM v_export",
     "make_target": f"""
 WITH {_CODED}
-SELECT doc_id, line_no,
-       CASE WHEN c.src IS NULL THEN '<ERR>' || trim(line)
-            ELSE '<c' || (CAST(c.code AS BIGINT) + 1) || '> <eoc> ' || trim(line) END AS line,
+SELECT line_no,
+       CASE WHEN c.src IS NULL THEN '<ERR>' || trim(l.src)
+            ELSE '<c' || (CAST(c.code AS BIGINT) + 1) || '> <eoc> ' || trim(l.src) END AS line,
        CASE WHEN c.src IS NULL THEN 'missing' ELSE 'merged' END AS status
-FROM v_lines l LEFT JOIN coded c ON c.src = trim(l.line)""",
+FROM v_labelling l LEFT JOIN coded c ON c.src = trim(l.src) AND c.cfg = l.cfg""",
     "unlabelled_rows": f"""
 WITH {_CODED}
-SELECT doc_id, line_no, line AS src FROM v_lines WHERE NOT EXISTS (SELECT 1 FROM coded c WHERE c.src = trim(line))""",
+SELECT line_no, l.src FROM v_labelling l LEFT JOIN coded c ON c.src = trim(l.src) AND c.cfg = l.cfg WHERE c.src IS NULL""",
     "tripled_pairs": f"""
 WITH {views.PAIRS}
 , numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no FROM v_pairs)

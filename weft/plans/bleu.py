@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from weft.functions import text
 from weft.operators import alignment, jobs, selection
 from weft.operators import bleu as op
-from weft.operators.ordering import dense_index, digest
+from weft.operators.ordering import digest
 from weft.operators.vocabulary import lookup
 from weft.plans import views
 from weft.plans.selection import _DIVERSE, nbest_parse
-from weft.plans.vocabulary import LIMITED, VOCAB_LIMIT, _limited
+from weft.plans.vocabulary import VOCAB, vocab_build
 from weft.sources import tables
 
 SAMPLE_SIZE = 50
@@ -39,9 +39,12 @@ def mean_sentence_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.mean_sentence_bleu(wrapped, PAIR).select("n_pairs", F.round("mean_bleu", 6).alias("mean_bleu"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.numbered(spark, sf_dir).select("line_no", F.col("line").alias("text"))
+
+
 def triples_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = dense_index(tables.heads(spark, sf_dir).select("doc_id", F.col("line").alias("text")), "doc_id")
-    return op.triples(lines)
+    return op.triples(_lines(spark, sf_dir))
 
 
 def sample_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +62,10 @@ def self_bleu_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tagged_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of token classes; the class of a token is the magnitude of its frequency rank."""
-    lexicon = lookup(_limited(spark, sf_dir)).select(
-        "token", F.concat(F.lit("B"), F.length(F.col("id").cast("string")).cast("string")).alias("class"), F.col("id").alias("rank")
+    lexicon = lookup(vocab_build(spark, sf_dir)).select(
+        "token", F.concat(F.lit("B"), F.length(F.col("id").cast("string")).cast("string")).alias("class")
     )
-    return op.tag_sequences(triples_build(spark, sf_dir), ["block", "pos"], lexicon, max_rows=VOCAB_LIMIT)
+    return op.tag_sequences(triples_build(spark, sf_dir), ["block", "pos"], lexicon)
 
 
 def self_bleu_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +81,13 @@ def diversity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampling_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First line, last line and number of lines of each document, as three passes."""
-    docs = dense_index(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    parts = F.split("text", "\n", -1)
+    """Every line as it is, its tokens, and their number, as three passes."""
+    lines = _lines(spark, sf_dir)
+    tokens = text.split_ws("text")
     passes = [
-        docs.select("line_no", tables.first_line().alias("text")),
-        docs.select("line_no", F.substring_index("text", "\n", -1).alias("text")),
-        docs.select("line_no", F.size(parts).cast("string").alias("text")),
+        lines,
+        lines.select("line_no", F.array_join(tokens, " ").alias("text")),
+        lines.select("line_no", F.size(tokens).cast("string").alias("text")),
     ]
     return alignment.interleave(passes)
 
@@ -213,15 +216,13 @@ scores AS (
 _REPORT = """count(*) AS n_triples, round(avg((bleu0 + bleu1 + bleu2) / 3), 2) AS mean_bleu,
        round(avg(list_stddev_pop([bleu0, bleu1, bleu2])), 2) AS mean_std"""
 
-_TAGS = f"""{LIMITED}, {views.TRIPLES},
+_TAGS = f"""{VOCAB}, {views.TRIPLES},
 lexicon AS (SELECT token, 'B' || length(CAST(id AS VARCHAR)) AS class FROM v_lookup),
-tagged AS (
-  SELECT v.block, v.pos, coalesce((
-    SELECT string_agg(coalesce(x.class, 'X'), ' ' ORDER BY u.i)
-    FROM (SELECT unnest(range(0, len({views.tokens('v.text')}))) AS i, unnest({views.tokens('v.text')}) AS token) u
-    LEFT JOIN lexicon x ON x.token = u.token), '') AS text
-  FROM v_triples v
-)"""
+said AS (SELECT block, pos, unnest(range(0, len(t))) AS i, unnest(t) AS token FROM (SELECT block, pos, {views.tokens('text')} AS t FROM v_triples)),
+classes AS (
+  SELECT block, pos, string_agg(coalesce(x.class, 'X'), ' ' ORDER BY i) AS text
+  FROM said LEFT JOIN lexicon x ON x.token = said.token GROUP BY block, pos),
+tagged AS (SELECT v.block, v.pos, coalesce(c.text, '') AS text FROM v_triples v LEFT JOIN classes c ON c.block = v.block AND c.pos = v.pos)"""
 
 ORACLE = {
     "bleu_stats": f"WITH {_STATS} SELECT * FROM stats",
@@ -248,10 +249,10 @@ both_kinds AS (SELECT 'words' AS kind, block, pos, text FROM v_triples
                UNION ALL SELECT 'tags', block, pos, text FROM tagged),
 {_self_bleu('both_kinds', 'kind, block')}
 SELECT kind, {_REPORT} FROM scores GROUP BY kind""",
-    "sampling_triples": """
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, string_split(text, chr(10)) AS l FROM documents)
+    "sampling_triples": f"""
+WITH {views.NUMBERED}, d AS (SELECT line_no, line, {views.tokens('line')} AS t FROM v_numbered)
 SELECT line_no, CAST(pos AS BIGINT) AS pos, line_no * 3 + pos AS out_no,
-       CASE pos WHEN 0 THEN l[1] WHEN 1 THEN l[-1] ELSE CAST(len(l) AS VARCHAR) END AS text
+       CASE pos WHEN 0 THEN line WHEN 1 THEN array_to_string(t, ' ') ELSE CAST(len(t) AS VARCHAR) END AS text
 FROM d, range(0, 3) AS r(pos)""",
     "arm_comparison": f"""{_DIVERSE},
 arms AS (

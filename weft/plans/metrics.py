@@ -95,8 +95,9 @@ WITH b AS (
          least(65535.0, coalesce(min(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 65535.0)) AS best_before FROM events)
 SELECT event_id, run, name, CAST(best_before AS DOUBLE) AS best_before, value <= best_before AS improved FROM b""",
-    "label_eval": """
-WITH s AS (SELECT label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings)
+    "label_eval": f"""
+WITH {views.SCORES},
+s AS (SELECT e.vec_id, any_value(e.label) AS label, list(s ORDER BY bit) AS s FROM v_scores JOIN embeddings e USING (vec_id) GROUP BY e.vec_id)
 SELECT count(*) AS n, round(avg(CASE WHEN list_position(s, list_max(s)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
        round(avg(ln(list_sum(list_transform(s, lambda x: exp(x)))) - s[label + 1]), 6) AS mean_nll FROM s""",
     "mean_pool": """

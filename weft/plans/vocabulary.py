@@ -7,23 +7,16 @@ from pyspark.sql import functions as F
 
 from weft.functions import text
 from weft.operators import vocabulary as op
-from weft.operators.ordering import running_start
 from weft.plans import views
+from weft.session import freeze
 from weft.sources import tables
 
 VOCAB_LIMIT = 3000
+LINE = ["doc_id", "line_no"]
 
 
 def lines_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Global line numbers: the start of each document plus the line number inside it."""
-    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
-    sizes = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n"))
-    starts = running_start(sizes, "doc_id", "n", "start", 60).select("doc_id", "start")
-    return (
-        docs.join(starts, "doc_id")
-        .select("doc_id", "start", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .select((F.col("start") + F.col("pos")).alias("line_no"), "doc_id", "line")
-    )
+    return tables.numbered(spark, sf_dir).select("line_no", "doc_id", "line")
 
 
 def tokens_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,16 +44,12 @@ def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.build_vocab(corpus_tokens(spark, sf_dir))
 
 
-def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocab_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.build_vocab(
         corpus_tokens(spark, sf_dir), limit=VOCAB_LIMIT, order=["doc_id", "line_no", "pos"]
     )
 
 
-def vocab_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _limited(spark, sf_dir)
-
-
 def vocab_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.frequent(op.token_counts(corpus_tokens(spark, sf_dir)), 10)
 
@@ -85,27 +74,25 @@ def vocab_marian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.build_vocab(corpus_tokens(spark, sf_dir), specials=op.DECODER_SPECIALS).select("id", "token")
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.lines(spark, sf_dir).select(
-        "doc_id", "line_no", text.split_ws(text.strip("line")).alias("tokens")
-    )
-    return op.encode(rows, _limited(spark, sf_dir), ["doc_id", "line_no"], max_rows=VOCAB_LIMIT)
+def _stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.lines(spark, sf_dir).select("doc_id", "line_no", text.split_ws(text.strip("line")).alias("tokens"))
 
 
 def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded(spark, sf_dir).select("doc_id", "line_no", F.array_join("ids", " ").alias("ids"))
+    coded = op.encode(_stripped(spark, sf_dir), vocab_build(spark, sf_dir), LINE)
+    return coded.select(*LINE, F.array_join("ids", " ").alias("ids"))
 
 
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decode of encode: known tokens come back, the others as UNK."""
-    rows = tables.lines(spark, sf_dir).select(
-        "doc_id", "line_no", text.split_ws(text.strip("line")).alias("tokens")
-    )
-    vocab = _limited(spark, sf_dir)
-    keys = ["doc_id", "line_no"]
-    coded = op.encode(rows, vocab, keys, max_rows=VOCAB_LIMIT)
-    back = op.decode(coded, vocab, keys, max_rows=VOCAB_LIMIT)
-    return back.select(*keys, F.array_join("tokens", " ").alias("tokens"))
+    """Decode of encode with a vocabulary of the words of ten and more: those come back, the others as UNK.
+
+    No dictionary is broadcast here, whatever its size.
+    """
+    counts = op.frequent(op.token_counts(corpus_tokens(spark, sf_dir)), 10)
+    vocab = freeze(op.vocab_of_counts(counts))
+    coded = op.encode(_stripped(spark, sf_dir), vocab, LINE, broadcast_bytes=0)
+    back = op.decode(coded, vocab, LINE, broadcast_bytes=0)
+    return back.select(*LINE, F.array_join("tokens", " ").alias("tokens"))
 
 
 def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,20 +136,25 @@ def _specials(tokens: list[str], with_count: bool = True) -> str:
     return " UNION ALL ".join(f"SELECT {i} AS id, '{t}' AS token{count}" for i, t in enumerate(tokens))
 
 
-LIMITED = (
-    TOKENS
-    + f""",
-v_vocab AS (
-  {_specials(op.SPECIALS)} UNION ALL
-  SELECT row_number() OVER (ORDER BY cnt DESC, token) + 3 AS id, token, cnt
-  FROM (SELECT token, cnt FROM v_counts ORDER BY cnt DESC, first LIMIT {VOCAB_LIMIT - 4})
-),
-v_lookup AS (SELECT token, max(id) AS id FROM v_vocab GROUP BY token),
+_WS = f"""v_lookup AS (SELECT token, max(id) AS id FROM v_vocab GROUP BY token),
 v_ws AS (
   SELECT doc_id, line_no, unnest(range(0, len(t))) AS pos, unnest(t) AS token
   FROM (SELECT *, {views.tokens('line')} AS t FROM v_lines)
 )"""
-)
+
+
+def _vocab(counts: str) -> str:
+    return f"""{TOKENS},
+v_vocab AS (
+  {_specials(op.SPECIALS)} UNION ALL
+  SELECT row_number() OVER (ORDER BY cnt DESC, token) + 3 AS id, token, cnt FROM ({counts})
+),
+{_WS}"""
+
+
+VOCAB = _vocab("SELECT token, cnt FROM v_counts")
+LIMITED = _vocab(f"SELECT token, cnt FROM v_counts ORDER BY cnt DESC, first LIMIT {VOCAB_LIMIT - 4}")
+FREQUENT = _vocab("SELECT token, cnt FROM v_counts WHERE cnt >= 10")
 
 ORACLE = {
     "lines_numbered": f"""
@@ -196,13 +188,13 @@ WITH {TOKENS}
 {_specials(op.DECODER_SPECIALS, False)} UNION ALL
 SELECT row_number() OVER (ORDER BY cnt DESC, token) + 1 AS id, token FROM v_counts""",
     "encode_tokens": f"""
-WITH {LIMITED}
+WITH {VOCAB}
 SELECT l.doc_id, l.line_no, coalesce(string_agg(CAST(coalesce(k.id, 3) AS VARCHAR), ' ' ORDER BY w.pos)
                                      FILTER (w.pos IS NOT NULL), '') AS ids
 FROM v_lines l LEFT JOIN v_ws w ON w.doc_id = l.doc_id AND w.line_no = l.line_no
 LEFT JOIN v_lookup k ON k.token = w.token GROUP BY l.doc_id, l.line_no""",
     "decode_roundtrip": f"""
-WITH {LIMITED}
+WITH {FREQUENT}
 SELECT l.doc_id, l.line_no, coalesce(string_agg(CASE WHEN k.id IS NULL THEN 'UNK' ELSE w.token END, ' ' ORDER BY w.pos)
                                      FILTER (w.pos IS NOT NULL), '') AS tokens
 FROM v_lines l LEFT JOIN v_ws w ON w.doc_id = l.doc_id AND w.line_no = l.line_no

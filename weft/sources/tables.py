@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import CODE_END, NBEST_SEPARATOR
-from weft.functions.vectors import binarise, pack_bits
+from weft.operators.ordering import dense_index, running_start
+from weft.operators.projection import mean_pool, project
 from weft.session import widen
 
-CODE_BITS = 8
-CONSTANT_TREE = "(ROOT (S (NP (DT the) (NN cat)) (VP (VBD sat)) (.)))"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def first_line(text: str = "text") -> Column:
-    return F.substring_index(F.col(text), "\n", 1)
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, line_no, line``: documents cut at line ends."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
@@ -39,45 +32,77 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(answered, ["conv_id", "turn"])
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line_no, doc_id, lang, source, pos, line``: all lines of all documents as one corpus.
+
+    The number of a line is the start of its document, a prefix sum over the documents in
+    the order of their ids, plus its place ``pos`` there.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    sizes = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n"))
+    starts = running_start(sizes, "doc_id", "n", "start", 60).select("doc_id", "start")
+    return (
+        docs.join(starts, "doc_id")
+        .select("doc_id", "lang", "source", "start", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .select((F.col("start") + F.col("pos")).alias("line_no"), "doc_id", "lang", "source", "pos", "line")
+    )
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line_no, line``: all lines of all pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.split("html", "\n", -1).alias("parts"))
+    sizes = pages.select("page_id", F.size("parts").cast("bigint").alias("n"))
+    starts = running_start(sizes, "page_id", "n", "start", 60).select("page_id", "start")
+    return (
+        pages.join(starts, "page_id")
+        .select("start", F.posexplode("parts").alias("pos", "line"))
+        .select((F.col("start") + F.col("pos")).alias("line_no"), "line")
+    )
+
+
 def nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rank, value``: raw n-best lines. Block = source, code = language if labelled."""
-    docs = table(spark, sf_dir, "documents")
+    """``rank, value``: every line as a raw n-best line. Block = source, code = language if labelled."""
     labelled = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
     coded = F.when(F.col("labelled"), F.concat(F.col("lang"), F.lit(CODE_END))).otherwise("")
-    return docs.join(labelled, "doc_id", "left").select(
-        F.col("doc_id").alias("rank"),
+    return numbered(spark, sf_dir).join(labelled, "doc_id", "left").select(
+        F.col("line_no").alias("rank"),
         F.concat_ws(
             NBEST_SEPARATOR,
             "source",
-            F.concat(coded, first_line()),
-            F.concat(F.lit("length="), F.col("n_chars").cast("string")),
-            F.col("doc_id").cast("string"),
+            F.concat(coded, "line"),
+            F.concat(F.lit("length="), F.length("line").cast("string")),
+            F.col("line_no").cast("string"),
         ).alias("value"),
     )
 
 
-def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source, line``: the first line of each document."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", first_line().alias("line")
-    )
+def by_turns(corpus: DataFrame, items: DataFrame, item_no: str) -> DataFrame:
+    """``corpus`` (``line_no``) beside ``items``, whose numbers from 0 are taken in turn."""
+    n = items.agg(F.count(F.lit(1))).scalar()
+    return corpus.withColumn(item_no, F.pmod("line_no", n)).join(items, item_no)
 
 
-def export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``line_no, src, cfg, vec``: first line, a constant tree and the vector of each document."""
-    vectors = table(spark, sf_dir, "embeddings")
-    n_vec = vectors.agg(F.count(F.lit(1))).scalar()
-    docs = heads(spark, sf_dir).withColumn("vec_id", F.pmod(F.col("doc_id"), n_vec))
-    return docs.join(vectors.select("vec_id", "embedding"), "vec_id").select(
-        F.col("doc_id").alias("line_no"),
-        F.col("line").alias("src"),
-        F.lit(CONSTANT_TREE).alias("cfg"),
-        F.col("embedding").alias("vec"),
-    )
+def label_weights(spark: SparkSession, sf_dir: str, bias: float = 0.25) -> DataFrame:
+    """``bit, weights, bias``: an affine score per label, its mean vector."""
+    pooled = mean_pool(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    return pooled.select(F.col("label").alias("bit"), F.col("pooled").alias("weights"), F.lit(bias).alias("bias"))
 
 
-def export_code() -> Column:
-    return pack_bits(binarise("vec", CODE_BITS)).cast("string")
+def numbered_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tree_no, cfg``: the trees of the orders, numbered from 0."""
+    keyed = trees(spark, sf_dir).withColumnRenamed("line_no", "o_orderkey")
+    return dense_index(keyed, "o_orderkey", "tree_no").select("tree_no", "cfg")
+
+
+def labelling(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(line_no, src)``, ``(line_no, cfg)``, ``(line_no, vec)``: lines, trees and vectors, taken in turn."""
+    corpus = numbered(spark, sf_dir).select("line_no", F.col("line").alias("src"))
+    vectors = dense_index(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec")), "vec_id", "vec_no")
+    return (
+        corpus,
+        by_turns(corpus.select("line_no"), numbered_trees(spark, sf_dir), "tree_no").select("line_no", "cfg"),
+        by_turns(corpus.select("line_no"), vectors, "vec_no").select("line_no", "vec"),
+    )
 
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +149,6 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``vec_id, label, scores``: the first ten components as class scores."""
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.slice("embedding", 1, 10).cast("array<double>").alias("scores")
-    )
+    """``vec_id, label, scores``: affine scores of whole vectors, one per label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    return project(vectors, label_weights(spark, sf_dir)).select("vec_id", "label", "scores")
