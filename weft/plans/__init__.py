@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.plans import alignment, bleu, datasets, metrics, preparation, selection, trees, vocabulary
+from weft.plans import alignment, bleu, datasets, files, metrics, preparation, selection, trees, vocabulary
 
-FAMILIES = [selection, vocabulary, alignment, bleu, trees, datasets, metrics, preparation]
+FAMILIES = [selection, vocabulary, alignment, bleu, trees, datasets, metrics, preparation, files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

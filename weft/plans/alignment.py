@@ -169,6 +169,14 @@ _CODED = f"""{views.LABELLING},
 v_export AS (SELECT line_no, trim(src) AS src, cfg, code FROM v_labelling WHERE len({views.tokens('src')}) <= {SOURCE_CAP}),
 coded AS (SELECT src, cfg, arg_max(code, line_no) AS code FROM v_export WHERE src <> '' GROUP BY src, cfg)"""
 
+_MERGED = """
+merged AS (
+  SELECT line_no,
+         CASE WHEN c.src IS NULL THEN '<ERR>' || trim(l.src)
+              ELSE '<c' || (CAST(c.code AS BIGINT) + 1) || '> <eoc> ' || trim(l.src) END AS line,
+         CASE WHEN c.src IS NULL THEN 'missing' ELSE 'merged' END AS status
+  FROM v_labelling l LEFT JOIN coded c ON c.src = trim(l.src) AND c.cfg = l.cfg)"""
+
 ORACLE = {
     "aligned_zip": f"WITH {_FILES} SELECT * FROM a JOIN b USING (line_no) JOIN c USING (line_no)",
     "alignment_check": f"""
@@ -204,13 +212,7 @@ SELECT vec_id, CAST(unnest(range(0, 64)) AS INTEGER) AS pos,
        round(least(greatest(1.2 / (1 + exp(-CAST(unnest(embedding) AS DOUBLE))) - 0.1, 0.0), 1.0), 6) AS soft_bit
 FROM embeddings""",
     "code_export": f"WITH {_CODED} SELECT line_no, src || chr(9) || cfg || chr(9) || code AS line FROM v_export",
-    "make_target": f"""
-WITH {_CODED}
-SELECT line_no,
-       CASE WHEN c.src IS NULL THEN '<ERR>' || trim(l.src)
-            ELSE '<c' || (CAST(c.code AS BIGINT) + 1) || '> <eoc> ' || trim(l.src) END AS line,
-       CASE WHEN c.src IS NULL THEN 'missing' ELSE 'merged' END AS status
-FROM v_labelling l LEFT JOIN coded c ON c.src = trim(l.src) AND c.cfg = l.cfg""",
+    "make_target": f"WITH {_CODED}, {_MERGED} SELECT * FROM merged",
     "unlabelled_rows": f"""
 WITH {_CODED}
 SELECT line_no, l.src FROM v_labelling l LEFT JOIN coded c ON c.src = trim(l.src) AND c.cfg = l.cfg WHERE c.src IS NULL""",

@@ -60,12 +60,15 @@ def self_bleu_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("block", *[F.round(f"bleu{i}", 6).alias(f"bleu{i}") for i in op.SIDES])
 
 
-def _tagged_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples of token classes; the class of a token is the magnitude of its frequency rank."""
-    lexicon = lookup(vocab_build(spark, sf_dir)).select(
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``token, class``: the class of a token is the magnitude of its frequency rank."""
+    return lookup(vocab_build(spark, sf_dir)).select(
         "token", F.concat(F.lit("B"), F.length(F.col("id").cast("string")).cast("string")).alias("class")
     )
-    return op.tag_sequences(triples_build(spark, sf_dir), ["block", "pos"], lexicon)
+
+
+def _tagged_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.tag_sequences(triples_build(spark, sf_dir), ["block", "pos"], lexicon(spark, sf_dir))
 
 
 def self_bleu_tags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,67 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as functions
 from weft.functions.text import split_space, strip
 from weft.operators.ordering import ranked, running_start
 from weft.operators.selection import parse_nbest
-from weft.session import freeze
-
-SPLIT_BITS = 40
-# Splits whose starts may be broadcast: at 120 bytes a row about 120 MB, for 128 TB of text
-# in the usual splits.
-BROADCAST_SPLITS = 1_000_000
+from weft.sources.commit import committed_files, read_table
+
+FILE_BITS = 40
+# One file's name may have one slash or three behind its scheme.
+_SCHEME = re.compile("^([A-Za-z0-9+.-]+):/+")
+# The table of a committed text, and of a vocabulary.
+LINES, VOCAB = "lines", "vocab"
+VOCAB_SCHEMA = "id long, token string, cnt long"
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the place of each line in its split; a task reads splits one after the other, in order."""
+    key, place = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch["file"].dictionary_encode()
+        names = codes.dictionary.to_pylist()
+        file, start = codes.indices.to_numpy(), batch["start"].to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(file) != 0) | (np.diff(start) != 0)) + 1).tolist(), len(start)]
+        places = np.empty(len(start), np.int64)
+        for a, b in zip(edges, edges[1:]):
+            now = (names[file[a]], start[a])
+            place = place if now == key else 0
+            key = now
+            places[a:b] = np.arange(place, place + b - a)
+            place += b - a
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places)], names=[*batch.schema.names, "place"])
 
 
 def read_lines(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
     """``line_no, file, text``: text lines numbered from 0 in (file path, position) order.
 
-    Spark packs file splits into tasks by size, so the order of files is not that of the
-    tasks. Inside a split, though, rows keep their order. The lines are written once with
-    their split and place, so that later changes of the splits mean nothing; the rows of each
-    split are counted there, and the line number is the start of the split plus the place in
-    it. The text itself is neither sorted nor shuffled. A last line without line end counts.
+    The files are read twice and not copied: the lines of every split are counted, the
+    counts add up to the number of each split's first line, and a line is that plus its
+    place in the split. Both reads belong to one plan, made for every action, so the splits
+    may be of any size and differ from action to action; should the two differ in one action, that is
+    an error and not a wrong number. The text is neither sorted nor shuffled. A last line without line
+    end counts.
 
     ``.gz`` files are read by one task each; ``partitions`` spreads the lines afterwards.
     """
-    raw = spark.read.text(path).select(
-        F.col("value").alias("text"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__id"),
-    )
-    raw = freeze(raw)
-    splits = freeze(
-        raw.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    source = spark.read.text(path)
+    raw = source.select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
-    numbered = ranked(splits, [F.col("file"), F.col("__block")], "__no")
-    starts = running_start(numbered, "__no", "__n", "__start", SPLIT_BITS).select("file", "__block", "__first", "__start")
-    if splits.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
-        starts = F.broadcast(starts)
-    lines = raw.join(starts, ["file", "__block"]).select(
-        (F.col("__start") + F.col("__id") - F.col("__first")).alias("line_no"), "file", "text"
+    # The names that the driver lists for any read, in order.
+    names = sorted({_SCHEME.sub(r"\1:/", name) for name in source.inputFiles()})
+    order = spark.createDataFrame([(name, i) for i, name in enumerate(names)] or [("", 0)], "file string, file_no long")
+    counts = raw.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    totals = counts.groupBy("file").agg(F.sum("n").alias("n")).withColumn("name", F.regexp_replace("file", _SCHEME.pattern, "$1:/"))
+    known = totals.join(order.withColumnRenamed("file", "name"), "name")
+    files = running_start(known, "file_no", "n", "first", FILE_BITS).select("file", "first")
+    starts = inside.join(files, "file").select("file", "start", (F.col("first") + F.col("inside")).alias("first"), "n")
+    placed = raw.mapInArrow(_places, "text string, file string, start long, place long")
+    found = placed.join(starts, ["file", "start"], "left")
+    number = F.when(F.col("place") < F.col("n"), F.col("first") + F.col("place")).otherwise(
+        F.raise_error(F.concat(F.lit("the splits or lines changed while they were read: "), F.col("file")))
     )
+    lines = found.select(number.alias("line_no"), "file", "text")
     return lines if partitions is None else lines.repartition(partitions, "line_no")
 
 
-def count_terminated(spark: SparkSession, path: str) -> int:
-    """Number of line ends in plain text files: an unterminated last line does not count."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    open_ended = 0
-    frame = spark.read.text(path)
-    for name in frame.inputFiles():
-        where = hadoop.Path(name)
-        system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        length = system.getFileStatus(where).getLen()
-        if length:
-            stream = system.open(where)
-            stream.seek(length - 1)
-            open_ended += stream.read() != ord("\n")
-            stream.close()
-    return frame.count() - open_ended
+def count_terminated(spark: SparkSession, path: str | list[str]) -> int:
+    """Number of line ends in plain text files: an unterminated last line does not count.
+
+    In tasks: a file whose lines, with one byte more each, make one byte more than the file has an open end.
+    A byte order mark, which the reader drops, is allowed for. Compressed files are an error.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(
+        F.octet_length("value").cast("bigint").alias("bytes"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
+    )
+    files = read.groupBy("file", "size").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bytes") + 1).alias("bytes"))
+    extra = F.col("bytes") - F.col("size")
+    ends = F.when(extra.isin(0, -3), F.col("n")).when(extra.isin(1, -2), F.col("n") - 1).otherwise(
+        F.raise_error(F.concat(F.lit("not a plain text file: "), F.col("file")))
+    )
+    return files.agg(F.sum(ends)).first()[0] or 0
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no, file, text`` of the last text committed below a path (``sinks``)."""
+    files = committed_files(spark, path, LINES)
+    return read_lines(spark, files) if files else spark.createDataFrame([], "line_no long, file string, text string")
 
 
 def read_nbest(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
@@ -100,14 +137,21 @@ def read_tokens(
 
 
 def load_vocab(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
-    """A saved vocabulary, or a text file of tokens, one per line in id order."""
+    """A saved vocabulary (``sinks.save_vocab``), or a text file of tokens, one per line in id order."""
     if not text:
-        return spark.read.parquet(path)
+        return read_table(spark, path, VOCAB, VOCAB_SCHEMA)
     return read_lines(spark, path).select(
         F.col("line_no").alias("id"), F.col("text").alias("token"), F.lit(0).cast("bigint").alias("cnt")
     )
 
 
+def shard_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``task_id, path``: the files of the shards last committed below a path, in order; tasks count from 1."""
+    # Names of a hundred shards and more are longer.
+    names = sorted(committed_files(spark, path, LINES), key=lambda name: (len(name), name))
+    return spark.createDataFrame(list(enumerate(names, 1)), "task_id long, path string")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """``task_id, path``: the files below a path by name; tasks count from 1."""
     names = spark.createDataFrame([(name,) for name in spark.read.text(path).inputFiles()], "path string")
