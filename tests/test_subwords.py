@@ -49,16 +49,38 @@ def types(spark, found):
 @pytest.mark.parametrize("seed, alphabet", [(1, "abc"), (2, "aab"), (3, "abcdefgh.$\\")])
 def test_learning_in_rounds_equals_one_by_one(spark, seed, alphabet):
     found = words(seed, alphabet)
-    learnt = subwords.learn_bpe(types(spark, found), 25).orderBy("rank").collect()
-    assert [(r["left"], r["right"], r["cnt"]) for r in learnt] == learn_plainly(found, 25)
+    learnt = subwords.learn_bpe(types(spark, found), 60).orderBy("rank").collect()
+    assert [(r["left"], r["right"], r["cnt"]) for r in learnt] == learn_plainly(found, 60)
 
 
-def test_leading_run():
-    pairs = [("a", "b", 9), ("c", "d", 8), ("e", "f", 7), ("g", "h", 7)]
-    assert subwords._leading_run(pairs, 9, True) == pairs[:2]  # a tie ends the run
-    assert subwords._leading_run([("a", "a", 9), ("c", "d", 8)], 9, True) == [("a", "a", 9)]
-    assert subwords._leading_run([("a", "b", 9), ("b", "d", 8)], 9, True) == [("a", "b", 9)]
-    assert subwords._leading_run([("a", "b", 9), ("c", "d", 8)], 9, False) == [("a", "b", 9)]
+@pytest.mark.parametrize("pairs, cuts, merges", [(6, 200_000, 10), (20_000, 12, 6), (2, 3, 4)])
+def test_rounds_of_few_pairs_and_few_cuts(spark, pairs, cuts, merges):
+    found = words(2, "aab", n=60)
+    learnt = subwords.learn_bpe(types(spark, found), merges, pairs=pairs, cuts=cuts).orderBy("rank").collect()
+    assert [(r["left"], r["right"], r["cnt"]) for r in learnt] == learn_plainly(found, merges)
+
+
+def test_learning_until_pairs_run_out(spark):
+    found = words(5, "abcdé<", n=25) | {"a</w>a</w>": 7, "<//w>": 3}
+    learnt = subwords.learn_bpe(types(spark, found)).orderBy("rank").collect()
+    assert [(r["left"], r["right"], r["cnt"]) for r in learnt] == learn_plainly(found, 16_000)
+    assert subwords.learn_bpe(types(spark, {"a": 5})).collect() == []
+
+
+def test_playing_merges_on_cuts():
+    rng = random.Random(9)
+    cuts = {"".join(rng.choice("aab") for _ in range(rng.randint(2, 9))): rng.randint(1, 9) for _ in range(40)}
+    played = subwords._Cuts([(list(c), n) for c, n in cuts.items()])
+    table = [(list(c), n) for c, n in cuts.items()]
+    for _ in range(12):
+        pairs = Counter()
+        for symbols, n in table:
+            for pair in zip(symbols, symbols[1:]):
+                pairs[pair] += n
+        best = max(pairs, key=lambda p: (pairs[p], p))
+        assert played.best() == (best, pairs[best])
+        played.merge(best)
+        table = [(join(symbols, best), n) for symbols, n in table]
 
 
 def test_segments_equal_merges_in_order(spark):

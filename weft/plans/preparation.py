@@ -13,8 +13,6 @@ from weft.plans import views
 from weft.plans.vocabulary import corpus_tokens
 from weft.sources import tables
 
-MERGES = 24
-PAIR_MERGES = 12
 LINE = ["doc_id", "line_no"]
 
 
@@ -38,13 +36,13 @@ def truecase_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subwords.learn_bpe(token_counts(corpus_tokens(spark, sf_dir)), MERGES)
+    return subwords.learn_bpe(token_counts(corpus_tokens(spark, sf_dir)))
 
 
 def bpe_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus in pieces; merged pieces seen fewer than ten times are split again."""
     types = token_counts(corpus_tokens(spark, sf_dir).filter("token <> ''"))
-    merges = subwords.learn_bpe(types, MERGES)
+    merges = subwords.learn_bpe(types)
     pieces = subwords.piece_counts(types, merges)
     coded = subwords.apply_bpe(_tokens(spark, sf_dir), merges, LINE, pieces=pieces, threshold=10)
     return coded.select(*LINE, F.array_join("tokens", " ").alias("text"))
@@ -53,7 +51,7 @@ def bpe_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversation pairs through the whole preparation."""
     pairs = tables.pairs(spark, sf_dir)
-    return jobs.prepare_pairs(pairs, ["conv_id", "turn"], "en", "en", merges=PAIR_MERGES).pairs
+    return jobs.prepare_pairs(pairs, ["conv_id", "turn"], "en", "en").pairs
 
 
 QUERIES = {
