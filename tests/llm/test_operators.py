@@ -551,3 +551,9 @@ def test_top_k_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 17)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     assert rows_of(topk.top_k(frame, F.col("vec_id") % 10 == 0)) == whole
+
+
+def test_a_key_has_one_shard_in_any_type(spark):
+    ids = spark.range(300).select("id", F.col("id").cast("int").alias("small"), F.col("id").cast("string").alias("text"))
+    found = ids.select(*[sharding.rendezvous([F.col(c)], [1.0] * 8).alias(c) for c in ids.columns]).collect()
+    assert all(len(set(r)) == 1 for r in found) and {r["id"] for r in found} == set(range(8))

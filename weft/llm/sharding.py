@@ -18,12 +18,13 @@ def rendezvous(keys: Sequence[Column], weights: Sequence[float]) -> Column:
 
     The score of a shard is -weight / ln(u), u a uniform hash of key and shard, so a shard
     gets its weight's share of the keys, and it depends on no other shard: one more shard
-    takes keys only into itself. A null key column hashes like a value of its own.
+    takes keys only into itself. Keys count by their text, so an id has one shard in any
+    integer type. A null key column hashes like a value of its own.
     """
     if not weights or any(w <= 0 for w in weights):
         raise ValueError("shards need positive weights")
     # A null is a mark of its own, so (null, 1) and (1, null) differ.
-    parts = [p for k in keys for p in (k.isNull(), k)]
+    parts = [p for k in keys for p in (k.isNull(), k.cast("string"))]
     scores = []
     for shard, weight in enumerate(weights):
         bits = F.shiftrightunsigned(F.xxhash64(*parts, F.lit(shard)), 64 - RANDOM_BITS)
