@@ -557,3 +557,17 @@ def test_a_key_has_one_shard_in_any_type(spark):
     ids = spark.range(300).select("id", F.col("id").cast("int").alias("small"), F.col("id").cast("string").alias("text"))
     found = ids.select(*[sharding.rendezvous([F.col(c)], [1.0] * 8).alias(c) for c in ids.columns]).collect()
     assert all(len(set(r)) == 1 for r in found) and {r["id"] for r in found} == set(range(8))
+
+
+def test_rows_of_one_id_with_equal_checksums(spark):
+    """Texts of one CRC-32 under one id: only the text that repeats an earlier document is cut."""
+    rng = random.Random(4)
+    seen = {}
+    while True:
+        text = "".join(rng.choice("abcdefghij") for _ in range(60))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            break
+    rows = [(1, other), (5, other), (5, text)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=False).drop("kept")
+    assert rows_of(got) == sorted(brute.repeats(rows), key=repr)

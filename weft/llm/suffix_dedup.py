@@ -43,8 +43,8 @@ SHARD_BYTES = 16 << 20
 # Bytes of segments a byte of text has at the most: neighbours overlap.
 OVERLAP = 3
 
-_OWNER = np.dtype([("doc", np.int64), ("tag", np.uint32), ("count", np.uint32)])
-_PLACE = np.dtype([("doc", np.int64), ("tag", np.uint32), ("start", np.uint32)])
+_OWNER = np.dtype([("doc", np.int64), ("tag", np.int64), ("count", np.uint32)])
+_PLACE = np.dtype([("doc", np.int64), ("tag", np.int64), ("start", np.uint32)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -457,11 +457,11 @@ def remove_repeats(docs: DataFrame, keep: bool = True, id: str = "doc_id", text:
     # The tag tells apart rows that share an id and not the text; rows without id have one below 0.
     # Both joins below are on these two, which are never null, and need no other column than the
     # text, so their plans begin alike and the texts are shuffled once.
-    crc = F.crc32("text").cast("bigint")
+    mark = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), body.alias("text")).select(
         "text",
         F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc"),
-        F.when(F.col("doc_id").isNull(), -1 - crc).otherwise(crc).alias("tag"),
+        F.when(F.col("doc_id").isNull(), -1 - mark).otherwise(mark).alias("tag"),
     )
     long = rows.filter((F.col("tag") >= 0) & (F.octet_length("text") >= WIDTH))
     size = long.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
