@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,16 @@ def self_bleu_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("block", *[F.round(f"bleu{i}", 6).alias(f"bleu{i}") for i in op.SIDES])
 
 
+def _lengths(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda line: " ".join(str(len(token)) for token in line.split()))
+
+
+def tags_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token classes by a function of the user's: here the length of each token."""
+    tagger = F.pandas_udf(_lengths, "string")
+    return op.tag_sequences(_lines(spark, sf_dir), ["line_no"], None, tagger=tagger)
+
+
 def diversity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = triples_build(spark, sf_dir).withColumn("kind", F.lit("words"))
     tags = _tagged_triples(spark, sf_dir).withColumn("kind", F.lit("tags"))
@@ -117,6 +128,7 @@ QUERIES = {
     "sample_triples": sample_triples,
     "self_bleu_words": self_bleu_words,
     "self_bleu_tags": self_bleu_tags,
+    "tags_by_function": tags_by_function,
     "diversity_report": diversity_report,
     "sampling_triples": sampling_triples,
     "arm_comparison": arm_comparison,
@@ -240,6 +252,9 @@ WITH {views.TRIPLES},
 chosen AS (SELECT block FROM v_triples WHERE pos = 2
            ORDER BY md5(block || ':{SEED}'), block LIMIT {SAMPLE_SIZE})
 SELECT block, pos, text FROM v_triples WHERE block IN (SELECT block FROM chosen)""",
+    "tags_by_function": f"""
+WITH {views.NUMBERED}
+SELECT line_no, array_to_string(list_transform({views.tokens('line')}, lambda t: length(t)), ' ') AS text FROM v_numbered""",
     "self_bleu_words": f"""
 WITH {views.TRIPLES}, {_self_bleu('v_triples', 'block')}
 SELECT block, round(bleu0, 6) AS bleu0, round(bleu1, 6) AS bleu1, round(bleu2, 6) AS bleu2 FROM scores""",

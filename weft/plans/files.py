@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.text import strip
 from weft.operators import batching, jobs, selection
 from weft.operators.ordering import ranked
+from weft.operators.vocabulary import token_counts
 from weft.plans import alignment, bleu, datasets, views, vocabulary
 from weft.plans import selection as nbest
 from weft.session import ensure_checkpoint_dir
@@ -76,6 +78,14 @@ def file_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved.join(listed, "id").select("id", "token", "cnt", "listed")
 
 
+def file_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the tokens in one field of a tab-separated file."""
+    path = _folder(spark)
+    lines = tables.numbered(spark, sf_dir).withColumn("line", strip("line")).filter("line <> ''")
+    _in_order(lines.withColumn("line", F.concat_ws("\t", "source", "line")), ["line_no"], "line").write.text(path)
+    return token_counts(corpus.read_tokens(spark, path, field=1))
+
+
 def file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code export."""
     path = _folder(spark)
@@ -126,6 +136,7 @@ QUERIES = {
     "file_tsv": file_tsv,
     "file_trees": file_trees,
     "file_vocab": file_vocab,
+    "file_fields": file_fields,
     "file_codes": file_codes,
     "file_target": file_target,
     "file_triples": file_triples,
@@ -149,6 +160,10 @@ WITH {views.NUMBERED} SELECT line_no, line AS text, (SELECT count(*) FROM v_numb
     "file_tsv": f"WITH {views.PAIRS} SELECT src, tgt FROM v_pairs",
     "file_trees": f"WITH {views.TREES} SELECT tree_no AS line_no, cfg FROM v_trees",
     "file_vocab": f"WITH {vocabulary.VOCAB} SELECT id, token, cnt, token AS listed FROM v_vocab",
+    "file_fields": f"""
+WITH {vocabulary.TOKENS}
+SELECT token, count(*) AS cnt FROM v_tokens t JOIN v_lines l ON l.doc_id = t.doc_id AND l.line_no = t.line_no
+WHERE trim(line) <> '' GROUP BY token""",
     "file_codes": f"WITH {alignment._CODED} "
     + _numbered("SELECT line_no AS n, src || chr(9) || cfg || chr(9) || code AS line FROM v_export", "n", "line"),
     "file_target": f"WITH {alignment._CODED}, {alignment._MERGED} SELECT line_no, line AS text FROM merged",

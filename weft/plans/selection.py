@@ -42,6 +42,13 @@ def block_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def diverse_new_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that the diverse choice of a block has and its plain top three lacks."""
+    nbest = nbest_parse(spark, sf_dir)
+    chosen = op.diverse_top(nbest).filter("code IS NOT NULL")
+    return op.new_codes(op.nbest_top(nbest), chosen)
+
+
 QUERIES = {
     "nbest_parse": nbest_parse,
     "diverse_top3": diverse_top3,
@@ -49,6 +56,7 @@ QUERIES = {
     "nbest_top3": nbest_top3,
     "block_code_stats": block_code_stats,
     "block_islands": block_islands,
+    "diverse_new_codes": diverse_new_codes,
 }
 
 # First occurrence of each code, then fill up by preference: set logic, no ranking by code.
@@ -82,6 +90,10 @@ SELECT * FROM placed WHERE pos < 3""",
 WITH {views.NBEST}
 SELECT block, count(*) AS n_rows, count(*) - count(code) AS n_without_code, count(DISTINCT code) AS n_codes
 FROM v_nbest GROUP BY block""",
+    "diverse_new_codes": _DIVERSE
+    + """, top AS (SELECT block, code, row_number() OVER (PARTITION BY block ORDER BY rank) AS place FROM v_nbest)
+SELECT block, code FROM kept WHERE code IS NOT NULL
+EXCEPT SELECT block, code FROM top WHERE place <= 3""",
     "block_islands": """
 WITH marked AS (
   SELECT doc_id, lang, CASE WHEN lang IS NOT DISTINCT FROM lag(lang) OVER (ORDER BY doc_id)
