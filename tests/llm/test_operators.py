@@ -218,20 +218,61 @@ def test_tree_links_equal_all_pairs():
         ]
         links = jaccard.forest(sets, num, den)
         assert len(links) < len(sets) and closure(links) == closure(plain)
-        # Similar sets share a key, whatever the order of n-grams is.
-        for levels in (np.zeros(1 << jaccard.COUNTER_BITS, np.uint8),
-                       np.random.default_rng(num).integers(0, 128, 1 << jaccard.COUNTER_BITS).astype(np.uint8)):
-            keys = [set(jaccard.signatures(s, levels, num, den).tolist()) for s in sets]
-            assert all(keys[i] & keys[j] for i, j in plain)
-
-
-def test_counts_added_in_a_tree(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FAN_IN", 2)
-    size = 1 << jaccard.SLICE_BITS
-    rows = [(s, t, np.full(size, s + 1, np.uint32).tobytes()) for s in (0, 5) for t in range(5)]
-    levels = jaccard.rarity(spark.createDataFrame(rows, "slice int, task long, counts binary"))
-    assert len(levels) == 1 << jaccard.COUNTER_BITS
-    assert levels[0] == int(4 * np.log2(6)) and levels[5 * size] == int(4 * np.log2(31)) and levels[size] == 0
+        # Similar sets share a key.
+        keys = [set(jaccard.signatures(s, num, den).tolist()) for s in sets]
+        assert all(keys[i] & keys[j] for i, j in plain)
+
+
+@pytest.mark.parametrize("num, den", [(9, 10), (4, 5), (1, 2)])
+def test_similar_sets_share_a_key_at_every_size(num, den):
+    rng = np.random.default_rng(num)
+    for size in [*range(1, 60), 100, 333, 1000, 5000]:
+        for _ in range(12 if size < 1000 else 2):
+            one = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+            # As many n-grams are taken away, or put in, or both, as similarity bears.
+            out = int(rng.integers(0, len(one) * (den - num) // den + 1))
+            kept = rng.permutation(one)[out:]
+            more = (den * len(kept) - num * len(one)) // num
+            more = int(rng.integers(0, max(more, 0) + 1))
+            two = np.unique(np.concatenate((kept, rng.integers(0, 1 << 64, more, dtype=np.uint64))))
+            both = len(np.intersect1d(one, two))
+            if len(two) and den * both >= num * (len(one) + len(two) - both):
+                assert np.isin(jaccard.signatures(one, num, den), jaccard.signatures(two, num, den)).any()
+
+
+def test_keys_of_many_sets_pass_by(docs, texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_LIST", 2)
+    monkeypatch.setattr(jaccard, "CHUNK", 40)
+    monkeypatch.setattr(jaccard, "TREE_SETS", 2)
+    expected = brute.similar(texts, 3, 4, 5)
+    found = [r for r in jaccard.similar(docs, 3, 4, 5).collect() if r.doc_id is not None]
+    assert found and all((r.n_shingles, r.component_id) == expected[r.doc_id] for r in found)
+
+
+@pytest.mark.parametrize("num, den, share", [(9, 10, 0.02), (4, 5, 0.2)])
+def test_passages_of_many_documents_make_no_long_lists(num, den, share):
+    """A passage that all documents share, a fifth of each, brings a small share of them together.
+
+    A part is the same in two of them if it has n-grams of the passage alone.
+    """
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+    keys = [
+        jaccard.signatures(np.unique(np.concatenate((passage, rng.integers(0, 1 << 64, 240, dtype=np.uint64)))), num, den)
+        for _ in range(400)
+    ]
+    _, counts = np.unique(np.concatenate(keys), return_counts=True)
+    assert counts.max() < share * 400 and (counts > 1).sum() < 0.02 * len(counts)
+
+
+def test_chains_of_sets(spark):
+    """Each set is similar to its neighbours only; one component of more sets than a tree holds."""
+    words = [f"w{i}" for i in range(3100)]
+    rows = [(i, " ".join(words[i : i + 100])) for i in range(3000)]
+    rows += [(10_000 + i, " ".join(words[i : i + 100]) + f" x{i} y{i} z{i} v{i} u{i} t{i} s{i} r{i} q{i} p{i}" * 3) for i in range(0, 3000, 100)]
+    found = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    assert all(r.component_id == (0 if r.doc_id < 10_000 else r.doc_id) for r in found)
 
 
 def test_components_of_paths(spark):

@@ -2,36 +2,41 @@
 
 A set is a text's distinct n-grams as 64-bit hashes. The steps:
 
-1. ``describe``: size and digest of every set. Equal sets are linked by their digest.
-2. ``candidate_edges``: an exact filter deals sets into clusters. Of n-grams in one order, the
-   least common one of two similar sets lies among the first few of both (a prefix filter),
-   so sets that share none of these are not similar. Rare n-grams come first: the order is by
-   counts of all documents' n-grams in a hashed table of a fixed size (``rarity``). Any
-   order is exact; a good one keeps passages that many documents share out of the prefixes.
-3. ``link``: the sets of a cluster meet in signature trees, whose nodes hold OR-combined
-   bitmaps and size ranges. A dual traversal drops pairs of nodes by the maximum possible
-   overlap; pairs of sets that remain are counted exactly.
-4. The links found, a forest for each task, give the components.
+1. ``describe``: size and digest of every set. Equal sets are linked by their digest, and one
+   of them goes on.
+2. ``candidates``: an exact filter deals sets into lists. Sets of one size class cut the range of
+   hashes into the same parts, somewhat more than similar sets can differ in n-grams; of the
+   parts in one order, large ones first, similar sets share one of their first few whole
+   (``signatures``). A whole part of several n-grams is seldom shared by sets that have only
+   a passage in common, however frequent that is. The filter looks at one set at a time.
+3. ``_links``: the sets that share a part with the same leader, the smallest set of a list, meet
+   in signature trees, whose nodes hold OR-combined bitmaps and size ranges. A dual traversal
+   drops pairs of nodes by the maximum possible overlap; pairs of sets that remain are
+   counted exactly. Lists are not united before their sets are verified.
+4. The links found, a forest for each tree, give the components.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import as_bytes, components, map_batches, worker_cache
+from weft.operators.skew import join_unique
 from weft.session import freeze
 
 WORDS_KEPT = 300_000
 # Entries that a map task combines at a time, and that a reduce task holds.
 CHUNK = 1_000_000
+# Sets with one key among the entries combined at a time from which they pass by the reduce task.
+HOT_LIST = 256
 # Sets and n-grams that a signature tree holds; n-grams in a task of several trees.
 TREE_SETS = 1024
 TREE_NGRAMS = 2_000_000
@@ -39,10 +44,6 @@ TASK_NGRAMS = 4_000_000
 LEAF = 16
 FANOUT = 8
 LEAST_BITS, MOST_BITS = 256, 1 << 16
-# The table of counts: 2^22 counters in slices of 2^15. What is broadcast is a byte a counter, 4 MB.
-COUNTER_BITS, SLICE_BITS = 22, 15
-# Tables of counts that are added up at a time.
-FAN_IN = 256
 
 
 class _WordHashes(dict):
@@ -74,11 +75,6 @@ def ngrams(text: bytes, n: int) -> np.ndarray:
     return np.unique(total)
 
 
-def counter(grams: np.ndarray) -> np.ndarray:
-    """The counters of n-grams."""
-    return (grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
-
-
 def prefix(size: int, num: int, den: int) -> int:
     """N-grams in the prefix of a set: two similar sets have their first common one there.
 
@@ -96,118 +92,109 @@ def classes(num: int, den: int, limit: int) -> tuple[int, ...]:
     return tuple(bounds)
 
 
-def signatures(grams: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A key for each n-gram of the prefix, in the order of ``levels`` and then of hashes, for the
-    set's own size class and for the one below."""
-    limit = 1 << max(10, len(grams).bit_length())
-    bounds = worker_cache(f"classes {num} {den} {limit}", lambda: classes(num, den, limit))
-    own = int(np.searchsorted(bounds, len(grams), side="right"))
-    ranks = (levels[counter(grams)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
-    count = prefix(len(grams), num, den)
-    first = _mixed(np.partition(ranks, count - 1)[:count])
-    return np.concatenate([_mixed(first + np.uint64(c)) for c in (own, own - 1)])
+def parts(low: int, high: int, num: int, den: int) -> int:
+    """Parts for the sets of a size class; 0 if no number serves.
+
+    Sets of the class must fill more parts, but for a chance of about one in a thousand,
+    than similar sets differ in n-grams. 1.3 times as many leave small parts to be passed over.
+    """
 
+    def filled(size: int, count: int) -> float:
+        x = size / count
+        spread = max(0.0, count * (math.exp(-x) - (1 + x) * math.exp(-2 * x)))
+        return count * (1 - math.exp(-x)) - 3 * math.sqrt(spread)
+
+    most = high * (den - num) // num
+    if most == 0:
+        return 1
+    count = -(-13 * (most + 1) // 10)
+    while count <= 4 * high:
+        if all(filled(s, count) >= s * (den - num) // num + 1 for s in (low, high)):
+            return count
+        count += max(1, count // 20)
+    return 0
+
+
+def _plan(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """Size classes where a set of ``size`` meets similar ones: the class, its parts, and by how
+    many n-grams the set differs from a similar one at most."""
+
+    def make() -> list[tuple[int, int, int]]:
+        limit = 1 << max(10, size.bit_length())
+        bounds = worker_cache(f"classes {num} {den} {limit}", lambda: classes(num, den, limit))
+        own = int(np.searchsorted(bounds, size, side="right"))
+        found = []
+        for c in (own, own - 1):
+            if c < 1:
+                continue
+            low, high = bounds[c - 1], bounds[c] - 1
+            count = worker_cache(f"parts {num} {den} {c}", lambda: parts(low, high, num, den))
+            if c == own:
+                found.append((c, count, size * (den - num) // num))
+            elif high * den >= num * size:
+                found.append((c, count, (size + high) * (den - num) // (den + num)))
+        return found
 
-_SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.int64()),
-     ("slice", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())]
-)
+    return worker_cache(f"plan {num} {den} {size}", make)
+
+
+def n_keys(size: int, num: int, den: int) -> int:
+    """About how many keys a set has."""
+    return sum(min(size, most + 1) for _, _, most in _plan(size, num, den)) if size else 0
+
+
+def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set, sorted n-grams: similar sets share one.
+
+    Similar sets differ in ``most`` n-grams at most, and as many whole parts. Of the filled
+    parts in one order, the first one in common is therefore among the first ``most + 1`` of
+    both, if one of the sets fills more than ``most``. For two that do not, the n-grams of a
+    prefix are keys as well: the first one in common is there.
+    """
+    keys = []
+    mixed = _mixed(grams)
+    for c, count, most in _plan(len(grams), num, den):
+        salt = _mixed(np.array([c], np.uint64))
+        filled = 0
+        if count:
+            part = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            sizes = np.diff(np.append(starts, len(grams)))
+            sums = _mixed(np.add.reduceat(mixed, starts) + salt)
+            small = np.uint64(255) - np.minimum(sizes, 255).astype(np.uint64)
+            order = (small << np.uint64(56)) | (sums >> np.uint64(8))
+            filled = len(order)
+            keys.append(_mixed(np.partition(order, most)[: most + 1] if filled > most + 1 else order))
+        if filled <= most:
+            first = prefix(len(grams), num, den)
+            keys.append(_mixed(np.partition(mixed, first - 1)[:first] + ~salt))
+    return np.concatenate(keys)
 
 
 def _describe(n: int, num: int, den: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
-        waiting, held = [], 0
         for batch in batches:
             sizes, digests, keys = [], [], []
             for text in as_bytes(batch["text"]):
                 grams = ngrams(text or b"", n)
                 sizes.append(len(grams))
-                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-                keys.append(2 * prefix(len(grams), num, den))
-                waiting.append(counter(grams))
-                held += len(grams)
-                if held >= CHUNK:
-                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
-                    waiting, held = [], 0
-            none = pa.nulls(len(sizes))
+                digests.append(_digest(grams) if len(grams) else None)
+                keys.append(n_keys(len(grams), num, den))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()),
-                 none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())],
-                schema=_SETS,
+                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64())],
+                names=["doc_id", "n", "digest", "keys"],
             )
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
-        slices = [c for c in enumerate(np.split(counts, 1 << (COUNTER_BITS - SLICE_BITS))) if c[1].any()]
-        task = TaskContext.get().partitionId()
-        none = pa.nulls(len(slices))
-        yield pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()),
-             pa.array([i for i, _ in slices], pa.int32()), pa.array([task] * len(slices), pa.int64()),
-             pa.array([c.tobytes() for _, c in slices], pa.binary())],
-            schema=_SETS,
-        )
 
     return describe
 
 
-def describe(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``docs(doc_id, text)``, written down: ``doc_id, n, digest, keys`` of every row, and the
-    tables of counts of all n-grams, ``slice, task, counts``."""
-    schema = "doc_id long, n long, digest binary, keys long, slice int, task long, counts binary"
-    both = freeze(map_batches(docs, _describe(n, num, den), schema))
-    return (
-        both.filter("slice IS NULL").select("doc_id", "n", "digest", "keys"),
-        both.filter("slice IS NOT NULL").select("slice", "task", "counts"),
-    )
-
-
-def _added(rows: pa.Table) -> pa.Table:
-    total = np.zeros(1 << SLICE_BITS, np.uint32)
-    for counts in rows["counts"].to_pylist():
-        more = total + np.frombuffer(counts, np.uint32)
-        total = np.where(more < total, np.uint32(0xFFFFFFFF), more)  # a full counter stays full
-    return pa.table(
-        {"slice": rows["slice"][:1].cast(pa.int32()), "task": rows["task"][:1], "counts": pa.array([total.tobytes()], pa.binary())}
-    )
-
-
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts as a byte each: four levels for each doubling."""
-    for batch in batches:
-        found = [
-            np.floor(4 * np.log2(1.0 + np.frombuffer(c, np.uint32))).astype(np.uint8).tobytes()
-            for c in batch["counts"].to_pylist()
-        ]
-        yield pa.RecordBatch.from_arrays([batch["slice"], pa.array(found, pa.binary())], names=["slice", "levels"])
-
-
-def rarity(counts: DataFrame) -> np.ndarray:
-    """A level for each counter, of a size that is fixed; the tables are added up in a tree."""
-    most = counts.agg(F.coalesce(F.max("task"), F.lit(0)).alias("task")).first().task
-    while True:
-        counts = (
-            counts.withColumn("task", F.expr(f"task div {FAN_IN}"))
-            .groupBy("slice", "task")
-            .applyInArrow(_added, "slice int, task long, counts binary")
-        )
-        most //= FAN_IN
-        if most == 0:
-            break
-    levels = np.zeros((1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
-    for row in map_batches(counts, _levels, "slice int, levels binary").collect():
-        levels[row.slice] = np.frombuffer(row.levels, np.uint8)
-    return levels.reshape(-1)
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _led(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries: each key once with its smallest id, and links (id, smallest id), each once."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-    leaders = ids[first][np.cumsum(first) - 1] if len(keys) else ids
-    links = np.unique(np.stack((ids, leaders), axis=1)[ids != leaders], axis=0)
-    return keys[first], ids[first], links
+def describe(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``doc_id, n, digest, keys`` of every row of ``docs(doc_id, text)``, written down."""
+    return freeze(map_batches(docs, _describe(n, num, den), "doc_id long, n long, digest binary, keys long"))
 
 
 def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -219,22 +206,41 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ordered[a]), order[a:b]
 
 
-def _entries(levels: Broadcast, n: int, num: int, den: int, buckets: int):
-    """Entries by bucket, combined in the task: a key leaves it once, however many sets have it."""
+def _distinct(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries in order, and where each key starts."""
+    order = np.lexsort((names, keys))
+    keys, names = keys[order], names[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
+    keys, names = keys[new], names[new]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys, names, np.flatnonzero(first)
+
+
+def _entries(n: int, num: int, den: int, buckets: int):
+    """Entries by bucket. Kind 0: keys, 48 bits of each, by set. Where many sets of a chunk have one
+    key, only the smallest is an entry; kind 1 marks the key and kind 2 has the sets."""
 
     def flush(found: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
         keys = np.concatenate([k for k, _ in found])
-        ids = np.repeat(np.array([i for _, i in found], np.int64), [len(k) for k, _ in found])
-        keys, ids, links = _led(keys, ids)
-        rows = []
-        # kind 0: keys, 48 bits of each, by document; 1: links.
+        names = np.repeat(np.array([i for _, i in found], np.int64), [len(k) for k, _ in found])
+        keys, names, starts = _distinct(keys, names)
+        counts = np.diff(np.append(starts, len(keys)))
+        rows, keep = [], np.ones(len(keys), bool)
+        for start, count in zip(starts[counts >= HOT_LIST].tolist(), counts[counts >= HOT_LIST].tolist()):
+            key, bucket = keys[start], int(keys[start] % np.uint64(buckets))
+            keep[start + 1 : start + count] = False
+            name = np.array([key]).tobytes()
+            rows.append((bucket, 1, name, b""))
+            # Not a group of the reduce task's buckets: it is passed on as it is.
+            rows.append((buckets + (int(key) ^ int(names[start])) % (1 << 40), 2, name, names[start : start + count].tobytes()))
+        keys, names = keys[keep], names[keep]
         for bucket, at in _groups(keys % np.uint64(buckets)):
-            at = at[np.argsort(ids[at], kind="stable")]
-            whose, counts = np.unique(ids[at], return_counts=True)
+            at = at[np.argsort(names[at], kind="stable")]
+            whose, sizes = np.unique(names[at], return_counts=True)
             upper, middle = (keys[at] >> np.uint64(32)).astype(np.uint32), (keys[at] >> np.uint64(16)).astype(np.uint16)
-            rows.append((bucket, 0, upper.tobytes() + middle.tobytes(), whose.tobytes() + counts.astype(np.uint32).tobytes()))
-        for bucket, at in _groups(links[:, 0] % buckets):
-            rows.append((bucket, 1, links[at, 0].tobytes(), links[at, 1].tobytes()))
+            rows.append((bucket, 0, upper.tobytes() + middle.tobytes(), whose.tobytes() + sizes.astype(np.uint32).tobytes()))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
              pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
@@ -244,10 +250,10 @@ def _entries(levels: Broadcast, n: int, num: int, den: int, buckets: int):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"])):
+            for text in as_bytes(batch["text"]):
                 grams = ngrams(text or b"", n)
                 if len(grams):
-                    found.append((signatures(grams, levels.value, num, den), doc_id))
+                    found.append((signatures(grams, num, den), int.from_bytes(_digest(grams)[:8], "big", signed=True)))
                     size += len(found[-1][0])
                 if size >= CHUNK:
                     yield flush(found)
@@ -258,31 +264,64 @@ def _entries(levels: Broadcast, n: int, num: int, den: int, buckets: int):
     return entries
 
 
+_LISTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("lead", pa.int64()), ("names", pa.binary())])
+
+
 def _reduce(rows: pa.Table) -> pa.Table:
-    kinds = rows["kind"].to_pylist()
-    a, b = rows["a"].to_pylist(), rows["b"].to_pylist()
-
-    keys, ids, links = [], [], []
-    for kind, left, right in zip(kinds, a, b):
-        if kind == 1:
-            links.append(np.stack((np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)), axis=1))
-            continue
-        size, owners = len(left) // 6, len(right) // 12
-        upper, middle = np.frombuffer(left[: 4 * size], np.uint32), np.frombuffer(left[4 * size :], np.uint16)
-        keys.append((upper.astype(np.uint64) << np.uint64(16)) | middle)
-        ids.append(np.repeat(np.frombuffer(right[: 8 * owners], np.int64), np.frombuffer(right[8 * owners :], np.uint32)))
+    """Kind 0: a leader with sets that share a key with it; kind 1: the leader of a key that has more sets;
+    kind 2: these."""
+    keys, names, hot, out = [], [], {}, []
+    for kind, left, right in zip(rows["kind"].to_pylist(), rows["a"].to_pylist(), rows["b"].to_pylist()):
+        if kind == 0:
+            size, owners = len(left) // 6, len(right) // 12
+            upper, middle = np.frombuffer(left[: 4 * size], np.uint32), np.frombuffer(left[4 * size :], np.uint16)
+            keys.append((upper.astype(np.uint64) << np.uint64(16)) | middle)
+            names.append(np.repeat(np.frombuffer(right[: 8 * owners], np.int64), np.frombuffer(right[8 * owners :], np.uint32)))
+        elif kind == 1:
+            key = int.from_bytes(left, "little", signed=True)
+            hot.setdefault((key >> 16) & ((1 << 48) - 1), set()).add(key)
+        else:
+            out.append((2, int.from_bytes(left, "little", signed=True), None, right))
     if keys:
-        links.append(_led(np.concatenate(keys), np.concatenate(ids))[2])
-    links = np.unique(np.concatenate(links), axis=0)
-    return pa.table({"a": links[:, 0], "b": links[:, 1]})
+        key, name, starts = _distinct(np.concatenate(keys), np.concatenate(names))
+        leads = name[starts]
+        if hot:
+            wanted = np.array(sorted(hot), np.uint64)
+            for place in np.flatnonzero(np.isin(key[starts], wanted)).tolist():
+                out += [(1, whole, int(leads[place]), None) for whole in hot[int(key[starts[place]])]]
+        leads = np.repeat(leads, np.diff(np.append(starts, len(key))))
+        lead, name, starts = _distinct(leads[leads != name], name[leads != name])
+        for a, b in zip(starts, [*starts[1:], len(lead)]):
+            out.append((0, None, int(lead[a]), name[a:b].tobytes()))
+    return pa.table(
+        [pa.array(values, field.type) for values, field in zip(zip(*out) if out else [()] * 4, _LISTS)], schema=_LISTS
+    )
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each name of a list."""
+    for batch in batches:
+        names = [np.frombuffer(b, np.int64) for b in batch["names"].to_pylist()]
+        leads = np.repeat(batch["lead"].to_numpy(zero_copy_only=False), [len(x) for x in names])
+        flat = np.concatenate(names) if names else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(leads, pa.int64()), pa.array(flat, pa.int64())], names=["lead", "name"])
 
 
-def candidate_edges(docs: DataFrame, levels: np.ndarray, entries: int, n: int, num: int, den: int) -> DataFrame:
-    """``a, b``: edges that connect all documents that share a key, ``entries`` keys in all."""
+def candidates(docs: DataFrame, entries: int, n: int, num: int, den: int) -> DataFrame:
+    """``lead, name``, each once: similar sets of different n-grams share a lead. Leaders lead themselves.
+
+    A name is eight bytes of a set's digest; there are about ``entries`` keys in all. A key of
+    very many sets is no task of its own: its sets pass by the task that finds its leader,
+    chunk by chunk, and meet the leader in a join.
+    """
     buckets = max(1, -(-entries // CHUNK))
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-    dealt = map_batches(docs, _entries(shared, n, num, den, buckets), "bucket long, kind int, a binary, b binary")
-    return dealt.groupBy("bucket").applyInArrow(_reduce, "a long, b long")
+    dealt = map_batches(docs, _entries(n, num, den, buckets), "bucket long, kind int, a binary, b binary")
+    lists = freeze(dealt.groupBy("bucket").applyInArrow(_reduce, "kind int, key long, lead long, names binary"))
+    leaders = lists.filter("kind = 1").select("key", "lead").distinct()
+    hot = lists.filter("kind = 2").select("key", "names").join(leaders, "key").select("lead", "names")
+    led = map_batches(lists.filter("kind = 0").select("lead", "names").union(hot), _named, "lead long, name long")
+    led = freeze(led.filter("lead != name").distinct())
+    return led.union(led.select("lead", F.col("lead").alias("name")).distinct())
 
 
 class SignatureTree:
@@ -396,10 +435,7 @@ def _grams(n: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [ngrams(t or b"", n).tobytes() for t in as_bytes(batch["text"])]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["cluster"], batch["blocks"], batch["n"], pa.array(found, pa.binary())],
-                names=["doc_id", "cluster", "blocks", "n", "grams"],
-            )
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "grams"])
 
     return grams
 
@@ -415,7 +451,7 @@ def link(sets: DataFrame, ngram_total: int, num: int, den: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links inside the clusters of ``members(doc_id, n, cluster)``, written down.
+    """Links inside the clusters of ``members(doc_id, n, cluster)``, written down; a document may be in several.
 
     A cluster of more sets than a tree holds is cut into blocks by a hash. Blocks are linked
     by themselves; then one set of each part found, of all blocks, and of these the same
@@ -426,25 +462,25 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> D
         F.greatest(F.ceil(F.count(F.lit(1)) / TREE_SETS), F.ceil(F.sum("n") / TREE_NGRAMS)).cast("int").alias("blocks"),
         F.count(F.lit(1)).alias("sets"),
     )
-    chosen = members.join(sizes.filter("sets > 1").drop("sets"), "cluster")
-    texts = docs.join(chosen, "doc_id").select("doc_id", "cluster", "blocks", "n", "text")
-    sets = freeze(map_batches(texts, _grams(n), "doc_id long, cluster long, blocks int, n long, grams binary"))
+    chosen = freeze(members.join(sizes.filter("sets > 1").drop("sets"), "cluster"))
+    texts = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    grams = freeze(map_batches(texts, _grams(n), "doc_id long, grams binary"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long"))
-    narrow = sets.select("doc_id", "cluster", "blocks", "n").withColumn("block", block)
+    narrow = chosen.withColumn("block", block)
     total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("blocks") > 1).alias("cut")).first()
-    found = freeze(link(sets.withColumn("tree", F.xxhash64("cluster", block)), total.n, num, den))
+    trees = narrow.select(F.xxhash64("cluster", "block").alias("tree"), "doc_id")
+    found = freeze(link(trees.join(grams, "doc_id"), total.n, num, den))
     if not total.cut:
         return found
 
     # From here on only names are moved, and the n-grams of the sets that meet again.
-    wide = narrow.filter("blocks > 1").distinct()
-    wide_grams = sets.filter("blocks > 1").select("doc_id", "grams")
+    wide = narrow.filter("blocks > 1")
 
     def linked(met: DataFrame) -> DataFrame:
         """Links inside the trees of ``met(tree, doc_id, n)``."""
         met = freeze(met.select("tree", "doc_id", "n"))
         weight = met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-        return link(met.join(wide_grams, "doc_id"), weight, num, den)
+        return link(met.join(grams, "doc_id"), weight, num, den)
 
     def parted(links: DataFrame) -> DataFrame:
         roots = components(links)
@@ -458,7 +494,10 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> D
     count = None
     while True:
         parts_now = parted(found)
-        heads = parts_now.filter("doc_id = part")
+        # A part's smallest document may lie outside a cluster, so each cluster has its own.
+        heads = parts_now.groupBy("cluster", "part").agg(F.min(F.struct("doc_id", "n")).alias("head")).select(
+            "cluster", "head.doc_id", "head.n"
+        )
         now = heads.count()
         if count is not None and now >= 0.9 * count:
             break
@@ -485,31 +524,6 @@ def _links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> D
     return freeze(found.union(linked(meeting.withColumn("tree", F.xxhash64("cluster", "block", "group")))))
 
 
-def _refined(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``members`` with clusters of more sets than a tree holds cut by the filter again.
-
-    Counts of their n-grams alone tell rare ones better than counts of all documents, and any
-    order is exact: similar sets stay together. It ends when a round leaves nearly as many.
-    """
-    before = None
-    while True:
-        large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > TREE_SETS)
-        wide = members.join(large, "cluster")
-        count = wide.count()
-        if count == 0 or (before is not None and count >= 0.9 * before):
-            return members
-        before = count
-        texts = freeze(docs.join(wide.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
-        sets, counts = describe(texts, n, num, den)
-        total = sets.agg(F.sum("keys").alias("keys")).first().keys
-        found = components(candidate_edges(texts, rarity(counts), total, n, num, den))
-        # A set without an edge is alone; clusters of one are of no use further on.
-        cut = wide.join(found.withColumnRenamed("node", "doc_id"), "doc_id").select(
-            "doc_id", "n", F.xxhash64("cluster", "root").alias("cluster")
-        )
-        members = freeze(members.join(large, "cluster", "left_anti").select("doc_id", "n", "cluster").union(cut))
-
-
 def similar(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -524,20 +538,19 @@ def similar(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id: str =
     and no component. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sets, counts = describe(rows, n, num, den)
+    sets = describe(rows, n, num, den)
     named = rows.filter("doc_id IS NOT NULL")
     total = sets.agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("keys")).first().keys
     filled = sets.filter("doc_id IS NOT NULL AND n > 0")
-    # Equal sets: a star around the smallest id. A digest of many rows is split by the join.
-    smallest = filled.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    equal = freeze(filled.join(smallest, "digest").select("doc_id", "n", "first"))
-    copies = equal.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    clusters = components(candidate_edges(named, rarity(counts), total, n, num, den).union(copies))
-    members = freeze(
-        equal.filter("doc_id = first").select("doc_id", "n").distinct()
-        .join(clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
-    )
-    links = _links(named, _refined(named, members, n, num, den), n, num, den)
+    # Equal sets: a star around the smallest id. A digest of many rows is cut into groups.
+    smallest = freeze(filled.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("n").alias("n")))
+    copies = join_unique(filled.select("doc_id", "digest"), smallest, "digest", ["doc_id"], "inner")
+    copies = copies.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    name = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("bigint")
+    heads = smallest.select(name.alias("name"), F.col("first").alias("doc_id"), "n")
+    members = join_unique(candidates(named, total, n, num, den), heads, "name", ["lead"], "inner")
+    members = freeze(members.select("doc_id", "n", F.col("lead").alias("cluster")))
+    links = _links(named, members, n, num, den)
     reached = components(links.union(copies))
     return sets.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")
