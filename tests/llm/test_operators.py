@@ -353,7 +353,61 @@ def test_small_sources_of_many_shards(spark):
     for source in ("big", "small"):
         part = [r for r in found if r.source == source]
         assert abs(sum(r.taken for r in part) - part[0].target) <= 16
-        assert sum(r.extra not in (0, r.size) for r in part) <= 1
+
+
+def seats(votes, n):
+    """Seats of each party: the n highest quotients, ties by order."""
+    ranked = sorted((-v / (2 * k + 1), i, k) for i, v in enumerate(votes) if v for k in range(n))[:n]
+    return [sum(r[1] == i for r in ranked) for i in range(len(votes))]
+
+
+@pytest.mark.parametrize("part_blocks", [4, 1000])
+def test_shards_give_whole_blocks_by_their_quotas(spark, docs, part_blocks):
+    rows = [(1000 + i, "word " * (i % 40), f"s{i % 3}") for i in range(400)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    both = docs.select("doc_id", "text", "source").union(more)
+    found = mixing.shares(both, block_words=8, shard_words=500, part_blocks=part_blocks).collect()
+    sources = {r.source: r.target for r in found}
+    names = sorted(sources, key=lambda s: (s is None, s or ""))
+    names_null_first = sorted(sources, key=lambda s: (s is not None, s or ""))
+    wanted = seats([sources[s] for s in names_null_first], round(sum(sources.values()) / 8))
+    quotas = dict(zip(names_null_first, wanted))
+    n_parts, orders = 0, set()
+    for s in names:
+        parts = {r.part: (r.words, r.part_quota, r.rounds) for r in found if r.source == s}
+        n_parts += len(parts)
+        assert [parts[p][1] for p in sorted(parts)] == seats([parts[p][0] for p in sorted(parts)], quotas[s])
+        for p, (words, quota, rounds) in parts.items():
+            mine = sorted((r for r in found if r.source == s and r.part == p and r.size), key=lambda r: r.start)
+            assert [r.start for r in mine] == [sum(q.size for q in mine[:k]) for k in range(len(mine))]
+            due = min(8 * quota, 2 * words)
+            assert rounds == (due // words if words else 0)
+            given = Counter(r.start + k for r in mine for piece in r.pieces for k in range(piece["from"], piece["to"]))
+            assert sum(given.values()) == due - rounds * words and set(given.values()) <= {1}
+            blocks = Counter(k // 8 for k in given)
+            cut = [b for b, n in blocks.items() if n < min(8, words - 8 * b)]
+            assert len(cut) <= 1 and all(b * 8 + k in given for b in cut for k in range(blocks[b]))
+            orders.add(tuple(sorted(blocks)) == tuple(range(len(blocks))))
+            assert all(r.extra == sum(x["to"] - x["from"] for x in r.pieces) and r.taken == r.size * rounds + r.extra for r in mine)
+    assert len(found) == both.count() and False in orders
+    # Parts of 1,000 blocks are whole sources here, but where a long text starts a second one.
+    assert n_parts > 40 if part_blocks == 4 else len(names) <= n_parts <= len(names) + 3
+    other = mixing.shares(both, block_words=8, shard_words=500, part_blocks=part_blocks, seed=1).collect()
+    assert sorted((str(r.doc_id), r.taken) for r in other) != sorted((str(r.doc_id), r.taken) for r in found)
+
+
+def test_mixed_documents_give_the_words_of_their_blocks(spark):
+    rows = [(i, " ".join(f"{i}.{k}" for k in range(50)), "a" if i % 2 else "b", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").coalesce(1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: r for r in mixing.shares(docs, block_words=8).collect()}
+    mixed = defaultdict(list)
+    for r in mixing.mixed_documents(docs, block_words=8).collect():
+        mixed[r.doc_id].append(r.text)
+    for i, r in found.items():
+        words = texts[i].split()
+        extra = [w for x in r.pieces for w in words[x["from"] : x["to"]]]
+        assert sorted(t.split() for t in mixed[i]) == sorted([words] * r.rounds + [extra] * bool(extra))
 
 
 def test_mixed_documents(docs):

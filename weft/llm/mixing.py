@@ -1,8 +1,8 @@
 """Mixing sources to target weights: Sainte-Laguë apportionment of equal-token blocks.
 
 DataFrame operations only. The steps are: targets per source (``fill_targets``), integer
-quotas of blocks per source (``apportion``), and a seeded choice of that many words from the
-run of a source, which goes through all its shards (``mix``).
+quotas of blocks per source and, of these, per source and shard (``apportion``), and a seeded
+choice of that many blocks among those of the source in the shard (``mix``).
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ BLOCK_WORDS = 128
 # Words and rows of a shard, over all its sources: what the largest window holds.
 SHARD_WORDS = 4_000_000
 SHARD_ROWS = 20_000
+# Blocks of a source that get a quota together, at least: a thin source joins its shards up to that.
+PART_BLOCKS = 1_000
+# Primes that make the seeded multipliers: some is no divisor of a number of blocks, as their product is beyond it.
+PRIMES = (1009, 1013, 1019, 1021, 1031, 1033, 1039, 1049, 1051, 1061, 1063, 1069, 1087, 1091, 1093, 1097)
 
 
 def fill_targets(sources: DataFrame, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
@@ -141,13 +145,84 @@ def _numbered_equals(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     )
 
 
-def mix(
+def _parts(rows: DataFrame, quotas: DataFrame, shards: int, block_words: int, part_blocks: int, repeats: int, seed: int) -> DataFrame:
+    """``source, shard`` of every cell, where it starts in its part, and what the part gives.
+
+    The shards of a source follow each other from one that its name gives; a part is all that
+    start in one stretch of ``part_blocks`` blocks, so a source with more than that in a shard
+    has a part per shard, and only its thin shards are put together.
+    """
+    turn = F.pmod(F.col("shard") - F.pmod(F.xxhash64("source"), F.lit(shards)), F.lit(shards))
+    earlier = Window.partitionBy("source").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        rows.groupBy("source", "shard")
+        .agg(F.sum("size").alias("words"))
+        .withColumn("turn", turn)
+        .withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        .withColumn("part", F.expr(f"before div {block_words * part_blocks}"))
+    )
+    parts = cells.groupBy("source", "part").agg(F.sum("words").alias("words"), F.min("before").alias("start"))
+    wanted = parts.alias("p").join(quotas.alias("q"), F.col("p.source").eqNullSafe(F.col("q.source"))).select("p.*", "source_size", "target", "quota")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("words") / block_words)).cast("bigint")
+    mixed = F.xxhash64("source", "part", F.lit(seed))
+    factors = F.array(
+        *[
+            F.when((F.pmod(F.shiftright("__hash", k), F.lit(2)) == 1) & (F.col("blocks") % p != 0), F.lit(p)).otherwise(F.lit(1)).cast("bigint")
+            for k, p in enumerate(PRIMES)
+        ]
+    )
+    given = (
+        apportion(wanted, ["source"], ["part"], "words", "quota", "part_quota")
+        .withColumn("due", F.least(F.col("part_quota") * block_words, F.col("words") * repeats).cast("bigint"))
+        .withColumn("rounds", F.when(F.col("words") > 0, F.expr("due div words")).otherwise(F.lit(0)).cast("bigint"))
+        .withColumn("rest_words", F.col("due") - F.col("rounds") * F.col("words"))
+        .withColumn("blocks", blocks)
+        .withColumn("short", F.col("blocks") * block_words - F.col("words"))
+        # Block b is the (factor * b + shift) mod blocks-th in the seeded order.
+        .withColumn("__hash", mixed)
+        .withColumn("factor", F.aggregate(factors, F.lit(1).cast("bigint"), lambda x, p: x * p % F.col("blocks")))
+        .withColumn("shift", F.pmod(F.shiftright("__hash", len(PRIMES)), F.col("blocks")))
+        .withColumn("last_rank", F.pmod(F.col("factor") * (F.col("blocks") - 1) + F.col("shift"), F.col("blocks")))
+        .drop("__hash")
+    )
+    return (
+        cells.select("source", "shard", "part", "before").alias("c")
+        .join(given.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")) & (F.col("c.part") == F.col("g.part")))
+        .select("c.source", "c.shard", "c.part", (F.col("before") - F.col("start")).alias("cell_start"),
+                "source_size", "target", "words", "part_quota", "rounds", "rest_words", "blocks", "short", "factor", "shift", "last_rank")
+    )
+
+
+def _chosen(block_words: int) -> Column:
+    """``from, to`` of each run of words that the chosen blocks take of a document at ``start`` of its part."""
+
+    def piece(b: Column) -> Column:
+        rank = F.pmod(F.col("factor") * b + F.col("shift"), F.col("blocks"))
+        # The last block is shorter, so what follows it in the order starts earlier.
+        before = rank * block_words - F.when(rank > F.col("last_rank"), F.col("short")).otherwise(F.lit(0))
+        size = F.lit(block_words) - F.when(b == F.col("blocks") - 1, F.col("short")).otherwise(F.lit(0))
+        taken = F.greatest(F.least(F.col("rest_words") - before, size), F.lit(0))
+        return F.struct(
+            (F.greatest(b * block_words, F.col("start")) - F.col("start")).alias("from"),
+            (F.least(b * block_words + taken, F.col("start") + F.col("size")) - F.col("start")).alias("to"),
+        )
+
+    numbers = F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))
+    none = F.array().cast("array<struct<from:bigint,to:bigint>>")
+    return F.when(
+        (F.col("size") > 0) & (F.col("rest_words") > 0),
+        F.filter(F.transform(numbers, piece), lambda r: r["from"] < r["to"]),
+    ).otherwise(none)
+
+
+def shares(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     repeats: int = REPEATS,
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
+    part_blocks: int = PART_BLOCKS,
     seed: int = 0,
     id: str = "doc_id",
     text: str = "text",
@@ -155,25 +230,11 @@ def mix(
     row: str | None = None,
     rest: str | None = None,
 ) -> DataFrame:
-    """``doc_id, size, source, source_size, target, shard, rounds, extra, taken`` of every row.
-
-    Sources in code point order, null last and a source like any other, get the ``weights``
-    in turn. Documents are dealt to shards by a hash; the documents of a source, by shard and
-    inside it in an order given by the seed, make one run of words. Sources get quotas of
-    blocks of ``block_words`` by their targets, by Sainte-Laguë; the words of a quota, at most
-    ``repeats`` times the source, take the whole run in whole ``rounds``, then its first
-    words, of which a document has its first ``extra``: so all documents but one of a source
-    are taken whole, and however many shards there are, a source misses its target by no more
-    than its quota does. ``taken`` is the words in all, repeats included; it never exceeds
-    ``repeats`` times the size.
+    """What ``mix`` returns, and ``part, start, words, part_quota, pieces`` besides.
 
-    Shard and order come from a hash of id, source, text and seed, so they are the same in
-    every layout of the rows. Rows equal in these are documents of their own and are told
-    apart by their number among equals, by ``rest`` (a column that hashes what else a row
-    holds) and then ``row``, which is the place in the read where it is not given.
-
-    A null or empty text has size 0 and nothing is taken from it. An empty table gives no
-    rows. Other columns are not read.
+    ``start`` is the place of a document's first word in its part of the source, ``words`` and
+    ``part_quota`` are the part's words and blocks; ``pieces`` holds ``from, to`` of the
+    document's words that the chosen blocks take beyond the whole rounds.
     """
     rows = freeze(
         docs.select(
@@ -211,61 +272,81 @@ def mix(
         .withColumn("shard", F.pmod(F.xxhash64("__order"), F.lit(shards)).cast("int"))
     )
     run = Window.partitionBy("source", "shard").orderBy("__order", *ties)
-    # The run of a source goes on from shard to shard: a cell starts where the ones before end.
-    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        rows.groupBy("source", "shard")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-        .alias("c")
-    )
-    due = F.least(F.col("quota") * block_words, F.col("source_size") * repeats).cast("bigint")
-    cells = (
-        cells.join(quotas.alias("q"), F.col("c.source").eqNullSafe(F.col("q.source")))
-        .select("c.source", "shard", "before", "source_size", "target", due.alias("due"))
-        .withColumn("rounds", F.when(F.col("source_size") > 0, F.expr("due div source_size")).otherwise(0))
-        .withColumn("extra", F.col("due") - F.col("rounds") * F.col("source_size"))
-    )
-
-    end = F.col("before") + F.col("__end")
-    start = end - F.col("size")
-    # The extra words come first in the run.
-    extra = F.greatest(F.least(end, F.col("extra")) - start, F.lit(0))
-    return (
+    # One row a source and shard, read by the join below; written, as its quotas take several groupings.
+    cells = freeze(_parts(rows, freeze(quotas), shards, block_words, part_blocks, repeats, seed))
+    joined = (
         rows.withColumn("__end", F.sum("size").over(run))
         .alias("r")
         .join(
             cells.alias("c"),
             F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.shard") == F.col("c.shard")),
         )
-        .select(
-            "doc_id", "size", "r.source", "source_size", "target", "r.shard",
-            F.col("rounds").cast("bigint").alias("rounds"), extra.cast("bigint").alias("extra"),
-            (F.col("size") * F.col("rounds") + extra).cast("bigint").alias("taken"), "__row",
-        )
+        .select("r.*", *[F.col(f"c.{c}") for c in cells.columns if c not in ("source", "shard")])
+        .withColumn("start", F.col("cell_start") + F.col("__end") - F.col("size"))
+        .withColumn("pieces", _chosen(block_words))
     )
+    extra = F.aggregate("pieces", F.lit(0).cast("bigint"), lambda n, r: n + r["to"] - r["from"])
+    return joined.withColumn("extra", extra).select(
+        "doc_id", "size", "source", "source_size", "target", "shard", "rounds", "extra",
+        (F.col("size") * F.col("rounds") + F.col("extra")).alias("taken"),
+        "part", "start", "words", "part_quota", "pieces", "__row",
+    )
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, size, source, source_size, target, shard, rounds, extra, taken`` of every row.
+
+    Sources in code point order, null last and a source like any other, get the ``weights``
+    in turn. Documents are dealt to shards by a hash. Sources get quotas of blocks of
+    ``block_words`` by their targets, by Sainte-Laguë; the quota of a source is dealt again, by
+    the same rule, to its shards by their words (thin shards of a source are put together until
+    they have ``part_blocks`` blocks, so that a quota of whole blocks fits them). The documents
+    of a source in a shard, in a seeded order, are a run of words cut into blocks; of these
+    the quota takes all in whole ``rounds`` and the rest by a seeded order of the blocks. The
+    short last block counts at its size: the last block taken gives its first words only, so
+    that a shard gives its due to the word. A due is at most ``repeats`` times the words there.
+
+    ``extra`` words of a document lie in the chosen blocks; ``taken`` is the words in all,
+    repeats included; it never exceeds ``repeats`` times the size.
+
+    Shard and order come from a hash of id, source, text and seed, so they are the same in
+    every layout of the rows. Rows equal in these are documents of their own and are told
+    apart by their number among equals, by ``rest`` (a column that hashes what else a row
+    holds) and then ``row``, which is the place in the read where it is not given.
+
+    A null or empty text has size 0 and nothing is taken from it. An empty table gives no
+    rows. Other columns are not read. ``options``: those of ``shares``.
+    """
+    return shares(docs, **options).drop("part", "start", "words", "part_quota", "pieces")
 
 
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars", **options) -> DataFrame:
     """The mix itself: a row for each time a document is taken, all its columns in place.
 
-    A document that is taken in part gives its first words, with the white space before
-    them; ``chars`` names a column with the text's length that follows it. What is not taken
-    is left out. The documents are written once with a row number that joins them to their
-    share; the text is shuffled once.
+    A document that is taken in part gives its words in the chosen blocks, with the white
+    space before them; ``chars`` names a column with the text's length that follows it. What is
+    not taken is left out. The documents are written once with a row number that joins them to
+    their share; the text is shuffled once.
+
+    Null and empty texts, which have no words to take, go; equal rows are documents of their
+    own; other columns are copied, whatever their names but ``__row`` and ``__rest``.
     """
     kept = freeze(
         docs.withColumn("__rest", F.xxhash64(*_content(docs, docs.columns))).withColumn("__row", F.monotonically_increasing_id())
     )
-    shares = mix(kept, id=id, text=text, row="__row", rest="__rest", **options).filter("taken > 0").select(
-        "__row", F.col("rounds").alias("__rounds"), F.col("extra").alias("__extra"), F.col("size").alias("__size")
+    found = shares(kept, id=id, text=text, row="__row", rest="__rest", **options).filter("taken > 0").select(
+        "__row", F.col("rounds").alias("__rounds"), F.col("extra").alias("__extra"), F.col("size").alias("__size"), F.col("pieces").alias("__pieces")
     )
+    # The words travel in the accumulator, so they are cut once.
+    words = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     part = F.when(
         F.col("__extra") < F.col("__size"),
         F.array_join(
-            F.slice(
-                F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1),
-                F.greatest(F.col("__extra"), F.lit(1)).cast("int"),
+            F.flatten(
+                F.aggregate(
+                    F.array(words), F.array().cast("array<array<string>>"),
+                    lambda _, w: F.transform("__pieces", lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int"))),
+                )
             ),
             "",
         ),
@@ -274,7 +355,7 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", cha
         F.array_repeat(F.col(text), F.col("__rounds").cast("int")),
         F.when(F.col("__extra") > 0, F.array(part)).otherwise(F.array().cast("array<string>")),
     )
-    out = kept.join(shares, "__row").withColumn(text, F.explode(copies))
+    out = kept.join(found, "__row").withColumn(text, F.explode(copies))
     if chars in docs.columns:
         out = out.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
     return out.select(*docs.columns)
