@@ -123,3 +123,22 @@ def test_deep_trees_over_several_freezes(spark):
     assert rows(sized, "n") == [(depth - i,) for i in range(depth)]
     down = op.pass_down(nodes, root={"h": F.lit(0)}, step={"h": F.expr("parent_h + 1")})
     assert rows(down, "h") == [(i,) for i in range(depth)]
+
+
+def test_lines_are_not_exploded_before_their_nodes_are_linked(spark):
+    # Tokens as rows were sorted four times; that spilled three times the input and more.
+    plan = op.nodes(table(spark, CAT))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan
+
+
+def test_empty_lines_between_trees_and_lines_of_one_number(spark):
+    df = spark.createDataFrame(
+        [(0, ""), (1, DEEP), (2, None), (3, CAT), (4, "(A a"), (5, "(N (A a))"), (5, "(N (A a))")],
+        "line_no bigint, cfg string",
+    ).coalesce(1)
+    found = op.bracket_table(df).groupBy("line_no").count().orderBy("line_no")
+    # Of two equal lines of one number, read token by token, the inner N stands where its parent stands.
+    assert [tuple(r) for r in found.collect()] == [(1, 9), (3, 8), (5, 3)]
+    many = spark.range(3000).select(F.col("id").alias("line_no"), F.expr(f"if(id % 2 = 0, '{DEEP}', '{CAT}')").alias("cfg"))
+    counts = op.nodes(many.coalesce(1)).groupBy("line_no").count()
+    assert {tuple(r) for r in counts.selectExpr("line_no % 2", "count").distinct().collect()} == {(0, 7), (1, 4)}

@@ -1,14 +1,16 @@
 """Bracket trees as node and edge tables.
 
-A tree is one line of text. Lines are spread by line number once; every step after that
-is a window inside a line, so the brackets are never shuffled. A tag with its word is one
-token, so the table has about as many rows as the tree has nodes.
+A tree is one line of text. Lines are spread by line number once; their brackets are linked
+where they are, a batch of lines at a time, so they are neither shuffled nor sorted on disk.
+A tag with its word is one token.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from weft.functions.text import SPACE_CLASS, normalise_brackets
 from weft.operators.ordering import dense_index
 from weft.operators import vocabulary
 from weft.operators.vocabulary import UNKNOWN, build_vocab, lookup
-from weft.session import freeze, spread
+from weft.session import freeze
 
 # The wrapper node and the widest node that is expanded.
 ROOT = "ROOT"
@@ -29,6 +31,10 @@ _BLANK = f"[{SPACE_CLASS}]"
 # A tag with one word, an opening bracket with its label, a closing bracket, a word.
 _TOKEN = rf"(?U)\({_BLANK}*{_WORD}{_BLANK}+{_WORD}{_BLANK}*\)|\({_BLANK}*(?:{_WORD})?|\)|{_WORD}"
 _LABEL = rf"(?U)^\({_BLANK}*({_WORD})?"
+# Kinds of tokens.
+CLOSE, WORD, LEAF, OPEN = range(4)
+# A node: its token and its parent's in the line, and what ``brackets`` returns.
+_NODES = "array<struct<i int, p int, level int, child_no int, node_id int, parent_id int>>"
 
 
 def _tokens(cfg: Column | str) -> Column:
@@ -62,112 +68,184 @@ def rejects(trees: DataFrame, cfg: str = "cfg") -> DataFrame:
     return trees.filter(~is_valid(cfg))
 
 
-def brackets(trees: DataFrame, line_no: str = "line_no", cfg: str = "cfg") -> DataFrame:
-    """The nodes of all valid trees, in their places.
+def _linked(
+    kinds: np.ndarray,
+    ats: np.ndarray,
+    starts: np.ndarray,
+    rooted: np.ndarray,
+    expand: tuple[int, int] | None,
+    places: np.ndarray,
+) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Number of nodes of each line, and the nodes of all lines as columns with their masks of nulls.
 
-    ``line_no, at, until``: first and last token of the node; ``level`` from 1, ``label``,
-    ``parent_at``, ``parent_label``, ``child_no`` from 1 (words count too); then, about the
-    children of the parent together: ``n_children``, ``deeper`` (one of them starts with a
-    node) and ``node_first`` (the first of them is a node); and ``wrapped`` (the tree is a
-    ROOT node around one other node).
+    ``kinds`` and ``ats`` are the tokens of all lines, one line after the other; line ``i``
+    begins at ``starts[i]``, and ``places`` says where its tokens come from. Everything is a
+    sort or a running sum over the batch.
     """
-    placed = spread(trees.select(line_no, cfg), line_no)
-    tokens = placed.select(line_no, F.posexplode(_tokens(cfg)).alias("at", "token")).select(
-        line_no,
-        "at",
-        F.expr(
-            "case when token = ')' then 'close' when not startswith(token, '(') then 'word'"
-            " when endswith(token, ')') then 'leaf' else 'open' end as kind"
-        ),
-        F.when(F.startswith("token", F.lit("(")), F.regexp_extract("token", _LABEL, 1)).alias("label"),
-    )
-    in_line = Window.partitionBy(line_no).orderBy("at")
-    whole_line = in_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = tokens.select(
-        "*",
-        F.expr(f"kind = 'open' and lead(kind) over (partition by {line_no} order by at) in ('open', 'leaf')").alias(
-            "starts_node"
-        ),
-        F.sum(F.expr("case kind when 'open' then 1 when 'close' then -1 else 0 end"))
-        .over(in_line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        .alias("depth"),
-    ).withColumn("level", F.expr("if(kind = 'open', depth, depth + 1)"))
+    line = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    opens, leaves, words = kinds == OPEN, kinds == LEAF, kinds == WORD
+    nodes, inside = opens | leaves, kinds != CLOSE
+    steps = opens.astype(np.int64) - ~inside
+    sums = np.cumsum(steps)
+    depth = sums - np.append(0, sums)[starts[:-1]][line]
+    level = depth + ~opens
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(line[mask], minlength=len(starts) - 1)
+
     # Balanced, one tree and nothing outside of it, at least one word; all per line.
-    checked = (
-        levels.select(
-            "*",
-            F.min("depth").over(whole_line).alias("lowest"),
-            F.last("depth").over(whole_line).alias("final"),
-            F.count(F.expr("if(level = 1 and kind <> 'close', 1, null)")).over(whole_line).alias("tops"),
-            F.count(F.expr("if(level = 1 and kind = 'word', 1, null)")).over(whole_line).alias("strays"),
-            F.count(F.expr("if(kind in ('word', 'leaf'), 1, null)")).over(whole_line).alias("words"),
-            F.count(F.expr("if(level = 2 and kind <> 'close', 1, null)")).over(whole_line).alias("seconds"),
-            F.count(F.expr("if(level = 2 and kind in ('open', 'leaf'), 1, null)")).over(whole_line).alias("inner"),
-            F.first("label").over(whole_line).alias("top_label"),
-        )
-        .filter("lowest >= 0 and final = 0 and tops = 1 and strays = 0 and words > 0")
-        .withColumn("wrapped", F.expr(f"seconds = 1 and inner = 1 and top_label = '{ROOT}'"))
+    valid = (
+        (count(depth < 0) == 0)
+        & (np.bincount(line, weights=steps, minlength=len(starts) - 1) == 0)
+        & (count((level == 1) & inside) == 1)
+        & (count((level == 1) & words) == 0)
+        & (count(words | leaves) > 0)
     )
+    wrapped = rooted & (count((level == 2) & inside) == 1) & (count((level == 2) & nodes) == 1)
+    starts_node = opens & np.append(nodes[1:] & (line[1:] == line[:-1]), False)
+    place = places - starts[line]
+
+    keep = valid[line]
+    line, kinds, ats, level, place = line[keep], kinds[keep], ats[keep], level[keep], place[keep]
+    opens, nodes, inside, starts_node = opens[keep], nodes[keep], inside[keep], starts_node[keep]
+    n = len(kinds)
+    here, wide = np.arange(n), int(max(ats.max(initial=0), level.max(initial=0))) + 3
+
     # An opening bracket shows up twice: as a node of its level and as the parent of the next.
-    doubled = checked.select(
+    above = np.flatnonzero(opens)
+    token, lane = np.append(here, above), np.append(level, level[above] + 1)
+    in_lane = np.argsort((line[token] * wide + lane) * n + token)
+    token, doubled = token[in_lane], in_lane >= n
+    last = np.maximum.accumulate(np.where(doubled, np.arange(len(token)), 0))
+    parent, until = np.full(n, -1), ats.copy()
+    parent[token[~doubled]] = token[last][~doubled]
+    parent[level == 1] = -1
+    # Nothing stands between a bracket and its closing one in their own lane.
+    opening = np.flatnonzero(~doubled & opens[token])
+    until[token[opening]] = ats[token[opening + 1]]
+    parent_at = np.where(parent >= 0, ats[parent], -1)
+
+    some = np.flatnonzero(inside)
+    family = line[some] * wide + parent_at[some] + 1
+    order = np.argsort(family * n + some)
+    some, family = some[order], family[order]
+    first = np.flatnonzero(np.append(True, family[1:] != family[:-1])[: len(some)])
+    sizes = np.diff(np.append(first, len(some)))
+    child_no, n_children, deeper, node_first = np.zeros((4, n), dtype=np.int64)
+    child_no[some] = np.arange(len(some)) - np.repeat(first, sizes) + 1
+    n_children[some] = np.repeat(sizes, sizes)
+    if len(some):
+        deeper[some] = np.repeat(np.maximum.reduceat(starts_node[some].astype(np.int64), first), sizes)
+    node_first[some] = np.repeat(kinds[some[first]] != WORD, sizes)
+
+    kept = nodes
+    if expand is not None:
+        depth_limit, max_children = expand
+        level = level - wrapped[line]
+        parent_at = np.where(level == 1, -1, parent_at)
+        allowed = (n_children <= max_children) & (deeper > 0) & (node_first > 0)
+        if depth_limit > 0:
+            allowed &= level - 2 < depth_limit
+        kept = nodes & (level > 0)
+        # A node is gone if a dropped node before it, or itself, reaches as far as here.
+        dropped = kept & ~allowed & (level > 1)
+        dropped_to = np.maximum.accumulate(np.where(dropped, until, -1) + line * wide) - line * wide
+        kept &= dropped_to < ats
+    found = np.flatnonzero(kept)
+    owner, at, parent, parent_at = line[found], ats[found], parent[found], parent_at[found]
+    node_id = np.arange(len(found)) - np.searchsorted(owner, owner)
+    ids, wanted = owner * wide + at, owner * wide + parent_at
+    by = np.searchsorted(ids, wanted, "right") - 1
+    orphan = (parent_at < 0) | (by < 0) | (ids[by] != wanted)
+    # Only where two lines share a number can a node stand where its parent stands.
+    told = parent_at != at
+    columns = {
+        "i": (place[found], np.zeros(len(found), dtype=bool)),
+        "p": (place[parent], parent < 0),
+        "level": (level[found], np.zeros(len(found), dtype=bool)),
+        "child_no": (child_no[found], np.zeros(len(found), dtype=bool)),
+        "node_id": (node_id, np.zeros(len(found), dtype=bool)),
+        "parent_id": (node_id[by], orphan),
+    }
+    return (
+        np.bincount(owner[told], minlength=len(starts) - 1),
+        {name: (values[told], nulls[told]) for name, (values, nulls) in columns.items()},
+    )
+
+
+def _linker(expand: tuple[int, int] | None) -> Callable[..., Column]:
+    def link(kinds: pa.Array, rooted: pa.Array) -> pa.Array:
+        texts = kinds.flatten()
+        tokens = np.asarray(texts.offsets).astype(np.int64)
+        n_texts = kinds.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(n_texts))
+        starts = (tokens - tokens[0])[ends]
+        ats = np.arange(starts[-1]) - np.repeat((tokens - tokens[0])[:-1], np.diff(tokens))
+        codes, places = texts.flatten().to_numpy(zero_copy_only=False), np.arange(starts[-1])
+        if n_texts.max(initial=0) > 1:
+            line = np.repeat(np.arange(len(kinds)), np.diff(starts))
+            places = np.lexsort((ats, line))
+        sizes, columns = _linked(
+            codes[places], ats[places], starts, rooted.to_numpy(zero_copy_only=False), expand, places
+        )
+        structs = pa.StructArray.from_arrays(
+            [pa.array(values.astype(np.int32), mask=nulls) for values, nulls in columns.values()], names=list(columns)
+        )
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), structs)
+
+    return F.arrow_udf(link, _NODES)
+
+
+def brackets(
+    trees: DataFrame, expand: tuple[int, int] | None = None, line_no: str = "line_no", cfg: str = "cfg"
+) -> DataFrame:
+    """``line_no, level, label, parent_label, child_no, node_id, parent_id``: the nodes of all valid trees.
+
+    ``level`` and ``child_no`` count from 1 (words count as children too), ids are pre-order.
+    With ``expand`` (depth limit, most children) only the nodes that ``nodes`` keeps, from
+    the node inside of a ROOT wrapper on. Lines of one number are read as one, token by token.
+    """
+    lines = trees.select(line_no, cfg).groupBy(line_no).agg(F.collect_list(cfg).alias("__texts"))
+    read = lines.select(line_no, F.transform("__texts", _tokens).alias("__tokens"))
+    labelled = read.select(
         line_no,
-        "at",
-        "kind",
-        "label",
-        "starts_node",
-        "level",
-        "wrapped",
-        F.explode(F.expr("if(kind = 'open', array(level, level + 1), array(level))")).alias("lane"),
+        F.expr(
+            f"transform(__tokens, t -> transform(t, x -> case when x = ')' then {CLOSE}Y when not startswith(x, '(') then {WORD}Y"
+            f" when endswith(x, ')') then {LEAF}Y else {OPEN}Y end))"
+        ).alias("__kinds"),
+        F.transform(
+            F.flatten("__tokens"), lambda t: F.when(F.startswith(t, F.lit("(")), F.regexp_extract(t, _LABEL, 1))
+        ).alias("__labels"),
     )
-    in_lane = Window.partitionBy(line_no, "lane").orderBy("at")
-    to_here = in_lane.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    linked = doubled.select(
-        "*",
-        F.last(F.expr("if(lane > level, at, null)"), True).over(to_here).alias("parent_at"),
-        F.last(F.expr("if(lane > level, label, null)"), True).over(to_here).alias("parent_label"),
-        # Nothing stands between a bracket and its closing one in their own lane.
-        F.lead("at").over(in_lane).alias("next_at"),
-    ).filter("lane = level and kind <> 'close'")
-    siblings = Window.partitionBy(line_no, "parent_at").orderBy("at")
-    family = siblings.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rooted = F.coalesce(F.get("__labels", F.lit(0)) == ROOT, F.lit(False))
+    linked = labelled.select(line_no, "__labels", _linker(expand)("__kinds", rooted).alias("__nodes"))
     return linked.select(
         line_no,
-        "at",
-        F.expr("if(kind = 'open', next_at, at) as until"),
-        "kind",
-        "level",
-        "label",
-        "parent_at",
-        "parent_label",
-        "wrapped",
-        F.row_number().over(siblings).alias("child_no"),
-        F.count(F.lit(1)).over(family).alias("n_children"),
-        F.max("starts_node").over(family).alias("deeper"),
-        (F.first("kind").over(family) != "word").alias("node_first"),
-    ).filter("kind <> 'word'")
+        F.inline(
+            F.transform(
+                "__nodes",
+                lambda node: F.struct(
+                    node["level"].alias("level"),
+                    F.get("__labels", node["i"]).alias("label"),
+                    F.get("__labels", node["p"]).alias("parent_label"),
+                    node["child_no"].alias("child_no"),
+                    node["node_id"].alias("node_id"),
+                    node["parent_id"].alias("parent_id"),
+                ),
+            )
+        ),
+    )
 
 
 def bracket_table(trees: DataFrame, line_no: str = "line_no", cfg: str = "cfg") -> DataFrame:
     """``line_no, node_no, level, label, parent_no, child_no``: all nodes in pre-order."""
-    found = brackets(trees, line_no, cfg)
-    numbered = found.withColumn("node_no", F.row_number().over(Window.partitionBy(line_no).orderBy("at")) - 1)
-    return _parent_id(numbered, line_no, "node_no", "parent_no").select(
-        line_no, "node_no", "level", "label", "parent_no", "child_no"
-    )
-
-
-def _parent_id(numbered: DataFrame, line_no: str, node_id: str, out: str) -> DataFrame:
-    """Add the id of the parent, which shares a window with its children."""
-    both = numbered.withColumn(
-        "__key", F.explode(F.expr("if(parent_at is null, array(at), array(at, parent_at))"))
-    )
-    family = Window.partitionBy(line_no, "__key")
-    own = F.col("__key") == F.col("at")
-    return (
-        both.withColumn(out, F.max(F.when(own, F.col(node_id))).over(family))
-        .filter(~own | F.col("parent_at").isNull())
-        .withColumn(out, F.when(F.col("parent_at").isNotNull(), F.col(out)))
-        .drop("__key")
+    return brackets(trees, None, line_no, cfg).select(
+        line_no,
+        F.col("node_id").alias("node_no"),
+        F.col("level").cast("bigint").alias("level"),
+        "label",
+        F.col("parent_id").alias("parent_no"),
+        "child_no",
     )
 
 
@@ -184,23 +262,8 @@ def nodes(
     all below them, if there are more than ``max_children``, if the node is at
     ``depth_limit`` (0 for none), or if no child starts with a node. Ids are pre-order.
     """
-    found = brackets(trees, line_no, cfg)
-    line = Window.partitionBy(line_no)
-    rooted = (
-        found.withColumn("top", F.expr("if(wrapped, 2, 1)"))
-        .filter("level >= top")
-        .withColumn("depth", F.expr("int(level - top)"))
-        .withColumn("parent_at", F.expr("if(depth = 0, null, parent_at)"))
-    )
-    deep = f"and depth - 1 < {depth_limit}" if depth_limit > 0 else ""
-    allowed = f"depth = 0 or (n_children <= {max_children} and deeper and node_first {deep})"
-    so_far = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # A node is gone if a dropped node before it, or itself, reaches as far as here.
-    kept = rooted.withColumn("dropped_to", F.max(F.expr(f"if({allowed}, null, until)")).over(so_far)).filter(
-        "dropped_to is null or dropped_to < at"
-    )
-    numbered = kept.withColumn("node_id", F.row_number().over(line.orderBy("at")) - 1)
-    return _parent_id(numbered, line_no, "node_id", "parent_id").select(
+    kept = brackets(trees, (depth_limit, max_children), line_no, cfg).withColumn("depth", F.col("level") - 1)
+    return kept.select(
         line_no,
         "node_id",
         "parent_id",
@@ -313,7 +376,9 @@ def pass_down(
 
 def forest(node_table: DataFrame, batch_size: int, line_no: str = "line_no") -> DataFrame:
     """Add ``batch_id, forest_id``: trees in batches, node ids shifted to be unique in a batch."""
-    sizes = node_table.groupBy(line_no).agg(F.count(F.lit(1)).alias("__n"))
+    # The trees are read once; the sizes, one row per tree, four times.
+    table = freeze(node_table)
+    sizes = freeze(table.groupBy(line_no).agg(F.count(F.lit(1)).alias("__n")))
     placed = dense_index(sizes, line_no, "__row").withColumn(
         "batch_id", F.call_function("div", F.col("__row"), F.lit(batch_size))
     )
@@ -322,7 +387,7 @@ def forest(node_table: DataFrame, batch_size: int, line_no: str = "line_no") ->
         line_no, "batch_id", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("bigint")).alias("__shift")
     )
     return (
-        node_table.join(shifts, line_no)
+        table.join(shifts, line_no)
         .withColumn("forest_id", F.col("__shift") + F.col("node_id"))
         .drop("__shift")
     )
