@@ -109,3 +109,24 @@ def test_diversity_job(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m" / "bleus")).count() == 3
     assert spark.read.parquet(str(tmp_path / "m" / "lines")).count() == 9
     assert spark.read.parquet(str(tmp_path / "m" / "pos_bleus")).count() == 3
+
+
+def test_grams_are_no_rows(spark):
+    # A row for each n-gram made the groupings of one task grow with its text.
+    pairs = spark.createDataFrame([(1, ["a"], ["a"])], "k bigint, hyp array<string>, ref array<string>")
+    lines = triple_lines(spark, TRIPLE)
+    for df in (op.bleu_stats(pairs, ["k"]), op.self_bleu(op.triples(lines))):
+        assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_keys_missing_tokens_and_repeated_grams(spark):
+    rows = [(1, "a b a b a".split(), "a b a c".split()), (1, ["c"], ["c"]), (2, None, ["x"]), (None, ["y"], ["y"]), (3, [], [])]
+    df = spark.createDataFrame(rows, "k bigint, hyp array<string>, ref array<string>").coalesce(1)
+    found = {r["k"]: tuple(r)[1:] for r in op.bleu_stats(df, ["k"]).collect()}
+    assert found == {
+        # Both pairs of key 1 count together: 4 of 6 words, a b and b a once each, a b a once.
+        1: (6, 5, 4, 6, 2, 5, 1, 4, 0, 3),
+        2: (0, 1, 0, 0, 0, 0, 0, 0, 0, 0),
+        None: (1, 1, 1, 1, 0, 0, 0, 0, 0, 0),
+        3: (0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    }

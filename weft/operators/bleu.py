@@ -1,14 +1,15 @@
 """BLEU statistics and diversity of sentence triples.
 
-n-grams are counted by grouping, not row by row. The rows are spread by their key once,
-as whole sentences; unnesting and both groupings then happen where the rows already are,
-so the n-grams themselves are never shuffled.
+The sentences of a key come together once, whole; the n-grams are counted there, a batch
+of keys at a time, so they are never rows of their own and a task holds one batch of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,30 +22,67 @@ ORDERS = range(1, 5)
 SIDES = range(3)
 
 
-def _grams(tokens: Column | str, n: int) -> Column:
-    """All n-grams of an array, as strings; tokens hold no blank, so the join is unambiguous."""
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    places = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-    return F.when(
-        F.size(tokens) >= n, F.transform(places, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
+def _codes(sentences: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every token of an array of sentences, and the tokens of each sentence."""
+    words = sentences.flatten().dictionary_encode(null_encoding="encode")
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), _sizes(sentences)
 
 
-def _tagged_grams(tokens: str, side: Column) -> Column:
-    """``array<struct(side, n, gram)>`` for n = 1..4, and one entry with n = 0 for the sentence itself."""
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
 
-    def of_order(n: int) -> Column:
-        return F.transform(
-            _grams(tokens, n),
-            lambda gram: F.struct(side.alias("side"), F.lit(n).alias("n"), gram.alias("gram")),
-        )
 
-    itself = F.array(F.struct(side.alias("side"), F.lit(0).alias("n"), F.lit("").alias("gram")))
-    return F.concat(itself, *[of_order(n) for n in ORDERS])
+def _lengths_and_matches(
+    codes: np.ndarray, sizes: np.ndarray, group: np.ndarray, side: np.ndarray, n_groups: int, n_sides: int
+) -> pa.Array:
+    """``len<i>, m<i><n>`` per group: tokens of a side, and its n-grams clipped by the side that has most of the rest.
+
+    ``sizes``, ``group`` and ``side`` tell of each sentence; an n-gram has a count in each
+    side of its group. One sort a batch and order.
+    """
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    of_group, of_side = group[sentence], side[sentence]
+    columns = {f"len{i}": np.bincount(of_group[of_side == i], minlength=n_groups) for i in range(n_sides)}
+    kinds = int(codes.max(initial=0)) + 1
+    # A gram is known by the shorter one before its last token; those of order 0 are the groups.
+    known = of_group
+    for n in ORDERS:
+        inside = np.flatnonzero(sentence[n - 1 :] == sentence[: len(sentence) - n + 1])
+        grams, known = np.unique(known[inside] * kinds + codes[inside + n - 1], return_inverse=True)
+        place = np.zeros(len(grams), dtype=np.int64)
+        place[known] = of_group[inside]
+        counts = np.bincount(known * n_sides + of_side[inside], minlength=len(grams) * n_sides).reshape(-1, n_sides)
+        for i in range(n_sides):
+            others = np.delete(counts, i, axis=1).max(axis=1)
+            clipped = np.minimum(counts[:, i], others)
+            columns[f"m{i}{n}"] = np.bincount(place, weights=clipped, minlength=n_groups).astype(np.int64)
+        # Grams stand where they begin; the next order looks them up by that place.
+        full = np.zeros(len(sentence), dtype=np.int64)
+        full[inside] = known
+        known = full
+    return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns.values()], names=list(columns))
+
+
+def _stats_type(sides: int) -> str:
+    # In the order of the columns above.
+    names = [f"len{i}" for i in range(sides)] + [f"m{i}{n}" for n in ORDERS for i in range(sides)]
+    return f"struct<{', '.join(f'{name} bigint' for name in names)}>"
+
 
+def _stats(members: Column, sides: int) -> Column:
+    """The numbers of a group from its ``array<struct(side, tokens)>``."""
 
-def _side_counts(sides: int) -> list[Column]:
-    return [F.expr(f"count(if(side = {i}, 1, null)) as c{i}") for i in range(sides)]
+    def count(members: pa.Array) -> pa.Array:
+        rows = members.flatten()
+        group = np.repeat(np.arange(len(members)), _sizes(members))
+        side = rows.field("side").to_numpy(zero_copy_only=False).astype(np.int64)
+        return _lengths_and_matches(*_codes(rows.field("tokens")), group, side, len(members), sides)
+
+    return F.arrow_udf(count, _stats_type(sides))(members)
+
+
+def _known(tokens: Column) -> Column:
+    return F.coalesce(tokens, F.array().cast("array<string>"))
 
 
 def bleu_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref: str = "ref") -> DataFrame:
@@ -53,23 +91,19 @@ def bleu_stats(df: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref: str =
     ``keys, hyp_len, ref_len, match1, total1, ... match4, total4``.
     """
     keys = list(keys)
-    pairs = spread(df.select(*keys, hyp, ref), *keys)
-    counts = (
-        pairs.select(*keys, F.inline(F.concat(_tagged_grams(hyp, F.lit(0)), _tagged_grams(ref, F.lit(1)))))
-        .groupBy(*keys, "n", "gram")
-        .agg(*_side_counts(2))
-    )
-    # Unigram counts add up to the lengths.
-    sums = counts.groupBy(*keys).agg(
-        F.expr("sum(if(n = 1, c0, 0)) as hyp_len"),
-        F.expr("sum(if(n = 1, c1, 0)) as ref_len"),
-        *[F.expr(f"sum(if(n = {n}, least(c0, c1), 0)) as match{n}") for n in ORDERS],
+    pairs = df.groupBy(*keys).agg(F.collect_list(F.struct(_known(F.col(hyp)).alias("hyp"), _known(F.col(ref)).alias("ref"))).alias("__pairs"))
+    members = F.flatten(
+        F.transform(
+            "__pairs",
+            lambda p: F.array(*[F.struct(F.lit(i).alias("side"), p[name].alias("tokens")) for i, name in enumerate(("hyp", "ref"))]),
+        )
     )
-    return sums.selectExpr(
+    stats = pairs.select(*keys, _stats(members, 2).alias("__stats")).select(*keys, "__stats.*")
+    return stats.selectExpr(
         *keys,
-        "hyp_len",
-        "ref_len",
-        *[part for n in ORDERS for part in (f"match{n}", f"greatest(hyp_len + 1 - {n}, 0L) as total{n}")],
+        "len0 as hyp_len",
+        "len1 as ref_len",
+        *[part for n in ORDERS for part in (f"m0{n} as match{n}", f"greatest(len0 + 1 - {n}, 0L) as total{n}")],
     )
 
 
@@ -148,28 +182,22 @@ def self_bleu(lines: DataFrame, keys: Sequence[str] = ("block",), text: str = "t
     """``keys, bleu0, bleu1, bleu2``: each member of a triple against the other two.
 
     Takes ``keys, pos, text`` with pos 0, 1, 2; incomplete triples are left out. All three
-    scores come from one grouping: a gram of a triple carries its count in each member, so
-    the clip by the larger reference count is a row expression and no member is paired
-    with another by a join.
+    scores come from one grouping of the sentences: a gram of a triple carries its count in
+    each member, and no member is paired with another by a join.
     """
     keys = list(keys)
     # The tokens are made after the shuffle, so the sentences travel as they are.
-    placed = spread(lines.select(*keys, "pos", text), *keys)
-    tokens = placed.select(*keys, "pos", tokens_13a(text).alias("__tokens"))
-    grams = tokens.select(*keys, F.inline(_tagged_grams("__tokens", F.col("pos"))))
-    counts = grams.groupBy(*keys, "n", "gram").agg(*_side_counts(len(SIDES)))
-
-    def clipped(i: int, n: int) -> Column:
-        others = ", ".join(f"c{j}" for j in SIDES if j != i)
-        return F.expr(f"sum(if(n = {n}, least(c{i}, greatest({others})), 0)) as m{i}{n}")
-
-    # Unigram counts add up to the sentence length.
-    stats = counts.groupBy(*keys).agg(
-        F.expr("sum(if(n = 0, c0 + c1 + c2, 0)) as members"),
-        *[F.expr(f"sum(if(n = 1, c{i}, 0)) as len{i}") for i in SIDES],
-        *[clipped(i, n) for i in SIDES for n in ORDERS],
+    blocks = (
+        lines.filter(F.col("pos").isin(*SIDES))
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct(F.col("pos").alias("side"), F.col(text).alias("text"))).alias("__members"))
+        .filter(F.size("__members") == len(SIDES))
+    )
+    members = F.transform(
+        "__members", lambda m: F.struct(m["side"].alias("side"), _known(tokens_13a(m["text"])).alias("tokens"))
     )
-    return stats.filter(f"members = {len(SIDES)}").select(*keys, *[_library_bleu(i) for i in SIDES])
+    stats = blocks.select(*keys, _stats(members, len(SIDES)).alias("__stats")).select(*keys, "__stats.*")
+    return stats.select(*keys, *[_library_bleu(i) for i in SIDES])
 
 
 def tag_sequences(
