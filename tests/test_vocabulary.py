@@ -70,6 +70,34 @@ def test_encode_and_decode_broadcast_and_shuffled(spark, monkeypatch, broadcast_
     assert back == {i: [t if t in ids else "UNK" for t in line.split()] for i, line in enumerate(lines)}
 
 
+@pytest.mark.parametrize("part_bytes", [8, 1 << 20])
+def test_translate_meets_the_dictionary_by_distinct_tokens(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(op, "PART_BYTES", part_bytes)
+    schema = "k string, n bigint, tokens array<string>"
+    rows = spark.createDataFrame(
+        [("x", 0, ["b", "a", "b"]), ("x", 0, ["a", "c"]), (None, None, ["a", None]), ("y", None, None), ("y", 1, []), ("z", 2, ["q"] * 50)],
+        schema,
+    )
+    vocab = spark.createDataFrame([(0, "UNK", 0), (1, "a", 2), (2, "b", 1)], "id bigint, token string, cnt bigint")
+    wanted = {("x", 0): [1, 2, 0, 1, 2], (None, None): [1, 0], ("y", None): [], ("y", 1): [], ("z", 2): [0] * 50}
+    for bound in (0, 1 << 20):
+        coded = op.encode(rows, vocab, ["k", "n"], broadcast_bytes=bound)
+        assert {(r["k"], r["n"]): r["ids"] for r in coded.collect()} == wanted
+        back = op.decode(coded, vocab, ["k", "n"], broadcast_bytes=bound)
+        names = {0: "UNK", 1: "a", 2: "b"}
+        assert {(r["k"], r["n"]): r["tokens"] for r in back.collect()} == {k: [names[i] for i in v] for k, v in wanted.items()}
+
+
+def test_encode_does_not_shuffle_running_tokens(spark):
+    rows = spark.range(200).select("id", F.expr("transform(sequence(1, 500), i -> concat('w', i % 7))").alias("tokens"))
+    vocab = op.build_vocab(rows.select(F.explode("tokens").alias("token")))
+    sizes = op.encode(rows, vocab, ["id"], broadcast_bytes=0)
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    # 100,000 running tokens; their places are never rows.
+    assert "posexplode" not in plan and "FlatMapCoGroupsInArrow" in plan
+    assert sizes.agg(F.sum(F.size("ids"))).first()[0] == 100_000
+
+
 def test_decode_outside_the_table(spark):
     vocab = op.build_vocab(tokens_of(spark, ["a"]))
     rows = spark.createDataFrame([(0, [4, 99, -1])], "line_no bigint, ids array<bigint>")

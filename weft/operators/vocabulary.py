@@ -1,17 +1,22 @@
 """Frequency vocabularies and dictionary encoding.
 
 A vocabulary is a table ``id BIGINT, token STRING, cnt BIGINT`` (0 for tokens that were given
-and not counted), most frequent first. Running tokens meet a dictionary in an equi-join
-whose frequent keys are cut into groups, so they never meet in one shuffle partition. A
+and not counted), most frequent first. Rows with a token meet a dictionary in an equi-join
+whose frequent keys are cut into groups, so they never meet in one shuffle partition. Token
+arrays are dealt to parts; only the distinct tokens of a part meet the dictionary. A
 dictionary within a bound in bytes is broadcast, which saves the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from weft.operators.ordering import ID_BITS, ranked, running_start
 from weft.operators.skew import join_unique
@@ -25,6 +30,8 @@ UNKNOWN = "UNK"
 # Bytes of a dictionary that may be broadcast, and what an entry takes besides its text.
 BROADCAST_BYTES = 32 << 20
 ENTRY_BYTES = 48
+# Bytes of text in a part of a corpus: a task holds one part and its distinct tokens.
+PART_BYTES = 32 << 20
 
 
 def token_counts(tokens: DataFrame, *keys: str, token: str = "token") -> DataFrame:
@@ -129,6 +136,13 @@ def lookup(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("token").agg(F.max("id").alias("id"))
 
 
+def broadcastable(dictionary: DataFrame, key: str, value: str, broadcast_bytes: int | None = None) -> bool:
+    """Whether a dictionary has at most ``broadcast_bytes`` (BROADCAST_BYTES unless given), which are counted."""
+    bound = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    size = F.octet_length(F.to_json(F.struct(key, value))) + ENTRY_BYTES
+    return bound > 0 and (dictionary.agg(F.sum(size)).first()[0] or 0) <= bound
+
+
 def dictionary_join(
     rows: DataFrame,
     dictionary: DataFrame,
@@ -144,13 +158,88 @@ def dictionary_join(
     find the frequent keys, known to the dictionary or not, and once to join. ``row_id`` tells rows of one key apart.
     """
     table = dictionary.select(key, value)
-    bound = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    size = F.octet_length(F.to_json(F.struct(key, value))) + ENTRY_BYTES
-    if bound > 0 and (table.agg(F.sum(size)).first()[0] or 0) <= bound:
+    if broadcastable(table, key, value, broadcast_bytes):
         return rows.join(F.broadcast(table), key, "left")
     return join_unique(rows, table, key, row_id)
 
 
+def _one_row_a_key(table: pa.Table, keys: list[str], out: str) -> pa.Table:
+    """Rows of one key as one row: element by element, those of one place by their value."""
+    groups: dict[str, list[int]] = {}
+    for i, found in enumerate(zip(*[table[k].to_pylist() for k in keys])):
+        groups.setdefault(repr(found), []).append(i)
+    lists = table[out].to_pylist()
+    lines = [
+        lists[rows[0]] if len(rows) == 1 else [v for *_, v in sorted((p, v is not None, v) for i in rows for p, v in enumerate(lists[i]))]
+        for rows in groups.values()
+    ]
+    firsts = table.take([rows[0] for rows in groups.values()])
+    return firsts.set_column(firsts.column_names.index(out), out, pa.array(lines, firsts[out].type))
+
+
+def _elements(batch: pa.RecordBatch, items: str) -> tuple[pa.Array, pa.Array]:
+    """The elements of the lists of a batch, one after the other, and the size of each list."""
+    if "__text" not in batch.schema.names:
+        return batch[items].flatten(), batch[items].value_lengths()
+    # Texts lie one behind the other, so their elements do too.
+    lengths, text = batch[items].flatten(), batch["__text"].cast(pa.string())
+    _, starts, data = text.buffers()
+    start = np.frombuffer(starts, np.int32)[text.offset] if len(text) else 0
+    ends = np.append(0, np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))) + start
+    elements = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends.astype(np.int32)), data)
+    return (pc.if_else(lengths.is_valid(), elements, None) if lengths.null_count else elements), batch[items].value_lengths()
+
+
+def _translator(keys: list[str], items: str, key: str, value: str, out: str, missing) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(lines: pa.Table, known: pa.Table) -> pa.Table:
+        entries, values = known[key].combine_chunks(), known[value].combine_chunks()
+        made = []
+        for batch in lines.to_batches():
+            elements, sizes = _elements(batch, items)
+            found = values.take(pc.index_in(elements, value_set=entries))
+            if missing is not None:
+                found = found.fill_null(missing)
+            ends = np.append(0, np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+            made.append(pa.table([*[batch[k] for k in keys], lists], [*keys, out]))
+        table = pa.concat_tables(made)
+        hashes = lines["__row"].to_numpy()
+        return table if len(np.unique(hashes)) == len(hashes) else _one_row_a_key(table, keys, out)
+
+    return run
+
+
+def translate(
+    df: DataFrame, dictionary: DataFrame, keys: Sequence[str], items: str, key: str, value: str, out: str, missing=None
+) -> DataFrame:
+    """``keys, out``: the arrays ``items`` with every element replaced by its ``value``, or ``missing``.
+
+    For a dictionary (unique ``key``) of any size. The rows are dealt to parts by ``keys``;
+    the distinct elements of each part meet the dictionary, so an element has one row a part
+    there at most, however often it occurs. The rows travel once, as they are, to the entries of their part.
+    """
+    keys = list(keys)
+    # Read for the size, the distinct elements and the rows.
+    rows = freeze(df.select(*keys, items))
+    size = F.octet_length(F.array_join(F.col(items).cast("array<string>"), " "))
+    parts = (rows.agg(F.sum(size)).first()[0] or 0) // PART_BYTES + 1
+    row = F.xxhash64(*keys)
+    part = F.pmod(row, F.lit(parts))
+    # Strings travel as one text with their lengths: as elements they are padded to words.
+    sent = [F.col(items)]
+    if isinstance(rows.schema[items].dataType.elementType, StringType):
+        sent = [F.array_join(items, "").alias("__text"), F.transform(items, F.octet_length).alias(items)]
+    dealt = rows.select(*keys, *sent, row.alias("__row"), part.alias("__part"))
+    distinct = rows.select(part.alias("__of"), F.explode(items).alias(key)).filter(F.col(key).isNotNull()).distinct()
+    known = distinct.join(dictionary.select(key, value), key).select("__of", key, value)
+    fields = [rows.schema[k] for k in keys] + [StructField(out, ArrayType(dictionary.schema[value].dataType))]
+    return (
+        dealt.groupBy("__part")
+        .cogroup(known.groupBy("__of"))
+        .applyInArrow(_translator(keys, items, key, value, out, missing), StructType(fields))
+    )
+
+
 def _ordered(values: Column | str, pos: str) -> Column:
     pairs = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(values).alias("v"))))
     return F.transform(pairs, lambda x: x["v"])
@@ -167,17 +256,20 @@ def encode(
 ) -> DataFrame:
     """``keys, ids``: token arrays as arrays of ids; unknown tokens get the id of ``unknown``.
 
-    ``keys`` identify a row. The rows are spread by key once, before the tokens are
-    unnested; lookup and regrouping then stay in place if the vocabulary is broadcast
-    (``dictionary_join``).
+    ``keys`` identify a row. If the vocabulary may be broadcast (``broadcastable``), the rows
+    are spread by key once, before the tokens are unnested; lookup and regrouping then stay
+    in place. If not, only distinct tokens meet it (``translate``).
     """
     keys = list(keys)
+    table = lookup(vocab)
+    unk = vocab.filter(F.col("token") == unknown).agg(F.max("id"))
+    if not broadcastable(table, "token", "id", broadcast_bytes):
+        coded = translate(df, table, keys, tokens, "token", "id", ids, unk.first()[0])
+        return coded.withColumn(ids, F.filter(ids, lambda i: i.isNotNull()))
     placed = spread(df.select(*keys, tokens), *keys)
     unnested = placed.select(*keys, F.posexplode_outer(tokens).alias("__pos", "token"))
-    table = lookup(vocab)
-    unk = vocab.filter(F.col("token") == unknown).agg(F.max("id")).scalar()
-    coded = dictionary_join(unnested, table, "token", "id", [*keys, "__pos"], broadcast_bytes).withColumn(
-        "id", F.when(F.col("__pos").isNotNull(), F.coalesce("id", unk))
+    coded = unnested.join(F.broadcast(table), "token", "left").withColumn(
+        "id", F.when(F.col("__pos").isNotNull(), F.coalesce("id", unk.scalar()))
     )
     return coded.groupBy(*keys).agg(_ordered("id", "__pos").alias(ids)).withColumn(
         ids, F.filter(ids, lambda i: i.isNotNull())
@@ -195,10 +287,12 @@ def decode(
 ) -> DataFrame:
     """``keys, tokens``: id arrays as arrays of tokens; ids outside the table give ``unknown``."""
     keys = list(keys)
+    table = vocab.select("id", "token")
+    if not broadcastable(table, "id", "token", broadcast_bytes):
+        return translate(df, table, keys, ids, "id", "token", tokens, unknown)
     placed = spread(df.select(*keys, ids), *keys)
     unnested = placed.select(*keys, F.posexplode_outer(ids).alias("__pos", "id"))
-    table = vocab.select("id", "token")
-    named = dictionary_join(unnested, table, "id", "token", [*keys, "__pos"], broadcast_bytes).withColumn(
+    named = unnested.join(F.broadcast(table), "id", "left").withColumn(
         "token", F.when(F.col("__pos").isNotNull(), F.coalesce("token", F.lit(unknown)))
     )
     return named.groupBy(*keys).agg(_ordered("token", "__pos").alias(tokens)).withColumn(
