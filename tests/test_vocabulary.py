@@ -70,9 +70,9 @@ def test_encode_and_decode_broadcast_and_shuffled(spark, monkeypatch, broadcast_
     assert back == {i: [t if t in ids else "UNK" for t in line.split()] for i, line in enumerate(lines)}
 
 
-@pytest.mark.parametrize("part_bytes", [8, 1 << 20])
-def test_translate_meets_the_dictionary_by_distinct_tokens(spark, monkeypatch, part_bytes):
-    monkeypatch.setattr(op, "PART_BYTES", part_bytes)
+@pytest.mark.parametrize("chunk_bytes", [8, 1 << 20])
+def test_translate_meets_the_dictionary_by_distinct_tokens(spark, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(op, "CHUNK_BYTES", chunk_bytes)
     schema = "k string, n bigint, tokens array<string>"
     rows = spark.createDataFrame(
         [("x", 0, ["b", "a", "b"]), ("x", 0, ["a", "c"]), (None, None, ["a", None]), ("y", None, None), ("y", 1, []), ("z", 2, ["q"] * 50)],

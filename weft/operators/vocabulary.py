@@ -3,20 +3,21 @@
 A vocabulary is a table ``id BIGINT, token STRING, cnt BIGINT`` (0 for tokens that were given
 and not counted), most frequent first. Rows with a token meet a dictionary in an equi-join
 whose frequent keys are cut into groups, so they never meet in one shuffle partition. Token
-arrays are dealt to parts; only the distinct tokens of a part meet the dictionary. A
+arrays are coded in chunks; only the distinct tokens of a chunk meet the dictionary. A
 dictionary within a bound in bytes is broadcast, which saves the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from weft.operators.ordering import ID_BITS, ranked, running_start
 from weft.operators.skew import join_unique
@@ -30,8 +31,9 @@ UNKNOWN = "UNK"
 # Bytes of a dictionary that may be broadcast, and what an entry takes besides its text.
 BROADCAST_BYTES = 32 << 20
 ENTRY_BYTES = 48
-# Bytes of text in a part of a corpus: a task holds one part and its distinct tokens.
-PART_BYTES = 32 << 20
+# Bytes of the rows of a chunk, which a task holds with its distinct elements, and entries that it hands on at once.
+CHUNK_BYTES = 32 << 20
+CHUNK_ROWS = 10_000
 
 
 def token_counts(tokens: DataFrame, *keys: str, token: str = "token") -> DataFrame:
@@ -163,48 +165,62 @@ def dictionary_join(
     return join_unique(rows, table, key, row_id)
 
 
-def _one_row_a_key(table: pa.Table, keys: list[str], out: str) -> pa.Table:
-    """Rows of one key as one row: element by element, those of one place by their value."""
-    groups: dict[str, list[int]] = {}
-    for i, found in enumerate(zip(*[table[k].to_pylist() for k in keys])):
-        groups.setdefault(repr(found), []).append(i)
-    lists = table[out].to_pylist()
-    lines = [
-        lists[rows[0]] if len(rows) == 1 else [v for *_, v in sorted((p, v is not None, v) for i in rows for p, v in enumerate(lists[i]))]
-        for rows in groups.values()
-    ]
-    firsts = table.take([rows[0] for rows in groups.values()])
-    return firsts.set_column(firsts.column_names.index(out), out, pa.array(lines, firsts[out].type))
-
-
-def _elements(batch: pa.RecordBatch, items: str) -> tuple[pa.Array, pa.Array]:
-    """The elements of the lists of a batch, one after the other, and the size of each list."""
-    if "__text" not in batch.schema.names:
-        return batch[items].flatten(), batch[items].value_lengths()
-    # Texts lie one behind the other, so their elements do too.
-    lengths, text = batch[items].flatten(), batch["__text"].cast(pa.string())
-    _, starts, data = text.buffers()
-    start = np.frombuffer(starts, np.int32)[text.offset] if len(text) else 0
-    ends = np.append(0, np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))) + start
-    elements = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends.astype(np.int32)), data)
-    return (pc.if_else(lengths.is_valid(), elements, None) if lengths.null_count else elements), batch[items].value_lengths()
-
-
-def _translator(keys: list[str], items: str, key: str, value: str, out: str, missing) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(lines: pa.Table, known: pa.Table) -> pa.Table:
-        entries, values = known[key].combine_chunks(), known[value].combine_chunks()
+def _coded(keys: list[str], items: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks of a task's rows: elements as codes of the chunk, and what each code stands for."""
+
+    def chunk(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        name = uuid.uuid4().hex
+        # Elements that are null keep a null code.
+        coded = rows[items].flatten().dictionary_encode()
+        elements = coded.dictionary
+        ends = np.append(0, np.cumsum(rows[items].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        yield pa.record_batch(
+            [
+                pa.array([name] * len(rows)), *[rows[k] for k in keys],
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.indices.cast(pa.int32())),
+                pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), elements.type),
+            ],
+            ["__chunk", *keys, "__codes", "__code", "__element"],
+        )
+        for i in range(0, len(elements), CHUNK_ROWS):
+            some = elements[i : i + CHUNK_ROWS]
+            yield pa.record_batch(
+                [
+                    pa.array([name] * len(some)), *[pa.nulls(len(some), rows.schema.field(k).type) for k in keys],
+                    pa.nulls(len(some), pa.list_(pa.int32())), pa.array(np.arange(i, i + len(some), dtype=np.int32)), some,
+                ],
+                ["__chunk", *keys, "__codes", "__code", "__element"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if held and size + batch.nbytes > CHUNK_BYTES:
+                yield from chunk(held)
+                held, size = [], 0
+            if len(batch):
+                held.append(batch)
+                size += batch.nbytes
+        if held:
+            yield from chunk(held)
+
+    return run
+
+
+def _decoded(keys: list[str], value: str, out: str, missing) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        codes, values = known["__code"].combine_chunks(), known[value].combine_chunks()
         made = []
-        for batch in lines.to_batches():
-            elements, sizes = _elements(batch, items)
-            found = values.take(pc.index_in(elements, value_set=entries))
+        for batch in rows.to_batches():
+            found = values.take(pc.index_in(batch["__codes"].flatten(), value_set=codes))
             if missing is not None:
                 found = found.fill_null(missing)
-            ends = np.append(0, np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False)))
+            ends = np.append(0, np.cumsum(batch["__codes"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
             made.append(pa.table([*[batch[k] for k in keys], lists], [*keys, out]))
-        table = pa.concat_tables(made)
-        hashes = lines["__row"].to_numpy()
-        return table if len(np.unique(hashes)) == len(hashes) else _one_row_a_key(table, keys, out)
+        return pa.concat_tables(made)
 
     return run
 
@@ -214,30 +230,29 @@ def translate(
 ) -> DataFrame:
     """``keys, out``: the arrays ``items`` with every element replaced by its ``value``, or ``missing``.
 
-    For a dictionary (unique ``key``) of any size. The rows are dealt to parts by ``keys``;
-    the distinct elements of each part meet the dictionary, so an element has one row a part
-    there at most, however often it occurs. The rows travel once, as they are, to the entries of their part.
+    For a dictionary (unique ``key``) of any size. The rows of a task are coded in chunks where
+    they are; the distinct elements of each chunk meet the dictionary, so an element has one row a
+    chunk there at most, however often it occurs. Only codes travel to the entries of their chunk.
+    Rows of one key are read as one, element by element, those of one place by their value.
     """
     keys = list(keys)
-    # Read for the size, the distinct elements and the rows.
-    rows = freeze(df.select(*keys, items))
-    size = F.octet_length(F.array_join(F.col(items).cast("array<string>"), " "))
-    parts = (rows.agg(F.sum(size)).first()[0] or 0) // PART_BYTES + 1
-    row = F.xxhash64(*keys)
-    part = F.pmod(row, F.lit(parts))
-    # Strings travel as one text with their lengths: as elements they are padded to words.
-    sent = [F.col(items)]
-    if isinstance(rows.schema[items].dataType.elementType, StringType):
-        sent = [F.array_join(items, "").alias("__text"), F.transform(items, F.octet_length).alias(items)]
-    dealt = rows.select(*keys, *sent, row.alias("__row"), part.alias("__part"))
-    distinct = rows.select(part.alias("__of"), F.explode(items).alias(key)).filter(F.col(key).isNotNull()).distinct()
-    known = distinct.join(dictionary.select(key, value), key).select("__of", key, value)
-    fields = [rows.schema[k] for k in keys] + [StructField(out, ArrayType(dictionary.schema[value].dataType))]
-    return (
-        dealt.groupBy("__part")
-        .cogroup(known.groupBy("__of"))
-        .applyInArrow(_translator(keys, items, key, value, out, missing), StructType(fields))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    schema = StructType(
+        [StructField("__chunk", StringType()), *[StructField(k, kinds[k]) for k in keys]]
+        + [StructField("__codes", ArrayType(IntegerType())), StructField("__code", IntegerType())]
+        + [StructField("__element", kinds[items].elementType)]
     )
+    # The names of chunks are made as they are written.
+    chunks = freeze(df.select(*keys, items).mapInArrow(_coded(keys, items), schema))
+    rows = chunks.filter("__code is null").select("__chunk", *keys, "__codes")
+    entries = chunks.filter("__code is not null").select(F.col("__chunk").alias("__of"), "__code", F.col("__element").alias(key))
+    known = entries.join(dictionary.select(key, value), key).select("__of", "__code", value)
+    fields = [StructField(k, kinds[k]) for k in keys] + [StructField(out, ArrayType(dictionary.schema[value].dataType))]
+    found = rows.groupBy("__chunk").cogroup(known.groupBy("__of")).applyInArrow(_decoded(keys, value, out, missing), StructType(fields))
+    if rows.groupBy(*keys).count().filter("count > 1").isEmpty():
+        return found
+    placed = F.transform(out, lambda v, i: F.struct(i.alias("p"), v.alias("v")))
+    return found.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(placed))).alias(out)).withColumn(out, F.col(f"{out}.v"))
 
 
 def _ordered(values: Column | str, pos: str) -> Column:
