@@ -106,6 +106,21 @@ def test_apply_with_threshold(spark, monkeypatch, broadcast_bytes):
     assert split == {0: ["ab@@", "c", "xy", "q"], 1: [], 2: ["ab@@", "d"]}
 
 
+def test_apply_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(0, ["abc", "xy", "q"]), (1, []), (2, ["abd", None, "abc"]), (3, None), (2, ["xy"])], "line_no bigint, tokens array<string>"
+    )
+    merges = spark.createDataFrame(
+        [(0, "a", "b", 3), (1, "ab", "c</w>", 2), (2, "x", "y</w>", 1)], "rank bigint, left string, right string, cnt bigint"
+    )
+    wanted = {0: ["abc", "xy", "q"], 1: [], 2: ["ab@@", "d", "xy", "abc"], 3: []}
+    for bound, step in ((1 << 20, "BroadcastHashJoin"), (0, "FlatMapCoGroupsInArrow")):
+        monkeypatch.setattr(vocabulary, "BROADCAST_BYTES", bound)
+        coded = subwords.apply_bpe(rows, merges, ["line_no"])
+        assert {r["line_no"]: r["tokens"] for r in coded.collect()} == wanted
+        assert step in coded._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
 def test_casing(spark, monkeypatch, broadcast_bytes):
     monkeypatch.setattr(vocabulary, "BROADCAST_BYTES", broadcast_bytes)

@@ -61,7 +61,7 @@ def prepare_pairs(
         for side in ("src", "tgt")
     ]
     cased = freeze(sides[0].unionByName(sides[1]))
-    types = token_counts(cased.select(F.explode("tokens").alias("token")))
+    types = freeze(token_counts(cased.select(F.explode("tokens").alias("token"))))
     learnt = subwords.learn_bpe(types, merges)
     pieces = freeze(subwords.piece_counts(types, learnt))
     coded = freeze(subwords.apply_bpe(cased, learnt, [*keys, "side"], pieces=pieces, threshold=threshold))

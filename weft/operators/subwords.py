@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import split_chars
-from weft.operators.vocabulary import dictionary_join, frequent, token_counts
+from weft.operators.vocabulary import broadcastable, frequent, token_counts, translate
 from weft.session import freeze, spread
 
 # End of word inside a merge, and the mark of a piece that is not the last.
@@ -287,10 +287,13 @@ def apply_bpe(
     types = token_counts(df.select(F.explode(tokens).alias("token")))
     allowed = None if pieces is None else frequent(pieces, threshold).select("piece")
     dictionary = freeze(segment_types(types, merges, allowed))
+    if not broadcastable(dictionary, "token", "pieces"):
+        found = translate(df, dictionary, keys, tokens, "token", "pieces", "__pieces")
+        return found.select(*keys, F.flatten(F.filter("__pieces", lambda x: x.isNotNull())).alias(tokens))
     unnested = spread(df.select(*keys, tokens), *keys).select(
         *keys, F.posexplode_outer(tokens).alias("__pos", "token")
     )
-    joined = dictionary_join(unnested, dictionary, "token", "pieces", [*keys, "__pos"])
+    joined = unnested.join(F.broadcast(dictionary), "token", "left")
     ordered = F.array_sort(
         F.collect_list(F.when(F.col("pieces").isNotNull(), F.struct("__pos", "pieces")))
     )

@@ -11,6 +11,7 @@ from weft.operators import jobs
 from weft.operators.vocabulary import token_counts
 from weft.plans import views
 from weft.plans.vocabulary import corpus_tokens
+from weft.session import freeze
 from weft.sources import tables
 
 LINE = ["doc_id", "line_no"]
@@ -41,7 +42,8 @@ def bpe_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus in pieces; merged pieces seen fewer than ten times are split again."""
-    types = token_counts(corpus_tokens(spark, sf_dir).filter("token <> ''"))
+    # Read by the merges and by the counts of pieces.
+    types = freeze(token_counts(corpus_tokens(spark, sf_dir).filter("token <> ''")))
     merges = subwords.learn_bpe(types)
     pieces = subwords.piece_counts(types, merges)
     coded = subwords.apply_bpe(_tokens(spark, sf_dir), merges, LINE, pieces=pieces, threshold=10)
