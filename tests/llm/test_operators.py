@@ -666,3 +666,22 @@ def test_rows_of_one_id_with_equal_checksums(spark):
     rows = [(1, other), (5, other), (5, text)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=False).drop("kept")
     assert rows_of(got) == sorted(brute.repeats(rows), key=repr)
+
+
+def test_words_are_those_of_the_tokenizer():
+    encoder = packing.WordEncoder(queries.tokenizer_path())
+    words = ["one", "one,###", "Été.", "straße&&&", "İ.", "İ", "ab<|endoftext|>", "AB<|ENDOFTEXT|>.", "a<|", "it's.", "x1#", "ΑΣ.", "á,"]
+    texts = [*words, " ".join(words), "ONE  one.\n" + " ".join(words[::-1])]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_that_come_again_are_not_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    encoder, learnt = packing.WordEncoder(queries.tokenizer_path()), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda words: (learnt.extend(words), learn(words))[1])
+    for i in range(60):
+        encoder.encode([b"often " + " ".join("abcdefghij"[int(d)] for d in f"{i:03d}").encode() + b"q%d" % i])
+    assert learnt.count(b"often") == 1
+    assert len(encoder.words) + len(encoder.older) < 80

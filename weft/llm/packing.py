@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
@@ -28,7 +29,10 @@ CACHE_WORDS = 1_000_000
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 )
-_TAIL = b".,!?;:"
+# Marks that are cut off. Not ">", which ends the special tokens, and not the apostrophe, which begins some tokens.
+_TAIL = b".,!?;:#$%&*|<"
+# Lower-case letters of one code point that the normalizer keeps.
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 class WordEncoder:
@@ -37,57 +41,74 @@ class WordEncoder:
     The tokenizer never joins characters across white space, so a text's ids are those of
     its words in a row. It lowers case, so words are kept in lower case. Marks at the end of a word
     that ends in a letter are a token run of their own. Words of letters alone are encoded
-    many at a time: each of them ends in its only end-of-word token.
+    many at a time: each of them ends in its only end-of-word token. Those of letters that
+    the normalizer leaves as they are pass it by.
     """
 
     def __init__(self, path: str):
         # One thread a task; the tokenizer must not start a pool of its own.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
         vocabulary = self.tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.ends = ends
         self.words: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # The words known before the memory was last full: those that come again go over.
+        self.older: dict[bytes, bytes] = {}
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _letters(self, tokenizer, words: list[bytes]) -> list[bytes]:
+        """Words of letters alone, as one text."""
+        if not words:
+            return []
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._each(words)
+        packed, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def learn(self, words: set[bytes]) -> None:
-        heads: dict[bytes, list[tuple[bytes, bytes]]] = {}
+        heads, forms = set(), []
         for word in words:
-            head = word.rstrip(_TAIL)
-            if len(head) == len(word) or not head.decode()[-1:].isalpha():
-                head = word
-            heads.setdefault(head, []).append((word, word[len(head) :]))
-        decoded = {head: head.decode() for head in heads}
-        found = {h: self.words[h] for h in heads if h in self.words}
-        plain = [h for h, s in decoded.items() if h not in found and s.isalpha()]
-        if plain:
-            ids = np.array(self._ids([" ".join([decoded[h] for h in plain])])[0], "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(plain):
-                packed, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
-                found.update((h, packed[a:b]) for h, a, b in zip(plain, starts, starts[1:]))
-        odd = [h for h in heads if h not in found]
-        for h, ids in zip(odd, self._ids([decoded[h] for h in odd])):
-            found[h] = np.array(ids, "<u4").tobytes()
-        tails = {tail for forms in heads.values() for _, tail in forms if tail}
-        marks = {t: np.array(i, "<u4").tobytes() for t, i in zip(tails, self._ids([t.decode() for t in tails]))}
+            if word[-1] in _TAIL:
+                head = word.rstrip(_TAIL)
+                # In lower case, the last of its characters may be a mark on a letter.
+                if head.decode()[-1:].lower()[-1:].isalpha():
+                    forms.append((word, head))
+                    word = head
+            heads.add(word)
         # A head is kept as well: it may come with other marks.
-        self.words.update(found)
-        for head, forms in heads.items():
-            for word, tail in forms:
-                self.words[word] = found[head] + marks[tail] if tail else found[head]
+        latin, letters, odd = [], [], []
+        for head in heads.difference(self.words):
+            text = head.decode()
+            (latin if _LATIN(text) else letters if text.isalpha() else odd).append(head)
+        self.words.update(zip(latin, self._letters(self.bare, latin)))
+        self.words.update(zip(letters, self._letters(self.tokenizer, letters)))
+        self.words.update(zip(odd, self._each(odd)))
+        tails = list({word[len(head) :] for word, head in forms})
+        marks = dict(zip(tails, self._each(tails)))
+        self.words.update([(word, self.words[head] + marks[word[len(head) :]]) for word, head in forms])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.lower().split() for text in texts]
-        here = {w for words in split for w in words}
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        # Special tokens are told by their case.
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        here = set().union(*split)
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words, self.older = {}, self.words
         missing = here.difference(self.words)
+        if self.older:
+            again = missing.intersection(self.older)
+            self.words.update([(word, self.older[word]) for word in again])
+            missing -= again
         if missing:
             self.learn(missing)
         get = self.words.__getitem__
