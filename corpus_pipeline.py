@@ -6,7 +6,9 @@ pieces. Between stages the rows are written as Parquet below the checkpoint fold
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm import jaccard, mixing, packing, quality, secret_scan
 from weft.llm.common import table
@@ -35,8 +37,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; of one cut off, the words it takes."""
-    return mixing.mixed_documents(docs)
+    """Documents as often as the mix takes them; of one cut off, the words it takes.
+
+    In a table that the stage before wrote, a row is its file and its place there, and the table is not
+    written again. Rows that come otherwise are numbered.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    try:
+        named = docs.groupBy(place.alias("place")).count().filter("count > 1").isEmpty()
+    except AnalysisException:
+        named = False
+    return mixing.mixed_documents(docs, row=place if named else None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,14 @@ def test_rows_equal_sql(spark, name):
     cursor = connect(SF_DIR).execute(queries.ORACLE[name])
     expected = rows_of([d[0] for d in cursor.description], cursor.fetchall())
     assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == expected
+
+
+def test_mixture_does_not_write_its_input_again(spark, documents, monkeypatch):
+    written, freeze = [], mixing.freeze
+    monkeypatch.setattr(mixing, "freeze", lambda df: (written.append(df.columns), freeze(df))[1])
+    mixed = corpus_pipeline.mixture(spark, documents, SF_DIR)
+    assert written and not any("text" in columns for columns in written)
+    assert Counter(mixed.collect()) == Counter(mixing.mixed_documents(documents).collect())
+    # Rows of a file that come twice have no place of their own.
+    twice = documents.join(spark.range(2), documents.doc_id >= 0)
+    assert Counter(corpus_pipeline.mixture(spark, twice, SF_DIR).collect()) == Counter(mixing.mixed_documents(twice).collect())

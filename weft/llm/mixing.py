@@ -320,20 +320,23 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return shares(docs, **options).drop("part", "start", "words", "part_quota", "pieces")
 
 
-def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars", row: Column | None = None, **options
+) -> DataFrame:
     """The mix itself: a row for each time a document is taken, all its columns in place.
 
     A document that is taken in part gives its words in the chosen blocks, with the white
     space before them; ``chars`` names a column with the text's length that follows it. What is
-    not taken is left out. The documents are written once with a row number that joins them to
-    their share; the text is shuffled once.
+    not taken is left out. ``row`` names a row of ``docs`` for good, however it is read, and joins it to
+    its share; without it the documents are written once with a row number. The text is shuffled once.
 
     Null and empty texts, which have no words to take, go; equal rows are documents of their
     own; other columns are copied, whatever their names but ``__row`` and ``__rest``.
     """
-    kept = freeze(
-        docs.withColumn("__rest", F.xxhash64(*_content(docs, docs.columns))).withColumn("__row", F.monotonically_increasing_id())
-    )
+    number = F.monotonically_increasing_id() if row is None else row
+    kept = docs.select("*", F.xxhash64(*_content(docs, docs.columns)).alias("__rest"), number.alias("__row"))
+    if row is None:
+        kept = freeze(kept)
     found = shares(kept, id=id, text=text, row="__row", rest="__rest", **options).filter("taken > 0").select(
         "__row", F.col("rounds").alias("__rounds"), F.col("extra").alias("__extra"), F.col("size").alias("__size"), F.col("pieces").alias("__pieces")
     )
