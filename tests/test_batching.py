@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weft import plans
 from weft.functions import text
 from weft.operators import alignment, jobs, ordering
 from weft.functions.permutation import permuted
@@ -238,3 +239,10 @@ def test_training_data_with_own_callables(spark):
         rows = sorted((r for r in found if r["batch_id"] == batch), key=lambda r: r["place"])
         sizes = [len(r["src"]) for r in rows]
         assert sizes == sorted(sizes, reverse=True) and min(sizes) >= 2
+
+
+@pytest.mark.parametrize("name", ["make_target", "unlabelled_rows"])
+def test_labelling_is_read_as_written(spark, name):
+    # Export and corpus are made of lines, trees and codes that were written once; none is computed by both.
+    files = plans.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any(t in f for f in files for t in ("documents", "orders", "lineitem", "embeddings"))

@@ -96,8 +96,13 @@ def export_line(src: Column | str, cfg: Column | str, code: Column | str) -> Col
     return F.concat_ws("\t", src, cfg, code)
 
 
+def _digest(key: Column) -> Column:
+    # Stands for source and tree where rows are shuffled and sorted by them.
+    return F.unhex(F.sha2(key, 256))
+
+
 def parse_export(lines: DataFrame, value: str = "value", line_no: str = "line_no") -> DataFrame:
-    """``key, code`` of a code export: the last line of each (src, cfg) wins.
+    """``key, code`` of a code export: the last line of each (src, cfg) wins. Keys are those of ``corpus_key``.
 
     Lines of fewer than three fields after stripping are left out, so an empty ``src`` is
     lost. The last two fields are the tree and the code, the rest is the source.
@@ -107,14 +112,15 @@ def parse_export(lines: DataFrame, value: str = "value", line_no: str = "line_no
     n = F.size("__parts")
     keyed = fields.select(
         line_no,
-        F.array_join(F.slice("__parts", 1, n - 1), "\t").alias("key"),
+        _digest(F.array_join(F.slice("__parts", 1, n - 1), "\t")).alias("key"),
         text.code_tokens(F.get("__parts", n - 1)).alias("code"),
     )
     return keyed.groupBy("key").agg(F.max_by("code", line_no).alias("code"))
 
 
 def corpus_key(src: str = "src", cfg: str = "cfg") -> Column:
-    return F.concat_ws("\t", text.strip(src), text.strip(cfg))
+    """The SHA-256 of source and tree."""
+    return _digest(F.concat_ws("\t", text.strip(src), text.strip(cfg)))
 
 
 def merge_codes(

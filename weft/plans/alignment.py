@@ -10,6 +10,7 @@ from weft.operators import alignment as op
 from weft.operators import jobs, projection
 from weft.operators.ordering import dense_index, ranked
 from weft.plans import views
+from weft.session import freeze
 from weft.sources import tables
 
 SOURCE_CAP = 60
@@ -106,31 +107,42 @@ def saturating_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("vec_id", "pos", F.round(vectors.saturating_sigmoid("x"), 6).alias("soft_bit"))
 
 
-def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _coded(spark: SparkSession, sf_dir: str, files: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     """Labelling job over all lines: valid trees and short sources only, codes by the whole vector."""
-    return jobs.export_codes(*tables.labelling(spark, sf_dir), max_tokens=SOURCE_CAP, weights=tables.label_weights(spark, sf_dir))
+    return jobs.export_codes(*files, max_tokens=SOURCE_CAP, weights=tables.label_weights(spark, sf_dir))
 
 
-def code_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exported(spark, sf_dir).select("line_no", op.export_line("src", "cfg", "code").alias("line"))
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coded(spark, sf_dir, tables.labelling(spark, sf_dir))
+
 
+def _line(exported: DataFrame, name: str) -> DataFrame:
+    return exported.select("line_no", op.export_line("src", "cfg", "code").alias(name))
+
+
+def code_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line(_exported(spark, sf_dir), "line")
 
-def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources, trees, _ = tables.labelling(spark, sf_dir)
-    return op.zip_lines(sources, trees).withColumn("tgt", F.col("src"))
 
+def _corpus_and_export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus, and the lines of its export.
 
-def _export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_export(spark, sf_dir).withColumnRenamed("line", "value")
+    Trees and corpus are written, as both sides and the hot keys read them, and so is the export,
+    or the fields of its lines would each have the codes computed anew.
+    """
+    sources, trees, vectors = tables.labelling(spark, sf_dir)
+    trees = freeze(trees)
+    corpus = freeze(op.zip_lines(sources, trees)).withColumn("tgt", F.col("src"))
+    return corpus, _line(freeze(_coded(spark, sf_dir, (sources, trees, vectors))), "value")
 
 
 def make_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every corpus line merged with the export; lines that the labelling left out are missing."""
-    return op.merge_codes(_corpus(spark, sf_dir), _export_lines(spark, sf_dir), ["line_no"])
+    return op.merge_codes(*_corpus_and_export(spark, sf_dir), ["line_no"])
 
 
 def unlabelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.unlabelled(_corpus(spark, sf_dir), _export_lines(spark, sf_dir), ["line_no"]).select("line_no", "src")
+    return op.unlabelled(*_corpus_and_export(spark, sf_dir), ["line_no"]).select("line_no", "src")
 
 
 def tripled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions.text import CODE_END, NBEST_SEPARATOR
 from weft.operators.ordering import dense_index, running_start
 from weft.operators.projection import mean_pool, project
-from weft.session import widen
+from weft.session import freeze, widen
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,12 +95,16 @@ def numbered_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelling(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(line_no, src)``, ``(line_no, cfg)``, ``(line_no, vec)``: lines, trees and vectors, taken in turn."""
-    corpus = numbered(spark, sf_dir).select("line_no", F.col("line").alias("src"))
+    """``(line_no, src)``, ``(line_no, cfg)``, ``(line_no, vec)``: lines, trees and vectors, taken in turn.
+
+    The numbered lines and trees are written once: all three and the counts read them.
+    """
+    corpus = freeze(numbered(spark, sf_dir).select("line_no", F.col("line").alias("src")))
+    parsed = freeze(numbered_trees(spark, sf_dir))
     vectors = dense_index(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec")), "vec_id", "vec_no")
     return (
         corpus,
-        by_turns(corpus.select("line_no"), numbered_trees(spark, sf_dir), "tree_no").select("line_no", "cfg"),
+        by_turns(corpus.select("line_no"), parsed, "tree_no").select("line_no", "cfg"),
         by_turns(corpus.select("line_no"), vectors, "vec_no").select("line_no", "vec"),
     )
 
