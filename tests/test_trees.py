@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import trees as op
-from weft.operators import vocabulary
+from weft.operators import loading, vocabulary
 
 CAT = "(ROOT (S (NP (DT the) (NN cat)) (VP (VBD sat)) (.)))"
 DEEP = "(ROOT (A (B (C (D (E e)) (F f)) (G g)) (H h)))"
@@ -142,3 +142,23 @@ def test_empty_lines_between_trees_and_lines_of_one_number(spark):
     many = spark.range(3000).select(F.col("id").alias("line_no"), F.expr(f"if(id % 2 = 0, '{DEEP}', '{CAT}')").alias("cfg"))
     counts = op.nodes(many.coalesce(1)).groupBy("line_no").count()
     assert {tuple(r) for r in counts.selectExpr("line_no % 2", "count").distinct().collect()} == {(0, 7), (1, 4)}
+
+
+def test_node_arrays_are_the_node_table(spark):
+    odd = [CAT, DEEP, WIDE, "(A (B b", "", "(ROOT (X x))", "(A (B b) c)", None]
+    trees = table(spark, *odd).union(table(spark, "(A (B b) (C c))").withColumn("line_no", F.lit(1).cast("bigint")))
+    columns = ["line_no", "node_id", "parent_id", "depth", "pos", "mask", "enc_label", "dec_label", "y"]
+    for depth_limit in (0, 2):
+        arrays = op.node_arrays(trees, depth_limit)
+        ids = [[n.node_id for n in r.nodes] for r in arrays.collect()]
+        assert ids and all(i == sorted(set(i)) for i in ids)
+        found = arrays.select("line_no", F.inline("nodes"))
+        assert rows(found, *columns) == rows(op.nodes(trees, depth_limit), *columns)
+
+
+def test_loader_rows_hold_no_nodes_as_rows(spark):
+    sources = spark.createDataFrame([(0, "a b"), (1, "b")], "line_no bigint, src string")
+    vocab = vocabulary.build_vocab(spark.createDataFrame([("a",), ("b",)], "token string"))
+    found = loading.loader_rows(sources, table(spark, CAT, "(A"), vocab)
+    assert [(r.line_no, len(r.nodes)) for r in found.collect()] == [(0, 4)]
+    assert "inline" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -36,18 +36,11 @@ def loader_rows(
         rows = split_file_parts(rows, n, total).filter(F.col("part") == k).drop("part")
         rows = rows.withColumn("line_no", F.col("line_no") - size * k)
     rows = alignment.first_lines(rows, limit_datapoints).withColumn("tokens", split_ws(strip("src")))
-    rows = alignment.token_cap(rows, "tokens", max_tokens)
-    # One more pass over the trees: validity is a by-product of the node table.
-    table = trees.nodes(rows.select("line_no", "cfg"), depth_limit)
-    grouped = table.groupBy("line_no").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("node_id", "parent_id", "depth", "pos", "mask", "enc_label", "dec_label", "y")
-            )
-        ).alias("nodes")
-    )
+    # Read by the trees, of which validity is a by-product, and by the ids.
+    rows = freeze(alignment.token_cap(rows, "tokens", max_tokens).select("line_no", "tokens", "cfg"))
+    parsed = trees.node_arrays(rows.select("line_no", "cfg"), depth_limit)
     coded = encode(rows, vocab, ["line_no"])
-    return alignment.truncate(coded.join(grouped, "line_no"), truncate)
+    return alignment.truncate(coded.join(parsed, "line_no"), truncate)
 
 
 def loader_dataset(

@@ -196,15 +196,8 @@ def _linker(expand: tuple[int, int] | None) -> Callable[..., Column]:
     return F.arrow_udf(link, _NODES)
 
 
-def brackets(
-    trees: DataFrame, expand: tuple[int, int] | None = None, line_no: str = "line_no", cfg: str = "cfg"
-) -> DataFrame:
-    """``line_no, level, label, parent_label, child_no, node_id, parent_id``: the nodes of all valid trees.
-
-    ``level`` and ``child_no`` count from 1 (words count as children too), ids are pre-order.
-    With ``expand`` (depth limit, most children) only the nodes that ``nodes`` keeps, from
-    the node inside of a ROOT wrapper on. Lines of one number are read as one, token by token.
-    """
+def _bracket_lines(trees: DataFrame, expand: tuple[int, int] | None, line_no: str, cfg: str) -> DataFrame:
+    """``line_no, __labels, __nodes``: the labels of the tokens of each line, and its nodes in pre-order."""
     lines = trees.select(line_no, cfg).groupBy(line_no).agg(F.collect_list(cfg).alias("__texts"))
     read = lines.select(line_no, F.transform("__texts", _tokens).alias("__tokens"))
     labelled = read.select(
@@ -218,8 +211,19 @@ def brackets(
         ).alias("__labels"),
     )
     rooted = F.coalesce(F.get("__labels", F.lit(0)) == ROOT, F.lit(False))
-    linked = labelled.select(line_no, "__labels", _linker(expand)("__kinds", rooted).alias("__nodes"))
-    return linked.select(
+    return labelled.select(line_no, "__labels", _linker(expand)("__kinds", rooted).alias("__nodes"))
+
+
+def brackets(
+    trees: DataFrame, expand: tuple[int, int] | None = None, line_no: str = "line_no", cfg: str = "cfg"
+) -> DataFrame:
+    """``line_no, level, label, parent_label, child_no, node_id, parent_id``: the nodes of all valid trees.
+
+    ``level`` and ``child_no`` count from 1 (words count as children too), ids are pre-order.
+    With ``expand`` (depth limit, most children) only the nodes that ``nodes`` keeps, from
+    the node inside of a ROOT wrapper on. Lines of one number are read as one, token by token.
+    """
+    return _bracket_lines(trees, expand, line_no, cfg).select(
         line_no,
         F.inline(
             F.transform(
@@ -276,6 +280,36 @@ def nodes(
     )
 
 
+def node_arrays(
+    trees: DataFrame,
+    depth_limit: int = 0,
+    max_children: int = MAX_CHILDREN,
+    line_no: str = "line_no",
+    cfg: str = "cfg",
+) -> DataFrame:
+    """``line_no, nodes``: the rows of ``nodes`` as one array a line, in id order; lines without nodes are left out.
+
+    Nodes are built where their line is read, so none is a row that a grouping would hold.
+    """
+    read = _bracket_lines(trees, (depth_limit, max_children), line_no, cfg).filter(F.size("__nodes") > 0)
+
+    def node(n: Column) -> Column:
+        top, label = n["level"] == 1, F.concat(F.get("__labels", n["i"]), F.lit("_1"))
+        above = F.concat(F.get("__labels", n["p"]), F.lit("_"), n["child_no"].cast("string"))
+        return F.struct(
+            n["node_id"].alias("node_id"),
+            n["parent_id"].alias("parent_id"),
+            (n["level"] - 1).alias("depth"),
+            F.when(top, 0).otherwise(n["child_no"] - 1).alias("pos"),
+            F.when(top, 1).otherwise(0).alias("mask"),
+            label.alias("enc_label"),
+            F.when(top, F.lit(f"{ROOT}_1")).otherwise(above).alias("dec_label"),
+            label.alias("y"),
+        )
+
+    return read.select(line_no, F.transform("__nodes", node).alias("nodes"))
+
+
 def edges(node_table: DataFrame, line_no: str = "line_no") -> DataFrame:
     """``line_no, graph, src, dst``: child to parent for ``enc``, parent to child for ``dec``."""
     inner = node_table.filter("parent_id is not null")
