@@ -8,8 +8,8 @@ suffixes come in order, a queue is filled in order, so the queues together are a
 queue by symbol and rank. Entries carry the common prefix with the entry before them: one
 more than the least of the common prefixes met since the last entry of the same queue.
 
-Queues live in files; beside the text, with two bytes and a type a symbol, only batches of
-them are in memory. Suffixes that agree for ``limit`` symbols may come in any order.
+Queues live in files; beside the text, with four bytes and a type a symbol, only batches of
+them and the last entries of each are in memory. Suffixes that agree for ``limit`` symbols may come in any order.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BATCH = 1 << 18
-# Starts that are sorted in memory, with 64 bytes each; more are sorted in runs and merged.
+# Starts that are sorted in memory, with two bytes a symbol of the limit; more are sorted in runs and merged.
 RUN = 1 << 20
 # Entries that wait in memory for one queue until they are written.
 WAITING = 1 << 12
@@ -43,45 +43,44 @@ class DiskQueue:
         self.waiting.append(rows)
         self.held += len(rows)
         if self.held >= WAITING:
-            self._write()
-
-    def _write(self) -> None:
-        with open(self.path, "ab") as out:
-            for part in self.waiting:
-                out.write(part.tobytes())
-        self.written += self.held
-        self.waiting, self.held = [], 0
+            with open(self.path, "ab") as out:
+                for part in self.waiting:
+                    out.write(part.tobytes())
+            self.written += self.held
+            self.waiting, self.held = [], 0
+
+    def _entries(self, begin: int, end: int) -> np.ndarray:
+        """Entries that are all in the file or all in memory."""
+        if begin < self.written:
+            with open(self.path, "rb") as source:
+                source.seek(begin * _ENTRY.itemsize)
+                return np.fromfile(source, _ENTRY, end - begin)
+        self.waiting = [np.concatenate(self.waiting)]
+        return self.waiting[0][begin - self.written : end - self.written]
 
     def take(self) -> np.ndarray | None:
         """The next entries, at most a batch; None if there are none now."""
-        if self.read < self.written:
-            with open(self.path, "rb") as source:
-                source.seek(self.read * _ENTRY.itemsize)
-                rows = np.fromfile(source, _ENTRY, min(BATCH, self.written - self.read))
-            self.read += len(rows)
-            return rows
-        if self.waiting:
-            rows = np.concatenate(self.waiting)
-            self._write()
-            self.read = self.written
-            return rows
-        return None
+        end = self.written if self.read < self.written else self.written + self.held
+        if self.read == end:
+            return None
+        rows = self._entries(self.read, min(end, self.read + BATCH))
+        self.read += len(rows)
+        return rows
+
+    def _taken(self) -> list[tuple[int, int]]:
+        """All entries that were ever taken, in batches."""
+        file = min(self.read, self.written)
+        cuts = [*range(0, file, BATCH), *range(file, self.read, BATCH), self.read]
+        return list(zip(cuts, cuts[1:]))
 
     def descending(self) -> Iterator[np.ndarray]:
         """All entries that were ever taken, in batches from the last one."""
-        end = self.read
-        while end > 0:
-            begin = max(0, end - BATCH)
-            with open(self.path, "rb") as source:
-                source.seek(begin * _ENTRY.itemsize)
-                yield np.fromfile(source, _ENTRY, end - begin)[::-1]
-            end = begin
+        for begin, end in reversed(self._taken()):
+            yield self._entries(begin, end)[::-1]
 
     def ascending(self) -> Iterator[np.ndarray]:
-        for begin in range(0, self.read, BATCH):
-            with open(self.path, "rb") as source:
-                source.seek(begin * _ENTRY.itemsize)
-                yield np.fromfile(source, _ENTRY, min(BATCH, self.read - begin))
+        for begin, end in self._taken():
+            yield self._entries(begin, end)
 
 
 class _Pass:
@@ -153,39 +152,22 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.nd
     return out
 
 
-def _key_order(keys: np.ndarray) -> np.ndarray:
-    """The order of rows of keys. Equal rows are found by a hash and sorted as one."""
-    hashes = np.zeros(len(keys), np.uint64)
-    for column in keys.T:
-        hashes = (hashes ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        hashes ^= hashes >> np.uint64(29)
-    _, place, which = np.unique(hashes, return_index=True, return_inverse=True)
-    if (keys[place][which] != keys).any():  # two keys of one hash
-        return np.lexsort(keys.T[::-1])
-    rank = np.empty(len(place), np.int64)
-    rank[np.lexsort(keys[place].T[::-1])] = np.arange(len(place))
-    return np.argsort(rank[which], kind="stable")
-
-
 def _sorted_starts(text: np.ndarray, starts: np.ndarray, limit: int, folder: str) -> Iterator[np.ndarray]:
     """The starts sorted by ``limit`` symbols: runs sorted in memory, written, and merged."""
-    per_word = 7  # symbols of nine bits
-    words = -(-limit // per_word)
-    padded = np.concatenate((text, np.zeros(limit + per_word, text.dtype)))
+    # Big-endian symbols compare as their bytes do; behind the end stand zeros.
+    padded = np.concatenate((text, np.zeros(limit, text.dtype))).astype(">u2")
+    windows = np.lib.stride_tricks.sliding_window_view(padded, limit)
+    size = 2 * limit
     runs = []
     for begin in range(0, len(starts), RUN):
         part = starts[begin : begin + RUN]
-        keys = np.zeros((len(part), words), np.uint64)
-        for w in range(words):
-            for k in range(per_word * w, min(per_word * (w + 1), limit)):
-                symbol = padded[np.minimum(part + k, len(padded) - 1)].astype(np.uint64)
-                keys[:, w] = (keys[:, w] << np.uint64(9)) | symbol
-        order = _key_order(keys)
+        keys = windows[part].view(f"S{size}").reshape(-1)
+        order = np.argsort(keys, kind="stable")
         if len(starts) <= RUN:
             yield part[order]
             return
         path = os.path.join(folder, f"run{begin}")
-        keys[order].astype(">u8").tofile(path + ".keys")
+        keys[order].tofile(path + ".keys")
         part[order].tofile(path)
         runs.append((path, len(part)))
 
@@ -194,9 +176,9 @@ def _sorted_starts(text: np.ndarray, starts: np.ndarray, limit: int, folder: str
         with open(path + ".keys", "rb") as keys, open(path, "rb") as at:
             for _ in range(0, count, step):
                 some = np.fromfile(at, np.int64, step)
-                blob = keys.read(len(some) * words * 8)
+                blob = keys.read(len(some) * size)
                 for i, p in enumerate(some.tolist()):
-                    yield blob[i * words * 8 : (i + 1) * words * 8], p
+                    yield blob[i * size : (i + 1) * size], p
 
     batch: list[int] = []
     for _, p in heapq.merge(*[rows(*run) for run in runs]):
