@@ -34,7 +34,7 @@ def test_segments_take_few_bytes_beside_their_text():
     ]
     tags = np.random.default_rng(1).integers(0, 1 << 62, len(texts))
     batch = pa.RecordBatch.from_pydict(
-        {"doc": pa.array(range(len(texts))), "tag": pa.array(tags), "nth": pa.array([0] * len(texts)), "text": texts, "met": pa.array(met, pa.binary())}
+        {"doc": pa.array(range(len(texts))), "tag": pa.array(tags), "nth": pa.array([0] * len(texts)), "text": texts, "met": pa.array(met, pa.binary()), "whole": [False] * len(texts)}
     )
     rows = [r for b in suffix_dedup._segments(1, 1)(iter([batch])) for r in b.to_pylist()]
     assert [r["kind"] for r in rows] == [2, 0]
@@ -77,3 +77,30 @@ def test_texts_of_one_id_keep_their_own_spans(spark, monkeypatch, small):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = suffix_dedup.remove_repeats(frame, keep=False).drop("kept").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(brute.repeats(rows), key=repr)
+
+
+def test_names_of_many_buckets_take_few_bytes():
+    """Where a bucket has about one name of a text, whose name it is takes less than the name."""
+    rng = random.Random(3)
+    texts = [some_text(rng, 1500) for _ in range(400)]
+    tags = np.random.default_rng(3).integers(0, 1 << 62, len(texts))
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(texts))), "tag": pa.array(tags), "text": texts})
+    rows = [r for b in suffix_dedup._names(100)(iter([batch])) for r in b.to_pylist()]
+    named = [suffix_dedup.unpacked(r["names"], *suffix_dedup._NAMED) for r in rows if r["kind"] != 2]
+    names, owners = (sum(len(columns[k]) for columns in named) for k in (0, 1))
+    assert owners > names / 2
+    assert sum(len(r["names"]) - 56 for r in rows if r["kind"] != 2) < 8 * names
+
+
+@pytest.mark.parametrize("byte", [None, 7])
+def test_texts_of_one_id_may_share_the_byte_of_their_tags(spark, monkeypatch, byte):
+    if byte is not None:
+        monkeypatch.setattr(suffix_dedup, "_byte", lambda tags: np.full(len(tags), byte, np.uint8))
+    rng = random.Random(4)
+    passages = [some_text(rng, 90) for _ in range(5)]
+    rows = [(k, some_text(rng, 40) + p) for k, p in enumerate(passages)]
+    rows += [(9, some_text(rng, 30) + passages[k] + some_text(rng, 60)) for k in range(5)]
+    rows += [(9, some_text(rng, 200)), (12, rows[6][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = suffix_dedup.remove_repeats(frame, keep=False).drop("kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute.repeats(rows), key=repr)

@@ -173,9 +173,11 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ordered[a]), order[a:b]
 
 
-# names: names and their owners, packed: 32 bits a name; id, tag and number of names an owner.
+# names: names and their owners, packed: 32 bits a name; id, byte of the tag and number of names an
+# owner. Of kind 2: id and tag of texts; the bucket is a group of documents.
 _NAMES = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("names", pa.binary())])
-_NAMED = (np.uint32, np.int64, np.int64, np.uint32)
+_NAMED = (np.uint32, np.int64, np.uint8, np.uint32)
+_TEXTS = (np.int64, np.int64)
 
 
 def _codes(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -183,20 +185,25 @@ def _codes(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names % np.uint64(buckets)) << np.uint64(32)) | (names >> np.uint64(32))
 
 
-def _owned(names: np.ndarray, owner: np.ndarray, docs: np.ndarray, tags: np.ndarray) -> bytes:
+def _byte(tags: np.ndarray) -> np.ndarray:
+    """What is kept of a tag beside each name: ids are mostly alone, and whole tags do not compress."""
+    return (tags & 0xFF).astype(np.uint8)
+
+
+def _owned(names: np.ndarray, owner: np.ndarray, docs: np.ndarray, subs: np.ndarray) -> bytes:
     """Names packed with their owners; those of one owner stand together."""
     cuts = np.flatnonzero(_changes(owner))
     whose = owner[cuts]
     counts = _sizes(cuts, len(owner)).astype(np.uint32)
-    return packed(names.astype(np.uint32), _steps(docs[whose]), tags[whose], counts)
+    return packed(names.astype(np.uint32), _steps(docs[whose]), subs[whose], counts)
 
 
 def _owners(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, the number of the owner of each, and the owners: id, tag."""
-    names, docs, tags, counts = _all_unpacked(blobs, *_NAMED)
+    """Names, the number of the owner of each, and the owners: id, byte of the tag."""
+    names, docs, subs, counts = _all_unpacked(blobs, *_NAMED)
     counts = _concatenated(counts, np.uint32)
     docs = _concatenated([np.cumsum(d) for d in docs], np.int64)
-    return _concatenated(names, np.uint32), np.repeat(np.arange(len(docs)), counts), docs, _concatenated(tags, np.int64)
+    return _concatenated(names, np.uint32), np.repeat(np.arange(len(docs)), counts), docs, _concatenated(subs, np.uint8)
 
 
 def _ranks(*columns: np.ndarray) -> np.ndarray:
@@ -210,6 +217,7 @@ def _ranks(*columns: np.ndarray) -> np.ndarray:
 def _names(buckets: int):
     def flush(found: list[tuple[np.ndarray, np.ndarray]], docs: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
         codes, owner = (np.concatenate(c) for c in zip(*found))
+        subs = _byte(tags)
         # Owners come in order, so those of one name stay in order as well.
         order = np.argsort(codes, kind="stable")
         ordered = codes[order]
@@ -223,7 +231,10 @@ def _names(buckets: int):
             part = np.sort(order[some])
             for bucket, at in _groups(codes[part] >> np.uint64(32)):
                 mine = part[at]
-                rows.append((bucket, kind, _owned(codes[mine], owner[mine], docs, tags)))
+                rows.append((bucket, kind, _owned(codes[mine], owner[mine], docs, subs)))
+        whose = np.flatnonzero(np.bincount(owner))
+        for group, at in _groups(docs[whose] % buckets):
+            rows.append((group, 2, packed(_steps(docs[whose[at]]), tags[whose[at]])))
         return _table(_NAMES, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +263,7 @@ def _met(groups: int):
         bucket = rows["bucket"][0].as_py()
         kinds, blobs = rows["kind"].to_pylist(), rows["names"].to_pylist()
         first = [b for k, b in zip(kinds, blobs) if k == 0]
-        n, o, docs, tags = _owners(first + [b for k, b in zip(kinds, blobs) if k == 1])
+        n, o, docs, subs = _owners(first + [b for k, b in zip(kinds, blobs) if k == 1])
         alone = sum(int(np.frombuffer(b, np.int64, 2)[1]) for b in first)
         # Name and place in one number sort faster than places by name.
         keys = np.sort((n[:alone].astype(np.uint64) << np.uint64(32)) | np.arange(alone, dtype=np.uint64))
@@ -263,15 +274,16 @@ def _met(groups: int):
         again[:-1] |= same
         some = np.concatenate((at[again], np.arange(alone, len(n))))
         n, o = n[some], o[some]
-        order = np.argsort(_ranks(docs, tags)[o], kind="stable")
+        order = np.argsort(_ranks(docs, subs)[o], kind="stable")
         n, o = n[order], o[order]
-        out = [(group, bucket, _owned(n[at], o[at], docs, tags)) for group, at in _groups(docs[o] % groups)]
+        out = [(group, 0, _owned(n[at], o[at], docs, subs)) for group, at in _groups(docs[o] % groups)]
+        out += [(bucket, 2, b) for k, b in zip(kinds, blobs) if k == 2]
         return pa.Table.from_batches([_table(_MET, out)])
 
     return met
 
 
-_MET = pa.schema([("group", pa.int64()), ("bucket", pa.int64()), ("names", pa.binary())])
+_MET = pa.schema([("group", pa.int64()), ("kind", pa.int32()), ("names", pa.binary())])
 
 
 def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -283,26 +295,45 @@ def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _by_document(rows: pa.Table) -> pa.Table:
-    """``doc, tag, nth, met``: 32 bits of all names of each document of a group, and its place in its id."""
-    n, o, docs, tags = _owners(rows["names"].to_pylist())
-    order = np.argsort(_ranks(docs, tags)[o], kind="stable")
-    n, o = n[order], o[order]
-    d, t = docs[o], tags[o]
-    cuts = np.flatnonzero(_changes(d, t))
-    ends = np.append(cuts[1:], len(n))
-    first = np.flatnonzero(_changes(d[cuts]))
-    nth = np.arange(len(cuts)) - np.repeat(first, _sizes(first, len(cuts)))
-    return pa.table({"doc": pa.array(d[cuts]), "tag": pa.array(t[cuts]), "nth": pa.array(nth), "met": _binaries(n, 4 * ends)})
+    """``doc, tag, nth, met, whole``: 32 bits of the names met of each document of a group, and its
+    place in its id. Texts of one id that share the byte of their tags are ``whole``: all their names
+    count as met, so that none of them needs the names of the others."""
+    kinds, blobs = rows["kind"].to_pylist(), rows["names"].to_pylist()
+    docs, tags = _all_unpacked([b for k, b in zip(kinds, blobs) if k == 2], *_TEXTS)
+    docs, tags = np.concatenate([np.cumsum(d) for d in docs]), np.concatenate(tags)
+    order = np.lexsort((tags, _byte(tags), docs))
+    order = order[_changes(docs[order], tags[order])]
+    docs, tags = docs[order], tags[order]
+    first = np.flatnonzero(_changes(docs))
+    nth = np.arange(len(docs)) - np.repeat(first, _sizes(first, len(docs)))
+    # Texts and owners by id and byte; the owners of each text's names, if any.
+    n, o, whose, subs = _owners([b for k, b in zip(kinds, blobs) if k == 0])
+    rank = _ranks(np.concatenate((docs, whose)), np.concatenate((_byte(tags), subs)))
+    text, owner = rank[: len(docs)], rank[len(docs) :][o]
+    order = np.argsort(owner, kind="stable")
+    n, owner = n[order], owner[order]
+    low, high = (np.searchsorted(owner, text, side=s) for s in ("left", "right"))
+    some = high > low
+    shared = np.bincount(text)[text] > 1
+    high = np.where(shared, low, high)
+    docs, tags, nth, low, high, shared = (c[some] for c in (docs, tags, nth, low, high, shared))
+    names = _concatenated([n[a:b] for a, b in zip(low, high)], np.uint32)
+    return pa.table(
+        {
+            "doc": pa.array(docs), "tag": pa.array(tags), "nth": pa.array(nth),
+            "met": _binaries(names, 4 * np.cumsum(high - low)), "whole": pa.array(shared),
+        }
+    )
 
 
 def names_met(docs: DataFrame, buckets: int) -> DataFrame:
-    """``doc, tag, nth, met``: of each document, its names that others may have as well."""
+    """``doc, tag, nth, met, whole``: of each document, its names that others may have as well."""
     dealt = map_batches(docs, _names(buckets), "bucket long, kind int, names binary")
     return (
         dealt.groupBy("bucket")
-        .applyInArrow(_met(buckets), "group long, bucket long, names binary")
+        .applyInArrow(_met(buckets), "group long, kind int, names binary")
         .groupBy("group")
-        .applyInArrow(_by_document, "doc long, tag long, nth long, met binary")
+        .applyInArrow(_by_document, "doc long, tag long, nth long, met binary, whole boolean")
     )
 
 
@@ -427,13 +458,15 @@ def _segments(shards: int, groups: int):
             docs, tags, nth = (batch[c].to_numpy() for c in ("doc", "tag", "nth"))
             texts.append((docs, tags, nth))
             met = [np.frombuffer(m, np.uint32) for m in batch["met"].to_pylist()]
+            whole = np.array(batch["whole"].to_pylist(), bool)
             for data, a, names, which, starts, begin, end in named_runs(as_bytes(batch["text"])):
                 if not len(names):
                     continue
                 some = met[a : which[-1] + 1]
                 wanted = np.repeat(np.arange(a, a + len(some), dtype=np.uint64) << np.uint64(32), [len(m) for m in some])
                 wanted |= np.concatenate(some)
-                at = np.flatnonzero(np.isin((which.astype(np.uint64) << np.uint64(32)) | (names >> np.uint64(32)), wanted))
+                met_here = np.isin((which.astype(np.uint64) << np.uint64(32)) | (names >> np.uint64(32)), wanted)
+                at = np.flatnonzero(met_here | whole[which])
                 # A long text is taken in parts.
                 for k in range(0, len(at), STRETCH):
                     part = at[k : k + STRETCH]
@@ -637,7 +670,7 @@ def remove_repeats(docs: DataFrame, keep: bool = True, id: str = "doc_id", text:
     keys = ["doc", "tag"]
     met = names_met(long.select("doc", "tag", "text"), buckets)
     dealt = map_batches(
-        rows.join(met, keys, "left").filter("met IS NOT NULL").select("doc", "tag", "nth", "text", "met"),
+        rows.join(met, keys, "left").filter("met IS NOT NULL").select("doc", "tag", "nth", "text", "met", "whole"),
         _segments(shards, groups), "shard long, kind int, data binary",
     )
     gone = (
