@@ -130,3 +130,17 @@ def test_repeated_keys_missing_tokens_and_repeated_grams(spark):
         None: (1, 1, 1, 1, 0, 0, 0, 0, 0, 0),
         3: (0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
     }
+
+
+def test_tags_of_a_large_lexicon_are_no_rows(spark, monkeypatch):
+    # A row for each token went to its lexicon entry and back to its line, many times the text.
+    rows = [(0, "the cat sat"), (0, "on the"), (1, ""), (2, None), (None, "cat the"), (None, "x"), (3, " the  odd ")]
+    lines = spark.createDataFrame(rows, "k bigint, text string")
+    lexicon = spark.createDataFrame([("the", "D"), ("cat", "N"), ("odd", None)], "token string, class string")
+    found = []
+    for broadcast_bytes in (1 << 20, 0):
+        monkeypatch.setattr(vocabulary, "BROADCAST_BYTES", broadcast_bytes)
+        tagged = op.tag_sequences(lines, ["k"], lexicon)
+        found.append(sorted(map(str, tagged.collect())))
+    assert found[0] == found[1] and len(found[0]) == 5
+    assert "Generate" not in tagged._jdf.queryExecution().executedPlan().toString()

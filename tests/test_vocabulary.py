@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from weft.functions import text
@@ -124,3 +125,18 @@ def test_membership_and_oov(spark):
 def test_threshold(spark):
     counts = op.token_counts(tokens_of(spark, ["a " * 9 + "a", "b"]))
     assert [r["token"] for r in op.frequent(counts, 10).collect()] == ["a"]
+
+
+def test_codes_of_a_chunk_travel_as_bytes():
+    # As integers of four bytes the codes were most of what a row brings to its chunk.
+    rows = [[0, 127, 128], [], [16_383, 16_384, 2**21 - 1, 2**21], [2**28 - 1, 2**28, 2**31 - 1], []]
+    ends = np.cumsum([0, *map(len, rows)])
+    numbers = np.array([n for row in rows for n in row])
+    packed = op._packed(numbers, ends)
+    assert [len(row) for row in packed.to_pylist()] == [4, 0, 12, 14, 0]
+    for some in (packed, packed.slice(2, 2)):
+        found, at = op._unpacked(some)
+        whole = rows if some is packed else rows[2:4]
+        assert [found[a:b].tolist() for a, b in zip(at, at[1:])] == whole
+    found, at = op._unpacked(op._packed(numbers[:0], ends[:1]))
+    assert len(found) == 0 and at.tolist() == [0]

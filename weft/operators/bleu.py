@@ -212,14 +212,19 @@ def tag_sequences(
     """``keys, text``: sentences as their token classes.
 
     ``lexicon`` is ``token, class`` with unique tokens, or pass ``tagger``, a pandas UDF from
-    sentence to tag sequence.
+    sentence to tag sequence. A lexicon that may not be broadcast (``broadcastable``) is met by
+    the distinct tokens of chunks only (``translate``).
     """
     keys = list(keys)
     if tagger is not None:
         return df.select(*keys, tagger(F.col(text)).alias(text))
+    if not vocabulary.broadcastable(lexicon, "token", "class", broadcast_bytes):
+        words = df.select(*keys, split_ws(text).alias("__tokens"))
+        tagged = vocabulary.translate(words, lexicon, keys, "__tokens", "token", "class", "__classes", unknown)
+        return tagged.select(*keys, F.array_join("__classes", " ").alias(text))
     placed = spread(df.select(*keys, text), *keys)
     tokens = placed.select(*keys, F.posexplode_outer(split_ws(text)).alias("__pos", "token"))
-    tagged = vocabulary.dictionary_join(tokens, lexicon, "token", "class", [*keys, "__pos"], broadcast_bytes).withColumn(
+    tagged = tokens.join(F.broadcast(lexicon.select("token", "class")), "token", "left").withColumn(
         "class", F.when(F.col("__pos").isNotNull(), F.coalesce("class", F.lit(unknown)))
     )
     ordered = F.array_sort(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", "class"))))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from weft.operators.ordering import ID_BITS, ranked, running_start
 from weft.operators.skew import join_unique
@@ -165,22 +165,46 @@ def dictionary_join(
     return join_unique(rows, table, key, row_id)
 
 
+def _packed(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The numbers of each row as bytes: seven bits each, the lowest first, and a mark where more follow."""
+    sizes = 1 + sum((numbers >> 7 * k > 0).astype(np.int64) for k in range(1, 5))
+    starts = np.append(0, np.cumsum(sizes))
+    data = np.zeros(starts[-1], dtype=np.uint8)
+    for k in range(sizes.max(initial=0)):
+        some = np.flatnonzero(sizes > k)
+        data[starts[some] + k] = numbers[some] >> 7 * k & 127 | (sizes[some] > k + 1) << 7
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(starts[ends].astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_packed`` took."""
+    rows = packed.to_pylist()
+    data = np.frombuffer(b"".join(rows), dtype=np.uint8)
+    last = data < 128
+    stops = np.flatnonzero(last) + 1
+    starts = np.append(0, stops[:-1])
+    sizes = stops - starts[: len(stops)]
+    numbers = np.zeros(len(stops), dtype=np.int64)
+    for k in range(sizes.max(initial=0)):
+        some = np.flatnonzero(sizes > k)
+        numbers[some] |= (data[starts[some] + k] & 127).astype(np.int64) << 7 * k
+    return numbers, np.append(0, np.cumsum(last))[np.cumsum([0, *map(len, rows)])]
+
+
 def _coded(keys: list[str], items: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Chunks of a task's rows: elements as codes of the chunk, and what each code stands for."""
 
     def chunk(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        name = uuid.uuid4().hex
-        # Elements that are null keep a null code.
+        # A random number, as short as any, that no other chunk takes.
+        name = uuid.uuid4().int >> 65
+        # Codes begin with 1; elements that are null are 0, which stands for nothing.
         coded = rows[items].flatten().dictionary_encode()
         elements = coded.dictionary
+        codes = coded.indices.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) + 1
         ends = np.append(0, np.cumsum(rows[items].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
         yield pa.record_batch(
-            [
-                pa.array([name] * len(rows)), *[rows[k] for k in keys],
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.indices.cast(pa.int32())),
-                pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), elements.type),
-            ],
+            [pa.array([name] * len(rows)), *[rows[k] for k in keys], _packed(codes, ends), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), elements.type)],
             ["__chunk", *keys, "__codes", "__code", "__element"],
         )
         for i in range(0, len(elements), CHUNK_ROWS):
@@ -188,7 +212,7 @@ def _coded(keys: list[str], items: str) -> Callable[[Iterator[pa.RecordBatch]],
             yield pa.record_batch(
                 [
                     pa.array([name] * len(some)), *[pa.nulls(len(some), rows.schema.field(k).type) for k in keys],
-                    pa.nulls(len(some), pa.list_(pa.int32())), pa.array(np.arange(i, i + len(some), dtype=np.int32)), some,
+                    pa.nulls(len(some), pa.binary()), pa.array(np.arange(i + 1, i + 1 + len(some), dtype=np.int32)), some,
                 ],
                 ["__chunk", *keys, "__codes", "__code", "__element"],
             )
@@ -214,10 +238,10 @@ def _decoded(keys: list[str], value: str, out: str, missing) -> Callable[[pa.Tab
         codes, values = known["__code"].combine_chunks(), known[value].combine_chunks()
         made = []
         for batch in rows.to_batches():
-            found = values.take(pc.index_in(batch["__codes"].flatten(), value_set=codes))
+            numbers, ends = _unpacked(batch["__codes"])
+            found = values.take(pc.index_in(pa.array(numbers, pa.int32()), value_set=codes))
             if missing is not None:
                 found = found.fill_null(missing)
-            ends = np.append(0, np.cumsum(batch["__codes"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
             made.append(pa.table([*[batch[k] for k in keys], lists], [*keys, out]))
         return pa.concat_tables(made)
@@ -238,8 +262,8 @@ def translate(
     keys = list(keys)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     schema = StructType(
-        [StructField("__chunk", StringType()), *[StructField(k, kinds[k]) for k in keys]]
-        + [StructField("__codes", ArrayType(IntegerType())), StructField("__code", IntegerType())]
+        [StructField("__chunk", LongType()), *[StructField(k, kinds[k]) for k in keys]]
+        + [StructField("__codes", BinaryType()), StructField("__code", IntegerType())]
         + [StructField("__element", kinds[items].elementType)]
     )
     # The names of chunks are made as they are written.
