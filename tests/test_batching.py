@@ -1,6 +1,7 @@
 """Numbering, shards, batches and splits."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from weft.operators import alignment, jobs, ordering
 from weft.functions.permutation import permuted
 from weft.operators import batching as op
 from weft.operators import budget as budgets
+from weft.session import freeze
+from weft.sources import tables
 
 
 def lengths(spark, values):
@@ -246,3 +249,58 @@ def test_labelling_is_read_as_written(spark, name):
     # Export and corpus are made of lines, trees and codes that were written once; none is computed by both.
     files = plans.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any(t in f for f in files for t in ("documents", "orders", "lineitem", "embeddings"))
+
+
+def test_labelling_moves_texts_once(spark, monkeypatch, tmp_path):
+    # Zipped corpus, export and vectors were written and shuffled side by side, each with all its texts.
+    rows = {
+        "documents": ([(i, f"line {i}\nb c", "en", "s") for i in range(9)], "doc_id bigint, text string, lang string, source string"),
+        "orders": ([(i, "O") for i in range(4)], "o_orderkey bigint, o_orderstatus string"),
+        "lineitem": (
+            [(i // 2, i % 2, i, i, "2024-01-01", 1.0, "N") for i in range(8)],
+            "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_shipdate string, l_extendedprice double, l_returnflag string",
+        ),
+        "embeddings": ([(i, i % 2, [1.0, -1.0]) for i in range(5)], "vec_id bigint, label int, embedding array<float>"),
+    }
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    written = []
+
+    def recorded(df):
+        written.append(df.columns)
+        return freeze(df)
+
+    for module in (tables, jobs, plans.alignment):
+        monkeypatch.setattr(module, "freeze", recorded)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = plans.queries()["make_target"](spark, str(tmp_path))
+        found = made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 18 and {r["status"] for r in found} == {"merged"}
+    assert sum("src" in columns for columns in written) == 1
+    assert not any("vec" in columns for columns in written)
+    run = "".join(part.split("== Initial Plan ==")[0] for part in plan.split("== Final Plan ==")[1:])
+    for column in ("src", "cfg"):
+        assert len(re.findall(rf"FileScan parquet \[line_no#\w+,{column}#", run)) == 1
+
+
+def test_lost_lines_are_an_error_under_a_filter(spark):
+    # The filter of the export took away the lines that one file lacks, before they were missed.
+    src = spark.createDataFrame([(0, "a"), (1, "b")], "line_no bigint, src string")
+    cfg = spark.createDataFrame([(0, "(S (A a))")], "line_no bigint, cfg string")
+    vec = spark.createDataFrame([(i, [1.0]) for i in range(2)], "line_no bigint, vec array<double>")
+    with pytest.raises(Exception, match="without counterpart: 1"):
+        jobs.export_codes(src, cfg, vec, bits=1).collect()
+
+
+def test_strict_zip_keeps_repeated_lines_and_names(spark):
+    left = spark.createDataFrame([(0, "a"), (0, "b"), (1, None)], "line_no bigint, src string")
+    right = spark.createDataFrame([(0, "x"), (1, "y")], "line_no bigint, cfg string")
+    zipped = alignment.strict_zip(left, right)
+    assert zipped.columns == ["line_no", "src", "cfg"]
+    assert sorted(map(str, zipped.collect())) == sorted(map(str, alignment.zip_lines(left, right).collect()))
+    with pytest.raises(Exception, match="without counterpart"):
+        alignment.strict_zip(left, right.union(spark.createDataFrame([(None, "z")], right.schema))).collect()

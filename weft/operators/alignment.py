@@ -20,16 +20,14 @@ def zip_lines(*sides: DataFrame, on: str = "line_no") -> DataFrame:
 
 def strict_zip(left: DataFrame, right: DataFrame, on: str = "line_no") -> DataFrame:
     """Like ``zip_lines``, but a line without a counterpart is an error."""
-    here = left.withColumn("__left", F.lit(True))
-    there = right.withColumn("__right", F.lit(True))
-    lost = F.col("__left").isNull() | F.col("__right").isNull()
-    checked = here.join(there, on, "full_outer").withColumn(
-        on,
-        F.when(
-            lost, F.raise_error(F.concat(F.lit("line without counterpart: "), F.col(on).cast("string")))
-        ).otherwise(F.col(on)),
-    )
-    return checked.drop("__left", "__right")
+    # The sides are shuffled as they come, so a join beside this one may share their shuffles.
+    here, there = F.col(f"__left.{on}"), F.col(f"__right.{on}")
+    lost = here.isNull() | there.isNull()
+    error = F.raise_error(F.concat(F.lit("line without counterpart: "), F.coalesce(here.cast("string"), there.cast("string"), F.lit("NULL"))))
+    named = [(on, here), *[(c, F.col(f"__{side}.{c}")) for side, df in (("left", left), ("right", right)) for c in df.columns if c != on]]
+    joined = left.alias("__left").join(right.alias("__right"), here == there, "full_outer")
+    # Every column asks, or a filter on one of them would take the lost lines away before.
+    return joined.select(*[F.when(lost, error).otherwise(c).alias(name) for name, c in named])
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: str = "line_no") -> DataFrame:

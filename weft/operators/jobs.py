@@ -105,12 +105,13 @@ def export_codes(
     kept = alignment.token_cap(aligned.withColumn("__tokens", split_ws("src")), "__tokens", max_tokens).filter(
         trees.is_valid("cfg")
     )
-    coded = kept.join(vectors, "line_no")
+    # A code is made of its vector before it meets its line, so the vectors do not travel.
     if weights is None:
-        signs = binarise("vec", bits)
+        coded, signs = vectors, binarise("vec", bits)
     else:
-        coded, signs = project(coded, weights), F.transform("scores", lambda s: F.when(s > 0, 1).otherwise(0))
-    return coded.select("line_no", "src", "cfg", pack_bits(signs).cast("string").alias("code"))
+        coded, signs = project(vectors, weights), F.transform("scores", lambda s: F.when(s > 0, 1).otherwise(0))
+    codes = freeze(coded.select("line_no", pack_bits(signs).cast("string").alias("code")))
+    return kept.join(codes, "line_no").select("line_no", "src", "cfg", "code")
 
 
 @dataclass

@@ -127,13 +127,15 @@ def code_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _corpus_and_export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The corpus, and the lines of its export.
 
-    Trees and corpus are written, as both sides and the hot keys read them, and so is the export,
-    or the fields of its lines would each have the codes computed anew.
+    Lines, trees and codes are written once. Both sides, and the count of the hot keys, read them
+    through the same shuffles by line, which one plan makes once.
     """
+    numbered = F.col("line_no").isNotNull()
     sources, trees, vectors = tables.labelling(spark, sf_dir)
-    trees = freeze(trees)
-    corpus = freeze(op.zip_lines(sources, trees)).withColumn("tgt", F.col("src"))
-    return corpus, _line(freeze(_coded(spark, sf_dir, (sources, trees, vectors))), "value")
+    # An inner join looks for this by itself; told to both joins, it leaves their shuffles equal.
+    sources, trees = sources.filter(numbered), freeze(trees).filter(numbered)
+    corpus = op.zip_lines(sources, trees).withColumn("tgt", F.col("src"))
+    return corpus, _line(_coded(spark, sf_dir, (sources, trees, vectors)), "value")
 
 
 def make_target(spark: SparkSession, sf_dir: str) -> DataFrame:

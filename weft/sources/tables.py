@@ -79,7 +79,10 @@ def nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def by_turns(corpus: DataFrame, items: DataFrame, item_no: str) -> DataFrame:
     """``corpus`` (``line_no``) beside ``items``, whose numbers from 0 are taken in turn."""
     n = items.agg(F.count(F.lit(1))).scalar()
-    return corpus.withColumn(item_no, F.pmod("line_no", n)).join(items, item_no)
+    turns = corpus.withColumn(item_no, F.pmod("line_no", n))
+    # Items whose turn never comes are not moved.
+    last = turns.agg(F.max(item_no)).scalar()
+    return turns.join(items.filter(F.col(item_no) <= last), item_no)
 
 
 def label_weights(spark: SparkSession, sf_dir: str, bias: float = 0.25) -> DataFrame:
